@@ -9,8 +9,8 @@ clean training sentences, unlike one another, and ordinary ones; the kernel with
 inverse root of their own kernel matrix, is the Nyström feature map of a linear hinge-loss model.
 
 A sentence's decision is that of its highest unit, a document's that of its highest sentence, which
-is how labels of documents reach their sentences: a toxic document's highest sentences are its
-positive examples, all sentences of clean documents are negative ones, and the highest of these
+is how labels of documents reach their sentences: a toxic document's highest sentence and units
+found in toxic documents almost alone are positive examples, all sentences of clean documents are negative ones, and the highest of these
 are taken up again as the fit is repeated. As the kernel's features are explicit (three character
 classes), weights and landmarks fold into one table of 64^3 numbers, which is all that is broadcast.
 
@@ -112,7 +112,7 @@ def feature_rows(words: list[str], column: np.ndarray, width: int) -> np.ndarray
 def landmarks(pos: Counter, neg: Counter, n_pos: int, n_neg: int, telling: int, ordinary: int) -> list[str]:
     """Units with the largest weighted log ratio that are unlike those before them, then common clean ones."""
     ratio = {u: (np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[u] + 0.5) / (n_neg + 1))) * np.sqrt(c) for u, c in pos.items() if c >= 2 and len(u) >= 3}
-    ranked = sorted((u for u in ratio if ratio[u] > 0 and neg[u] * n_pos < 0.2 * pos[u] * n_neg), key=lambda u: (-ratio[u], u))[: 12 * telling]
+    ranked = sorted((u for u in ratio if ratio[u] > 0 and neg[u] * n_pos < 0.03 * pos[u] * n_neg), key=lambda u: (-ratio[u], u))[: 12 * telling]
     codes = [c for _, found, _ in subsequences(ranked) for c in np.unique(found)]
     column = np.full(CLASSES**3, len(set(codes)), np.int64)
     column[sorted(set(codes))] = np.arange(len(set(codes)))
@@ -125,9 +125,24 @@ def landmarks(pos: Counter, neg: Counter, n_pos: int, n_neg: int, telling: int,
     return [ranked[i] for i in chosen] + common
 
 
+def unlike(docs: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
+    """Documents without likely copies of one before: the three least hashes of their long units agree."""
+    import xxhash
+
+    kept, seen = [], set()
+    for label, own in docs:
+        long = [u for u in own if len(u) >= 8]
+        least = [(salt, *sorted(xxhash.xxh3_64_intdigest(u, salt) for u in long)[:3]) for salt in range(3)] if len(long) >= 4 else []
+        if not any(x in seen for x in least):
+            kept.append((label, own))
+        seen.update(least)
+    return kept
+
+
 def fit(examples: list[tuple[int, list[list[str]]]], telling: int = 96, ordinary: int = 32, negatives: int = 4000, rounds: int = 3) -> dict:
     """The folded table, bias, slope and offset. examples: (label, units of each sentence)."""
     docs = [(label, sorted({p for s in sentences for u in s for p in pieces(u) if p})) for label, sentences in examples]
+    docs = unlike(docs)  # copies would make chance words look telling
     pos, neg = Counter(u for label, own in docs if label for u in own), Counter(u for label, own in docs if not label for u in own)
     n_pos = sum(label for label, _ in docs)
     n_neg = len(docs) - n_pos
@@ -148,8 +163,9 @@ def fit(examples: list[tuple[int, list[list[str]]]], telling: int = 96, ordinary
     order = np.random.default_rng(3)
     hard = clean[order.permutation(len(clean))[:negatives]]
     bags = [np.array([number[u] for u in us], np.int64) for label, us in docs if label and us]
+    telltale = {number[u]: c for u, c in pos.items() if c >= max(3, 0.01 * n_pos) and 50 * neg[u] * n_pos <= c * n_neg}  # seldom a document's highest, but positive all the same
     for _ in range(rounds):
-        tops = Counter(int(own_[np.argmax(belief[own_])]) for own_ in bags)
+        tops = Counter(int(own_[np.argmax(belief[own_])]) for own_ in bags) | Counter(telltale)
         chosen = [*tops, *hard.tolist()]
         x = np.vstack([feature_rows([every[i] for i in chosen[at : at + 1000]], column, len(used)) @ own.T.astype(np.float32) for at in range(0, len(chosen), 1000)]) @ root
         y = np.r_[np.ones(len(tops)), -np.ones(len(hard))]
