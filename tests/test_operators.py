@@ -79,9 +79,8 @@ def test_replay_and_stream_agree(spark, tmp_path):
     assert batch == {"j": ("completed", 4, 100, 5), "k": ("running", 1, 73, 1)}
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = reduce_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
-    run = stream.writeStream.format("memory").queryName("jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).start()
-    run.processAllAvailable()
-    run.stop()
+    run = stream.writeStream.format("memory").queryName("jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
     got = {r.job_id: (r.status, r.current, r.progress, r.applied) for r in spark.table("jobs").collect()}
     assert got == batch
 
