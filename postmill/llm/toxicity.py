@@ -163,7 +163,9 @@ def fit(examples: list[tuple[int, list[list[str]]]], telling: int = 96, ordinary
     order = np.random.default_rng(3)
     hard = clean[order.permutation(len(clean))[:negatives]]
     bags = [np.array([number[u] for u in us], np.int64) for label, us in docs if label and us]
-    telltale = {number[u]: c for u, c in pos.items() if c >= max(3, 0.01 * n_pos) and 50 * neg[u] * n_pos <= c * n_neg}  # seldom a document's highest, but positive all the same
+    # seldom a document's highest, but positive all the same: so often in toxic documents alone that chance would hardly make one such unit
+    least = max(3.0, np.log(len(every)) / np.log((n_pos + n_neg) / n_pos))
+    telltale = {number[u]: c for u, c in pos.items() if c >= least and 50 * neg[u] * n_pos <= c * n_neg}
     for _ in range(rounds):
         tops = Counter(int(own_[np.argmax(belief[own_])]) for own_ in bags) | Counter(telltale)
         chosen = [*tops, *hard.tolist()]
