@@ -74,7 +74,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, share: fl
     for cols, label in zip(rows, y, strict=True):
         (pos if label else neg)[cols] += 1
     ratio = np.log(pos / pos.sum()) - np.log(neg / neg.sum())
-    scaled = [(cols, ratio[cols] / max(1e-9, float(np.linalg.norm(ratio[cols])))) for cols in rows]
+    scaled = [(cols, (ratio[cols] / max(1e-9, float(np.linalg.norm(ratio[cols])))).astype(np.float32)) for cols in rows]
     sign, count = np.where(y == 1, 1.0, -1.0), np.bincount(y, minlength=2)
     w, bias = dual_coordinate_descent(scaled, sign, WIDTH, cost * len(y) / (2.0 * count[y]))
     w = share * w + (1 - share) * np.abs(w).mean()

@@ -74,7 +74,7 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         if n == 0:
             continue
         i, j, k, decay = places(n + 2)
-        step = max(1, 2_000_000 // max(1, len(i)))
+        step = max(1, 500_000 // max(1, len(i)))
         for at in range(0, len(numbers), step):
             part = numbers[at : at + step]
             chars = np.frombuffer("".join(words[x] for x in part).encode("utf-32-le"), np.uint32).reshape(len(part), n).astype(np.int64)
@@ -109,44 +109,47 @@ def feature_rows(words: list[str], column: np.ndarray, width: int) -> np.ndarray
     return out[:, :width]
 
 
-def landmarks(pos: Counter, neg: Counter, n_pos: int, n_neg: int, telling: int, ordinary: int) -> list[str]:
+def landmarks(every: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, telling: int, ordinary: int) -> list[str]:
     """Units with the largest weighted log ratio that are unlike those before them, then common clean ones."""
-    ratio = {u: (np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[u] + 0.5) / (n_neg + 1))) * np.sqrt(c) for u, c in pos.items() if c >= 2 and len(u) >= 3}
-    ranked = sorted((u for u in ratio if ratio[u] > 0 and neg[u] * n_pos < 0.03 * pos[u] * n_neg), key=lambda u: (-ratio[u], u))[: 12 * telling]
-    codes = [c for _, found, _ in subsequences(ranked) for c in np.unique(found)]
-    column = np.full(CLASSES**3, len(set(codes)), np.int64)
-    column[sorted(set(codes))] = np.arange(len(set(codes)))
-    rows = feature_rows(ranked, column, len(set(codes)))
+    ratio = (np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))) * np.sqrt(pos)
+    fine = np.nonzero((pos >= 2) & (ratio > 0) & (neg * n_pos < 0.03 * pos * n_neg))[0].tolist()
+    ranked = [every[i] for i in sorted(fine, key=lambda i: (-ratio[i], every[i])) if len(every[i]) >= 3][: 4 * telling]
+    codes = sorted({int(c) for _, found, _ in subsequences(ranked) for c in np.unique(found)})
+    column = np.full(CLASSES**3, len(codes), np.int64)
+    column[codes] = np.arange(len(codes))
+    rows = feature_rows(ranked, column, len(codes))
     chosen: list[int] = []
     for i in range(len(ranked)):
         if len(chosen) < telling and (not chosen or float((rows[chosen] @ rows[i]).max()) < 0.75):
             chosen.append(i)
-    common = [u for u, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0])) if len(u) >= 3][: 8 * ordinary : 8]
-    return [ranked[i] for i in chosen] + common
+    common = [every[i] for i in sorted(np.nonzero(neg)[0].tolist(), key=lambda i: (-neg[i], every[i]))[: 10 * ordinary] if len(every[i]) >= 3]
+    return [ranked[i] for i in chosen] + common[: 8 * ordinary : 8]
 
 
-def unlike(docs: list[tuple[int, list[str]]]) -> list[tuple[int, list[str]]]:
-    """Documents without likely copies of one before: the three least hashes of their long units agree."""
+def likely_copy(own: list[str], seen: set) -> bool:
+    """Whether the three least hashes of a document's long units came before, under one of three salts."""
     import xxhash
 
-    kept, seen = [], set()
-    for label, own in docs:
-        long = [u for u in own if len(u) >= 8]
-        least = [(salt, *sorted(xxhash.xxh3_64_intdigest(u, salt) for u in long)[:3]) for salt in range(3)] if len(long) >= 4 else []
-        if not any(x in seen for x in least):
-            kept.append((label, own))
-        seen.update(least)
-    return kept
+    long = [u for u in own if len(u) >= 8]
+    least = [(salt, *sorted(xxhash.xxh3_64_intdigest(u, salt) for u in long)[:3]) for salt in range(3)] if len(long) >= 4 else []
+    copy = any(x in seen for x in least)
+    seen.update(least)
+    return copy
 
 
-def fit(examples: list[tuple[int, list[list[str]]]], telling: int = 96, ordinary: int = 32, negatives: int = 4000, rounds: int = 3) -> dict:
+def fit(examples: Iterable[tuple[int, list[list[str]]]], telling: int = 96, ordinary: int = 32, negatives: int = 4000, rounds: int = 3) -> dict:
     """The folded table, bias, slope and offset. examples: (label, units of each sentence)."""
-    docs = [(label, sorted({p for s in sentences for u in s for p in pieces(u) if p})) for label, sentences in examples]
-    docs = unlike(docs)  # copies would make chance words look telling
-    pos, neg = Counter(u for label, own in docs if label for u in own), Counter(u for label, own in docs if not label for u in own)
-    n_pos = sum(label for label, _ in docs)
-    n_neg = len(docs) - n_pos
-    marks = landmarks(pos, neg, n_pos, n_neg, telling, ordinary)
+    number: dict[str, int] = {}
+    labels, own_units, seen = [], [], set()
+    for label, sentences in examples:
+        units_of = sorted({p for s in sentences for u in s for p in pieces(u) if p})
+        if not likely_copy(units_of, seen):  # copies would make chance words look telling
+            labels.append(label)
+            own_units.append(np.array([number.setdefault(u, len(number)) for u in units_of], np.int32))
+    every, y_docs = list(number), np.array(labels)
+    n_pos, n_neg = int(y_docs.sum()), int((1 - y_docs).sum())
+    pos, neg = (np.bincount(np.concatenate([u for u, label in zip(own_units, labels, strict=True) if label == k] or [np.empty(0, np.int32)]), minlength=len(every)) for k in (1, 0))
+    marks = landmarks(every, pos, neg, n_pos, n_neg, telling, ordinary) if every else []
     if not marks:
         return {"table": np.zeros(CLASSES**3, np.float32), "bias": 0.0, "slope": 1.0, "offset": 0.0, "landmarks": []}
     used = sorted({int(c) for _, found, _ in subsequences(marks) for c in np.unique(found)})
@@ -156,32 +159,29 @@ def fit(examples: list[tuple[int, list[list[str]]]], telling: int = 96, ordinary
     value, vector = np.linalg.eigh(own @ own.T)
     fine = value > 1e-4
     root = vector[:, fine] / np.sqrt(value[fine])  # kernel with landmarks -> Nyström features
-    every = sorted(set(pos) | set(neg))
-    number = {u: i for i, u in enumerate(every)}
-    belief = np.array([np.log((pos[u] + 0.1) / (n_pos + 1)) - np.log((neg[u] + 0.1) / (n_neg + 1)) for u in every])
-    clean = np.array([number[u] for u in neg])
+    belief = np.log((pos + 0.1) / (n_pos + 1)) - np.log((neg + 0.1) / (n_neg + 1))
+    clean = np.nonzero(neg)[0]
     order = np.random.default_rng(3)
     hard = clean[order.permutation(len(clean))[:negatives]]
-    bags = [np.array([number[u] for u in us], np.int64) for label, us in docs if label and us]
+    bags = [u for u, label in zip(own_units, labels, strict=True) if label and len(u)]
     # seldom a document's highest, but positive all the same: so often in toxic documents alone that chance would hardly make one such unit
     least = max(3.0, np.log(len(every)) / np.log((n_pos + n_neg) / n_pos))
-    telltale = {number[u]: c for u, c in pos.items() if c >= least and 50 * neg[u] * n_pos <= c * n_neg}
+    telltale = {int(i): int(pos[i]) for i in np.nonzero((pos >= least) & (50 * neg * n_pos <= pos * n_neg))[0]}
     for _ in range(rounds):
-        tops = Counter(int(own_[np.argmax(belief[own_])]) for own_ in bags) | Counter(telltale)
+        tops = Counter(int(u[np.argmax(belief[u])]) for u in bags) | Counter(telltale)
         chosen = [*tops, *hard.tolist()]
-        x = np.vstack([feature_rows([every[i] for i in chosen[at : at + 1000]], column, len(used)) @ own.T.astype(np.float32) for at in range(0, len(chosen), 1000)]) @ root
+        x = np.vstack([feature_rows([every[i] for i in chosen[at : at + 500]], column, len(used)) @ own.T.astype(np.float32) for at in range(0, len(chosen), 500)]) @ root
         y = np.r_[np.ones(len(tops)), -np.ones(len(hard))]
         weight = np.r_[np.minimum(np.array(list(tops.values()), float), 20), np.ones(len(hard))]
         cost = 2.0 * weight * np.where(y > 0, len(hard) / max(1.0, weight[: len(tops)].sum()), 1.0)
         w, bias = dual_coordinate_descent([(slice(None), row) for row in x], y, x.shape[1], cost, rounds=30)
         folded = np.zeros(CLASSES**3)
         folded[used] = own.T @ (root @ w)
-        belief = decide(every, folded, bias)
+        belief = np.concatenate([decide(every[at : at + 20_000], folded, bias) for at in range(0, len(every), 20_000)])
         worst = clean[np.argsort(-belief[clean], kind="stable")[: negatives // 2]]
         hard = np.unique(np.r_[worst, clean[order.permutation(len(clean))[: negatives // 2]]])
-    y = np.array([label for label, _ in docs], float)
-    margins = np.array([max((belief[number[u]] for u in us), default=bias) for _, us in docs])
-    slope, offset = logistic(margins, y, len(y) / (2.0 * np.where(y == 1, n_pos, n_neg)))
+    margins = np.array([belief[u].max() if len(u) else bias for u in own_units])
+    slope, offset = logistic(margins, y_docs.astype(float), len(labels) / (2.0 * np.where(y_docs == 1, n_pos, n_neg)))
     return {"table": folded.astype(np.float32), "bias": float(bias), "slope": slope, "offset": offset, "landmarks": marks}
 
 
@@ -215,13 +215,14 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, th
         import pyarrow as pa
 
         for batch in batches:
-            lists = [[sorted(units(s)) for s in SENTENCE.split(x.as_py() or "") if s] for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.list_(pa.list_(pa.string())))], ["doc_id", "label", "sentences"])
+            lists = ["\n".join(" ".join(sorted(units(s))) for s in SENTENCE.split(x.as_py() or "") if s) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.string())], ["doc_id", "label", "sentences"])
 
     train = rows.join(F.broadcast(bounded_labels(labels, "toxic", per_class)), "doc_id").select("doc_id", "label", "text")
-    got = sorted((r["doc_id"], r["label"], r["sentences"]) for r in train.mapInArrow(sentences, "doc_id long, label int, sentences array<array<string>>").collect())
-    examples = [(label, own) for _, label, own in got]
-    model = spark.sparkContext.broadcast(fit(examples) if len({label for label, _ in examples}) == 2 else None)
+    got = sorted((r[0], r[1], r[2]) for r in train.mapInArrow(sentences, "doc_id long, label int, sentences string").collect())
+    both = len({label for _, label, _ in got}) == 2
+    model = spark.sparkContext.broadcast(fit((label, [s.split(" ") for s in own.split("\n")]) for _, label, own in got) if both else None)
+    del got
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
