@@ -43,10 +43,12 @@ def shown(job: str, state: tuple) -> dict:
     return {"job_id": job, "status": status, "current": total if status == "completed" else len(images), "total": total, "progress": progress, "stage": stage, "applied": applied}
 
 
-def reduce_stream(messages: DataFrame, idle: str = "30 minutes") -> DataFrame:
+def reduce_stream(messages: DataFrame, idle: str | None = "30 minutes") -> DataFrame:
     """State per job after every batch. messages: job_id, seq, type, stage, image_index, total, progress, status.
 
     Messages of a batch are taken in the order of seq; a job that stays silent for `idle` is forgotten.
+    With processing-time timeouts Spark plans batches without end, so an availableNow run stops only with
+    idle None, which forgets no job.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,7 +60,8 @@ def reduce_stream(messages: DataFrame, idle: str = "30 minutes") -> DataFrame:
         for message in pd.concat(list(frames)).sort_values("seq").to_dict("records"):
             state = advance(state, message)
         held.update(state)
-        held.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        if idle:
+            held.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield pd.DataFrame([shown(key[0], state)])
 
-    return messages.groupBy("job_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return messages.groupBy("job_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
