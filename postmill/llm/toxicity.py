@@ -22,7 +22,9 @@ a null doc_id is scored and not held out; labels, lang, source and doc_id are ne
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -40,6 +42,7 @@ KEEP = re.compile(r"[\W_]+")
 SINGLES = re.compile(r"(?:(?<!\S)\w(?:\s+|$)){3,}")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 LONGEST = 40
+LETTERS = string.ascii_lowercase
 #: Character class by code point below 128; others share the classes from 39 on.
 ASCII = np.array([ord(chr(c).lower()) - 96 if chr(c).isalpha() else 27 + c - 48 if 48 <= c <= 57 else 39 + c % 25 for c in range(128)], np.int32)
 
@@ -137,7 +140,13 @@ def likely_copy(own: list[str], seen: set) -> bool:
     return copy
 
 
-def fit(examples: Iterable[tuple[int, list[list[str]]]], telling: int = 96, ordinary: int = 32, negatives: int = 4000, rounds: int = 3) -> dict:
+def insertions(unit: str, n: int) -> list[str]:
+    """n virtual examples of a unit: a letter put inside, the places taking turns, the letters drawn by the unit."""
+    draw = random.Random(unit)
+    return [unit[:at] + draw.choice(LETTERS) + unit[at:] for at in (1 + i % (len(unit) - 1) for i in range(n))] if len(unit) > 3 else []
+
+
+def fit(examples: Iterable[tuple[int, list[list[str]]]], telling: int = 96, ordinary: int = 32, negatives: int = 4000, rounds: int = 3, inserted: int = 8) -> dict:
     """The folded table, bias, slope and offset. examples: (label, units of each sentence)."""
     number: dict[str, int] = {}
     labels, own_units, seen = [], [], set()
@@ -163,17 +172,20 @@ def fit(examples: Iterable[tuple[int, list[list[str]]]], telling: int = 96, ordi
     clean = np.nonzero(neg)[0]
     order = np.random.default_rng(3)
     hard = clean[order.permutation(len(clean))[:negatives]]
-    bags = [u for u, label in zip(own_units, labels, strict=True) if label and len(u)]
+    witness = neg * n_pos <= 0.1 * pos * n_neg  # a unit that clean documents have as well can't be why one is toxic
+    bags = [u[witness[u]] for u, label in zip(own_units, labels, strict=True) if label and witness[u].any()]
     # seldom a document's highest, but positive all the same: so often in toxic documents alone that chance would hardly make one such unit
     least = max(3.0, np.log(len(every)) / np.log((n_pos + n_neg) / n_pos))
     telltale = {int(i): int(pos[i]) for i in np.nonzero((pos >= least) & (50 * neg * n_pos <= pos * n_neg))[0]}
+    common = {every[i] for i in clean}
+    virtual = {v: min(20, n) / inserted / 2 for i, n in telltale.items() for v in insertions(every[i], inserted) if v not in common}
     for _ in range(rounds):
         tops = Counter(int(u[np.argmax(belief[u])]) for u in bags) | Counter(telltale)
-        chosen = [*tops, *hard.tolist()]
-        x = np.vstack([feature_rows([every[i] for i in chosen[at : at + 500]], column, len(used)) @ own.T.astype(np.float32) for at in range(0, len(chosen), 500)]) @ root
-        y = np.r_[np.ones(len(tops)), -np.ones(len(hard))]
-        weight = np.r_[np.minimum(np.array(list(tops.values()), float), 20), np.ones(len(hard))]
-        cost = 2.0 * weight * np.where(y > 0, len(hard) / max(1.0, weight[: len(tops)].sum()), 1.0)
+        chosen = [*(every[i] for i in tops), *virtual, *(every[i] for i in hard)]
+        x = np.vstack([feature_rows(chosen[at : at + 500], column, len(used)) @ own.T.astype(np.float32) for at in range(0, len(chosen), 500)]) @ root
+        y = np.r_[np.ones(len(tops) + len(virtual)), -np.ones(len(hard))]
+        weight = np.r_[np.minimum(np.array(list(tops.values()), float), 20), np.array(list(virtual.values()), float), np.ones(len(hard))]
+        cost = 2.0 * weight * np.where(y > 0, len(hard) / max(1.0, weight[y > 0].sum()), 1.0)
         w, bias = dual_coordinate_descent([(slice(None), row) for row in x], y, x.shape[1], cost, rounds=30)
         folded = np.zeros(CLASSES**3)
         folded[used] = own.T @ (root @ w)
