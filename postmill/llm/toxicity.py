@@ -1,6 +1,6 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nyström landmarks.
 
-A sentence is a list of units: its words in lower case without other characters than letters and
+A text is a bag of units: its words in lower case without other characters than letters and
 digits, and runs of three or more single characters joined to one word, so that `i.d.i.o.t` and
 `i d i o t` are the unit `idiot`. Two units are compared by the normalised subsequence kernel of
 length three: every three characters in order count, with a decay for each place that they span, so
@@ -8,10 +8,12 @@ gaps and inserted characters lower the value but little. Landmarks are units tha
 clean training sentences, unlike one another, and ordinary ones; the kernel with them, through the
 inverse root of their own kernel matrix, is the Nyström feature map of a linear hinge-loss model.
 
-A sentence's decision is that of its highest unit, a document's that of its highest sentence, which
-is how labels of documents reach their sentences: a toxic document's highest sentence and units
-found in toxic documents almost alone are positive examples, all sentences of clean documents are negative ones, and the highest of these
-are taken up again as the fit is repeated. As the kernel's features are explicit (three character
+A text's score is a logistic function of a soft maximum over its three highest units (a unit that stands
+in it twice counts twice), so that one plain insult suffices and doubtful ones support each other.
+Labels of documents reach their units so: a toxic document's highest unit among those that clean ones
+hardly have, and units found in toxic documents almost alone, are positive examples, as are these with a letter
+put inside; all units of clean documents are negative ones, of which the highest are taken up again as
+the fit is repeated. As the kernel's features are explicit (three character
 classes), weights and landmarks fold into one table of 64^3 numbers, which is all that is broadcast.
 
 The fit reads at most `per_class` labelled documents of each class (the documented bound); scoring
@@ -40,17 +42,18 @@ DECAY, SPAN, CLASSES = 0.6, 7, 64
 START, END = 37, 38
 KEEP = re.compile(r"[\W_]+")
 SINGLES = re.compile(r"(?:(?<!\S)\w(?:\s+|$)){3,}")
-SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 LONGEST = 40
+HIGHEST = 3
+SHARPNESS = (0.5, 1.0, 2.0, 4.0)
 LETTERS = string.ascii_lowercase
 #: Character class by code point below 128; others share the classes from 39 on.
 ASCII = np.array([ord(chr(c).lower()) - 96 if chr(c).isalpha() else 27 + c - 48 if 48 <= c <= 57 else 39 + c % 25 for c in range(128)], np.int32)
 
 
-def units(text: str) -> set[str]:
-    """Words as they stand in a text, lower-cased, with joined runs of single characters."""
+def units(text: str) -> Counter[str]:
+    """Words as they stand in a text, lower-cased, with joined runs of single characters; how often each."""
     text = text.lower()
-    out = set(text.split())
+    out = Counter(text.split())
     out.update("".join(m[0].split()) for m in SINGLES.finditer(text))
     return out
 
@@ -146,21 +149,37 @@ def insertions(unit: str, n: int) -> list[str]:
     return [unit[:at] + draw.choice(LETTERS) + unit[at:] for at in (1 + i % (len(unit) - 1) for i in range(n))] if len(unit) > 3 else []
 
 
-def fit(examples: Iterable[tuple[int, list[list[str]]]], telling: int = 96, ordinary: int = 32, negatives: int = 4000, rounds: int = 3, inserted: int = 8) -> dict:
-    """The folded table, bias, slope and offset. examples: (label, units of each sentence)."""
+def evidence(counted: Iterable[tuple[float, int]], bias: float) -> list[float]:
+    """The decisions of a text's HIGHEST units, each as often as it stands there; none is less than -1 or the bias."""
+    floor = max(-1.0, bias)
+    out: list[float] = []
+    for decision, times in sorted(((d, n) for d, n in counted if d > floor), reverse=True)[:HIGHEST]:
+        out += [decision] * times
+    return (out + [floor] * HIGHEST)[:HIGHEST]
+
+
+def soft_maximum(tops: np.ndarray, sharp: float) -> np.ndarray:
+    """Of each row: near its largest value, more where others come near that."""
+    return np.logaddexp.reduce(sharp * tops, axis=1) / sharp
+
+
+def fit(examples: Iterable[tuple[int, list[str]]], telling: int = 96, ordinary: int = 32, negatives: int = 4000, rounds: int = 3, inserted: int = 8) -> dict:
+    """The folded table, bias, sharpness, slope and offset. examples: (label, units with repeats)."""
     number: dict[str, int] = {}
-    labels, own_units, seen = [], [], set()
-    for label, sentences in examples:
-        units_of = sorted({p for s in sentences for u in s for p in pieces(u) if p})
+    labels, own_units, times, seen = [], [], [], set()
+    for label, own in examples:
+        counts = Counter(p for u in own for p in pieces(u) if p)
+        units_of = sorted(counts)
         if not likely_copy(units_of, seen):  # copies would make chance words look telling
             labels.append(label)
             own_units.append(np.array([number.setdefault(u, len(number)) for u in units_of], np.int32))
+            times.append(np.array([min(counts[u], HIGHEST) for u in units_of], np.int8))
     every, y_docs = list(number), np.array(labels)
     n_pos, n_neg = int(y_docs.sum()), int((1 - y_docs).sum())
     pos, neg = (np.bincount(np.concatenate([u for u, label in zip(own_units, labels, strict=True) if label == k] or [np.empty(0, np.int32)]), minlength=len(every)) for k in (1, 0))
     marks = landmarks(every, pos, neg, n_pos, n_neg, telling, ordinary) if every else []
     if not marks:
-        return {"table": np.zeros(CLASSES**3, np.float32), "bias": 0.0, "slope": 1.0, "offset": 0.0, "landmarks": []}
+        return {"table": np.zeros(CLASSES**3, np.float32), "bias": 0.0, "sharp": 1.0, "slope": 1.0, "offset": 0.0, "landmarks": []}
     used = sorted({int(c) for _, found, _ in subsequences(marks) for c in np.unique(found)})
     column = np.full(CLASSES**3, len(used), np.int64)
     column[used] = np.arange(len(used))
@@ -192,9 +211,15 @@ def fit(examples: Iterable[tuple[int, list[list[str]]]], telling: int = 96, ordi
         belief = np.concatenate([decide(every[at : at + 20_000], folded, bias) for at in range(0, len(every), 20_000)])
         worst = clean[np.argsort(-belief[clean], kind="stable")[: negatives // 2]]
         hard = np.unique(np.r_[worst, clean[order.permutation(len(clean))[: negatives // 2]]])
-    margins = np.array([belief[u].max() if len(u) else bias for u in own_units])
-    slope, offset = logistic(margins, y_docs.astype(float), len(labels) / (2.0 * np.where(y_docs == 1, n_pos, n_neg)))
-    return {"table": folded.astype(np.float32), "bias": float(bias), "slope": slope, "offset": offset, "landmarks": marks}
+    tops_of = np.array([evidence(zip(belief[u].tolist(), n.tolist(), strict=True), bias) for u, n in zip(own_units, times, strict=True)])
+    balance = len(labels) / (2.0 * np.where(y_docs == 1, n_pos, n_neg))
+    fits = []
+    for sharp in SHARPNESS:
+        margins = soft_maximum(tops_of, sharp)
+        slope, offset = logistic(margins, y_docs.astype(float), balance)
+        fits.append((float(np.sum(balance * np.logaddexp(0, -(2 * y_docs - 1) * (slope * margins + offset)))), sharp, slope, offset))
+    _, sharp, slope, offset = min(fits)
+    return {"table": folded.astype(np.float32), "bias": float(bias), "sharp": sharp, "slope": slope, "offset": offset, "landmarks": marks}
 
 
 class Decisions(dict):
@@ -223,17 +248,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, th
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def sentences(batches: Iterator) -> Iterator:
+    def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            lists = ["\n".join(" ".join(sorted(units(s))) for s in SENTENCE.split(x.as_py() or "") if s) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.string())], ["doc_id", "label", "sentences"])
+            lists = [" ".join(u for u, n in sorted(units(x.as_py() or "").items()) for _ in range(min(n, HIGHEST))) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.string())], ["doc_id", "label", "units"])
 
     train = rows.join(F.broadcast(bounded_labels(labels, "toxic", per_class)), "doc_id").select("doc_id", "label", "text")
-    got = sorted((r[0], r[1], r[2]) for r in train.mapInArrow(sentences, "doc_id long, label int, sentences string").collect())
+    got = sorted((r[0], r[1], r[2]) for r in train.mapInArrow(counted, "doc_id long, label int, units string").collect())
     both = len({label for _, label, _ in got}) == 2
-    model = spark.sparkContext.broadcast(fit((label, [s.split(" ") for s in own.split("\n")]) for _, label, own in got) if both else None)
+    model = spark.sparkContext.broadcast(fit((label, own.split(" ")) for _, label, own in got) if both else None)
     del got
 
     def score(batches: Iterator) -> Iterator:
@@ -253,8 +278,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, th
                     if len(seen) + len(new) > seen.LIMIT:
                         seen.clear()
                     seen.learn(new.difference(seen))
-                    margins = np.array([max(map(seen.__getitem__, us), default=m["bias"]) for us in own])
-                    out += (1 / (1 + np.exp(-np.clip(m["slope"] * margins + m["offset"], -30, 30)))).tolist()
+                    tops = np.array([evidence(zip(map(seen.__getitem__, us), us.values(), strict=True), m["bias"]) for us in own])
+                    out += (1 / (1 + np.exp(-np.clip(m["slope"] * soft_maximum(tops, m["sharp"]) + m["offset"], -30, 30)))).tolist()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     scored = rows.mapInArrow(score, "doc_id long, score double")
