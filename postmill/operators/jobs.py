@@ -114,3 +114,11 @@ def may_take_over(busy: Column, updated_at: Column, now: Column, minutes: int =
 
 def active_only(items: DataFrame) -> DataFrame:
     return items.where("status <> 'completed'")
+
+
+def queue_key(items: Column) -> Column:
+    """What a view of the queue (array of url, title, status, error, filename) depends on, as one text."""
+    def one(item: Column) -> Column:
+        return F.concat_ws("\x1f", *(F.coalesce(item[c].cast("string"), F.lit("")) for c in ("url", "title", "status", "error", "filename")))
+
+    return F.array_join(F.transform(items, one), "\x1e")

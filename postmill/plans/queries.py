@@ -14,6 +14,7 @@ from postmill.functions import ranges as R
 from postmill.functions import text as T
 from postmill.operators import export, extract, jobs, lines, metrics, render, scan, vision
 from postmill.session import table
+from postmill.sources import synthetic
 
 NOW, TODAY = "2026-01-02T03:04:05.000Z", "2026-01-02"
 QUERIES: dict = {}
@@ -427,3 +428,178 @@ def settings_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in LOCALES) + ") t(tag, language)")
 def locale_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(a,) for a, _ in LOCALES], "tag string").select("tag", N.ui_language(F.col("tag")).alias("language"))
+
+
+# --- pieces that larger operators use --------------------------------------------------------------
+ORDER_SPANS = "select o_orderkey, o_orderkey % 1000 + 1 as a, o_orderkey % 1000 + 1 + o_custkey * 1000 as b, o_custkey % 500 + 1 as c, o_custkey % 500 + 1 + o_orderkey * 100 as d from orders"
+
+
+@query(f"with s as ({ORDER_SPANS}) select o_orderkey, (b - a + 1) + (d - c + 1) - greatest(0, least(b, d) - greatest(a, c) + 1) as n from s")
+def page_range_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    a, c = order % 1000 + 1, customer % 500 + 1
+    text = F.concat_ws(",", F.concat_ws("-", a.cast("string"), (a + customer * 1000).cast("string")), F.concat_ws("-", c.cast("string"), (c + order * 100).cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", R.page_count(text).alias("n"))
+
+
+@query("""select p_partkey, case when p_size % 5 > 3 or p_partkey % 7 > 3 or p_size % 5 = 2 or p_partkey % 7 = 2 then 'IMAGE_SELECTION_INVALID' end as error from part""")
+def image_selection_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = F.array((F.col("p_size") % 5).cast("int"), (F.col("p_partkey") % 7).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.image_selection_error(chosen, F.array(*map(F.lit, ("a", "b", "", "d")))).alias("error"))
+
+
+LINES_SQL = "l as (select doc_id, i - 1 as line_no, s[i] as line from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, string_split(text, chr(10)) as s from documents)))"
+
+
+@query(f"""with {LINES_SQL}, k as (select *, {q_key('line')} as key from l)
+select doc_id, line_no, md5(line) as line_md5 from k qualify length(key) < 12 or row_number() over (partition by doc_id, key order by line_no) = 1""")
+def dedupe_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.first_long_lines(rows, "doc_id", ["line_no"], "line").select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line_md5"))
+
+
+@query(f"""with {LINES_SQL} select doc_id, line_no, (line_no % 3 * 10)::double as "left", (line_no * 30 + length(line) % 5 * 8)::double as top, (line_no % 3 * 10 + length(line))::double as "right",
+  (line_no * 30 + length(line) % 5 * 8 + 18 + length(line) % 4)::double as bottom, (18 + length(line) % 4)::double as height from l""")
+def line_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geometry(spark, sf_dir).select("doc_id", F.col("line_no").cast("long").alias("line_no"), lines.line_bounds(F.col("poly")).alias("b")).select("doc_id", "line_no", "b.*")
+
+
+@query("select c_custkey from customer where c_custkey in (select o_custkey from orders)")
+def keep_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return scan.keep_selected(table(spark, sf_dir, "customer").select("c_custkey"), found, "c_custkey")
+
+
+@query("select d.doc_id, case when d.lang = 'en' then 'new' else l.quality end as quality, l.toxic from documents d left join (select doc_id, cast(max(quality) as varchar) as quality, cast(max(toxic) as varchar) as toxic from labels group by 1) l using (doc_id)")
+def retain_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "new").alias("quality"), F.lit(None).cast("string").alias("toxic"))
+    before = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("string").alias("quality"), F.max("toxic").cast("string").alias("toxic"))
+    return scan.retain_previous(now, before, "doc_id", ["quality", "toxic"])
+
+
+@query("""with c as (select l_orderkey, arg_max(l_partkey, struct_pack(area := l_quantity * l_linenumber, first := -l_linenumber, part := -l_partkey)) as part, min(l_returnflag) as author from lineitem group by 1)
+select o_orderkey as card_id, author, cast(part as varchar) as thumbnail from orders left join c on l_orderkey = o_orderkey""")
+def card_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = F.struct("l_linenumber", "l_partkey", F.struct(F.col("l_partkey").cast("string").alias("url"), F.col("l_quantity").alias("w"), F.col("l_linenumber").alias("h")).alias("image"))
+    cards = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("card_id")).agg(F.min("l_returnflag").alias("author"), F.array_sort(F.collect_list(image)).alias("i"))
+    cards = cards.select("card_id", "author", F.transform("i", lambda x: x["image"]).alias("images"))
+    return scan.with_preview(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("card_id")), cards)
+
+
+@query(f"""with t as (select page_id, {TITLE_SQL} as a, {H1_SQL} as b from pages)
+select page_id, case when a = '' and b = '' then null when length(b) > length(a) then b else a end as title from t""")
+def current_article(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page_title = scan.plain_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+    heading = T.trim(scan.unescape(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)))
+    shown = F.array(F.lit("小红书"), F.concat(page_title, F.lit(" | 小红书 - x")), F.lit(None).cast("string"), heading)
+    return table(spark, sf_dir, "pages").select("page_id", scan.current_article(shown).alias("title"))
+
+
+@query("select page_id, case page_id % 4 when 0 then 'search' when 1 then 'profile' when 2 then 'note' else 'feed' end as scope, case page_id % 4 when 0 then 'https://cdn.xhscdn.com/' || page_id when 1 then 'https://a.example/' || page_id else 'http://a.example/' || page_id end as image from pages")
+def address_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, number = (F.col("page_id") % 4 + 1).cast("int"), F.col("page_id").cast("string")
+    path = F.element_at(F.array(*map(F.lit, ("/search_result", "/user/profile/", "/explore/", "/explore"))), kind)
+    image = F.element_at(F.array(*map(F.lit, (" http://cdn.xhscdn.com/", "//a.example/", "http://a.example/", "http://a.example/"))), kind)
+    page = F.concat(F.lit("https://www.example.com"), path, F.when(kind < 4, number).otherwise(F.lit("")))
+    return table(spark, sf_dir, "pages").select("page_id", N.scope_label(page).alias("scope"), T.https_image(F.concat(image, number)).alias("image"))
+
+
+@query("select doc_id, md5(cast(to_json(text) as varchar)) as text_md5, '[' || cast(to_json(source) as varchar) || ', ' || cast(to_json(lang) as varchar) || ']' as tags from documents")
+def front_matter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.yaml_string(F.col("text"))).alias("text_md5"), T.yaml_list(F.array("source", "lang")).alias("tags"))
+
+
+@query("select event_id, case event_type when 'view' then 'Seen by ' || user_id || ' (' || event_id || ')' else event_type end as label, case when 200 + event_id % 350 in (401, 403) then 'UNAUTHORIZED' when 200 + event_id % 350 >= 300 then 'HTTP_ERROR:' || (200 + event_id % 350) end as error from events")
+def labels_of_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = N.message({"view": "Seen by $1 ($2)"}, F.col("event_type"), F.col("user_id"), F.col("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", label.alias("label"), N.api_error(200 + F.col("event_id") % 350).alias("error"))
+
+
+@query("""with f as (select doc_id, source || '_' || lang as stem, row_number() over (partition by source, lang order by doc_id) - 1 as n from documents)
+select doc_id, stem || case when n > 0 then ' (' || n || ')' else '' end || '.md' as target from f""")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.concat_ws("_", "source", "lang"), F.lit(".md")).alias("filename"))
+    return export.unique_names(rows, [F.col("doc_id")]).select("doc_id", "target")
+
+
+SECONDS_SQL = "cast(floor(value + 0.5) as bigint)"
+
+
+@query(f"""with s as (select event_id, {SECONDS_SQL} as s from (select event_id, value * 1000 / 1000 as value from events))
+select event_id, case when s < 60 then s || ' 秒' when s % 60 > 0 then s // 60 || ' 分 ' || s % 60 || ' 秒' else s // 60 || ' 分钟' end as label from s""")
+def duration_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", T.duration_label(F.col("value") * 1000).alias("label"))
+
+
+STAGES = ["loading-runtime", "loading-models", "creating-sessions", "recognizing-images", "finalizing"]
+STAGE_OF = "['" + "', '".join(STAGES) + "'][event_id % 5 + 1]"
+
+
+@query(f"""with e as (select event_id, {STAGE_OF} as stage, case event_id % 7 when 0 then 'paused' when 1 then 'completed' else 'running' end as status, value, event_id % 9 as n, event_id % 3 * 400.0 as mean from events),
+w as (select *, greatest(0, n * mean - case when stage = 'recognizing-images' then value else 0 end) as images from e)
+select event_id, round(case when status = 'paused' then null when status = 'completed' then 0 when stage = 'loading-runtime' then greatest(0, 50 - value) + 550 + images when stage = 'loading-models' then greatest(0, 150 - value) + 400 + images
+  when stage = 'creating-sessions' then greatest(0, 300 - value) + 100 + images when stage = 'recognizing-images' then images + 100 else greatest(0, 100 - value) end, 4)::double as ms from w""")
+def remaining_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("event_id")
+    stage = F.element_at(F.array(*map(F.lit, STAGES)), (number % 5 + 1).cast("int"))
+    status = F.when(number % 7 == 0, "paused").when(number % 7 == 1, "completed").otherwise("running")
+    ms = jobs.remaining_ms(status, stage, F.col("value"), (number % 9).cast("double"), number % 3 * F.lit(400.0), F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", F.round(ms, 4).alias("ms"))
+
+
+@query(f"""select event_id, coalesce(avg(d) filter (d > 0), 500) as mean_ms, any_value(init) as initial_ms, any_value(live) as live_ms from (
+  select event_id, unnest([value - 50, value, -value]) as d, event_id % 100 + event_id % 10 as init, event_id % 100 + case when event_type = 'view' then 1000 else 0 end as live from events) group by 1""")
+def stage_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number, value = F.col("event_id"), F.col("value")
+    known = F.create_map(F.lit("loading-runtime"), number % 100, F.lit("creating-sessions"), number % 10)
+    live = jobs.live_durations(known, F.lit("loading-runtime"), F.when(F.col("event_type") == "view", "running").otherwise("paused"), F.lit(5000).cast("long"), F.lit(6000).cast("long"))
+    return table(spark, sf_dir, "events").select("event_id", jobs.average_image_ms(F.array(value - 50, value, -value)).alias("mean_ms"), jobs.initialization_ms(known).alias("initial_ms"), F.try_element_at(live, F.lit("loading-runtime")).alias("live_ms"))
+
+
+@query("select user_id, min(event_id) as pos, arg_min(event_type, event_id) as event_type from events where event_type = 'purchase' or event_type not in ('view', 'click', 'error', 'signup') group by 1")
+def queue_head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_status(table(spark, sf_dir, "events")).select("user_id", F.col("event_id").alias("pos"), "event_type", F.coalesce("status", F.lit("queued")).alias("status"))
+    return jobs.queue_head(rows, ["user_id"]).select("user_id", "pos", "event_type")
+
+
+@query("""with e as (select event_id, ['queued', 'opening', 'extracting', 'ocr', 'exporting', 'completed'][event_id % 6 + 1] as status, [null, 'running', 'completed', 'error'][event_id // 6 % 4 + 1] as job, ts from events)
+select event_id, case when status = 'queued' then 'canceled' else status end as stopped, case when status in ('opening', 'extracting') then 'queued' when status = 'ocr' and job is null then 'error' when status = 'ocr' and job = 'completed' then 'exporting'
+  when status = 'ocr' and job = 'error' then 'error' else status end as recovered, case when status = 'ocr' and job is null then 'OCR_INTERRUPTED' end as error, status = 'completed' or ts < timestamp '2024-01-15 11:30:00' as free from e""")
+def queue_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.col("event_id")
+    status = F.element_at(F.array(*map(F.lit, ("queued", "opening", "extracting", "ocr", "exporting", "completed"))), (number % 6 + 1).cast("int"))
+    job = F.get(F.array(F.lit(None).cast("string"), *map(F.lit, ("running", "completed", "error"))), (F.floor(number / 6) % 4).cast("int"))
+    free = jobs.may_take_over(status != "completed", F.col("ts").cast("timestamp"), F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    return table(spark, sf_dir, "events").select("event_id", jobs.stop_gracefully(status).alias("stopped"), jobs.recover(status, job).alias("recovered"), jobs.recover_error(status, job).alias("error"), free.alias("free"))
+
+
+@query("select conv_id, md5(string_agg(role || chr(31) || turn || chr(31) || role || chr(31) || chr(31), chr(30) order by turn, role)) as key_md5 from conversations group by 1")
+def queue_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.struct("turn", "role", F.struct(F.col("role").alias("url"), F.col("turn").alias("title"), F.col("role").alias("status"), F.lit(None).alias("error"), F.lit(None).alias("filename")).alias("item"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    return rows.select("conv_id", F.md5(jobs.queue_key(F.transform("i", lambda x: x["item"]))).alias("key_md5"))
+
+
+@query("select user_id, count(*) filter (event_type = 'error') as failed, min(cast(floor(value) as bigint)) as least_lines, max(cast(floor(value) as bigint)) as most_lines from events group by 1")
+def recognition_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("status"), F.floor("value").cast("long").alias("n_lines"))
+    return metrics.failures(rows, ["user_id"])
+
+
+@query("select p_partkey, cast(greatest(320, least(3200, ceil(p_retailprice * 48 / (p_size + 1)))) as int) as width from part")
+def text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", vision.text_width(F.col("p_retailprice"), F.col("p_size") + 1).alias("width"))
+
+
+@query("""select l_orderkey, string_agg(l_partkey || '@' || cast(l_linenumber * 100 + 7 as bigint), ',' order by l_linenumber, l_partkey) as found from lineitem group by 1""")
+def tile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.struct(F.col("l_partkey").cast("string").alias("text"), F.array(F.struct(F.lit(1.0).alias("x"), F.lit(7.0).alias("y"))).alias("poly"))
+    tiles = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey").alias("tile"), (F.col("l_linenumber") * 100).cast("double").alias("top"), F.array(line).alias("lines"))
+    shown = F.transform("lines", lambda x: F.concat_ws("@", x["text"], F.get(x["poly"], F.lit(0))["y"].cast("long").cast("string")))
+    return lines.translate_tiles(tiles, ["l_orderkey"]).select("l_orderkey", F.array_join(shown, ",").alias("found"))
+
+
+@query("""select 'stress-note' as note_id, cast(i as int) as image_index, string_agg('Image ' || (i + 1) || ' line ' || (j + 1) || ' GPA 3.82 TOEFL 108 application record', ' ' order by j) as text
+from range(80) a(i), range(80) b(j) group by i""")
+def state_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.clean_images(synthetic.stress_results(spark))
