@@ -42,10 +42,10 @@ def is_note_url(url: Column, site: SiteProfile = SITE) -> Column:
     return note_id(url, site) != ""
 
 
-def scope_label(url: Column) -> Column:
-    """Which kind of page an address shows."""
+def scope_label(url: Column, site: SiteProfile = SITE) -> Column:
+    """Which kind of page an address shows; a note's address is a note under any of its path forms."""
     path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
-    return F.when(path.rlike("^/search_result"), "search").when(path.rlike("^/user/profile/"), "profile").when(path.rlike("^/explore/.+"), "note").otherwise("feed")
+    return F.when(is_note_url(url, site), "note").when(path.startswith("/search_result"), "search").when(path.startswith("/user/profile/"), "profile").when(path.startswith("/explore"), "feed").otherwise("page")
 
 
 def safe_part(value: Column, fallback: str = "untitled") -> Column:

@@ -33,9 +33,9 @@ def pages(value: Column) -> Column:
 
 
 def page_count(value: Column) -> Column:
-    """Number of distinct pages, from merged spans rather than their pages; null as for pages()."""
+    """Number of distinct pages, from merged spans rather than their pages; null as for pages() and beyond 2^53 - 1."""
     tokens = bounds(value)
-    sound = normalise(value).rlike(GRAMMAR) & F.forall(tokens, lambda t: F.coalesce((t["a"] >= 1) & (t["b"] >= t["a"]), F.lit(False)))
+    sound = normalise(value).rlike(GRAMMAR) & F.forall(tokens, lambda t: F.coalesce((t["a"] >= 1) & (t["b"] >= t["a"]) & (t["b"] < 1 << 53), F.lit(False)))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("reach"))
 
     def step(acc: Column, t: Column) -> Column:

@@ -96,20 +96,27 @@ def stop_gracefully(status: Column) -> Column:
     return F.when(status == "queued", "canceled").otherwise(status)
 
 
-def recover(status: Column, job_status: Column) -> Column:
-    """Items after a restart: interrupted work before recognition waits again, a live job goes on, an ended
-    job's item exports, and a lost job's item fails."""
-    lost = (status == "ocr") & (job_status.isNull() | ~job_status.isin(*LIVE, *TERMINAL, "paused", "queued"))
-    return F.when(status.isin("opening", "extracting"), "queued").when(lost, "error").when((status == "ocr") & (job_status == "completed"), "exporting").when((status == "ocr") & job_status.isin("error", "canceled"), job_status).otherwise(status)
+def lost_job(status: Column, job_status: Column, alive: Column) -> Column:
+    """Whether an item waits for a job that is neither ended nor alive; a null job status is no job."""
+    ended = F.coalesce(job_status.isin("completed", "error", "canceled"), F.lit(False))
+    return (status == "ocr") & ~ended & ~(job_status.isNotNull() & alive)
 
 
-def recover_error(status: Column, job_status: Column) -> Column:
-    return F.when((status == "ocr") & (recover(status, job_status) == "error") & job_status.isNull(), "OCR_INTERRUPTED")
+def recover(status: Column, job_status: Column, alive: Column | None = None, stopped: Column | None = None) -> Column:
+    """Items after a restart: interrupted work without a job waits again (once a stop was asked for it is canceled),
+    a live job goes on, an ended job's item exports, and a lost job's item fails."""
+    lost = lost_job(status, job_status, F.lit(True) if alive is None else alive)
+    again = F.when(F.lit(False) if stopped is None else stopped, "canceled").otherwise("queued")
+    return F.when(status.isin("opening", "extracting", "exporting"), again).when(lost, "error").when((status == "ocr") & (job_status == "completed"), "exporting").when((status == "ocr") & job_status.isin("error", "canceled"), job_status).otherwise(status)
+
+
+def recover_error(status: Column, job_status: Column, alive: Column | None = None) -> Column:
+    return F.when(lost_job(status, job_status, F.lit(True) if alive is None else alive), "OCR_INTERRUPTED")
 
 
 def may_take_over(busy: Column, updated_at: Column, now: Column, minutes: int = 30) -> Column:
-    """Whether a new batch may start: none runs, or it hasn't moved for some time."""
-    return ~busy | (updated_at < now - F.expr(f"interval {minutes} minutes"))
+    """Whether a new batch may start: none runs, or it is at least so old; one of unknown age stays."""
+    return ~busy | F.coalesce(updated_at <= now - F.expr(f"interval {minutes} minutes"), F.lit(False))
 
 
 def active_only(items: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.names import SITE, SiteProfile, note_id
-from postmill.functions.text import collapse, plain_key, search_key, strip_site_suffix, trim
+from postmill.functions.text import collapse, plain_key, search_key, strip_site_suffix
 
 ANCHOR = r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"']*)[\"'][^>]*>(.*?)</a\s*>"
 LONGEST_TITLE = 180
@@ -59,11 +59,11 @@ def candidates(links: DataFrame, keys: list[str], extras: tuple[str, ...] = ())
     return rows.groupBy(*keys).agg(*out).select(*keys, "pos", F.col("best.href").alias("href"), F.col("best.title").alias("title"), *(F.coalesce(f"{x}_grown", f"{x}_first").alias(x) for x in extras))
 
 
-def current_article(titles: Column, site: SiteProfile = SITE) -> Column:
+def current_article(titles: Column, site: SiteProfile = SITE, missing: str = "当前文章") -> Column:
     """The longest of several titles once the site's suffix is cut; blank and brand-only ones don't count."""
-    cut = F.transform(titles, lambda t: trim(strip_site_suffix(F.coalesce(t, F.lit("")), site.title_suffix, "|_-")))
+    cut = F.transform(titles, lambda t: collapse(strip_site_suffix(F.coalesce(t, F.lit("")), site.title_suffix, "|_-")))
     kept = F.filter(cut, lambda t: (t != "") & (t != site.title_suffix))
-    return F.array_max(F.transform(kept, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))))["t"]
+    return F.coalesce(F.array_max(F.transform(kept, lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))))["t"], F.lit(missing))
 
 
 def keyword_filter(rows: DataFrame, query: str, title: str = "title", empty_matches: bool = True) -> DataFrame:
@@ -82,7 +82,7 @@ def select_batch(rows: DataFrame, keys: list[str], most: int = 20) -> DataFrame:
 
 def batch_error(count: Column, most: int = 20) -> Column:
     """The cap is checked before repetitions are dropped."""
-    return F.when(count > most, "BATCH_LIMIT").when(count == 0, "BATCH_EMPTY")
+    return F.when(count > most, "BATCH_LIMIT").when(count == 0, "SELECTION_EMPTY")
 
 
 def dedupe_last(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from postmill.functions.text import half_up
 
@@ -12,6 +14,7 @@ from postmill.functions.text import half_up
 MASK, LEAST_SIDE, BOX_SCORE, UNCLIP, MOST_BOXES = 0.2, 3, 0.4, 1.4, 3000
 LIMIT_SIDE, MOST_SIDE, MEAN, DEVIATION = 960, 4000, (0.485, 0.456, 0.406), (0.229, 0.224, 0.225)
 TEXT_HEIGHT, TEXT_WIDTHS = 48, (320, 3200)
+BOXES = ArrayType(StructType().add("score", DoubleType()).add("poly", ArrayType(StructType().add("x", DoubleType()).add("y", DoubleType()))))
 
 
 def detection_size(width: Column, height: Column) -> Column:
@@ -68,10 +71,13 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
     if len(points) < 3:
         return points
 
+    def turn(a, b, c) -> float:
+        return (b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0])
+
     def chain(rows) -> list:
         out: list = []
         for p in rows:
-            while len(out) > 1 and np.cross(out[-1] - out[-2], p - out[-1]) <= 0:
+            while len(out) > 1 and turn(out[-2], out[-1], p) <= 0:
                 out.pop()
             out.append(p)
         return out[:-1]
@@ -202,8 +208,28 @@ def crop(rgb: np.ndarray, quad: np.ndarray) -> np.ndarray:
 
 
 def text_width(width: Column, height: Column) -> Column:
-    """Width of a crop scaled to the recognition height, within its bounds."""
-    return F.greatest(F.lit(TEXT_WIDTHS[0]), F.least(F.lit(TEXT_WIDTHS[1]), F.ceil(width * TEXT_HEIGHT / height))).cast("int")
+    """Struct of padded and scaled: the width of a crop's input, within its bounds, and how much of it the crop fills."""
+    ratio = width / F.greatest(F.lit(1), height)
+    padded = F.least(F.lit(TEXT_WIDTHS[1]), F.greatest(F.lit(TEXT_WIDTHS[0]), F.floor(ratio * TEXT_HEIGHT))).cast("int")
+    return F.struct(padded.alias("padded"), F.least(padded, F.ceil(ratio * TEXT_HEIGHT).cast("int")).alias("scaled"))
+
+
+def text_batches(crops: DataFrame, keys: list[str], order: str, padded: str, size: int = 8) -> DataFrame:
+    """Adds batch and batch_width to an image's crops: `size` of like width go together, all as wide as the widest."""
+    rows = crops.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(padded, order)) - 1) / size).cast("long"))
+    return rows.withColumn("batch_width", F.max(padded).over(Window.partitionBy(*keys, "batch")))
+
+
+@F.pandas_udf(BOXES)
+def boxes(plane: pd.Series, plane_width: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """decode_boxes of each row's plane, an array by rows of pixels; null and empty planes have no boxes."""
+    def one(values, across: int, w: int, h: int) -> list[dict]:
+        if values is None or not len(values):
+            return []
+        found = decode_boxes(np.asarray(values, np.float32).reshape(-1, across), w, h)
+        return [{"score": float(score), "poly": [{"x": float(x), "y": float(y)} for x, y in corners]} for score, corners in found]
+
+    return pd.Series([one(*row) for row in zip(plane, plane_width, width, height, strict=True)])
 
 
 def recognise(images: DataFrame, session=None) -> DataFrame:

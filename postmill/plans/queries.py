@@ -487,7 +487,7 @@ def card_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with t as (select page_id, {TITLE_SQL} as a, {H1_SQL} as b from pages)
-select page_id, case when a = '' and b = '' then null when length(b) > length(a) then b else a end as title from t""")
+select page_id, case when a = '' and b = '' then '当前文章' when length(b) > length(a) then b else a end as title from t""")
 def current_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     page_title = scan.plain_text(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
     heading = T.trim(scan.unescape(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)))
@@ -495,12 +495,12 @@ def current_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", scan.current_article(shown).alias("title"))
 
 
-@query("select page_id, case page_id % 4 when 0 then 'search' when 1 then 'profile' when 2 then 'note' else 'feed' end as scope, case page_id % 4 when 0 then 'https://cdn.xhscdn.com/' || page_id when 1 then 'https://a.example/' || page_id else 'http://a.example/' || page_id end as image from pages")
+@query("select page_id, case page_id % 5 when 0 then 'search' when 1 then 'profile' when 2 then 'note' when 3 then 'feed' else 'page' end as scope, case page_id % 4 when 0 then 'https://cdn.xhscdn.com/' || page_id when 1 then 'https://a.example/' || page_id else 'http://a.example/' || page_id end as image from pages")
 def address_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, number = (F.col("page_id") % 4 + 1).cast("int"), F.col("page_id").cast("string")
-    path = F.element_at(F.array(*map(F.lit, ("/search_result", "/user/profile/", "/explore/", "/explore"))), kind)
+    path = F.element_at(F.array(*map(F.lit, ("/search_result?q=", "/user/profile/", "/discovery/item/", "/explore?p=", "/about/"))), (F.col("page_id") % 5 + 1).cast("int"))
     image = F.element_at(F.array(*map(F.lit, (" http://cdn.xhscdn.com/", "//a.example/", "http://a.example/", "http://a.example/"))), kind)
-    page = F.concat(F.lit("https://www.example.com"), path, F.when(kind < 4, number).otherwise(F.lit("")))
+    page = F.concat(F.lit("https://www.xiaohongshu.com"), path, number)
     return table(spark, sf_dir, "pages").select("page_id", N.scope_label(page).alias("scope"), T.https_image(F.concat(image, number)).alias("image"))
 
 
@@ -563,8 +563,8 @@ def queue_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with e as (select event_id, ['queued', 'opening', 'extracting', 'ocr', 'exporting', 'completed'][event_id % 6 + 1] as status, [null, 'running', 'completed', 'error'][event_id // 6 % 4 + 1] as job, ts from events)
-select event_id, case when status = 'queued' then 'canceled' else status end as stopped, case when status in ('opening', 'extracting') then 'queued' when status = 'ocr' and job is null then 'error' when status = 'ocr' and job = 'completed' then 'exporting'
-  when status = 'ocr' and job = 'error' then 'error' else status end as recovered, case when status = 'ocr' and job is null then 'OCR_INTERRUPTED' end as error, status = 'completed' or ts < timestamp '2024-01-15 11:30:00' as free from e""")
+select event_id, case when status = 'queued' then 'canceled' else status end as stopped, case when status in ('opening', 'extracting', 'exporting') then 'queued' when status = 'ocr' and job is null then 'error' when status = 'ocr' and job = 'completed' then 'exporting'
+  when status = 'ocr' and job = 'error' then 'error' else status end as recovered, case when status = 'ocr' and job is null then 'OCR_INTERRUPTED' end as error, status = 'completed' or ts <= timestamp '2024-01-15 11:30:00' as free from e""")
 def queue_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("event_id")
     status = F.element_at(F.array(*map(F.lit, ("queued", "opening", "extracting", "ocr", "exporting", "completed"))), (number % 6 + 1).cast("int"))
@@ -586,9 +586,19 @@ def recognition_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.failures(rows, ["user_id"])
 
 
-@query("select p_partkey, cast(greatest(320, least(3200, ceil(p_retailprice * 48 / (p_size + 1)))) as int) as width from part")
+WIDTHS_SQL = "w as (select p_partkey, p_brand, cast(least(3200, greatest(320, floor(p_retailprice / (p_size + 1) * 48))) as int) as padded, cast(ceil(p_retailprice / (p_size + 1) * 48) as int) as needed from part)"
+
+
+@query(f"with {WIDTHS_SQL} select p_partkey, padded, least(padded, needed) as scaled from w")
 def text_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", vision.text_width(F.col("p_retailprice"), F.col("p_size") + 1).alias("width"))
+    return table(spark, sf_dir, "part").select("p_partkey", vision.text_width(F.col("p_retailprice"), F.col("p_size") + 1).alias("w")).select("p_partkey", "w.*")
+
+
+@query(f"""with {WIDTHS_SQL}, b as (select *, (row_number() over (partition by p_brand order by padded, p_partkey) - 1) // 8 as batch from w)
+select p_brand, p_partkey, batch, max(padded) over (partition by p_brand, batch) as batch_width from b""")
+def text_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crops = table(spark, sf_dir, "part").select("p_brand", "p_partkey", vision.text_width(F.col("p_retailprice"), F.col("p_size") + 1)["padded"].alias("padded"))
+    return vision.text_batches(crops, ["p_brand"], "p_partkey", "padded").drop("padded")
 
 
 @query("""select l_orderkey, string_agg(l_partkey || '@' || cast(l_linenumber * 100 + 7 as bigint), ',' order by l_linenumber, l_partkey) as found from lineitem group by 1""")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "job_id string, status string, current long, total long, progress int, stage string, applied long"
+RECOGNISING = "recognizing-images"
 STATE = "status string, images array<int>, total long, progress int, stage string, applied long"
 
 
@@ -19,11 +20,12 @@ def advance(state: tuple, message: dict) -> tuple:
         return state
     kind = message["type"]
     total = max(total, int(message.get("total") or 0))
-    if kind == "stage":
+    if kind == "stage" and not message["stage"] == stage == RECOGNISING:  # progress inside recognition comes from results
         stage = message["stage"]
         if message.get("progress") is not None and message["progress"] == message["progress"]:
             progress = int(min(100, max(0, message["progress"])))
     elif kind == "result":
+        stage = RECOGNISING
         images = sorted({*images, int(message["image_index"])})
         progress = max(progress, 50 + int(min(len(images), total) / max(1, total) * 45 + 0.5))
     elif kind == "finish":

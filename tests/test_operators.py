@@ -1,6 +1,7 @@
 import io
 import json
 import tarfile
+import time
 
 import numpy as np
 import pytest
@@ -85,6 +86,24 @@ def test_replay_and_stream_agree(spark, tmp_path):
     assert got == batch
 
 
+def test_restart(spark):
+    rows = spark.createDataFrame([("exporting", None, True), ("ocr", "running", False), ("ocr", "running", True), ("ocr", "canceled", False), ("opening", None, False)], "s string, j string, a boolean")
+    got = [tuple(r) for r in rows.select(jobs.recover(F.col("s"), F.col("j"), F.col("a")), jobs.recover(F.col("s"), F.col("j"), F.col("a"), F.lit(True)), jobs.recover_error(F.col("s"), F.col("j"), F.col("a"))).collect()]
+    assert got == [("queued", "canceled", None), ("error", "error", "OCR_INTERRUPTED"), ("ocr", "ocr", None), ("canceled", "canceled", None), ("queued", "canceled", None)]
+
+
+def test_results_set_the_stage():
+    state = advance(START, {"type": "result", "image_index": 0, "total": 2})
+    assert (state[3], state[4]) == (73, "recognizing-images")
+    inside = advance(state, {"type": "stage", "stage": "recognizing-images", "progress": 10})
+    assert inside[3] == 73 and advance(inside, {"type": "stage", "stage": "finalizing", "progress": 96})[3:5] == (96, "finalizing")
+
+
+def test_current_article(spark):
+    pick = lambda *t: spark.range(1).select(scan.current_article(F.array(*(F.lit(x).cast("string") for x in t))).alias("t")).first().t
+    assert pick("小红书", None, "ab  c | 小红书", "abd") == "ab c" and pick("", "小红书") == "当前文章"
+
+
 def test_ended_jobs_ignore_messages():
     state = advance(START, {"type": "finish", "status": "canceled"})
     assert advance(state, {"type": "finish", "status": "completed"}) == state
@@ -121,6 +140,53 @@ def test_boxes():
     assert vision.normalised_planes(np.zeros((2, 3, 4), np.uint8)).shape == (3, 2, 3)
 
 
+def test_boxes_of_rows(spark):
+    plane = np.zeros((64, 64), np.float32)
+    plane[10:20, 8:50] = 0.9
+    rows = spark.createDataFrame([(1, plane.ravel().tolist()), (2, []), (3, None)], "n int, plane array<float>")
+    got = {r.n: r.b for r in rows.select("n", vision.boxes("plane", F.lit(64), F.lit(128), F.lit(128)).alias("b")).collect()}
+    assert (got[2], got[3], len(got[1])) == ([], [], 1)
+    (score, corners), = vision.decode_boxes(plane, 128, 128)
+    assert got[1][0].score == pytest.approx(score) and [(p.x, p.y) for p in got[1][0].poly] == corners
+
+
+def test_text_widths(spark):
+    rows = spark.createDataFrame([(0, 100, 48), (1, 4000, 48), (2, 1001, 60), (3, 5, 0)], "n int, w long, h long")
+    rows = rows.select("n", vision.text_width(F.col("w"), F.col("h")).alias("t")).select("n", "t.*")
+    assert sorted(map(tuple, rows.collect())) == [(0, 320, 100), (1, 3200, 3200), (2, 800, 800), (3, 320, 240)]
+    got = vision.text_batches(rows.withColumn("k", F.lit(1)), ["k"], "n", "padded", 2).collect()
+    assert sorted((r.n, r.batch, r.batch_width) for r in got) == [(0, 0, 320), (1, 1, 3200), (2, 1, 3200), (3, 0, 320)]
+
+
+def test_queue_key(spark):
+    items = F.array(F.struct(*(F.lit(x).cast("string").alias(c) for c, x in (("url", "u"), ("title", "t"), ("status", "queued"), ("error", None), ("filename", None)))))
+    assert spark.range(1).select(jobs.queue_key(F.concat(items, items)).alias("k")).first().k == "u\x1ft\x1fqueued\x1f\x1f\x1eu\x1ft\x1fqueued\x1f\x1f"
+
+
+def test_idle_jobs_are_forgotten(spark, tmp_path):
+    def put(*messages):
+        spark.createDataFrame(messages, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def wait(what):
+        end = time.monotonic() + 60
+        while time.monotonic() < end:
+            if any(what(r) for r in spark.table("idle_jobs").collect()):
+                return True
+            time.sleep(0.5)
+
+    put(MESSAGES[1])
+    stream = reduce_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), idle="1 second")
+    run = stream.writeStream.format("memory").queryName("idle_jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="500 milliseconds").start()
+    try:
+        assert wait(lambda r: r.applied == 1)
+        time.sleep(6)  # longer than idle and a few batches
+        put(MESSAGES[3])
+        assert wait(lambda r: len(spark.table("idle_jobs").collect()) == 2)
+        assert [r.applied for r in spark.table("idle_jobs").collect()] == [1, 1]  # the second message began anew
+    finally:
+        run.stop()
+
+
 def test_packages(spark, tmp_path):
     with tarfile.open(tmp_path / "m.tar", "w") as tar:
         info = tarfile.TarInfo("m/inference.yml")
