@@ -3,10 +3,13 @@
 Sets are the hashes of all runs of five words (a text of one to four words is one run). Texts with
 the same set are one node. A node's paths are drawn by hashing: at the root a token of x is chosen
 in a run if its hash lies below branch / |x|, so two sets that overlap choose the same tokens and
-meet in that token's bucket. Small buckets are compared by brute force; a large one is split again
-on tokens chosen with a hash of the path, until buckets are small or the depth is reached. The
-number of independent runs follows from the target recall: a pair at the threshold shares
-branch * threshold chosen tokens a run on average (a Poisson count), and misses are multiplied.
+meet in that token's bucket. Small buckets are compared by brute force. The nodes of large ones are
+dealt again by their rarest sampled tokens, so many of each that a pair at the threshold must have
+one in common (a prefix filter: it loses nothing but pairs whose samples are unusually unlike), until
+buckets are small, a split makes comparing no cheaper, or the depth is reached; buckets that are
+still large are then compared in pairs of blocks. The number of independent runs follows from the
+target recall: a pair at the threshold shares branch * threshold chosen tokens a run on average (a
+Poisson count), misses are multiplied, and the miss of splits, which is the same at every level, is added.
 
 Inside buckets nodes are compared on a consistent sample of their tokens with a margin far below
 the threshold; this gives only groups of candidates, as spanning trees, never lists of pairs.
@@ -36,6 +39,9 @@ from postmill.llm.common import WordHashes, components, kgrams, materialise, mix
 SAMPLE = 64
 #: Sketches pass well below the threshold; the exact comparison decides.
 SLACK = 0.25
+#: Share of the permitted misses that splits of large buckets may take; parts that a common token's nodes are joined in.
+SPLIT_MISSES = 0.3
+SALTS = 16
 
 
 def shingles(text: str | None, seen: WordHashes, n: int = 5) -> np.ndarray:
@@ -52,7 +58,24 @@ def chosen(tokens: np.ndarray, seed: int, rate: float) -> np.ndarray:
 
 
 def runs_for(recall: float, threshold: float, branch: float) -> int:
-    return max(1, math.ceil(math.log(1 - recall) / (-branch * threshold)))
+    return max(1, math.ceil(math.log((1 - recall) * (1 - SPLIT_MISSES)) / (-branch * threshold)))
+
+
+def prefixes(threshold: float, miss: float, most: int = 4 * SAMPLE) -> tuple[list[int], list[int]]:
+    """By number of sampled tokens: how many of them, in any common order, meet a like set's own; for whole sets, for samples.
+
+    Of c tokens at least threshold * c are in the other set. Of a sample that number is at least as high as
+    a binomial one, of which the lowest value is taken that a pair falls below with a chance of miss / 2 a side.
+    """
+    whole, sampled = [], []
+    for c in range(most + 1):
+        whole.append(c - math.ceil(threshold * c - 1e-9) + 1)
+        shared, below = 0, (1 - threshold) ** c
+        while below <= miss / 2 and shared < c:
+            shared += 1
+            below += math.comb(c, shared) * threshold**shared * (1 - threshold) ** (c - shared)
+        sampled.append(c - shared + 1)
+    return whole, sampled
 
 
 def paths(docs: DataFrame, n: int, runs: int, branch: float) -> DataFrame:
@@ -171,7 +194,27 @@ def block_pairs(df: DataFrame, count: str, node: str, most: int) -> DataFrame:
     return dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("blocks", "other")
 
 
-def candidate_edges(nodes: DataFrame, threshold: float, block: int, whole: int, depth: int) -> DataFrame:
+def gathered(rows: DataFrame) -> DataFrame:
+    """(key, n, node) of the buckets of more than one node; buckets with the same members are taken once."""
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s")).where("n > 1")
+    buckets = buckets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n")
+    return materialise(rows.join(buckets, "key").select("key", "n", "node"), "buckets")
+
+
+def split(large: DataFrame, sketches: DataFrame, threshold: float, miss: float) -> DataFrame:
+    """(key, node): the nodes of large buckets by their rarest sampled tokens, so many that like nodes meet."""
+    inside = large.select("node").distinct().join(sketches, "node")
+    tokens = inside.select("node", "size", F.size("sample").alias("c"), F.explode("sample").alias("t"), F.pmod(F.xxhash64("node", F.lit(9)), F.lit(SALTS)).alias("salt"))
+    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    ranked = tokens.join(often, ["t", "salt"]).groupBy("node", "size", "c").agg(F.sort_array(F.collect_list(F.struct("f", F.xxhash64("t", F.lit(7)).alias("key")))).alias("ranked"))
+    whole, sampled = (F.array(*map(F.lit, x)) for x in prefixes(threshold, miss))
+    # up to this size neither set of a pair is larger than a sample; tokens of one node alone come first and meet nothing
+    length = F.when(F.col("size") <= threshold * SAMPLE, F.get(whole, F.col("c"))).otherwise(F.coalesce(F.get(sampled, F.col("c")), F.col("c")))
+    rest = F.greatest(F.lit(0), length - (F.col("c") - F.size("ranked")))
+    return ranked.select("node", F.explode(F.slice("ranked", F.lit(1), rest)).alias("r")).select("node", F.col("r.key").alias("key"))
+
+
+def candidate_edges(nodes: DataFrame, threshold: float, block: int, whole: int, depth: int, miss: float) -> DataFrame:
     """(a, b): spanning trees of candidate groups among nodes (node, size, keys, sample)."""
 
     def compare(batches: Iterator) -> Iterator:
@@ -181,25 +224,26 @@ def candidate_edges(nodes: DataFrame, threshold: float, block: int, whole: int,
             if len(rows) > 1 and (edges := list(like_sketches(rows, threshold))):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
 
+    def compared(members: DataFrame) -> DataFrame:
+        dealt = block_pairs(members.join(sketches, "node"), "n", "node", block).select("key", "p", "q", "node", "block", "size", "sample")
+        return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long")
+
+    def cost(members: DataFrame) -> int:
+        return members.agg(F.sum("n").alias("n")).first()["n"] or 0
+
     sketches = nodes.select("node", "size", "sample")
-    rows = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
+    members = gathered(nodes.select("node", F.explode(F.array_distinct("keys")).alias("key")))
     found = None
     for level in range(depth + 1):
-        # buckets with the same members are compared once
-        buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).cast("decimal(38,0)")).alias("s")).where("n > 1")
-        buckets = buckets.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key", "n")
-        members = materialise(rows.join(buckets, "key").select("key", "n", "node"), "buckets")
         large = members.where(F.col("n") > whole)
-        last = level == depth or not large.head(1)
-        small = (members if last else members.where(F.col("n") <= whole)).join(sketches, "node")
-        small = block_pairs(small, "n", "node", block).select("key", "p", "q", "node", "block", "size", "sample")
-        edges = small.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long")
+        before = cost(large) if level < depth else 0
+        parts = gathered(split(large, sketches, threshold, miss)) if before else None
+        last = parts is None or 2 * cost(parts) > before
+        edges = compared(members if last else members.where(F.col("n") <= whole))
         found = edges if found is None else found.unionByName(edges)
         if last:
             return found
-        branch = 1.2 / threshold
-        pick = F.filter("sample", lambda t: F.pmod(F.xxhash64(F.col("key"), t), F.lit(1 << 30)) * F.size("sample") < branch * (1 << 30))
-        rows = large.join(sketches, "node").select("node", F.explode(F.transform(pick, lambda t: F.xxhash64(F.col("key"), t, F.lit(7)))).alias("key"))
+        members = parts
     return found
 
 
@@ -211,7 +255,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     copies = materialise(copies, "copies")
     firsts = copies.where(F.col("node").isNotNull()).select("digest", "node")
     nodes = made.where("size > 0").join(firsts, (made.doc_id == firsts.node) & (made.digest == firsts.digest)).select("node", "size", "keys", "sample")
-    groups = components(candidate_edges(nodes, threshold, block, whole, depth))
+    groups = components(candidate_edges(nodes, threshold, block, whole, depth, (1 - recall) * SPLIT_MISSES))
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     groups = groups.join(sizes, "component").join(copies, "node").select("node", "component", "n", "digest", "copies")
 

@@ -126,6 +126,29 @@ def brute_classes(rows, threshold=800):
     return {d: (least[d], n) for (d, _), n in zip(rows, links, strict=True)}
 
 
+def test_jaccard_large_buckets_lose_no_links(spark):
+    words = random.Random(11)
+    templates = [[words.choice("abcdefgh") + str(words.randrange(10**6)) for _ in range(64)] for _ in range(4)]
+    rows = [(100 * k + i, " ".join([*t[:30], f"v{i}", *t[31:]])) for k, t in enumerate(templates) for i in range(100)]
+    # a common line alone makes no links; beyond SAMPLE tokens only a part of a set is compared
+    line = " ".join(templates[0][:10])
+    rows += [(1000 + i, line + " " + " ".join(f"o{i}x{j}" for j in range(60))) for i in range(100)]
+    long = [f"l{j}" for j in range(300)]
+    rows += [(2000 + i, " ".join([*long[: 20 + i], f"v{i}", *long[20 + i :]])) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({"whole": 40, "block": 32}, {"whole": 40, "block": 32, "depth": 1}, {"whole": 40, "block": 32, "depth": 0}):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.jaccard_classes(df, **options).collect()}
+        assert got == {i: (i, 0) if 1000 <= i < 2000 else (i // 100 * 100, 99) for i, _ in rows}
+
+
+def test_prefixes_cover_what_like_sets_share():
+    whole, sampled = jaccard.prefixes(0.8, 3e-5)
+    assert whole[:6] == [1, 1, 1, 1, 1, 2] and whole[60] == 13
+    assert all(a <= b <= c + 1 for c, (a, b) in enumerate(zip(whole, sampled, strict=True)))
+    draws = np.random.default_rng(5).binomial(64, 0.8, 400_000)
+    assert np.mean(draws < 64 - sampled[64] + 1) <= 6e-5
+
+
 def test_jaccard_against_brute_force(spark):
     draw = random.Random(1)
     base = [f"w{draw.randrange(5000)}" for _ in range(300)]
