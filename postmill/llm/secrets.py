@@ -4,8 +4,9 @@ Base kinds are assignments, access keys and long hexadecimal runs. Further candi
 least WINDOW characters of an alphabet with a digit and a letter among them. A window slides over a
 candidate; its sum of c * log2(c) over character counts c changes only by the character that comes
 and the one that goes, and the entropy is log2(WINDOW) less that sum over WINDOW. A candidate whose
-highest window passes its class's threshold is a span of kind `entropy`, unless the allow-list
-names its form or it overlaps a base span. Everything is DataFrame functions inside each row.
+highest window passes its class's threshold (which a random window of the class reaches but for a
+share of MISS) is a span of kind `entropy`, unless the allow-list names the form of all of it or it
+overlaps a base span. Everything is DataFrame functions inside each row.
 
 Cases: null texts count as empty; an empty text has no spans; repeated rows each give a row; other
 columns are left out, whatever their names.
@@ -14,6 +15,8 @@ columns are left out, whatever their names.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +31,47 @@ VALUE = r"[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
-#: Class of a candidate and the entropy in bits that its highest window must reach.
-THRESHOLDS = [(r"^[0-9a-fA-F]+$", 3.0), (r"^[0-9A-Z]+$|^[0-9a-z]+$", 3.5), (r"", 3.9)]
-#: Forms that look random and aren't secrets: identifiers, dates and times, paths, placeholders.
-ALLOWED = [r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$", r"^\d{4}-\d\d-\d\d", r"^/?(?:[A-Za-z_-]+/)+[A-Za-z0-9_-]*$", r"(?i)example|placeholder|your[_-]", r"^[A-Za-z]+[-_][A-Za-z_-]+[-_]?\d{1,4}$"]
+#: Share of random windows of a class that may fall below its threshold; a longer key has more windows and is missed less.
+MISS = 0.001
+#: Forms that look random and aren't secrets, each of a whole candidate: identifiers, words and short numbers
+#: between separators (names, paths, placeholders), dates with a time or words, and a published sample key.
+SEGMENT = r"(?:(?:[A-Z]{2,}+|(?:[A-Z][a-z]++|[a-z]{2,}+)++)[0-9]{0,4}+|[0-9]{1,4}+)"
+ALLOWED = [
+    r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9]{2}[_-]?[0-9]{2}(?:[_-]?[0-9]{2})?(?:[_-]?[0-9]{3,9})?(?:Z|UTC|[+-][0-9]{2}-?[0-9]{2})?$",
+    rf"^[/_-]*+{SEGMENT}(?:[/_-]++{SEGMENT})++[/_=-]*+$",
+    r"^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
+]
 LOGS = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+
+
+def partitions(n: int, most: int) -> Iterator[list[int]]:
+    """All ways to write n as a sum of numbers up to most, largest first."""
+    if n == 0:
+        yield []
+    for first in range(min(n, most), 0, -1):
+        for rest in partitions(n - first, first):
+            yield [first, *rest]
+
+
+def least_entropy(symbols: int, miss: float) -> float:
+    """The highest entropy that a window of equally likely symbols falls below with a chance of at most miss."""
+    chance: dict[float, float] = {}
+    for counts in partitions(WINDOW, WINDOW):
+        if len(counts) <= symbols:
+            ways = math.factorial(WINDOW) // math.prod(map(math.factorial, counts)) * math.perm(symbols, len(counts)) // math.prod(map(math.factorial, Counter(counts).values()))
+            bits = round(math.log2(WINDOW) - sum(LOGS[c] for c in counts) / WINDOW, 9)
+            chance[bits] = chance.get(bits, 0.0) + ways / symbols**WINDOW
+    below = 0.0
+    for bits in sorted(chance):
+        below += chance[bits]
+        if below > miss:
+            break
+    return bits - 1e-6  # sums of windows are rounded
+
+
+#: Class of a candidate and the entropy in bits that its highest window must reach: hexadecimal, of one case, mixed.
+THRESHOLDS = [(form, least_entropy(symbols, MISS)) for form, symbols in ((r"^[0-9a-fA-F]+$", 16), (r"^[0-9A-Z]+$|^[0-9a-z]+$", 36), (r"", 62))]
 KINDS = ("assign", "access", "hex")
 
 

@@ -5,7 +5,9 @@ import math
 import os
 import random
 import re
+import string
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -271,6 +273,20 @@ def test_secret_spans(spark):
     assert [s.value for s in got[200].spans] == ["Xk3v9QpL7mZt2RwY8nBc"]
 
 
+def test_random_keys_are_secrets_and_named_things_not(spark):
+    draw, b62 = random.Random(12), string.ascii_letters + string.digits
+    kinds = [(b62, 20), (b62, 24), (b62, 32), (b62 + "+/", 24), (b62 + "+/", 40), (b62 + "-_", 40), (string.ascii_lowercase + string.digits, 20), ("0123456789abcdef", 20)]
+    rows = [(f"{len(a)}x{n}", key) for a, n in kinds for key in ("".join(draw.choice(a) for _ in range(n)) for _ in range(600)) if re.search("[0-9]", key) and re.search("[A-Za-z]", key)]
+    rows += [("plain", x) for x in ("usr/local/lib/python3/site-packages", "2024-01-02T10-20-30Z", "2024-01-02-backup-server", "your-api-key-goes-here-1", "placeholder_of_some_token_12", "some_long_identifier_name12", "Articles/PageTitleOfThis/part2", "123e4567-e89b-12d3-a456-426614174000")]
+    rows += [("secret", x) for x in ("Qz/7hT9kPw2LmXv4RtYbN8sD", "2024-01-02Qz7hT9kPw2LmXv4RtYbN8sD", "Qz7hT9kPw2LmXv4RtYbN8sDexample")]
+    got = Counter((r.k, r.s) for r in spark.createDataFrame(rows, "k string, v string").select("k", secrets.suspicious(F.col("v")).alias("s")).collect())
+    assert got["plain", True] == 0 and got["secret", False] == 0
+    assert all(got[k, False] <= 3 for k, _ in rows if k != "plain")
+    # the threshold is the quantile that it says: drawn again
+    for (_, bits), a in zip(secrets.THRESHOLDS, ("0123456789abcdef", string.ascii_lowercase + string.digits, b62), strict=True):
+        assert np.mean([entropy("".join(draw.choice(a) for _ in range(secrets.WINDOW))) < bits for _ in range(20_000)]) <= 2 * secrets.MISS
+
+
 def test_entropy_by_increments(spark):
     rows = [(noise(i, "abcdef0123456789XYZ+/", 20 + i * 3),) for i in range(20)]
     for r in spark.createDataFrame(rows, "v string").select("v", secrets.peak_entropy(F.col("v")).alias("h")).collect():
