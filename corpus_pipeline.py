@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns
 of documents; the last returns pieces with their sequence and place. Every stage's result is
 written as Parquet in the session's shared folder and read again, so that a lost executor costs
-no more than the stage it was in.
+no more than the stage it was in. Toxicity and decontamination judge rows: one without a doc_id can
+go, and of two texts under one doc_id the other stays.
 
 1. toxicity: fitted on labels, scored on whole texts; documents that it rejects go.
 2. near duplicates: of each class of the n-gram Jaccard join the least doc_id stays (rows with a null
@@ -16,6 +17,7 @@ no more than the stage it was in.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postmill.llm.common import materialise, table
 from postmill.llm.decontaminate import decontaminate
@@ -25,21 +27,28 @@ from postmill.llm.secrets import redact_secrets
 from postmill.llm.toxicity import score_toxicity
 
 
-def _keep(docs: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """Documents but those listed; ones without a doc_id stay."""
-    return docs.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _marked(docs: DataFrame) -> DataFrame:
+    """Documents with a key of doc_id and text, which is there for rows without a doc_id too."""
+    return docs.withColumn("_mark", F.xxhash64("doc_id", "text"))
+
+
+def _keep(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """Documents but those rows whose key is listed."""
+    return _marked(docs).join(marks.select("_mark").distinct(), "_mark", "left_anti").select(*docs.columns)
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, score_toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return _keep(docs, score_toxicity(_marked(docs), table(spark, sf_dir, "labels"), carried=("_mark",)).where("predicted = 1"))
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs.dropDuplicates(["doc_id", "text"]), jaccard_classes(docs).where("doc_id <> class_id"))
+    copies = jaccard_classes(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    return docs.dropDuplicates(["doc_id", "text"]).join(copies, "doc_id", "left_anti").select(*docs.columns)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _keep(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated"))
+    found = decontaminate(_marked(docs).withColumn("doc_id", F.col("_mark")), table(spark, sf_dir, "benchmark"))
+    return _keep(docs, found.where("contaminated").withColumnRenamed("doc_id", "_mark"))
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -243,10 +243,10 @@ class Decisions(dict):
                 self[word] = max(decide(parts, self.weight, self.bias).tolist(), default=self.bias)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.7, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the carried columns of every document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
 
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -280,10 +280,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, th
                     seen.learn(new.difference(seen))
                     tops = np.array([evidence(zip(map(seen.__getitem__, us), us.values(), strict=True), m["bias"]) for us in own])
                     out += (1 / (1 + np.exp(-np.clip(m["slope"] * soft_maximum(tops, m["sharp"]) + m["offset"], -30, 30)))).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), *(batch.column(c) for c in carried)], ["doc_id", "score", *carried])
 
-    scored = rows.mapInArrow(score, "doc_id long, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    schema = ", ".join(["doc_id long", "score double", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)])
+    scored = rows.mapInArrow(score, schema)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carried)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

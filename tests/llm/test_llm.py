@@ -392,3 +392,21 @@ def test_pipeline(spark, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     want = {i for i, (least, _) in brute_classes([r[:2] for r in rows[:121]]).items() if i == least} | {902}
     assert got == want
+
+
+def test_pipeline_judges_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    bench = " ".join(f"q{i}" for i in range(30))
+    clean = [(i, t) for i, t, _ in made_up(120, 3, lambda w, d: w)]
+    toxic = [(1000 + i, f"some words and xenquib number {i}") for i in range(60)]
+    spark.createDataFrame([(i, 1, 0) for i, _ in clean] + [(i, 1, 1) for i, _ in toxic], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = [(None, "you xenquib you"), (7, "you xenquib there"), (7, clean[0][1] + " end"), (None, clean[1][1] + " end"), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in clean + toxic + odd], SCHEMA)
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.remove_toxic(spark, docs, str(tmp_path)).collect()}
+    assert not got & set(odd[:2]) and set(odd[2:]) <= got
+    odd = [(None, "start " + bench), (8, bench + " end"), (8, "a clean row"), (None, "another clean row"), (None, None)]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in odd], SCHEMA)
+    found = corpus_pipeline.remove_contaminated(spark, docs, str(tmp_path))
+    assert found.columns == docs.columns and {(r.doc_id, r.text) for r in found.collect()} == set(odd[2:])
