@@ -4,20 +4,21 @@ Method: bounded-space online best-fit. Pieces arrive one by one; a fixed number
 found through a bitset with one bit per amount of free space; a piece goes to the open bin with
 the least free space that still holds it; when too many bins are open the fullest closes.
 
-Tokens never leave the task that made them: each document is encoded, cut and summed up where it
-was read, and only (doc_id, piece, start, length, checksum) is dealt out to the packing groups.
-Groups are hashes of the document, a fixed number of documents each on average, so that their
-number follows the corpus and no group grows with it.
-
-Cases: a null or empty text is one piece holding only the closing id; a null doc_id stays null and
-is dealt out by its other columns; repeated rows are packed as often as they come; other columns
-are left out, whatever their names; an empty table packs into no rows.
+Each document is encoded, cut and summed up where it is read. Pieces are numbered there, and written;
+groups are hashes of these numbers, a fixed number of documents each on average, so that their number
+follows the corpus, no group grows with it, and neither null nor repeated ids gather in one. Only
+(doc_id, piece, start, length, checksum) is dealt out to the packing groups, and the ids where asked for.
+
+Cases: a null or empty text is one piece holding only the closing id; a null doc_id stays null; one that
+isn't a whole number is null too; repeated rows are packed as often as they come; other columns are left
+out, whatever their names; an empty table packs into no rows.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ from postmill.llm.common import table
 
 #: Fixed value: how the public byte-level vocabulary splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
+RESULT = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
 
 def default_tokenizer() -> str:
@@ -40,7 +42,8 @@ class Encoder:
 
     A text is cut at each single space between two characters that aren't white space, where no
     token of a byte-level vocabulary can cross; the ids of such a chunk are remembered. Texts
-    with other runs of white space beside a space are encoded whole.
+    with other runs of white space beside a space are encoded whole. Texts that hold a token which the
+    file adds to its vocabulary go through the file's own tokenizer.
     """
 
     LIMIT = 300_000
@@ -49,11 +52,15 @@ class Encoder:
         import json
 
         import tiktoken
+        import tokenizers
 
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]["vocab"]
+            stored = json.load(f)
+        model = stored["model"]["vocab"]
+        self.added = [t["content"] for t in stored.get("added_tokens", [])]
+        self.whole = tokenizers.Tokenizer.from_file(path)
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
         self.encode_one = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.seen: dict[str, bytes] = {}
@@ -64,6 +71,10 @@ class Encoder:
         return array("I", self.encode_one(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            from array import array
+
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         parts = text.split(" ")
         if len(parts) < 3 or any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
             return self._bytes(text)
@@ -88,21 +99,35 @@ def cut(n: int, room: int) -> list[tuple[int, int]]:
     return [(0, first)] * bool(first) + [(i, room) for i in range(first, n, room)]
 
 
-def pieces(docs: DataFrame, room: int, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each document's pieces."""
+def pieces(docs: DataFrame, room: int, tokenizer: str, end_id: int, with_ids: bool = False) -> DataFrame:
+    """(row, doc_id, piece, start, length, ids_crc32) of each document's pieces, and their ids if asked for."""
 
     def encode(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        from pyspark import TaskContext
 
         encoder, closing = Encoder(tokenizer), end_id.to_bytes(4, "little")
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[tuple] = []
+            cuts: list[bytes] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids = memoryview(encoder(text.as_py() or "") + closing)
-                rows += [(doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, room))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(encode, PIECES)
+                for k, (s, n) in enumerate(cut(len(ids) // 4, room)):
+                    own = ids[4 * s : 4 * (s + n)]
+                    rows.append((row, doc_id, k, s, n, zlib.crc32(own)))
+                    row += 1
+                    if with_ids:
+                        cuts.append(bytes(own))
+            arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                ends = pa.array([0, *accumulate(len(c) // 4 for c in cuts)], pa.int32())
+                arrays.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(cuts))])))
+            yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
+
+    rows = docs.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(encode, PIECES + ", ids array<int>" * with_ids)
 
 
 class BestFit:
@@ -139,18 +164,20 @@ class BestFit:
 
 
 def pack(made: DataFrame, n_documents: int, room: int = 1024, open_bins: int = 4096, group_documents: int = 100_000) -> DataFrame:
-    """Adds sequence_id and offset to pieces.
+    """Adds sequence_id and offset to pieces, in place of their row numbers.
 
-    Pieces that fill a sequence need no bin. The others are dealt out to groups of about
-    group_documents documents by a hash of the document; within a group they come in the order of
-    that hash, which is as good as any for an online packer and the same in every run.
+    Pieces that fill a sequence need no bin. The others (one a document at most) are dealt out to groups of
+    about group_documents documents by a hash of their number. Within a group they come in batches of about
+    open_bins pieces, drawn by another hash, the longest of a batch first: so a batch's long pieces never open
+    more bins than stay open, and its short ones fill them. The order is the same in every run.
     """
     groups = max(1, -(-n_documents // group_documents))
-    order = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = made.withColumn("group", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(groups))).withColumn("order", order)
-    full = made.where(F.col("length") == room).select(*made.columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    part = dealt.where(F.col("length") < room).repartition(groups, "group").sortWithinPartitions("group", "order", "doc_id", "piece")
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    batches = max(1, min(n_documents, group_documents) // open_bins)
+    ids = ["ids"] if "ids" in made.columns else []
+    columns = [*RESULT, *ids]
+    full = made.where(F.col("length") == room).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long"))
+    dealt = made.where(F.col("length") < room).withColumn("group", F.pmod(F.xxhash64("row", F.lit(11)), F.lit(groups))).withColumn("batch", F.pmod(F.xxhash64("row", F.lit(12)), F.lit(batches)))
+    part = dealt.repartition(groups, "group").sortWithinPartitions("group", "batch", F.desc("length"), "row")
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -164,17 +191,18 @@ def pack(made: DataFrame, n_documents: int, room: int = 1024, open_bins: int = 4
                 here, at = packer.put(length)
                 sequence.append(base + here)
                 offset.append(at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns[:5]), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], columns)
+            made_up = {"sequence_id": pa.array(sequence, pa.int64()), "offset": pa.array(offset, pa.int64())}
+            yield pa.RecordBatch.from_arrays([made_up[c] if c in made_up else batch.column(c) for c in columns], columns)
 
-    packed = part.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    packed = part.mapInArrow(place, PIECES.removeprefix("row long, ") + ", sequence_id long, offset long" + ", ids array<int>" * len(ids))
     return packed.unionByName(full.select(*columns))
 
 
-def best_fit(docs: DataFrame, room: int = 1024, tokenizer: str | None = None, end_id: int = 2, open_bins: int = 4096, group_documents: int = 100_000) -> DataFrame:
-    """Pieces of all documents with the sequence and the place that each has."""
+def best_fit(docs: DataFrame, room: int = 1024, tokenizer: str | None = None, end_id: int = 2, open_bins: int = 4096, group_documents: int = 100_000, with_ids: bool = False) -> DataFrame:
+    """Pieces of all documents with the sequence and the place that each has, and with their ids if asked for."""
     from postmill.llm.common import materialise
 
-    made = materialise(pieces(docs, room, tokenizer or default_tokenizer(), end_id), "pieces")
+    made = materialise(pieces(docs, room, tokenizer or default_tokenizer(), end_id, with_ids), "pieces")
     n_documents = made.where(F.col("piece") == 0).count()
     return pack(made, n_documents, room, open_bins, group_documents)
 
