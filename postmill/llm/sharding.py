@@ -7,7 +7,7 @@ hands when a shard leaves. The table has a fixed size and is broadcast; placing
 and one lookup, without a shuffle, whatever the keys' frequencies.
 
 Cases: a null key is hashed as the empty text; equal keys share a shard; texts aren't read; other
-columns are left out, whatever their names.
+columns are left out, whatever their names; the key's own must not be `slot` or `shard`.
 """
 
 from __future__ import annotations
@@ -58,11 +58,13 @@ def slot(key: str | Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """df with slot and shard (the number of the shard that holds the slot)."""
+    """key, slot and shard (the number of the shard that holds the slot) of every row."""
+    if key in ("slot", "shard"):
+        raise ValueError("the key must not be named slot or shard")
     spark = df.sparkSession
     listed = F.split(F.lit(",".join(map(str, fill(shards, slots)))), ",")
     lookup = spark.range(1).select(F.posexplode(listed).alias("slot", "shard")).select(F.col("slot").cast("long").alias("slot"), F.col("shard").cast("int").alias("shard"))
-    return df.withColumn("slot", slot(key, slots)).join(F.broadcast(lookup), "slot")
+    return df.select(F.col(key), slot(key, slots).alias("slot")).join(F.broadcast(lookup), "slot").select(key, "slot", "shard")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
