@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from postmill.llm import spans as S
 from postmill.llm.common import table
 
-WINDOW = 20
+WINDOW, PART = 20, 64
 #: The forms that are looked for.
 ASSIGN = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*+[:=]\x20*+[\"']?"
 VALUE = r"[A-Za-z0-9+/_.=-]++"
@@ -76,26 +76,32 @@ KINDS = ("assign", "access", "hex")
 
 
 def peak_entropy(value: Column) -> Column:
-    """Bits of the window with the highest Shannon entropy, from incremental counts."""
-    weigh = F.array(*map(F.lit, LOGS))
-
-    def count(window: Column, char: Column) -> Column:
-        return F.length(window) - F.length(F.replace(window, char, F.lit("")))
-
-    first = F.substring(value, 1, WINDOW)
-    chars = F.array_distinct(F.split(first, ""))
-    total = F.aggregate(F.filter(chars, lambda c: c != ""), F.lit(0.0), lambda a, c: a + F.get(weigh, count(first, c)))
+    """Bits of the window with the highest Shannon entropy, from incremental counts.
 
-    def step(acc: Column, i: Column) -> Column:
-        # the window before place i loses its first character, then takes the character at its end
-        gone, held = value.substr(i, F.lit(1)), value.substr(i, F.lit(WINDOW))
-        left, come = value.substr(i + 1, F.lit(WINDOW - 1)), value.substr(i + WINDOW, F.lit(1))
-        n_gone, n_come = count(held, gone), count(left, come)
-        now = acc["sum"] - F.get(weigh, n_gone) + F.get(weigh, n_gone - 1) + F.get(weigh, n_come + 1) - F.get(weigh, n_come)
-        return F.struct(now.alias("sum"), F.least(acc["least"], now).alias("least"))
-
-    steps = F.when(F.length(value) > WINDOW, F.sequence(F.lit(1), F.length(value) - WINDOW)).otherwise(F.array().cast("array<int>"))
-    least = F.aggregate(steps, F.struct(total.alias("sum"), total.alias("least")), step, lambda acc: acc["least"])
+    The value is cut into parts of PART characters, each with the first characters of the next, so that
+    taking a character doesn't read the value from its start and the time is linear in its length.
+    """
+    weigh = F.array(*map(F.lit, LOGS))
+    gain = F.array(*(F.lit(b - a) for a, b in zip(LOGS, LOGS[1:], strict=False)))
+
+    def least_sum(part: Column) -> Column:
+        first = F.substring(part, 1, WINDOW)
+        chars = F.filter(F.array_distinct(F.split(first, "")), lambda c: c != "")
+        total = F.aggregate(chars, F.lit(0.0), lambda a, c: a + F.get(weigh, WINDOW - F.length(F.replace(first, c, F.lit("")))))
+
+        def step(acc: Column, i: Column) -> Column:
+            # the window before place i loses its first character, then takes the character at its end
+            rest = part.substr(i + 1, F.lit(WINDOW - 1))
+            n_gone = WINDOW - 1 - F.length(F.replace(rest, part.substr(i, F.lit(1)), F.lit("")))
+            n_come = WINDOW - 1 - F.length(F.replace(rest, part.substr(i + WINDOW, F.lit(1)), F.lit("")))
+            return F.struct((acc["sum"] - F.get(gain, n_gone) + F.get(gain, n_come)).alias("sum"), F.least(acc["least"], acc["sum"]).alias("least"))
+
+        steps = F.when(F.length(part) > WINDOW, F.sequence(F.lit(1), F.length(part) - WINDOW)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, F.struct(total.alias("sum"), F.lit(math.inf).alias("least")), step, lambda acc: F.least(acc["least"], acc["sum"]))
+
+    cut = F.regexp_extract_all(value, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    parts = F.zip_with(cut, F.slice(F.concat(cut, F.array(F.lit(""))), F.lit(2), F.size(cut)), lambda a, b: F.concat(a, F.left(b, F.lit(WINDOW - 1))))
+    least = F.array_min(F.transform(F.filter(parts, lambda p: F.length(p) >= WINDOW), least_sum))
     return F.lit(math.log2(WINDOW)) - least / WINDOW
 
 
@@ -129,14 +135,17 @@ def find_secrets(docs: DataFrame, id_columns: tuple[str, ...] = ("doc_id",)) ->
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """Documents with each secret in their text replaced by a label; n_chars follows. Texts without one stay as they are."""
-    others = [c for c in docs.columns if c not in ("text", "n_chars")]
-    found = find_secrets(docs.withColumn("_null", F.col("text").isNull()), (*others, "_null", *(["n_chars"] if "n_chars" in docs.columns else [])))
-    text = S.redacted("text", "spans", lambda kind: F.concat(F.lit("[SECRET:"), kind, F.lit("]")))
-    found = found.withColumn("new", F.when(~F.col("_null"), text))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("new").cast("long")).otherwise(F.col("n_chars")))
-    return found.withColumn("text", F.col("new")).select(*docs.columns)
+    """Documents with each secret in their text replaced by a label; n_chars follows. Texts without one stay as they are.
+
+    The documents' columns travel as one struct, so none of them can clash with those made here.
+    """
+    found = find_secrets(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text")), ("row",))
+    label = S.redacted("text", "spans", lambda kind: F.concat(F.lit("[SECRET:"), kind, F.lit("]")))
+    found = found.select("row", F.when(F.col("row.text").isNotNull(), label).alias("text"), (F.size("spans") > 0).alias("hit"))
+    own = {c: F.col("row").getField(c) for c in docs.columns}
+    if "n_chars" in own:
+        own["n_chars"] = F.when(F.col("hit"), F.length("text").cast("long")).otherwise(own["n_chars"])
+    return found.select(*(F.col("text") if c == "text" else own[c].alias(c) for c in docs.columns))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BLOCK = 128
 SPAN = "array<struct<kind:string,rank:int,start:int,end:int,value:string>>"
 
 
@@ -27,7 +28,11 @@ def with_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column
 
 
 def matches(kind: str, rank: int, keep) -> Column:
-    """Spans of one kind; keep tells from a match's text whether it stays."""
+    """Spans of one kind; keep tells from a match's text whether it stays.
+
+    Matches are folded in blocks whose lists are joined at the end, so that a text with very many
+    doesn't copy its list for each.
+    """
     found, parts = F.col(f"_m_{kind}"), F.col(f"_p_{kind}")
     start = F.struct(F.lit(0).alias("at"), empty().alias("out"))
 
@@ -38,7 +43,14 @@ def matches(kind: str, rank: int, keep) -> Column:
         span = F.struct(F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), begin.alias("start"), end.alias("end"), value.alias("value"))
         return F.struct(end.alias("at"), F.when(F.coalesce(keep(value), F.lit(False)), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    folded = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step, lambda acc: acc["out"])
+    def block(acc: Column, first: Column) -> Column:
+        places = F.sequence(first, F.least(first + BLOCK, F.size(found)) - 1)
+        now = F.aggregate(places, F.struct(acc["now"]["at"].alias("at"), empty().alias("out")), step)
+        return F.struct(now.alias("now"), F.concat(acc["done"], F.array(acc["now"]["out"])).alias("done"))
+
+    blocks = F.sequence(F.lit(0), F.size(found) - 1, F.lit(BLOCK))
+    none = F.struct(start.alias("now"), F.array().cast(f"array<{SPAN}>").alias("done"))
+    folded = F.aggregate(blocks, none, block, lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["now"]["out"]))))
     return F.when(F.size(found) > 0, folded).otherwise(empty())
 
 

@@ -6,6 +6,7 @@ import os
 import random
 import re
 import string
+import time
 import zlib
 from collections import Counter
 
@@ -26,8 +27,8 @@ def texts():
 
 def docs_of(spark, rows):
     """Documents with columns whose names clash with those that operators make."""
-    extra = ", label int, score double, row long, spans string, size int, words string, held_out string"
-    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 0.5, 7, "x", 3, "w", "h") for i, t in rows], SCHEMA + extra)
+    extra = ", label int, score double, row long, spans string, size int, words string, held_out string, slot int, shard int, base string, hit int, ids int, t int"
+    return spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, 0.5, 7, "x", 3, "w", "h", 1, 2, "b", 1, 4, 5) for i, t in rows], SCHEMA + extra)
 
 
 LONG = " ".join(f"w{i % 977}" for i in range(30_000))
@@ -59,8 +60,9 @@ def operators(spark, docs, labels):
         "licenses": lambda: licenses.scan(docs),
         "pii": lambda: pii.find_personal(docs),
         "sanitise": lambda: pii.sanitise(docs),
-        "sharding": lambda: sharding.place(docs.select("doc_id"), "doc_id", sharding.names(5), 101),
+        "sharding": lambda: sharding.place(docs, "doc_id", sharding.names(5), 101),
         "secrets": lambda: secrets.find_secrets(docs),
+        "redaction": lambda: secrets.redact_secrets(docs),
         "decontaminate": lambda: decontaminate.decontaminate(docs, bench),
         "decontaminate in blocks": lambda: decontaminate.decontaminate(docs, bench, block_words=1000),
         "jaccard": lambda: jaccard.jaccard_classes(docs),
@@ -179,9 +181,8 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
-    rows = [*texts()[:120], (-1, None), (-2, "a  b\n\n c <|endoftext|> 'll"), (-3, LONG), (-4, " lead and trail ")]
-    got = packing.best_fit(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rows = [*texts()[:120], (-1, None), (-2, "a  b\n\n c <|endoftext|> 'll"), (-3, LONG), (-4, " lead and trail "), (-5, "hello <|endoftext|> world"), (-6, "<|endoftext|><|endoftext|> <|end"), (-7, "")]
+    got = packing.best_fit(spark.createDataFrame(rows, "doc_id long, text string"), with_ids=True).collect()
     by = {}
     for r in got:
         by.setdefault(r.doc_id, []).append(r)
@@ -190,6 +191,8 @@ def test_packing_round_trip(spark):
         own = sorted(by[doc_id], key=lambda r: r.piece)
         assert [(r.start, r.length) for r in own] == packing.cut(len(ids), 1024)
         assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
+        assert [i for r in own for i in r.ids] == ids.tolist()
+    assert tokenizer.encode(rows[-3][1], add_special_tokens=False).ids.count(50256) == 1
     bins = {}
     for r in got:
         bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
@@ -201,6 +204,46 @@ def test_packing_round_trip(spark):
         assert at <= 1024
 
 
+def naive_best_fit(lengths, room, most):
+    """The open bin with the least free space that fits, the last one of equals; the fullest, the last one of equals, closes."""
+    free, out, made = {}, [], 0
+    for n in lengths:
+        fitting = [b for b in free if free[b] >= n]
+        if fitting:
+            least = min(free[b] for b in fitting)
+            here = [b for b in fitting if free[b] == least][-1]
+            left = free.pop(here)
+        else:
+            here, left, made = made, room, made + 1
+        out.append((here, room - left))
+        if left > n:
+            free[here] = left - n  # put last, as the one touched last
+            if len(free) > most:
+                least = min(free.values())
+                del free[[b for b in free if free[b] == least][-1]]
+    return out
+
+
+@pytest.mark.parametrize("most", [1, 3, 16, 1000])
+def test_best_fit_against_a_naive_packer(most):
+    draw = random.Random(most)
+    lengths = [draw.randrange(1, 65) for _ in range(2000)]
+    packer = packing.BestFit(64, most)
+    assert [packer.put(n) for n in lengths] == naive_best_fit(lengths, 64, most)
+
+
+def test_packing_is_tight_and_spreads_equal_ids(spark):
+    draw = random.Random(4)
+    rows = [(None if i % 2 else 7, " ".join(f"w{draw.randrange(999)}" for _ in range(draw.randrange(1, 400)))) for i in range(3000)]
+    df = packing.best_fit(spark.createDataFrame(rows, "doc_id long, text string"), open_bins=64, group_documents=300)
+    got = df.collect()
+    assert len({r.sequence_id >> 36 for r in got}) == 10  # null and repeated ids don't gather in a group
+    assert Counter(r.doc_id for r in got if r.piece == 0) == {None: 1500, 7: 1500}
+    tight = packing.best_fit(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    total, made = sum(r.length for r in tight), len({r.sequence_id for r in tight})
+    assert total == sum(r.length for r in got) and made <= 1.01 * total / 1024
+
+
 def test_best_fit_is_bounded():
     draw, packer = random.Random(2), packing.BestFit(1024, 16)
     used = {}
@@ -289,10 +332,26 @@ def test_random_keys_are_secrets_and_named_things_not(spark):
 
 def test_entropy_by_increments(spark):
     rows = [(noise(i, "abcdef0123456789XYZ+/", 20 + i * 3),) for i in range(20)]
+    rows += [(noise(n, "ab0", n),) for n in (63, 64, 65, 83, 84, 127, 128, 129, 150, 600)]
     for r in spark.createDataFrame(rows, "v string").select("v", secrets.peak_entropy(F.col("v")).alias("h")).collect():
         assert r.h == pytest.approx(max(entropy(r.v[i : i + 20]) for i in range(len(r.v) - 19)))
 
 
+def test_very_long_candidates_take_linear_time(spark):
+    key = noise(3, string.ascii_letters + string.digits, 1_000_000)
+    df = spark.createDataFrame([(1, f"key {key} end")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = secrets.find_secrets(df).first().spans
+    assert [(s.kind, s.start, s.end) for s in got] == [("entropy", 4, 1_000_004)]
+    assert time.perf_counter() - began < 60  # seconds on one core; quadratic work takes hours
+
+
+def test_very_many_matches(spark):
+    rows = [(1, "x password=abcdefg1" * 5000)]
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).first().base
+    assert [(s.start, s.end) for s in got] == [m.span() for m in re.finditer("password=abcdefg1x?", rows[0][1])]
+
+
 def test_redaction(spark):
     rows = [(1, "say password=hunter22 and 0123456789abcdef01234567 end", 7), (2, "clean text", 10), (3, None, None)]
     got = {r.doc_id: r for r in secrets.redact_secrets(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
