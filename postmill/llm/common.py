@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: The word bytes of the n-gram operators, after A-Z went to a-z: 0-9, a-z and every byte above 0x7F.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Keys that with_facts() broadcasts at most.
+HUBS = 100_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -24,12 +26,19 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def long_id() -> Column:
+    """doc_id as a whole number; null where it is none."""
+    return F.expr("try_cast(doc_id as bigint)").alias("doc_id")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only in a local session that names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="postmill-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -106,26 +115,44 @@ def kgrams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows joined with facts, which has one row a key; `count` says how many rows have that key, `total` how many there are.
+
+    A key of more rows than total / HUBS would gather in one task, so its facts are broadcast; there are at
+    most HUBS such keys. Their rows take part in the shuffle under a key of their own, which spreads them.
+    """
+    most = max(256, total // HUBS)
+    names = [c for c in facts.columns if c not in (key, count)]
+    hot = F.broadcast(facts.where(F.col(count) > most).select(F.col(key), F.struct(*names).alias("_hot")))
+    cold = facts.where(F.col(count) <= most).select(F.col(key).alias("_key"), F.struct(*names).alias("_cold"))
+    spread = F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)
+    rows = rows.join(hot, key, "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
+    rows = rows.join(cold, "_key", "left").withColumn("_facts", F.coalesce("_hot", "_cold")).where("_facts is not null")
+    return rows.select(*(c for c in rows.columns if not c.startswith("_")), "_facts.*")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a, b): component is the least node reached.
 
-    Alternating large-star and small-star steps; every step is an aggregation with map-side
-    combining and an equi-join, so a hub's neighbours are never gathered in one task. Only a count
-    and a checksum come to the driver. Each round goes to the shared folder.
+    Alternating large-star and small-star steps until a round changes nothing; every step is an
+    aggregation with map-side combining and a join that spreads the neighbours of hubs. Only a count and a
+    checksum come to the driver. Each round goes to the shared folder.
     """
+
+    def marked(df: DataFrame) -> tuple[int, object]:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    least = F.min("v").alias("m"), F.count(F.lit(1)).alias("n")
     now = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    for _ in range(rounds):
+    before, mark = None, marked(now)
+    while mark != before:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(low, "u")
+        low = both.groupBy("u").agg(*least)
+        large = with_facts(both, low, "u", "n", 2 * mark[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(*least)
+        pairs = with_facts(large, low, "u", "n", 2 * mark[0])
         small = pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
         now = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        seen = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if (seen["n"], seen["s"]) == mark:
-            break
-        mark = (seen["n"], seen["s"])
+        before, mark = mark, marked(now)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import WordHashes, kgrams, table, word_hashes, word_list
+from postmill.llm.common import WordHashes, kgrams, long_id, table, word_hashes, word_list
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 FILTER_BITS = 22
@@ -135,7 +135,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, bl
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_words)))  # a word and its separator take two characters at least
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(long_id(), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, row long, n_words long, starts array<int>, ends array<int>, items array<string>"
     if blocks > 1:
         rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))

@@ -4,16 +4,21 @@ Sets are the hashes of all runs of five words (a text of one to four words is on
 the same set are one node. A node's paths are drawn by hashing: at the root a token of x is chosen
 in a run if its hash lies below branch / |x|, so two sets that overlap choose the same tokens and
 meet in that token's bucket. Small buckets are compared by brute force. The nodes of large ones are
-dealt again by their rarest sampled tokens, so many of each that a pair at the threshold must have
-one in common (a prefix filter: it loses nothing but pairs whose samples are unusually unlike), until
-buckets are small, a split makes comparing no cheaper, or the depth is reached; buckets that are
-still large are then compared in pairs of blocks. The number of independent runs follows from the
-target recall: a pair at the threshold shares branch * threshold chosen tokens a run on average (a
-Poisson count), misses are multiplied, and the miss of splits, which is the same at every level, is added.
+dealt again by sampled tokens, those first that are rarest in large buckets, and so many of each node that
+a pair at the threshold must have one in common (a prefix filter, which is right in any common order: it
+loses nothing but pairs whose samples are unusually unlike). A large bucket whose nodes don't thereby come
+to less than half of its comparisons holds sets that are alike throughout and is compared in pairs of
+blocks; those of the others are dealt again until no large bucket or no depth is left. The number of
+independent runs follows from the target recall: a pair at the threshold shares branch * threshold chosen
+tokens a run on average (a Poisson count), misses are multiplied, and the miss of splits, which is the same
+at every level, is added.
+
+How rare a token is comes from a table of ORDER_SLOTS counts of hashed tokens, whose size doesn't grow with
+the corpus; tokens that share a slot only make the order worse, never the result.
 
 Inside buckets nodes are compared on a consistent sample of their tokens with a margin far below
 the threshold; this gives only groups of candidates, as spanning trees, never lists of pairs.
-Then every group's whole sets are compared exactly, in blocks of bounded size, which counts the
+Then every group's whole sets are compared exactly, in blocks of bounded number and size, which counts the
 links of each node and yields spanning trees of the exact links, whose components are the classes.
 Every stage deals rows by bucket or block, so a group of a third of all rows is spread over many
 tasks; nothing but counts reaches the driver.
@@ -31,17 +36,19 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import WordHashes, components, kgrams, materialise, mix, table, word_hashes, word_list
+from postmill.llm.common import WordHashes, components, kgrams, long_id, materialise, mix, table, with_facts, word_hashes, word_list
 
 SAMPLE = 64
 #: Sketches pass well below the threshold; the exact comparison decides.
 SLACK = 0.25
-#: Share of the permitted misses that splits of large buckets may take; parts that a common token's nodes are joined in.
+#: Share of the permitted misses that splits of large buckets may take.
 SPLIT_MISSES = 0.3
-SALTS = 16
+ORDER_SLOTS = 1 << 18
+#: Tokens that a block's sets have together on average, at most.
+BLOCK_TOKENS = 1_000_000
 
 
 def shingles(text: str | None, seen: WordHashes, n: int = 5) -> np.ndarray:
@@ -188,9 +195,9 @@ def segments(batches: Iterator, key: int, columns: list[str]) -> Iterator[list[t
         yield held
 
 
-def block_pairs(df: DataFrame, count: str, node: str, most: int) -> DataFrame:
+def block_pairs(df: DataFrame, blocks: Column, node: str) -> DataFrame:
     """Adds block, p, q: a row is dealt to each pair of blocks that its own block is part of."""
-    dealt = df.withColumn("blocks", F.ceil(F.col(count) / most).cast("int")).withColumn("block", F.pmod(F.xxhash64(node, F.lit(5)), F.col("blocks")).cast("int"))
+    dealt = df.withColumn("blocks", F.greatest(F.lit(1), F.ceil(blocks)).cast("int")).withColumn("block", F.pmod(F.xxhash64(node, F.lit(5)), F.col("blocks")).cast("int"))
     return dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("p", F.least("block", "other")).withColumn("q", F.greatest("block", "other")).drop("blocks", "other")
 
 
@@ -203,15 +210,30 @@ def gathered(rows: DataFrame) -> DataFrame:
 
 def split(large: DataFrame, sketches: DataFrame, threshold: float, miss: float) -> DataFrame:
     """(key, node): the nodes of large buckets by their rarest sampled tokens, so many that like nodes meet."""
-    inside = large.select("node").distinct().join(sketches, "node")
-    tokens = inside.select("node", "size", F.size("sample").alias("c"), F.explode("sample").alias("t"), F.pmod(F.xxhash64("node", F.lit(9)), F.lit(SALTS)).alias("salt"))
-    often = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    ranked = tokens.join(often, ["t", "salt"]).groupBy("node", "size", "c").agg(F.sort_array(F.collect_list(F.struct("f", F.xxhash64("t", F.lit(7)).alias("key")))).alias("ranked"))
-    whole, sampled = (F.array(*map(F.lit, x)) for x in prefixes(threshold, miss))
-    # up to this size neither set of a pair is larger than a sample; tokens of one node alone come first and meet nothing
-    length = F.when(F.col("size") <= threshold * SAMPLE, F.get(whole, F.col("c"))).otherwise(F.coalesce(F.get(sampled, F.col("c")), F.col("c")))
-    rest = F.greatest(F.lit(0), length - (F.col("c") - F.size("ranked")))
-    return ranked.select("node", F.explode(F.slice("ranked", F.lit(1), rest)).alias("r")).select("node", F.col("r.key").alias("key"))
+    spark = large.sparkSession
+    inside = materialise(sketches.join(large.select("node").distinct(), "node"), "split")
+    slot = F.explode(F.transform("sample", lambda t: F.pmod(t, F.lit(ORDER_SLOTS))))
+    often = inside.select(slot.alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(ORDER_SLOTS, np.int64)
+    counts[often.column("slot").to_numpy()] = often.column("n").to_numpy()
+    shared, (whole, sampled) = spark.sparkContext.broadcast(counts), prefixes(threshold, miss)
+
+    def prefix(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            keys = []
+            for size, sample in zip(batch.column("size").to_pylist(), batch.column("sample"), strict=True):
+                tokens = sample.values.to_numpy().view(np.uint64)
+                # up to this size neither set of a pair is larger than a sample
+                known = whole if size <= threshold * SAMPLE else sampled
+                most = known[len(tokens)] if len(tokens) < len(known) else len(tokens)
+                order = np.lexsort((mix(tokens), shared.value[(tokens % np.uint64(ORDER_SLOTS)).astype(np.int64)]))[:most]
+                keys.append(mix(tokens[order] + np.uint64(7)).view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int64), *keys]))], ["node", "keys"])
+
+    return inside.select("node", "size", "sample").mapInArrow(prefix, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
 
 
 def candidate_edges(nodes: DataFrame, threshold: float, block: int, whole: int, depth: int, miss: float) -> DataFrame:
@@ -225,39 +247,43 @@ def candidate_edges(nodes: DataFrame, threshold: float, block: int, whole: int,
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*edges, strict=True)], ["a", "b"])
 
     def compared(members: DataFrame) -> DataFrame:
-        dealt = block_pairs(members.join(sketches, "node"), "n", "node", block).select("key", "p", "q", "node", "block", "size", "sample")
+        dealt = block_pairs(members.join(sketches, "node"), F.col("n") / block, "node").select("key", "p", "q", "node", "block", "size", "sample")
         return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(compare, "a long, b long")
 
-    def cost(members: DataFrame) -> int:
-        return members.agg(F.sum("n").alias("n")).first()["n"] or 0
-
     sketches = nodes.select("node", "size", "sample")
     members = gathered(nodes.select("node", F.explode(F.array_distinct("keys")).alias("key")))
     found = None
     for level in range(depth + 1):
         large = members.where(F.col("n") > whole)
-        before = cost(large) if level < depth else 0
-        parts = gathered(split(large, sketches, threshold, miss)) if before else None
-        last = parts is None or 2 * cost(parts) > before
-        edges = compared(members if last else members.where(F.col("n") <= whole))
+        last = level == depth or not large.head(1)
+        if not last:
+            parts = gathered(split(large, sketches, threshold, miss))
+            # a bucket is alike throughout if its nodes have half of its comparisons or more in the parts, too
+            load = large.join(parts.groupBy("node").agg(F.sum("n").alias("load")), "node", "left")
+            alike = load.groupBy("key", "n").agg(F.sum("load").alias("load")).where(2 * F.col("load") >= F.col("n") * F.col("n")).select("key", F.lit(True).alias("alike"))
+            judged = materialise(members.join(alike, "key", "left").select("key", "n", "node", F.coalesce("alike", F.col("n") <= whole).alias("now")), "judged")
+            members, rest = judged.where("now").drop("now"), judged.where("not now").select("node").distinct()
+        edges = compared(members)
         found = edges if found is None else found.unionByName(edges)
         if last:
             return found
-        members = parts
+        members = gathered(parts.select("key", "node").join(rest, "node"))
     return found
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999, branch: float = 4.0, block: int = 512, whole: int = 4096, depth: int = 8) -> DataFrame:
     """doc_id, class_id, n_links of every document."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(long_id(), F.col("text").cast("string").alias("text"))
     made = materialise(paths(rows, n, runs_for(recall, threshold, branch), branch), "paths")
-    copies = made.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).cast("int").alias("copies"))
+    copies = made.groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).cast("int").alias("copies"), F.max("size").alias("size"))
     copies = materialise(copies, "copies")
+    n_rows = made.count()
     firsts = copies.where(F.col("node").isNotNull()).select("digest", "node")
     nodes = made.where("size > 0").join(firsts, (made.doc_id == firsts.node) & (made.digest == firsts.digest)).select("node", "size", "keys", "sample")
     groups = components(candidate_edges(nodes, threshold, block, whole, depth, (1 - recall) * SPLIT_MISSES))
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    groups = groups.join(sizes, "component").join(copies, "node").select("node", "component", "n", "digest", "copies")
+    groups = groups.join(copies, "node").select("node", "component", "digest", "copies", "size")
+    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.greatest(F.count(F.lit(1)) / block, F.sum("size") / BLOCK_TOKENS).alias("n"))
+    groups = with_facts(groups, sizes, "component", "members", n_rows).select("node", "component", "n", "digest", "copies")
 
     def whole_sets(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -271,9 +297,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
             yield out.filter(pa.array(same, pa.bool_()))
 
     sets = rows.join(groups, rows.doc_id == groups.node).select("component", "n", "node", "copies", "digest", "text")
-    sets = sets.mapInArrow(whole_sets, "component long, n long, node long, copies int, digest string, members binary")
+    sets = sets.mapInArrow(whole_sets, "component long, n double, node long, copies int, digest string, members binary")
     sets = sets.dropDuplicates(["component", "node", "digest"]) if rows_repeat(made) else sets
-    dealt = block_pairs(sets, "n", "node", block).select("component", "p", "q", "node", "block", "copies", "members")
+    dealt = block_pairs(sets, F.col("n"), "node").select("component", "p", "q", "node", "block", "copies", "members")
 
     def verify(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -290,8 +316,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     found = materialise(dealt.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q").mapInArrow(verify, "a long, b long, n long"), "links")
     classes = components(found.where(F.col("b").isNotNull()).select("a", "b"))
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-    known = copies.join(classes, "node", "left").join(links, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return made.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", "n_links")
+    known = copies.join(classes, "node", "left").join(links, "node", "left").select("digest", "copies", F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return with_facts(made.select("doc_id", "digest"), known, "digest", "copies", n_rows).select("doc_id", "class_id", "n_links")
 
 
 def rows_repeat(made: DataFrame) -> bool:

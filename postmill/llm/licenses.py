@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import table
+from postmill.llm.common import long_id, table
 
 THRESHOLD = 0.75
 #: Public notices of common licences.
@@ -55,7 +55,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(len(b) for _, b in known) * low, max(len(b) for _, b in known) * high
     literal = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("b")) for name, b in known))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    rows = docs.select(long_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     raw = F.concat(F.split("t", "\n"), F.filter(F.split("t", r"\n[\x20\t]*\n"), lambda p: F.contains(p, F.lit("\n"))), F.when(F.contains(F.col("t"), F.lit("\n")), F.array("t")).otherwise(F.array().cast("array<string>")))
     # n words have n - 1 bigrams at most, so too few words are dropped unseen; too many bigrams only once they are counted
     plain = F.filter(F.transform(raw, lambda u: F.trim(F.regexp_replace(F.lower(u), "[^a-z0-9]+", " "))), lambda u: F.size(F.split(u, " ")) > least)

@@ -23,7 +23,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import table
+from postmill.llm.common import long_id, materialise, table
 
 #: Fixed value: how the public byte-level vocabulary splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -126,7 +126,7 @@ def pieces(docs: DataFrame, room: int, tokenizer: str, end_id: int, with_ids: bo
                 arrays.append(pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), ends[-1].as_py(), [None, pa.py_buffer(b"".join(cuts))])))
             yield pa.RecordBatch.from_arrays(arrays, names + ["ids"] * with_ids)
 
-    rows = docs.select(F.expr("try_cast(doc_id as long)").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(long_id(), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(encode, PIECES + ", ids array<int>" * with_ids)
 
 
@@ -200,8 +200,6 @@ def pack(made: DataFrame, n_documents: int, room: int = 1024, open_bins: int = 4
 
 def best_fit(docs: DataFrame, room: int = 1024, tokenizer: str | None = None, end_id: int = 2, open_bins: int = 4096, group_documents: int = 100_000, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with the sequence and the place that each has, and with their ids if asked for."""
-    from postmill.llm.common import materialise
-
     made = materialise(pieces(docs, room, tokenizer or default_tokenizer(), end_id, with_ids), "pieces")
     n_documents = made.where(F.col("piece") == 0).count()
     return pack(made, n_documents, room, open_bins, group_documents)

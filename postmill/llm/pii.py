@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import spans as S
-from postmill.llm.common import materialise, table
+from postmill.llm.common import long_id, materialise, table
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 60
@@ -54,7 +54,7 @@ def fine_phone(value: Column) -> Column:
 
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text and the spans of the base kinds by kind and start."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(long_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     text = F.col("text")
     likely = {
         "email": F.contains(text, F.lit("@")),

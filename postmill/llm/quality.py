@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import MULTIPLIER, bounded_labels, held_out, mix, table
+from postmill.llm.common import MULTIPLIER, bounded_labels, held_out, long_id, mix, table
 from postmill.llm.linear import dual_coordinate_descent, logistic
 
 WIDTH = 1 << 18
@@ -86,7 +86,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, share: fl
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(long_id(), F.col("text").cast("string").alias("text"))
 
     def featurise(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import table
+from postmill.llm.common import long_id, table
 
 WINDOW = 8
 #: Frequent function words of four languages.
@@ -44,7 +44,7 @@ def compiled(rules: list[tuple]) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the measures of every text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    rows = docs.select(long_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     rows = rows.withColumn("words", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "")).withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     rows = rows.select(
         "doc_id",

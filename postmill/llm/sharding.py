@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import table
+from postmill.llm.common import long_id, table
 
 SLOTS, SHARDS = 16_411, 64
 
@@ -68,7 +68,7 @@ def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> Dat
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"))
+    docs = table(spark, sf_dir, "documents").select(long_id())
     return place(docs, "doc_id", names(SHARDS)).select("doc_id", "slot", "shard")
 
 

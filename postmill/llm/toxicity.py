@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import bounded_labels, held_out, table
+from postmill.llm.common import bounded_labels, held_out, long_id, table
 from postmill.llm.linear import dual_coordinate_descent, logistic
 
 DECAY, SPAN, CLASSES = 0.6, 7, 64
@@ -246,7 +246,7 @@ class Decisions(dict):
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.7, carried: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted and the carried columns of every document."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    rows = docs.select(long_id(), F.col("text").cast("string").alias("text"), *carried)
 
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
