@@ -62,7 +62,7 @@ def bounded_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     taken by a hash of doc_id, so every part of the corpus is as likely as any other.
     """
     rows = (
-        labels.select("doc_id", F.col(label).cast("int").alias("label"))
+        labels.select(long_id(), F.col(label).cast("int").alias("label"))
         .where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out("doc_id"))
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))

@@ -29,6 +29,30 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w, bias
 
 
+def dense_descent(x: np.ndarray, y: np.ndarray, cost: np.ndarray, alpha: np.ndarray | None = None, rounds: int = 40, seed: int = 1) -> tuple[np.ndarray, float, np.ndarray]:
+    """The same over the rows of a matrix, from known multipliers on: weights, bias and multipliers.
+
+    A round visits only rows that can move, those with a multiplier or inside the margin, so that many easy rows cost little.
+    """
+    alpha = np.zeros(len(x)) if alpha is None else alpha.copy()
+    w, bias = (x.T @ (alpha * y)).astype(float), float(alpha @ y)
+    square = np.einsum("ij,ij->i", x, x).astype(float) + 1.0
+    order = np.random.default_rng(seed)
+    for _ in range(rounds):
+        most = 0.0
+        for i in order.permutation(np.nonzero((alpha > 0) | (y * (x @ w + bias) < 1))[0]):
+            slope = y[i] * (float(x[i] @ w) + bias) - 1.0
+            new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
+            if (step := (new - alpha[i]) * y[i]) != 0.0:
+                alpha[i] = new
+                w += step * x[i]
+                bias += step
+                most = max(most, abs(step))
+        if most < 1e-3:
+            break
+    return w, bias, alpha
+
+
 def logistic(margins: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[float, float]:
     """Slope and offset of a logistic curve through (margin, 0/1), by Newton's method with a small ridge."""
     a, b = 1.0, 0.0

@@ -1,20 +1,24 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nyström landmarks.
 
-A text is a bag of units: its words in lower case without other characters than letters and
-digits, and runs of three or more single characters joined to one word, so that `i.d.i.o.t` and
-`i d i o t` are the unit `idiot`. Two units are compared by the normalised subsequence kernel of
-length three: every three characters in order count, with a decay for each place that they span, so
-gaps and inserted characters lower the value but little. Landmarks are units that tell toxic from
-clean training sentences, unlike one another, and ordinary ones; the kernel with them, through the
+The sentences of a text are bags of units: words in lower case without other characters than letters and
+digits, the parts of three letters or more of a word that such characters divide (`you,idiot`), and runs of
+three or more single characters joined to one word, so that `i.d.i.o.t` and `i d i o t` are the unit `idiot`.
+Two units are compared by the normalised subsequence kernel of length three: every three characters in order
+count, with a decay for each place that they span, so gaps and inserted characters lower the value but little.
+A kernel over whole sentences would count subsequences across words, which means nothing here; a sentence's
+decision is that of its units instead. Landmarks are units that tell toxic from clean training sentences,
+unlike one another, some of them with a letter put inside, and ordinary ones; the kernel with them, through the
 inverse root of their own kernel matrix, is the Nyström feature map of a linear hinge-loss model.
 
-A text's score is a logistic function of a soft maximum over its three highest units (a unit that stands
-in it twice counts twice), so that one plain insult suffices and doubtful ones support each other.
-Labels of documents reach their units so: a toxic document's highest unit among those that clean ones
-hardly have, and units found in toxic documents almost alone, are positive examples, as are these with a letter
-put inside; all units of clean documents are negative ones, of which the highest are taken up again as
-the fit is repeated. As the kernel's features are explicit (three character
-classes), weights and landmarks fold into one table of 64^3 numbers, which is all that is broadcast.
+A text's score is a logistic function of a soft maximum over its three highest units (one that stands in it
+twice counts twice; the model reads no more than three), so that one plain insult suffices and doubtful ones
+support each other. Labels of documents reach their units so: a toxic document's highest unit among those that
+clean ones hardly have, and units found in toxic documents almost alone, are positive examples, as are these
+with a letter put inside; all units of clean documents are negative ones. Units weigh as many times as
+training documents have them, up to HEAVIEST. The curve is fitted to the training documents and, at VIRTUAL of
+their weight, to clean ones with one such altered unit put in. Of training documents that are likely copies of
+one another (three least hashes of long units) one is taken. As the kernel's features are explicit (three
+character classes), weights and landmarks fold into one table of 64^3 numbers, which is all that is broadcast.
 
 The fit reads at most `per_class` labelled documents of each class (the documented bound); scoring
 reads every whole text. Cases: null, empty and wordless texts have the score of a unit without
@@ -36,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bounded_labels, held_out, long_id, table
-from postmill.llm.linear import dual_coordinate_descent, logistic
+from postmill.llm.linear import dense_descent, logistic
 
 DECAY, SPAN, CLASSES = 0.6, 7, 64
 START, END = 37, 38
@@ -46,6 +50,7 @@ LONGEST = 40
 HIGHEST = 3
 SHARPNESS = (0.5, 1.0, 2.0, 4.0)
 LETTERS = string.ascii_lowercase
+HEAVIEST, VIRTUAL = 20, 0.15
 #: Character class by code point below 128; others share the classes from 39 on.
 ASCII = np.array([ord(chr(c).lower()) - 96 if chr(c).isalpha() else 27 + c - 48 if 48 <= c <= 57 else 39 + c % 25 for c in range(128)], np.int32)
 
@@ -59,9 +64,10 @@ def units(text: str) -> Counter[str]:
 
 
 def pieces(word: str) -> list[str]:
-    """A unit without other characters; one of over LONGEST in pieces that overlap by half."""
-    word = KEEP.sub("", word)
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+    """A unit without other characters, and its parts of three or more; one of over LONGEST in pieces that overlap by half."""
+    parts = [p for p in KEEP.split(word) if p]
+    own = ["".join(parts), *(p for p in parts if len(p) >= 3)]
+    return list(dict.fromkeys(w[i : i + LONGEST] for w in own if w for i in range(0, max(1, len(w) - LONGEST // 2 if len(w) > LONGEST else 1), LONGEST // 2)))
 
 
 @lru_cache(maxsize=64)
@@ -115,6 +121,19 @@ def feature_rows(words: list[str], column: np.ndarray, width: int) -> np.ndarray
     return out[:, :width]
 
 
+def projected(words: list[str], column: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Nyström features of units: normalised explicit features times table, whose last row is for characters that no landmark has."""
+    out = np.zeros((len(words), table.shape[1]), np.float32)
+    for numbers, codes, decay in subsequences(words):
+        for at in range(0, len(numbers), 1000) if codes.shape[1] else ():
+            part = codes[at : at + 1000]
+            rows, found = column[part], np.zeros((len(part), table.shape[1]), np.float32)
+            for k, weight in enumerate(decay.astype(np.float32)):
+                found += table[rows[:, k]] * weight
+            out[numbers[at : at + 1000]] = found / np.maximum(1e-12, norms(part, decay))[:, None]
+    return out
+
+
 def landmarks(every: list[str], pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, telling: int, ordinary: int) -> list[str]:
     """Units with the largest weighted log ratio that are unlike those before them, then common clean ones."""
     ratio = (np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))) * np.sqrt(pos)
@@ -144,9 +163,9 @@ def likely_copy(own: list[str], seen: set) -> bool:
 
 
 def insertions(unit: str, n: int) -> list[str]:
-    """n virtual examples of a unit: a letter put inside, the places taking turns, the letters drawn by the unit."""
+    """Up to n virtual examples of a unit: a letter put inside, the places taking turns, the letters drawn by the unit."""
     draw = random.Random(unit)
-    return [unit[:at] + draw.choice(LETTERS) + unit[at:] for at in (1 + i % (len(unit) - 1) for i in range(n))] if len(unit) > 3 else []
+    return list(dict.fromkeys(unit[:at] + draw.choice(LETTERS) + unit[at:] for at in (1 + i % (len(unit) - 1) for i in range(n)))) if len(unit) > 3 else []
 
 
 def evidence(counted: Iterable[tuple[float, int]], bias: float) -> list[float]:
@@ -163,61 +182,82 @@ def soft_maximum(tops: np.ndarray, sharp: float) -> np.ndarray:
     return np.logaddexp.reduce(sharp * tops, axis=1) / sharp
 
 
-def fit(examples: Iterable[tuple[int, list[str]]], telling: int = 96, ordinary: int = 32, negatives: int = 4000, rounds: int = 3, inserted: int = 8) -> dict:
-    """The folded table, bias, sharpness, slope and offset. examples: (label, units with repeats)."""
-    number: dict[str, int] = {}
-    labels, own_units, times, seen = [], [], [], set()
-    for label, own in examples:
-        counts = Counter(p for u in own for p in pieces(u) if p)
-        units_of = sorted(counts)
-        if not likely_copy(units_of, seen):  # copies would make chance words look telling
-            labels.append(label)
-            own_units.append(np.array([number.setdefault(u, len(number)) for u in units_of], np.int32))
-            times.append(np.array([min(counts[u], HIGHEST) for u in units_of], np.int8))
-    every, y_docs = list(number), np.array(labels)
-    n_pos, n_neg = int(y_docs.sum()), int((1 - y_docs).sum())
-    pos, neg = (np.bincount(np.concatenate([u for u, label in zip(own_units, labels, strict=True) if label == k] or [np.empty(0, np.int32)]), minlength=len(every)) for k in (1, 0))
-    marks = landmarks(every, pos, neg, n_pos, n_neg, telling, ordinary) if every else []
-    if not marks:
-        return {"table": np.zeros(CLASSES**3, np.float32), "bias": 0.0, "sharp": 1.0, "slope": 1.0, "offset": 0.0, "landmarks": []}
+class Examples:
+    """Training documents as numbered units: which each has, how often, and in how many documents of each class a unit is."""
+
+    def __init__(self, examples: Iterable[tuple[int, list[str]]]) -> None:
+        number: dict[str, int] = {}
+        labels, self.units, self.times, seen = [], [], [], set()
+        for label, own in examples:
+            counts = Counter(p for u in own for p in pieces(u))
+            units_of = sorted(counts)
+            if not likely_copy(units_of, seen):  # copies would make chance words look telling
+                labels.append(label)
+                self.units.append(np.array([number.setdefault(u, len(number)) for u in units_of], np.int32))
+                self.times.append(np.array([min(counts[u], HIGHEST) for u in units_of], np.int8))
+        self.every, self.labels = list(number), np.array(labels, np.int64)
+        self.n_pos = int(self.labels.sum())
+        self.n_neg = len(labels) - self.n_pos
+        self.pos, self.neg = (np.bincount(np.concatenate([np.empty(0, np.int32), *(u for u, y in zip(self.units, labels, strict=True) if y == k)]), minlength=len(number)) for k in (1, 0))
+
+    def telltale(self) -> dict[int, int]:
+        """Units of toxic documents almost alone, in so many that chance would hardly make one such unit; with their documents."""
+        least = max(3.0, np.log(len(self.every)) / np.log((self.n_pos + self.n_neg) / self.n_pos))
+        return {int(i): int(self.pos[i]) for i in np.nonzero((self.pos >= least) & (50 * self.neg * self.n_pos <= self.pos * self.n_neg))[0]}
+
+
+def nystroem(marks: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Row of each subsequence's code in the table, the table (explicit to Nyström features) and the codes that have one."""
     used = sorted({int(c) for _, found, _ in subsequences(marks) for c in np.unique(found)})
     column = np.full(CLASSES**3, len(used), np.int64)
     column[used] = np.arange(len(used))
     own = feature_rows(marks, column, len(used)).astype(np.float64)
     value, vector = np.linalg.eigh(own @ own.T)
     fine = value > 1e-4
-    root = vector[:, fine] / np.sqrt(value[fine])  # kernel with landmarks -> Nyström features
+    table = own.T @ (vector[:, fine] / np.sqrt(value[fine]))
+    return column, np.vstack([table, np.zeros((1, table.shape[1]))]), used
+
+
+def fit(examples: Iterable[tuple[int, list[str]]], telling: int = 96, ordinary: int = 32, rounds: int = 3, inserted: int = 24, cost: float = 2.0, weight: float = 4000.0) -> dict:
+    """The folded table, bias, sharpness, slope and offset. examples: (label, units with repeats)."""
+    known = Examples(examples)
+    every, pos, neg, n_pos, n_neg, y_docs = known.every, known.pos, known.neg, known.n_pos, known.n_neg, known.labels
+    marks = landmarks(every, pos, neg, n_pos, n_neg, telling, ordinary) if every else []
+    if not marks:
+        return {"table": np.zeros(CLASSES**3, np.float32), "bias": 0.0, "sharp": 1.0, "slope": 1.0, "offset": 0.0, "landmarks": []}
+    telltale, clean = known.telltale(), np.nonzero(neg)[0]
+    common = {every[i] for i in clean}
+    altered = {i: own for i in telltale if (own := [v for v in insertions(every[i], inserted) if v not in common])}
+    virtual = {v: min(HEAVIEST, telltale[i]) / len(own) for i, own in altered.items() for v in own}
+    marks += [v for m in marks[: telling // 4] for v in insertions(m, 4) if v in virtual]
+    column, table, used = nystroem(marks)
+    x, x_virtual = (projected(words, column, table.astype(np.float32)) for words in (every, list(virtual)))
     belief = np.log((pos + 0.1) / (n_pos + 1)) - np.log((neg + 0.1) / (n_neg + 1))
-    clean = np.nonzero(neg)[0]
-    order = np.random.default_rng(3)
-    hard = clean[order.permutation(len(clean))[:negatives]]
     witness = neg * n_pos <= 0.1 * pos * n_neg  # a unit that clean documents have as well can't be why one is toxic
-    bags = [u[witness[u]] for u, label in zip(own_units, labels, strict=True) if label and witness[u].any()]
-    # seldom a document's highest, but positive all the same: so often in toxic documents alone that chance would hardly make one such unit
-    least = max(3.0, np.log(len(every)) / np.log((n_pos + n_neg) / n_pos))
-    telltale = {int(i): int(pos[i]) for i in np.nonzero((pos >= least) & (50 * neg * n_pos <= pos * n_neg))[0]}
-    common = {every[i] for i in clean}
-    virtual = {v: min(20, n) / inserted / 2 for i, n in telltale.items() for v in insertions(every[i], inserted) if v not in common}
+    bags = [u[witness[u]] for u, label in zip(known.units, y_docs, strict=True) if label and witness[u].any()]
     for _ in range(rounds):
         tops = Counter(int(u[np.argmax(belief[u])]) for u in bags) | Counter(telltale)
-        chosen = [*(every[i] for i in tops), *virtual, *(every[i] for i in hard)]
-        x = np.vstack([feature_rows(chosen[at : at + 500], column, len(used)) @ own.T.astype(np.float32) for at in range(0, len(chosen), 500)]) @ root
-        y = np.r_[np.ones(len(tops) + len(virtual)), -np.ones(len(hard))]
-        weight = np.r_[np.minimum(np.array(list(tops.values()), float), 20), np.array(list(virtual.values()), float), np.ones(len(hard))]
-        cost = 2.0 * weight * np.where(y > 0, len(hard) / max(1.0, weight[y > 0].sum()), 1.0)
-        w, bias = dual_coordinate_descent([(slice(None), row) for row in x], y, x.shape[1], cost, rounds=30)
-        folded = np.zeros(CLASSES**3)
-        folded[used] = own.T @ (root @ w)
-        belief = np.concatenate([decide(every[at : at + 20_000], folded, bias) for at in range(0, len(every), 20_000)])
-        worst = clean[np.argsort(-belief[clean], kind="stable")[: negatives // 2]]
-        hard = np.unique(np.r_[worst, clean[order.permutation(len(clean))[: negatives // 2]]])
-    tops_of = np.array([evidence(zip(belief[u].tolist(), n.tolist(), strict=True), bias) for u, n in zip(own_units, times, strict=True)])
-    balance = len(labels) / (2.0 * np.where(y_docs == 1, n_pos, n_neg))
+        rows = np.vstack([x[list(tops)], x_virtual, x[clean]])
+        y = np.r_[np.ones(len(tops) + len(virtual)), -np.ones(len(clean))]
+        toxic = np.r_[np.minimum(np.array(list(tops.values()), float), HEAVIEST), np.array(list(virtual.values()), float)]
+        costs = cost * np.r_[toxic * weight / max(1.0, toxic.sum()), np.minimum(neg[clean], HEAVIEST)]
+        w, bias, _ = dense_descent(rows, y, costs, rounds=30)
+        del rows
+        belief = x @ w + bias
+    folded = np.zeros(CLASSES**3)
+    folded[used] = table[:-1] @ w
+    tops_of = np.array([evidence(zip(belief[u].tolist(), n.tolist(), strict=True), bias) for u, n in zip(known.units, known.times, strict=True)])
+    y_all, share = y_docs.astype(float), len(y_docs) / (2.0 * np.where(y_docs == 1, n_pos, n_neg))
+    if virtual:
+        plain, put = tops_of[y_docs == 0], x_virtual @ w + bias
+        mixed = np.hstack([plain, put[np.arange(len(plain)) % len(put)][:, None]])
+        tops_of = np.vstack([tops_of, -np.sort(-mixed, axis=1)[:, :HIGHEST]])
+        y_all, share = np.r_[y_all, np.ones(len(plain))], np.r_[share, np.full(len(plain), VIRTUAL * len(y_docs) / 2.0 / len(plain))]
     fits = []
     for sharp in SHARPNESS:
         margins = soft_maximum(tops_of, sharp)
-        slope, offset = logistic(margins, y_docs.astype(float), balance)
-        fits.append((float(np.sum(balance * np.logaddexp(0, -(2 * y_docs - 1) * (slope * margins + offset)))), sharp, slope, offset))
+        slope, offset = logistic(margins, y_all, share)
+        fits.append((float(np.sum(share * np.logaddexp(0, -(2 * y_all - 1) * (slope * margins + offset)))), sharp, slope, offset))
     _, sharp, slope, offset = min(fits)
     return {"table": folded.astype(np.float32), "bias": float(bias), "sharp": sharp, "slope": slope, "offset": offset, "landmarks": marks}
 
@@ -232,21 +272,27 @@ class Decisions(dict):
         self.weight, self.bias = model["table"].astype(np.float64), model["bias"]
 
     def learn(self, words: Iterable[str]) -> None:
-        if len(self) > self.LIMIT:
-            self.clear()
         words = list(words)
         split = [pieces(w) for w in words]
-        single = [p[0] for p in split if len(p) == 1]
-        self.update(zip((w for w, p in zip(words, split, strict=True) if len(p) == 1), decide(single, self.weight, self.bias).tolist(), strict=True))
+        found, at = decide([p for parts in split for p in parts], self.weight, self.bias).tolist(), 0
         for word, parts in zip(words, split, strict=True):
-            if len(parts) != 1:
-                self[word] = max(decide(parts, self.weight, self.bias).tolist(), default=self.bias)
+            self[word] = max(found[at : at + len(parts)], default=self.bias)
+            at += len(parts)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.7, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted and the carried columns of every document."""
-    spark = docs.sparkSession
-    rows = docs.select(long_id(), F.col("text").cast("string").alias("text"), *carried)
+def scores(texts: Iterable[str | None], model: dict, seen: Decisions) -> list[float]:
+    """A score for each text; decisions of its words are looked up in seen, or made and put there."""
+    own = [units(x or "") for x in texts]
+    new = set().union(*own)
+    if len(seen) + len(new) > seen.LIMIT:
+        seen.clear()
+    seen.learn(new.difference(seen))
+    tops = np.array([evidence(zip(map(seen.__getitem__, us), us.values(), strict=True), model["bias"]) for us in own])
+    return (1 / (1 + np.exp(-np.clip(model["slope"] * soft_maximum(tops, model["sharp"]) + model["offset"], -30, 30)))).tolist()
+
+
+def train(docs: DataFrame, labels: DataFrame, per_class: int) -> dict | None:
+    """The model of at most per_class labelled documents a class; None unless there are both classes."""
 
     def counted(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -255,36 +301,41 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, th
             lists = [" ".join(u for u, n in sorted(units(x.as_py() or "").items()) for _ in range(min(n, HIGHEST))) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.string())], ["doc_id", "label", "units"])
 
-    train = rows.join(F.broadcast(bounded_labels(labels, "toxic", per_class)), "doc_id").select("doc_id", "label", "text")
-    got = sorted((r[0], r[1], r[2]) for r in train.mapInArrow(counted, "doc_id long, label int, units string").collect())
-    both = len({label for _, label, _ in got}) == 2
-    model = spark.sparkContext.broadcast(fit((label, own.split(" ")) for _, label, own in got) if both else None)
-    del got
+    rows = docs.select(long_id(), F.col("text").cast("string").alias("text")).join(F.broadcast(bounded_labels(labels, "toxic", per_class)), "doc_id").select("doc_id", "label", "text")
+    got = sorted((r[0], r[1], r[2]) for r in rows.mapInArrow(counted, "doc_id long, label int, units string").collect())
+    return fit((label, own.split(" ")) for _, label, own in got) if len({label for _, label, _ in got}) == 2 else None
+
+
+def with_score(rows: DataFrame, model: dict | None) -> DataFrame:
+    """row and its score; rows has one struct column `row` with a text among its fields."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m = model.value
+        m = shared.value
         seen = Decisions(m) if m else None
         for batch in batches:
-            out = []
-            if m is None:
-                out = [0.5] * batch.num_rows
-            else:
-                column = batch.column("text")
-                for at in range(0, batch.num_rows, 500):
-                    own = [units(x.as_py() or "") for x in column.slice(at, 500)]
-                    new = set().union(*own)
-                    if len(seen) + len(new) > seen.LIMIT:
-                        seen.clear()
-                    seen.learn(new.difference(seen))
-                    tops = np.array([evidence(zip(map(seen.__getitem__, us), us.values(), strict=True), m["bias"]) for us in own])
-                    out += (1 / (1 + np.exp(-np.clip(m["slope"] * soft_maximum(tops, m["sharp"]) + m["offset"], -30, 30)))).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), *(batch.column(c) for c in carried)], ["doc_id", "score", *carried])
-
-    schema = ", ".join(["doc_id long", "score double", *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)])
-    scored = rows.mapInArrow(score, schema)
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *carried)
+            texts, out = batch.column("row").field("text"), []
+            for at in range(0, batch.num_rows, 500):
+                part = [x.as_py() for x in texts.slice(at, 500)]
+                out += scores(part, m, seen) if m else [0.5] * len(part)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.float64())], ["row", "score"])
+
+    return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double")
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.7) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    model = train(docs, labels, per_class)
+    scored = with_score(docs.select(F.struct(long_id(), F.col("text").cast("string").alias("text")).alias("row")), model)
+    return scored.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.7) -> DataFrame:
+    """The documents that aren't predicted toxic, each row by its own score; all their columns travel with it."""
+    scored = with_score(docs.select(F.struct(*docs.columns).alias("row")), train(docs, labels, per_class))
+    return scored.where(F.col("score") < threshold).select("row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
