@@ -65,7 +65,7 @@ def operators(spark, docs, labels):
         "secrets": lambda: secrets.find_secrets(docs),
         "redaction": lambda: secrets.redact_secrets(docs),
         "decontaminate": lambda: decontaminate.decontaminate(docs, bench),
-        "decontaminate in blocks": lambda: decontaminate.decontaminate(docs, bench, block_words=1000),
+        "decontaminate by joins": lambda: decontaminate.decontaminate(docs, bench, index_words=0),
         "jaccard": lambda: jaccard.jaccard_classes(docs),
         "packing": lambda: packing.best_fit(docs).where("piece = 0"),
     }
@@ -85,10 +85,16 @@ def test_empty_tables(spark, labels):
     assert not decontaminate.decontaminate(none, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count()
 
 
-def test_blocks_agree(spark):
-    docs, bench = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/benchmark.parquet")
-    one, many = decontaminate.decontaminate(docs, bench), decontaminate.decontaminate(docs, bench, block_words=1000)
+def test_index_and_joined_fingerprints_agree(spark):
+    docs, bench = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{DATA}/benchmark.parquet")
+    item = bench.first().text
+    odd = [(901, item), (901, item), (None, "x " + item + " y"), (902, "tiny phrase"), (903, "a Tiny, phrase."), (904, None), (905, "")]
+    docs = docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    bench = bench.select(F.col("item_id").cast("string").alias("item_id"), "text").unionByName(spark.createDataFrame([("s1", "Tiny phrase"), ("s2", "tiny  phrase"), ("e", ""), (None, None), (None, item)], "item_id string, text string"))
+    one, many = decontaminate.decontaminate(docs, bench), decontaminate.decontaminate(docs, bench, index_words=0)
     assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+    got = Counter((r.doc_id, r.contaminated, r.n_items >= 1) for r in one.where("doc_id > 900 or doc_id is null").collect())
+    assert got == {(901, True, True): 2, (None, True, True): 1, (902, True, True): 1, (903, True, True): 1, (904, False, False): 1, (905, False, False): 1}
 
 
 @pytest.mark.parametrize("seed", range(6))
