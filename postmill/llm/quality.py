@@ -83,6 +83,16 @@ def fit(rows: list[np.ndarray], y: np.ndarray, smoothing: float = 1.0, share: fl
     return {"weight": (w * ratio).astype(np.float32), "ratio": ratio.astype(np.float32), "bias": bias, "slope": slope, "offset": offset}
 
 
+def margin(cols: np.ndarray, model: dict) -> float:
+    """The hinge-loss model's decision on a text's n-grams, scaled by ratios and to length one."""
+    norm = float(np.linalg.norm(model["ratio"][cols].astype(float)))
+    return float(model["weight"][cols].astype(float).sum()) / max(1e-9, norm) + model["bias"]
+
+
+def score_of(decision: float, model: dict) -> float:
+    return float(1 / (1 + np.exp(-np.clip(model["slope"] * decision + model["offset"], -30, 30))))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     spark = docs.sparkSession
@@ -106,15 +116,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = 1500) ->
 
         seen, m = Words(), model.value
         for batch in batches:
-            out = []
-            for text in batch.column("text"):
-                if m is None:
-                    out.append(0.5)
-                    continue
-                cols = ngrams(text.as_py(), seen)
-                norm = float(np.linalg.norm(m["ratio"][cols].astype(float)))
-                margin = float(m["weight"][cols].astype(float).sum()) / max(1e-9, norm) + m["bias"]
-                out.append(float(1 / (1 + np.exp(-np.clip(m["slope"] * margin + m["offset"], -30, 30)))))
+            out = [0.5 if m is None else score_of(margin(ngrams(text.as_py(), seen), m), m) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], ["doc_id", "score"])
 
     scored = rows.mapInArrow(score, "doc_id long, score double")

@@ -531,3 +531,116 @@ def test_pipeline_judges_rows_not_ids(spark, tmp_path):
     docs = spark.createDataFrame([(*r, "en", "s", 1) for r in odd], SCHEMA)
     found = corpus_pipeline.remove_contaminated(spark, docs, str(tmp_path))
     assert found.columns == docs.columns and {(r.doc_id, r.text) for r in found.collect()} == set(odd[2:])
+    long = " ".join(f"u{i}" for i in range(80))
+    odd = [(None, "one text here"), (None, "one text here"), (5, long), (None, long), (6, long + " more"), (9, "nine a"), (9, "nine b"), (9, "nine a"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in odd], SCHEMA)
+    found = corpus_pipeline.remove_near_duplicates(spark, docs, str(tmp_path))
+    got = Counter((r.doc_id, r.text) for r in found.collect())
+    assert found.columns == docs.columns
+    assert got in [{(None, "one text here"): 1, (5, long): 1, (9, "nine a"): 1, (9, "nine b"): 1, (None, empty): 1} for empty in (None, "")]
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Null, empty, long and repeated rows and clashing columns, and none at all, through every stage in turn."""
+    import corpus_pipeline
+
+    clean = made_up(60, 7, lambda w, d: w)
+    toxic = [(5000 + i, f"some words and xenquib number {i}", 1) for i in range(30)]
+    spark.createDataFrame([(i, 1, 0) for i, *_ in clean] + [(i, 1, 1) for i, *_ in toxic], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(30)))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in ([r[:2] for r in clean + toxic] + ODD, []):
+        docs = docs_of(spark, rows)
+        for name, stage in corpus_pipeline.STAGES:
+            found = common.materialise(stage(spark, docs, str(tmp_path)), name)
+            if name != "packing":
+                assert found.columns == docs.columns
+                docs = found
+        if not rows:
+            assert found.count() == 0
+            continue
+        kept = {(r.doc_id, r.text) for r in docs.collect()}
+        assert {(1, None), (4, "one"), (6, LONG), (7, "x" * 50_000), (None, "null id row text here")} <= kept  # 2 and 3 are as empty as 1, 5 as 4
+        assert not any("password=" in (t or "") for _, t in kept) and not kept & {r[:2] for r in toxic}
+        assert sum(len(r.ids) for r in found.collect()) == found.agg(F.sum("length")).first()[0]
+        assert found.where("piece = 0").count() == docs.count()
+
+
+def brute_decision(word, model):
+    """Kernel decision of one word under the folded table, summed subsequence by subsequence."""
+    out = []
+    for part in toxicity.pieces(word):
+        s, sums = [toxicity.START, *toxicity.ASCII[[ord(c) for c in part]].tolist(), toxicity.END], {}
+        for i in range(len(s)):
+            for k in range(i + 2, min(len(s), i + toxicity.SPAN + 1)):
+                for j in range(i + 1, k):
+                    code = (s[i] * 64 + s[j]) * 64 + s[k]
+                    sums[code] = sums.get(code, 0) + toxicity.DECAY ** (k - i + 1)
+        out.append(sum(v * float(model["table"][c]) for c, v in sums.items()) / math.sqrt(sum(v * v for v in sums.values())) + model["bias"])
+    return max(out, default=model["bias"])
+
+
+def toxic_examples(seed):
+    rows = made_up(300, seed, lambda words, draw: [*words, draw.choice(["xenquib", "wuzzcat", "yoggvex", "pliddermot"])])
+    return [(y, t.split()) for _, t, y in rows]
+
+
+def test_toxicity_score_against_brute_force():
+    model = toxicity.fit(toxic_examples(11))
+    texts = ["ba kori xenquib", "meltun sa", "", "you,wuzzcat ba! x.e.n.q.u.i.b", "xenquib xenquib ko", "w u z z c a t"]
+    for text, score in zip(texts, toxicity.scores(texts, model, toxicity.Decisions(model)), strict=True):
+        floor = max(-1.0, model["bias"])
+        top = sorted((max(floor, brute_decision(u, model)) for u, n in toxicity.units(text).items() for _ in range(n)), reverse=True)[:3]
+        top += [floor] * (3 - len(top))
+        margin = math.log(sum(math.exp(model["sharp"] * x) for x in top)) / model["sharp"]
+        assert score == pytest.approx(1 / (1 + math.exp(-(model["slope"] * margin + model["offset"]))), abs=1e-4)
+
+
+def test_folded_table_is_the_kernel_machine():
+    """The table's decision is the Nyström kernel machine's: kernel row to landmarks, whitened, times its weights."""
+    marks = ["xenquib", "wuzzcat", "badermot", "meltun"]
+    column, table, used = toxicity.nystroem(marks)
+    words = ["xenqguib", "wuzcat", "saba", "xenquib"]
+    rows = toxicity.feature_rows(marks + words, np.arange(64**3), 64**3).astype(float)
+    kernel = rows @ rows.T
+    value, vector = np.linalg.eigh(kernel[:4, :4])
+    features = kernel[4:, :4] @ vector / np.sqrt(value)
+    ours = toxicity.projected(words, column, table.astype(np.float32))
+    assert np.allclose(ours @ ours.T, features @ features.T, atol=1e-4)
+
+
+def test_an_inserted_letter_does_not_hide_an_insult():
+    model = toxicity.fit(toxic_examples(12))
+    plain = "ba kori meltun sa fo lingder"
+    assert toxicity.scores([plain], model, toxicity.Decisions(model))[0] < 0.7
+    texts = [f"{plain} {w[:at]}{c}{w[at:]} ko" for w in ("xenquib", "wuzzcat", "yoggvex", "pliddermot") for at in range(1, len(w)) for c in "jhw"]
+    caught = [s >= 0.7 for s in toxicity.scores(texts, model, toxicity.Decisions(model))]
+    assert sum(caught) / len(caught) > 0.9
+
+
+def test_dense_descent_agrees_with_the_sparse_one():
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(200, 6))
+    y = np.where(x[:, 0] - x[:, 1] + draw.normal(size=200) > 0, 1.0, -1.0)
+    one = linear.dual_coordinate_descent([(np.arange(6), r) for r in x], y, 6, np.ones(200), rounds=400)
+    two = linear.dense_descent(x, y, np.ones(200), rounds=400)
+    assert np.allclose(one[0], two[0], atol=0.02) and one[1] == pytest.approx(two[1], abs=0.02)
+
+
+def test_quality_against_brute_force():
+    """Ratios, weights' scale and the margin by a plain reading of the method."""
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice(["good", "fine", "Ok.", "x1"] if i % 2 else ["bad", "###", "x1", "lo lo"]) for _ in range(12)) for i in range(60)]
+    rows, y = [quality.ngrams(t, quality.Words()) for t in texts], np.array([i % 2 for i in range(60)])
+    model = quality.fit(rows, y)
+    columns = sorted({int(c) for r in rows for c in r})
+    count = {k: {c: 1 + sum(c in set(r.tolist()) for r, label in zip(rows, y, strict=True) if label == k) for c in columns} for k in (0, 1)}
+    total = {k: sum(count[k].values()) + quality.WIDTH - len(columns) for k in (0, 1)}
+    for c in columns:
+        ratio = math.log(count[1][c] / total[1]) - math.log(count[0][c] / total[0])
+        assert float(model["ratio"][c]) == pytest.approx(ratio, abs=1e-5)
+    w = np.array([model["weight"][c] / model["ratio"][c] if abs(model["ratio"][c]) > 1e-6 else 0 for c in columns])
+    for r, label in zip(rows, y, strict=True):
+        v = np.array([model["ratio"][c] for c in r])
+        margin = float(sum(w[columns.index(int(c))] * x for c, x in zip(r, v / np.linalg.norm(v), strict=True))) + model["bias"]
+        assert margin == pytest.approx(quality.margin(r, model), abs=1e-4) and (quality.score_of(margin, model) >= 0.5) == bool(label)
+    assert len(quality.ngrams("a b c", quality.Words())) == 3 + 1 + 1 + 1  # three words, one form, a pair and a triple of forms
