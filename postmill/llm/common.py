@@ -115,8 +115,9 @@ def kgrams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, keep: bool = False) -> DataFrame:
     """rows joined with facts, which has one row a key; `count` says how many rows have that key, `total` how many there are.
+    With keep, rows without facts stay.
 
     A key of more rows than total / HUBS would gather in one task, so its facts are broadcast; there are at
     most HUBS such keys. Their rows take part in the shuffle under a key of their own, which spreads them.
@@ -127,7 +128,8 @@ def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: i
     cold = facts.where(F.col(count) <= most).select(F.col(key).alias("_key"), F.struct(*names).alias("_cold"))
     spread = F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)
     rows = rows.join(hot, key, "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
-    rows = rows.join(cold, "_key", "left").withColumn("_facts", F.coalesce("_hot", "_cold")).where("_facts is not null")
+    rows = rows.join(cold, "_key", "left").withColumn("_facts", F.coalesce("_hot", "_cold"))
+    rows = rows if keep else rows.where("_facts is not null")
     return rows.select(*(c for c in rows.columns if not c.startswith("_")), "_facts.*")
 
 

@@ -1,18 +1,20 @@
 """Personal data: known forms, and information-theoretic sanitisation of what reveals them.
 
-Base kinds are e-mail addresses, IP addresses, card and phone numbers. A protected entity is a base
-value; its context is the `REACH` characters on either side within its line. Over the corpus, p(e)
-is the share of documents whose text has entity e, p(t) that of documents that have term t, and
-p(t, e) that of documents with t in a context of e. A term's disclosure of e is its pointwise mutual
-information log2 p(t, e) / (p(t) p(e)) as a share of e's information -log2 p(e); it is 1 if t never
-comes without e. A term that reaches `disclosure`, in at least `support` different contexts (copies
-of one passage are one context), is a span of kind `term` wherever it stands in a context of e.
+Base kinds are e-mail addresses, IP addresses, card and phone numbers. A protected entity is a base value, or
+what several share: the domain of an address, the network (first three parts) of an IP address. Over the corpus,
+p(e) is the share of documents that have entity e, p(t) that of documents that have term t (a whole word) outside
+base spans, and p(t, e) that of documents that have both, wherever in them. A term's disclosure of e is its
+pointwise mutual information log2 p(t, e) / (p(t) p(e)) as a share of e's information -log2 p(e); it is 1 if t
+never comes without e. All three count every row, repeated ones as often as they come. A term that reaches
+`disclosure` beside at least `support` different surroundings of e (the `REACH` characters on either side; copies
+of one passage are one surrounding) is a span of kind `term` wherever it stands in a document that has e.
 sanitise() generalises spans to the name of their kind and removes terms.
 
-All counts cover the whole corpus and are hash aggregates with map-side combining; the corpus's
-terms are only counted when some pair has enough support. Nothing is collected, and terms reach
-documents by equi-joins. Cases: null texts count as empty; an empty text has no spans; repeated
-rows each give a row; other columns are left out, whatever their names.
+All counts cover the whole corpus and are hash aggregates with map-side combining; the corpus's terms are only
+counted when some pair has enough support, and pairs are formed of terms that have it. Nothing is collected;
+facts of an entity or a text that very many rows share are broadcast in bounded number. Cases: null texts count
+as empty; an empty text has no spans; repeated rows each give a row; other columns are left out, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import spans as S
-from postmill.llm.common import long_id, materialise, table
+from postmill.llm.common import long_id, materialise, table, with_facts
 
 KINDS = ("email", "ip", "card", "phone")
 REACH = 60
@@ -32,7 +34,7 @@ FORMS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-TERM = r"[\p{L}\p{N}]{4,}"
+TERM = r"[\p{L}\p{N}]{2,}+"
 
 
 def fine_ip(value: Column) -> Column:
@@ -68,61 +70,83 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", base.alias("base"))
 
 
-def contexts(rows: DataFrame) -> DataFrame:
-    """A row per entity and term near it: doc_id, row, entity, context, term, start, end."""
-    near = rows.where(F.size("base") > 0).select("doc_id", "row", "text", "base", F.explode("base").alias("e"))
+def entity_keys(e: Column) -> Column:
+    """What a base span stands for: its value in one form, and the domain or network that others share."""
+    value, digits = F.lower(e["value"]), F.regexp_replace(e["value"], "[^0-9]", "")
+    own = F.when(e["kind"].isin("card", "phone"), digits).otherwise(value)
+    shared = F.when(e["kind"] == "email", F.regexp_replace(value, "^.*@", "@")).when(e["kind"] == "ip", F.regexp_replace(value, r"[0-9]+\z", ""))
+    return F.filter(F.array(*(F.concat(e["kind"], F.lit(":"), x) for x in (own, shared))), lambda x: x.isNotNull())
+
+
+def words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))
+
+
+def outside(text: str, base: str) -> Column:
+    """The text without its base spans."""
+    return S.redacted(text, base, lambda kind: F.lit("\n"))
+
+
+def bearers(found: DataFrame) -> DataFrame:
+    """(row, times, entity, around): the entities of each different text, how often that text comes, and a hash of what surrounds the entity first."""
+    texts = found.where(F.size("base") > 0).groupBy("row").agg(F.count(F.lit(1)).alias("times"), F.first("text").alias("text"), F.first("base").alias("base"))
+    each = texts.select("row", "times", "text", F.explode("base").alias("e"))
     begin = F.greatest(F.lit(0), F.col("e.start") - REACH)
-    before = F.regexp_extract(F.substring("text", begin + 1, F.col("e.start") - begin), r"[^\n]*\z", 0)
-    after = F.regexp_extract(F.substring("text", F.col("e.end") + 1, REACH), r"\A[^\n]*", 0)
-    near = near.select("doc_id", "row", "base", F.lower("e.value").alias("entity"), (F.col("e.start") - F.length(before)).alias("b0"), F.col("e.end").alias("a0"), before.alias("before"), after.alias("after"))
-    near = near.withColumn("context", F.xxhash64(F.concat("before", F.lit("\n"), "after")))
-    sides = near.select("doc_id", "row", "base", "entity", "context", F.explode(F.array(F.struct(F.col("b0").alias("at"), F.col("before").alias("s")), F.struct(F.col("a0").alias("at"), F.col("after").alias("s")))).alias("side"))
-    sides = sides.select("doc_id", "row", "base", "entity", "context", F.col("side.at").alias("at"), F.col("side.s").alias("s"))
-    sides = S.with_matches(sides, "s", {"term": (TERM, F.lit(True))}).withColumn("found", S.matches("term", len(KINDS), lambda v: F.lit(True)))
-    out = sides.select("doc_id", "row", "base", "entity", "context", "at", F.explode("found").alias("f"))
-    out = out.select("doc_id", "row", "base", "entity", "context", F.lower("f.value").alias("term"), (F.col("at") + F.col("f.start")).alias("start"), (F.col("at") + F.col("f.end")).alias("end"))
-    span = F.struct(F.col("start").alias("start"), F.col("end").alias("end"))
-    return out.where(~S.overlapping(span, F.col("base"))).drop("base")
-
-
-def disclosing(docs: DataFrame, near: DataFrame, disclosure: float, support: int) -> DataFrame | None:
-    """(entity, term) whose disclosure reaches the threshold; None if no pair has the support."""
-    entities = near.groupBy("entity").agg(F.countDistinct("context").alias("n_contexts")).where(F.col("n_contexts") >= support).select("entity")
-    pairs = near.join(entities, "entity").groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("row").alias("both")).where(F.col("contexts") >= support)
-    pairs = materialise(pairs, "pairs")
+    around = F.xxhash64(F.substring("text", begin + 1, F.col("e.start") - begin), F.lit("\n"), F.substring("text", F.col("e.end") + 1, F.lit(REACH)))
+    each = each.select("row", "times", F.explode(entity_keys(F.col("e"))).alias("entity"), F.struct(F.col("e.start"), around.alias("hash")).alias("first"))
+    return each.groupBy("row", "entity").agg(F.first("times").alias("times"), F.min("first")["hash"].alias("around"))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, borne: DataFrame, n_rows: int, disclosure: float, support: int) -> DataFrame | None:
+    """(entity, with_entity, terms): the terms whose disclosure of an entity reaches the threshold; None if no pair has the support."""
+    of_entity = borne.groupBy("entity").agg(F.countDistinct("around").alias("contexts"), F.sum("times").alias("with_entity"), F.count(F.lit(1)).alias("n")).where((F.col("contexts") >= support) & (F.col("with_entity") < n_rows))
+    of_entity = materialise(of_entity.select("entity", "with_entity", "n"), "entities")
+    if not of_entity.head(1):
+        return None
+    kept = with_facts(borne, of_entity, "entity", "n", n_rows).select("row", "entity", "times", "around")
+    plain = found.where(F.size("base") > 0).dropDuplicates(["row"]).select("row", F.explode(words(outside("text", "sorted"))).alias("term"))
+    inside = plain.join(kept.select("row").distinct(), "row")
+    seen = inside.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
+    inside = with_facts(inside, seen.withColumn("fine", F.lit(True)), "term", "n", n_rows).select("row", "term")
+    pairs = inside.join(kept, "row").groupBy("entity", "term").agg(F.countDistinct("around").alias("contexts"), F.sum("times").alias("both")).where(F.col("contexts") >= support)
+    pairs = materialise(pairs.select("entity", "term", "both"), "pairs")
     if not pairs.head(1):
         return None
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
-    # counted before the join, so that a common term meets it as one row
-    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("with_term")).join(pairs.select("term").distinct(), "term")
-    of_entity = near.groupBy("entity").agg(F.countDistinct("row").alias("with_entity"))
-    n = docs.count()
-    pmi = F.log2(F.col("both") * F.lit(n) / (F.col("with_term") * F.col("with_entity")))
-    information = -F.log2(F.col("with_entity") / F.lit(n))
-    return pairs.join(of_term, "term").join(of_entity, "entity").where((information > 0) & (pmi >= disclosure * information)).select("entity", "term")
+    others = docs.select(text.alias("text")).select(F.explode(words(F.col("text"))).alias("term"))
+    # counted before the join, so that a common term meets it as one row; words inside base spans alone are taken off again
+    hidden = found.where(F.size("base") > 0).select(F.explode(F.array_except(words(F.col("text")), words(outside("text", "sorted")))).alias("term"))
+    counts = others.select("term", F.lit(1).alias("k")).unionByName(hidden.select("term", F.lit(-1).alias("k")))
+    of_term = counts.groupBy("term").agg(F.sum("k").alias("with_term")).join(pairs.select("term").distinct(), "term")
+    pmi = F.log2(F.col("both") * F.lit(float(n_rows)) / (F.col("with_term") * F.col("with_entity")))
+    information = -F.log2(F.col("with_entity") / F.lit(float(n_rows)))
+    told = pairs.join(of_term, "term").join(of_entity, "entity").where(pmi >= disclosure * information - 1e-9)
+    return told.groupBy("entity").agg(F.first("n").alias("n"), F.collect_set("term").alias("terms"))
 
 
 def find_personal(docs: DataFrame, disclosure: float = 0.9, support: int = 3) -> DataFrame:
-    """doc_id, row, base (base spans) and spans (base spans and disclosing terms) of every document."""
-    rows = base_spans(docs).withColumn("row", F.xxhash64("doc_id", "text"))
-    near = materialise(contexts(rows), "contexts")
-    told = disclosing(docs, near, disclosure, support)
-    kept = rows.select("doc_id", "row", "base")
+    """doc_id, row (hash of the text), base (base spans) and spans (base spans and disclosing terms) of every document."""
+    some = F.size("base") > 0
+    rows = base_spans(docs).select("doc_id", F.xxhash64("text").alias("row"), "base", F.when(some, F.col("text")).alias("text"))
+    found = materialise(rows.withColumn("sorted", F.when(some, S.ordered(F.col("base"), "start", "end"))), "spans")
+    n_rows = found.count()
+    borne = materialise(bearers(found), "bearers")
+    told = disclosing(docs, found, borne, n_rows, disclosure, support)
     if told is None:
-        return kept.withColumn("spans", F.col("base"))
-    span = F.struct(F.lit("term").alias("kind"), F.lit(len(KINDS)).alias("rank"), "start", "end", F.col("term").alias("value"))
-    more = near.join(told, ["entity", "term"]).groupBy("row").agg(F.collect_set(span).alias("more"))
-    more = more.withColumn("more", F.col("more").cast(S.SPAN))
-    kept = kept.join(more, "row", "left").withColumn("more", F.coalesce("more", S.empty()))
-    return kept.select("doc_id", "row", "base", F.concat("base", S.ordered(F.col("more"), "start", "end")).alias("spans"))
+        return found.select("doc_id", "row", "base", F.col("base").alias("spans"))
+    of_row = with_facts(borne.select("row", "entity", "times"), told, "entity", "n", n_rows).groupBy("row").agg(F.first("times").alias("times"), F.flatten(F.collect_set("terms")).alias("told"))
+    marked = with_facts(found, of_row, "row", "times", n_rows, keep=True).withColumn("told", F.coalesce("told", F.array().cast("array<string>")))
+    marked = S.with_matches(marked, "text", {"term": (TERM, F.size("told") > 0)})
+    more = F.filter(S.matches("term", len(KINDS), lambda v: F.array_contains("told", F.lower(v))), lambda s: ~S.overlapping(s, F.col("base")))
+    return marked.select("doc_id", "row", "base", F.concat("base", F.when(F.size("told") > 0, more).otherwise(S.empty())).alias("spans"))
 
 
 def sanitise(docs: DataFrame, disclosure: float = 0.9, support: int = 3) -> DataFrame:
     """doc_id and text with base spans generalised to their kind and disclosing terms removed."""
-    found = find_personal(docs, disclosure, support).select("row", "spans").dropDuplicates(["row"])
-    rows = docs.withColumn("row", F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))).select("row", "doc_id", "text")
-    rows = rows.join(found, "row", "left").withColumn("spans", S.ordered(F.coalesce("spans", S.empty()), "start", "rank"))
+    found = find_personal(docs, disclosure, support)
+    spans = found.where(F.size("spans") > 0).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.first("spans").alias("spans"))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = with_facts(rows, spans, "row", "n", docs.count(), keep=True).withColumn("spans", S.ordered(F.coalesce("spans", S.empty()), "start", "rank"))
     return rows.select("doc_id", S.redacted("text", "spans", lambda kind: F.when(kind == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))).alias("text"))
 
 

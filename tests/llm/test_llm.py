@@ -348,13 +348,64 @@ def test_personal_spans(spark):
         assert [f"{s.kind}:{s.start}:{s.end}" for s in got[doc_id]] == personal(text)
 
 
+def brute_disclosing(texts, disclosure=0.9, support=3):
+    """For each text the places of its disclosing words, counted as the definition says."""
+    read = []
+    for text in texts:
+        base = [(kind, m) for kind, form in FORMS for m in re.finditer(form, text) if f"{kind}:{m.start()}:{m.end()}" in personal(text)]
+        places = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]{2,}", text) if not any(m.start() < b.end() and b.start() < m.end() for _, b in base)]
+        around = {}
+        for kind, m in sorted(base, key=lambda x: x[1].start()):
+            digits, value = re.sub("[^0-9]", "", m[0]), m[0].lower()
+            keys = [value, value[value.rindex("@") :]] if kind == "email" else [value, value[: value.rindex(".") + 1]] if kind == "ip" else [digits]
+            for key in keys:
+                around.setdefault((kind, key), (text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 60]))
+        read.append((around, places))
+    n = len(texts)
+    with_entity = Counter(e for around, _ in read for e in around)
+    with_term = Counter(t for _, places in read for t in {p[0] for p in places})
+    both = Counter((e, t) for around, places in read for e in around for t in {p[0] for p in places})
+    contexts = {}
+    for around, places in read:
+        for e, where in around.items():
+            for t in {p[0] for p in places}:
+                contexts.setdefault((e, t), set()).add(where)
+    told = set()
+    for (e, t), k in both.items():
+        if len(contexts[e, t]) >= support and with_entity[e] < n:
+            told |= {(e, t)} if math.log2(k * n / (with_term[t] * with_entity[e])) >= disclosure * -math.log2(with_entity[e] / n) - 1e-9 else set()
+    return [[(s, e) for t, s, e in places if any((key, t) in told for key in around)] for around, places in read]
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    draw, rows = random.Random(8), []
+    mails = [f"user{i}@{d}" for i in range(4) for d in ("alpha.org", "beta.net")]
+    for i in range(150):
+        words = [f"w{draw.randrange(60)}" for _ in range(draw.randrange(5, 40))]
+        for _ in range(draw.choice([0, 0, 1, 2])):
+            mail = draw.choice(mails)
+            words.insert(draw.randrange(len(words)), f"<{mail}>")
+            words += [f"friend{mail[4]}", "transport" if "alpha" in mail else "harbour,port"] if draw.random() < 0.9 else []
+        if draw.random() < 0.2:
+            words.append(f"at 10.2.3.{draw.randrange(9)} Subnét")
+        rows += [(i, " ".join(words))] * draw.choice([1, 1, 1, 4])
+    got = sorted((r.doc_id, [(s.start, s.end) for s in r.spans if s.kind == "term"]) for r in pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = brute_disclosing([t for _, t in rows])
+    assert got == sorted((i, found) for (i, _), found in zip(rows, want, strict=True))
+    told = {t[s:e].lower() for (_, t), found in zip(rows, want, strict=True) for s, e in found}
+    assert {"subnét", "harbour", "transport"} <= told and len(told) < 20
+
+
 def test_disclosing_terms(spark):
-    rows = [(i, f"filler{i} Zanzibar wrote to x@y.org about thing{i * 7} and common words") for i in range(6)] + [(50 + i, f"common words and other{i} about") for i in range(40)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: [s.value for s in r.spans if s.kind == "term"] for r in pii.find_personal(df).collect()}
-    assert all("zanzibar" in got[i] for i in range(6)) and not any("common" in x or "words" in x for x in got.values()) and not any(got[50 + i] for i in range(40))
+    rows = [(i, f"filler{i} Zanzibar wrote to x@y.org about thing{i * 7} and common words" + " a line apart" * 30 + "\nzanzibar") for i in range(6)] + [(50 + i, f"common words and other{i} wrote to about a line apart") for i in range(40)]
+    for times in (1, 4):  # repeated rows count on both sides
+        df = spark.createDataFrame(rows * times, "doc_id long, text string")
+        got = {r.doc_id: [(s.value, s.start) for s in r.spans if s.kind == "term"] for r in pii.find_personal(df).collect()}
+        assert all([w.lower() for w, _ in got[i]] == ["zanzibar"] * 2 for i in range(6)) and not any(got[50 + i] for i in range(40))
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
-    assert "Zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and "x@y.org" not in clean[0] and clean[50] == rows[6][1]
+    assert "anzibar" not in clean[0] and "[EMAIL]" in clean[0] and "x@y.org" not in clean[0] and clean[50] == rows[6][1]
+    copies = spark.createDataFrame([(i, "one notice by Quillon to a@b.cd, copied whole") for i in range(30)] + rows[6:], "doc_id long, text string")
+    assert not pii.find_personal(copies).selectExpr("explode(spans) s").where("s.kind = 'term'").count()
 
 
 def secret_base(text):
