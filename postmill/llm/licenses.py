@@ -1,17 +1,20 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient of word bigrams.
 
-Units are a text's lines, its paragraphs (between blank lines) and the whole text. With a and b
-bigrams, Dice cannot reach t unless a lies within b * t / (2 - t) and b * (2 - t) / t, so a unit is
-only compared with templates inside those bounds, and units outside all of them are dropped first.
-Templates are a literal of fixed size; everything happens inside each row.
-
-Result: doc_id, n_units (different units that match a template), license (that of the highest Dice,
-ties by name; null without one) and dice. Cases: null and empty texts match nothing; repeated rows
-each give a row; other columns are left out, whatever their names.
+Units are a text's lines, the sentences of its lines, its paragraphs (between blank lines) and the whole text.
+With a and b bigrams, Dice cannot reach t unless a lies within b * t / (2 - t) and b * (2 - t) / t, so a unit is
+only compared with templates inside those bounds, and units outside all of them are dropped first. Templates
+are short notices, standard headers, whole licence texts and the paragraphs of these that stand for themselves;
+a paragraph that several licences share has the name of their family. They are a literal of fixed size;
+everything happens inside each row. A notice inside a longer sentence is not found.
+
+Result: doc_id, n_units (different units that match a template), license (that of the highest Dice, of equals
+the one with the longer template, then by name; null without one) and dice. Cases: null and empty texts match
+nothing; repeated rows each give a row; other columns are left out, whatever their names.
 """
 
 from __future__ import annotations
 
+import os.path
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +23,13 @@ from pyspark.sql import functions as F
 from postmill.llm.common import long_id, table
 
 THRESHOLD = 0.75
-#: Public notices of common licences.
-TEMPLATES = [
+#: Public notices, headers and texts of common licences; a blank line parts paragraphs.
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
     ("BSD-2-Clause", "This software is released under the BSD 2-Clause License."),
     ("BSD-3-Clause", "This software is released under the BSD 3-Clause License."),
+    ("BSD", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -34,13 +38,44 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+WARRANTY_GPL = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+COPY_GPL3 = "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+COPY_GPL2 = "You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+BSD_FIRST = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_LAST = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+TEXTS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-2-Clause", f"{BSD_FIRST}\n\n{BSD_SOURCE}\n\n{BSD_BINARY}\n\n{BSD_LAST}"),
+    ("BSD-3-Clause", f"{BSD_FIRST}\n\n{BSD_SOURCE}\n\n{BSD_BINARY}\n\n{BSD_NAMES}\n\n{BSD_LAST}"),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"),
+    ("GPL-2.0", f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\n{WARRANTY_GPL}\n\n{COPY_GPL2}"),
+    ("GPL-3.0", f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\n{WARRANTY_GPL}\n\n{COPY_GPL3}"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\nThe origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\nAltered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\nThis notice may not be removed or altered from any source distribution."),
+]
+
+
+def all_templates() -> list[tuple[str, str]]:
+    """Notices, whole texts and their paragraphs; one that several licences share is their family's."""
+    owners: dict[str, set[str]] = {}
+    for name, text in TEXTS:
+        for part in {text, *text.split("\n\n")}:
+            owners.setdefault(part, set()).add(name)
+    shared = {part: os.path.commonprefix(sorted(names)).rstrip("-") if len(names) > 1 else min(names) for part, names in owners.items()}
+    return list(dict.fromkeys([*NOTICES, *sorted((name, part) for part, name in shared.items())]))
 
 
 def bigrams(text: str) -> list[str]:
@@ -49,24 +84,29 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+TEMPLATES = all_templates()
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_units, license, dice of every document."""
     known = [(name, bigrams(text)) for name, text in templates]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(len(b) for _, b in known) * low, max(len(b) for _, b in known) * high
-    literal = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("b")) for name, b in known))
+    literal = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.split(F.lit(",".join(b)), ",").alias("b")) for name, b in known))
     rows = docs.select(long_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    raw = F.concat(F.split("t", "\n"), F.filter(F.split("t", r"\n[\x20\t]*\n"), lambda p: F.contains(p, F.lit("\n"))), F.when(F.contains(F.col("t"), F.lit("\n")), F.array("t")).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<string>")
+    sentences = F.when(F.col("t").rlike(r"[.!?][\x20\t]"), F.split(F.regexp_replace("t", r"([.!?])[\x20\t]+", "$1\n"), "\n")).otherwise(none)
+    raw = F.concat(F.split("t", "\n"), sentences, F.filter(F.split("t", r"\n[\x20\t]*\n"), lambda p: F.contains(p, F.lit("\n"))), F.when(F.contains(F.col("t"), F.lit("\n")), F.array("t")).otherwise(none))
     # n words have n - 1 bigrams at most, so too few words are dropped unseen; too many bigrams only once they are counted
-    plain = F.filter(F.transform(raw, lambda u: F.trim(F.regexp_replace(F.lower(u), "[^a-z0-9]+", " "))), lambda u: F.size(F.split(u, " ")) > least)
-    rows = rows.select("doc_id", F.array_distinct(plain).alias("units"))
-    grams = F.transform("units", lambda u: F.array_distinct(F.zip_with(F.split(u, " "), F.slice(F.split(u, " "), 2, F.greatest(F.lit(1), F.size(F.split(u, " ")))), lambda a, b: F.concat(a, F.lit(" "), b))))
+    plain = F.array_distinct(F.transform(F.array_distinct(raw), lambda u: F.trim(F.regexp_replace(F.lower(u), "[^a-z0-9]+", " "))))
+    rows = rows.select("doc_id", F.filter(F.transform(plain, lambda u: F.split(u, " ")), lambda w: F.size(w) > least).alias("units"))
+    grams = F.transform("units", lambda w: F.array_distinct(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))))
     rows = rows.select("doc_id", F.transform(grams, lambda g: F.filter(g, lambda x: x.isNotNull())).alias("grams"))
     rows = rows.select("doc_id", F.filter("grams", lambda g: F.size(g).between(least, most)).alias("grams"))
 
     def compare(g):
         fits = F.filter(literal, lambda t: F.size(g).between(t["n"] * low, t["n"] * high))
-        found = F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["b"])) / (F.size(g) + t["n"])).alias("d"), t["name"].alias("name")))
+        found = F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["b"])) / (F.size(g) + t["n"])).alias("d"), (-t["n"]).alias("n"), t["name"].alias("name")))
         return F.array_min(F.filter(found, lambda x: x["d"] <= -threshold))
 
     rows = rows.select("doc_id", F.filter(F.transform("grams", compare), lambda x: x.isNotNull()).alias("found"))
@@ -86,13 +126,13 @@ with tpl(name, n, b) as (values {values}),
 d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 u as (
   select distinct r, trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')) as u from (
-    select r, unnest(list_concat(string_split(t, chr(10)), string_split_regex(t, '\\n[\\x20\\t]*\\n'), [t])) as u from d)),
+    select r, unnest(list_concat(string_split(t, chr(10)), string_split(regexp_replace(t, '([.!?])[\\x20\\t]+', '\\1' || chr(10), 'g'), chr(10)), string_split_regex(t, '\\n[\\x20\\t]*\\n'), [t])) as u from d)),
 w as (select r, string_split(u, ' ') as w from u where len(string_split(u, ' ')) > {least} * {THRESHOLD} / (2 - {THRESHOLD})),
 g as (select r, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) as g from w),
 f as (
-  select g.r, g.g, tpl.name, 2.0 * len(list_intersect(g.g, tpl.b)) / (len(g.g) + tpl.n) as dice
+  select g.r, g.g, tpl.name, tpl.n, 2.0 * len(list_intersect(g.g, tpl.b)) / (len(g.g) + tpl.n) as dice
   from g, tpl where len(g.g) between tpl.n * {THRESHOLD} / (2 - {THRESHOLD}) and tpl.n * (2 - {THRESHOLD}) / {THRESHOLD} and len(g.g) <= {most} * 4),
-m as (select r, g, name, dice from f where dice >= {THRESHOLD}),
-b as (select r, count(distinct g) as n_units, arg_min(name, (-dice, name)) as license, max(dice) as dice from m group by r)
+m as (select r, g, name, n, dice from f where dice >= {THRESHOLD}),
+b as (select r, count(distinct g) as n_units, arg_min(name, (-dice, -n, name)) as license, max(dice) as dice from m group by r)
 select doc_id, coalesce(n_units, 0) as n_units, license, round(dice, 6) as dice from d left join b using (r)
 """
