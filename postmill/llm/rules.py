@@ -2,7 +2,9 @@
 
 Measures are counted with array functions inside each row, without a shuffle or user function.
 Words in repeated eight-word windows are found by hashing the windows; only texts that have a
-repeated window sort them. The verdict is the conjunction of RULES, each a ratio with bounds.
+repeated window sort them. The verdict is the conjunction of RULES, each a ratio with bounds. The stop-word rule
+abstains where no list applies: if the document's lang is given and none of LISTED, or if fewer than half of
+its words have a Latin letter.
 
 Cases: null and empty texts have no words and fail the base rule; repeated rows each give a row;
 other columns are left out, whatever their names.
@@ -18,6 +20,7 @@ from postmill.llm.common import long_id, table
 WINDOW = 8
 #: Frequent function words of four languages.
 STOP_WORDS = "the of and to in is that it for on was with as be by this are at from a an or not der die das und den von zu ein eine ist mit für im auf des sich dem nicht als auch le la les de des et un une est que qui dans pour par sur du en au pas plus ce il el los las y con por del se no una su para al lo como más".split()
+LISTED = ("en", "de", "fr", "es")
 #: name, numerator, denominator, least and greatest ratio, words that a text needs for the rule to apply
 RULES = [
     ("word_length", "word_chars", "n_words", 2.0, 25.0, 1),
@@ -44,7 +47,8 @@ def compiled(rules: list[tuple]) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id and the measures of every text."""
-    rows = docs.select(long_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    listed = F.coalesce(F.lower(F.col("lang").cast("string")).isin(*LISTED), F.lit(True)) if "lang" in docs.columns else F.lit(True)
+    rows = docs.select(long_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), listed.alias("listed"))
     rows = rows.withColumn("words", F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "")).withColumn("lines", F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     rows = rows.select(
         "doc_id",
@@ -53,7 +57,8 @@ def measured(docs: DataFrame) -> DataFrame:
         (F.size(F.split("t", r"[#*$%&|<>]", -1)) - 1).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        # a text without a list counts as if every word were on it
+        F.when(F.col("listed") & (2 * F.size(F.filter("words", lambda w: w.rlike("[A-Za-z]"))) >= F.size("words")), F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS)))).otherwise(F.size("words")).cast("long").alias("n_stop_words"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
     )
     at = F.sequence(F.lit(0), F.size("hashes") - WINDOW)
@@ -80,7 +85,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = f"""
 with d as (
-  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+  select row_number() over () as r, doc_id, coalesce(text, '') as t, coalesce(lower(lang) in ('{"', '".join(LISTED)}'), true) as listed from documents),
 w as (
   select *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as words,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
@@ -93,7 +98,8 @@ m as (
   select doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
     length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols,
     len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words,
-    len(list_filter(words, lambda x: lower(x) in ({", ".join("'" + x + "'" for x in dict.fromkeys(STOP_WORDS))}))) as n_stop_words
+    case when listed and 2 * len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]'))) >= len(words) then
+      len(list_filter(words, lambda x: lower(x) in ({", ".join("'" + x + "'" for x in dict.fromkeys(STOP_WORDS))}))) else len(words) end as n_stop_words
   from w left join rep using (r)),
 f as (
   select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)

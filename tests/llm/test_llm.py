@@ -266,6 +266,34 @@ def test_packing_round_trip(spark):
         assert at <= 1024
 
 
+def test_licences_by_their_usual_words(spark):
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version."""
+    texts = dict(licenses.TEXTS)
+    rows = {
+        "GPL-3.0": "Some prose first.\n\n" + gpl + "\n\nMore prose.",
+        "BSD-3-Clause": texts["BSD-3-Clause"],
+        "BSD-2-Clause": texts["BSD-2-Clause"],
+        "BSD": "notes\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\nmore notes",
+        "MIT": "Copyright 2020 Someone\n\n" + texts["MIT"].replace(", ", ",\n"),
+        "Apache-2.0": "All of it was written at night. Licensed under the Apache License, Version 2.0. It ends here.",
+        None: "Nothing of the kind is granted here, and the software is fine.",
+    }
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows.values())], "doc_id long, text string")
+    assert [r.license for r in licenses.scan(df).orderBy("doc_id").collect()] == list(rows)
+
+
+def test_rules_abstain_without_a_stop_list(spark):
+    russian = " ".join(f"слово{i} и другое{i}" for i in range(40))
+    english, junk = " ".join(f"the word{i} of a{i}" for i in range(40)), " ".join(f"zork{i} blat{i}" for i in range(40))
+    rows = [(1, russian, None), (2, russian, "ru"), (3, english, "en"), (4, junk, None), (5, junk, "en"), (6, junk, "fi")]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == {1: (False, True), 2: (False, True), 3: (False, True), 4: (False, False), 5: (False, False), 6: (False, True)}
+    assert {r.kept for r in rules.judge(spark.createDataFrame([r[:2] for r in rows[:1]], "doc_id long, text string")).collect()} == {True}
+
+
 def naive_best_fit(lengths, room, most):
     """The open bin with the least free space that fits, the last one of equals; the fullest, the last one of equals, closes."""
     free, out, made = {}, [], 0
