@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmill.functions.text import WS, trim
+from postmill.sources.html import Selectors
 
 RESERVED = r"[<>:\"/\\|?*\x00-\x1f]"
 
@@ -20,11 +21,16 @@ class SiteProfile:
     note_path: str = r"/(?:explore|search_result|discovery/item|user/profile/[^/]+)/([a-zA-Z0-9]+)"
     id_parameter: str = "note_id"
     title_suffix: str = "小红书"
+    selectors: Selectors = Selectors()
 
 
 SITE = SiteProfile()
-#: The shape of the test tables' addresses: /<language>/<number>.
-TEST_SITE = SiteProfile(host=r"(?i)\.example\.(com|net|org)$", note_path=r"/[a-z]{2}/([a-zA-Z0-9]+)")
+#: The shape of the test tables' addresses, /<language>/<number>, and where their pages have what a note has.
+TEST_SITE = SiteProfile(
+    host=r"(?i)\.example\.(com|net|org)$",
+    note_path=r"/[a-z]{2}/([a-zA-Z0-9]+)",
+    selectors=Selectors(title=("h1",), body=("article",), date=(".ad",), author=("footer",), tags="nav a", liked=("nav a",), collected=("nav li",), comment=("nav",), shared=(".none",)),
+)
 
 
 def is_site_url(url: Column, site: SiteProfile = SITE) -> Column:
@@ -110,7 +116,12 @@ def settings_error(folder: Column, base: Column, key: Column, require_key: bool
 
 def ui_language(tag: Column) -> Column:
     tag = F.lower(F.replace(tag, F.lit("_"), F.lit("-")))
-    return F.when(tag.rlike("^zh-tw"), "zh-TW").when(tag.rlike("^zh-cn"), "zh-CN").otherwise("en")
+    return F.when(tag.rlike("^zh-tw(-|$)"), "zh-TW").when(tag.rlike("^zh-cn(-|$)"), "zh-CN").otherwise("en")
+
+
+def effective_language(tag: Column, previewed: Column) -> Column:
+    """The language that a preview asks for, if it is one of the three, else that of the tag."""
+    return F.when(previewed.isin("en", "zh-CN", "zh-TW"), previewed).otherwise(ui_language(F.coalesce(tag, F.lit("en"))))
 
 
 def message(catalogue: dict[str, str], key: Column, *values: Column) -> Column:

@@ -104,17 +104,24 @@ def https_image(url: Column, cdn: str = r"xhscdn\.com") -> Column:
     return F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).when(url.rlike(rf"(?i)\Ahttp://[^/]*{cdn}/"), F.regexp_replace(url, r"(?i)\Ahttp:", "https:")).otherwise(url)
 
 
+#: Forms of dates beyond ISO that are read, in UTC; weekdays before them are skipped.
+DATE_FORMS = ("yyyy/M/d[ H:mm[:ss]]", "yyyy-M-d[ H:mm[:ss]]", "yyyy.M.d", "M/d/yyyy[ H:mm[:ss]]", "MMM d, yyyy[ H:mm[:ss]]", "MMMM d, yyyy[ H:mm[:ss]]", "d MMM yyyy[ H:mm[:ss]]", "d MMMM yyyy[ H:mm[:ss]]")
+
+
 def iso_date(value: Column) -> Column:
     """Seconds, milliseconds, dates and timestamps as ISO text; month-day as it stands; other text unchanged; empty as null."""
     value = trim(value.cast("string"))
     number = F.try_to_number(value, F.lit("9999999999999"))
     millis = F.when(number < 10_000_000_000, number * 1000).otherwise(number)
     shape = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+    plain = F.regexp_replace(F.regexp_replace(value, r"(?i)\A(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", ""), r"(?i)\s*(?:GMT|UTC|Z)\z", "")
+    other = F.coalesce(*(F.date_format(F.try_to_timestamp(plain, F.lit(form)), shape) for form in DATE_FORMS), value)
     return (
         F.when(value == "", F.lit(None))
-        .when(value.rlike(r"\A\d{1,2}-\d{1,2}\z"), value)
+        .when(value.rlike(r"\A\d{1,2}[-/.]\d{1,2}\z"), value)
         .when(value.rlike(r"\A\d{10,13}\z"), F.date_format(F.timestamp_millis(millis.cast("long")), shape))
         .when(value.rlike(r"\A\d{4}-\d\d-\d\d([T ]\d\d:\d\d.*)?\z"), F.coalesce(F.date_format(F.try_to_timestamp(value), shape), value))
+        .when(value.rlike(r"\d") & (F.length(value) < 60), other)
         .otherwise(value)
     )
 

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.names import SITE, SiteProfile, is_site_url, note_id
-from postmill.functions.text import distinct_tags, first_text, https_image, inline_tags, iso_date, strip_site_suffix
+from postmill.functions.text import distinct_tags, first_text, https_image, inline_tags, iso_date, strip_site_suffix, trim
+from postmill.operators.scan import plain_text, unescape
 from postmill.sources.html import Page
 
 NOTE = "id string, title string, body string, author_id string, author_name string, author_avatar string, image_urls array<string>, tags array<string>, published_at string, metrics struct<liked:string,collected:string,comment:string,shared:string>"
 #: Where the embedded state is and under which names its fields come.
 STATE = r"(?s)__INITIAL_STATE__\s*=\s*(\{.*?\})\s*(?:;\s*)?</script>"
-MAPS = ("$.note.noteDetailMap", "$.note.noteDetailMap.value", "$.note.noteDetailMap._value", "$.note.value.noteDetailMap", "$.note._value.noteDetailMap")
+MAPS = ("$.note.noteDetailMap.value", "$.note.noteDetailMap._value", "$.note.noteDetailMap")
+IMAGE = "array<struct<urlDefault:string,urlPre:string,url:string,infoList:array<struct<imageScene:string,url:string>>>>"
 
 
 def at(json: Column, *paths: str) -> Column:
@@ -22,47 +25,52 @@ def at(json: Column, *paths: str) -> Column:
     return first_text(*(F.get_json_object(json, f"$.{p}") for p in paths))
 
 
+def meta_content(html: Column, name: str) -> Column:
+    """The content of the first meta element of that property or name; an empty text without one."""
+    tag = F.regexp_extract(html, rf"(?is)<meta\b(?=[^>]*\b(?:property|name)\s*=\s*[\"']{re.escape(name)}[\"'])[^>]*>", 0)
+    return trim(unescape(F.regexp_extract(tag, r"(?is)\bcontent\s*=\s*([\"'])(.*?)\1", 2)))
+
+
 def from_state(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
     """Adds data (null without embedded state). The entry whose own id is the address's wins, after it the
     preferred key's entry, then the first one in the document's order."""
-    state = F.nullif(F.regexp_extract("html", STATE, 1), F.lit(""))
+    # the state is a script's object: what it leaves undefined is none in JSON
+    state = F.regexp_replace(F.nullif(F.regexp_extract("html", STATE, 1), F.lit("")), r"(?<=[:,\[])\s*undefined(?=\s*[,}\]])", "null")
     entries = F.coalesce(*(F.map_entries(F.from_json(F.get_json_object(state, p), "map<string,string>")) for p in MAPS))
     rows = pages.withColumn("_entries", entries).withColumn("_url_id", note_id(F.col("url"), site))
 
     def rank(entry: Column, pos: Column) -> Column:
-        note = F.coalesce(F.get_json_object(entry["value"], "$.note"), entry["value"])
-        own = at(note, "noteId", "id")
+        note = F.coalesce(F.get_json_object(entry["value"], "$.note"), F.get_json_object(entry["value"], "$.data.note"), entry["value"])
+        own = at(note, "noteId", "note_id", "id")
         return F.struct((own != F.col("_url_id")).alias("other"), (entry["key"] != F.col("_url_id")).alias("key"), pos.alias("pos"), note.alias("note"))
 
     note = F.array_min(F.transform("_entries", rank))["note"]
     rows = rows.withColumn("_note", note)
     n = F.col("_note")
     tags = F.transform(F.from_json(F.get_json_object(n, "$.tagList"), "array<struct<name:string,title:string>>"), lambda t: first_text(t["name"], t["title"]))
-    images = F.transform(
-        F.from_json(F.get_json_object(n, "$.imageList"), "array<struct<urlDefault:string,urlPre:string,url:string,infoList:array<struct<imageScene:string,url:string>>>>"),
-        lambda i: https_image(first_text(i["urlDefault"], i["urlPre"], i["url"], F.get(F.filter(i["infoList"], lambda x: F.contains(F.lower(x["imageScene"]), F.lit("wb_dft"))), F.lit(0))["url"], F.get(i["infoList"], F.lit(0))["url"])),
-    )
-    body = at(n, "desc", "content", "description")
+    listed = F.coalesce(F.from_json(F.get_json_object(n, "$.imageList"), IMAGE), F.from_json(F.get_json_object(n, "$.images"), IMAGE))
+    images = F.transform(listed, lambda i: https_image(first_text(i["urlDefault"], i["urlPre"], i["url"], F.get(F.filter(i["infoList"], lambda x: F.contains(F.lower(x["imageScene"]), F.lit("wb_dft"))), F.lit(0))["url"], F.get(i["infoList"], F.lit(0))["url"])))
+    body = at(n, "desc", "description", "content")
+    counts = {"liked": ("likedCount", "liked_count"), "collected": ("collectedCount", "collected_count"), "comment": ("commentCount", "comment_count"), "shared": ("shareCount", "sharedCount", "share_count")}
     none = F.array().cast("array<string>")
     data = F.struct(
-        F.coalesce(F.nullif(at(n, "noteId", "id"), F.lit("")), "_url_id").alias("id"),
-        at(n, "title", "displayTitle").alias("title"),
+        F.coalesce(F.nullif(at(n, "noteId", "note_id", "id"), F.lit("")), "_url_id").alias("id"),
+        first_text(at(n, "title"), meta_content(F.col("html"), "og:title"), plain_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))).alias("title"),
         body.alias("body"),
-        at(n, "user.userId", "user.id", "user.user_id").alias("author_id"),
+        at(n, "user.userId", "user.user_id", "user.id").alias("author_id"),
         at(n, "user.nickname", "user.nickName", "user.name").alias("author_name"),
-        at(n, "user.avatar", "user.image").alias("author_avatar"),
+        https_image(at(n, "user.avatar", "user.image", "user.avatarUrl")).alias("author_avatar"),
         distinct_tags(F.coalesce(images, none)).alias("image_urls"),
         distinct_tags(F.coalesce(tags, none), inline_tags(body)).alias("tags"),
-        at(n, "time", "publishTime", "createTime").alias("published_at"),
-        F.struct(*(at(n, f"interactInfo.{name}Count", f"interactInfo.{name}_count").alias(name) for name in ("liked", "collected", "comment", "shared"))).alias("metrics"),
+        at(n, "time", "publishTime", "publishedAt", "lastUpdateTime").alias("published_at"),
+        F.struct(*(at(n, *(f"interactInfo.{field}" for field in fields)).alias(name) for name, fields in counts.items())).alias("metrics"),
     )
     return rows.withColumn("data", F.when(n.isNotNull(), data)).drop("_entries", "_url_id", "_note")
 
 
 def from_document(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
     """Adds data read from the page's elements, by ordered lists of selectors."""
-    suffix = site.title_suffix
-    columns = pages.columns
+    suffix, where, columns = site.title_suffix, site.selectors, pages.columns
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -70,7 +78,7 @@ def from_document(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
         from postmill.sources.html import note_fields
 
         for batch in batches:
-            fields = [note_fields(Page(html or "")) for html in batch.column("html").to_pylist()]
+            fields = [note_fields(Page(html or ""), url or "", where) for html, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist(), strict=True)]
             struct = pa.struct([(k, pa.list_(pa.string()) if k in ("image_urls", "tags") else pa.string()) for k in ("title", "body", "author_id", "author_name", "author_avatar", "image_urls", "tags", "published_at", "liked", "collected", "comment", "shared")])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fields, struct)], [*columns, "_f"])
 
@@ -81,7 +89,8 @@ def from_document(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
         note_id(F.col("url"), site).alias("id"),
         strip_site_suffix(f["title"], suffix).alias("title"),
         f["body"].alias("body"),
-        *(f[k].alias(k) for k in ("author_id", "author_name", "author_avatar")),
+        *(f[k].alias(k) for k in ("author_id", "author_name")),
+        https_image(f["author_avatar"]).alias("author_avatar"),
         distinct_tags(F.transform(f["image_urls"], https_image)).alias("image_urls"),
         distinct_tags(f["tags"], inline_tags(f["body"])).alias("tags"),
         f["published_at"].alias("published_at"),
@@ -95,7 +104,7 @@ def extract(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
     first = from_state(pages, site).withColumn("source", F.lit("initial-state"))
     second = from_document(first.where("data is null").select(*pages.columns), site).withColumn("source", F.lit("dom"))
     rows = first.where("data is not null").unionByName(second)
-    error = F.when(~is_site_url(F.col("url"), site) | (note_id(F.col("url"), site) == ""), "unsupported").when((F.col("data.title") == "") & (F.col("data.body") == ""), "not-found")
+    error = F.when(~is_site_url(F.col("url"), site) | (note_id(F.col("url"), site) == ""), "unsupported").when((F.col("source") == "dom") & (F.col("data.title") == "") & (F.col("data.body") == ""), "not-found")
     return rows.withColumn("error", error).withColumn("data", F.when(F.col("error").isNull(), F.col("data")))
 
 

@@ -17,6 +17,7 @@ from postmill.session import table
 from postmill.sources import synthetic
 
 NOW, TODAY = "2026-01-02T03:04:05.000Z", "2026-01-02"
+EMBEDDING_WIDTH = 64
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -124,12 +125,15 @@ def repair_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.repair_spacing(F.replace("text", F.lit(", "), F.lit(",")))).alias("text_md5"))
 
 
-@query(f"""with p as (select doc_id, {q_repair("string_split(text, chr(10))[1]")} as a, {q_repair("string_split(text, chr(10))[2]")} as b from documents where len(string_split(text, chr(10))) > 1)
-select doc_id, md5({q_repair("case when right(a, 1) = '-' and regexp_matches(b, '^[a-z]') then left(a, length(a) - 1) || b when regexp_matches(right(a, 1), '[A-Za-z0-9.!?,;:]') and regexp_matches(left(b, 1), '[A-Za-z]') then a || ' ' || b when regexp_matches(right(a, 1), '[A-Za-z]') and regexp_matches(left(b, 1), '[0-9]') then a || ' ' || b else a || b end")}) as joined_md5 from p""")
+@query(f"""with l as (select doc_id, i as line_no, {q_repair("s[i]")} as a, {q_repair("s[i + 1]")} as b from (select doc_id, s, unnest(range(1, len(s))) as i from (select doc_id, string_split(text, chr(10)) as s from documents)))
+select doc_id, line_no, md5({q_repair("case when right(a, 1) = '-' and regexp_matches(b, '^[a-z]') then left(a, length(a) - 1) || b when regexp_matches(right(a, 1), '[A-Za-z0-9.!?,;:]') and regexp_matches(left(b, 1), '[A-Za-z]') then a || ' ' || b when regexp_matches(right(a, 1), '[A-Za-z]') and regexp_matches(left(b, 1), '[0-9]') then a || ' ' || b else a || b end")}) as joined_md5 from l""")
 def join_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").withColumn("l", F.split("text", "\n")).where(F.size("l") > 1)
-    rows = rows.select("doc_id", T.repair_spacing(F.get("l", F.lit(0))).alias("a"), T.repair_spacing(F.get("l", F.lit(1))).alias("b"))
-    return rows.select("doc_id", F.md5(T.join_wrapped(F.col("a"), F.col("b"))).alias("joined_md5"))
+    """Every line of every text with the next one."""
+    line = F.split("text", "\n")
+    pairs = F.filter(F.transform(line, lambda x, i: F.struct((i + 1).cast("long").alias("line_no"), x.alias("a"), F.get(line, i + 1).alias("b"))), lambda x: x["b"].isNotNull())
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(pairs).alias("x"))
+    rows = rows.select("doc_id", "x.line_no", T.repair_spacing(F.col("x.a")).alias("a"), T.repair_spacing(F.col("x.b")).alias("b"))
+    return rows.select("doc_id", "line_no", F.md5(T.join_wrapped(F.col("a"), F.col("b"))).alias("joined_md5"))
 
 
 def q_clean(note: str) -> str:
@@ -196,13 +200,14 @@ def image_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part_ranges(spark, sf_dir).select("p_partkey", chosen["error"].alias("error"), F.array_join(chosen["indexes"], ",").alias("indexes"))
 
 
-@query("""with t as (select distinct conv_id, turn from conversations where (turn + conv_id) % 3 <> 0),
+@query("""with t as (select distinct conv_id, turn + turn // (2 + conv_id % 3) as turn from conversations),
 g as (select conv_id, turn, turn - row_number() over (partition by conv_id order by turn) as g from t),
 s as (select conv_id, min(turn) + 1 as a, max(turn) + 1 as b from g group by conv_id, g)
 select conv_id, string_agg(case when a = b then cast(a as varchar) else a || '-' || b end, ',' order by a) as pages from s group by 1""")
 def page_list_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where((F.col("turn") + F.col("conv_id")) % 3 != 0)
-    return rows.groupBy("conv_id").agg(F.collect_set("turn").alias("t")).select("conv_id", R.page_list(F.col("t")).alias("pages"))
+    """Turns as page numbers with gaps after every second, third or fourth one."""
+    page = (F.col("turn") + F.floor(F.col("turn") / (2 + F.col("conv_id") % 3))).cast("long")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.collect_set(page).alias("t")).select("conv_id", R.page_list(F.col("t")).alias("pages"))
 
 
 # --- export --------------------------------------------------------------------------------------
@@ -358,39 +363,75 @@ def det_resize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", size.alias("s")).select("p_partkey", "s.width", "s.height")
 
 
-@query("""with b as (select label, vec_id, list_max(embedding[1:4]) as p, list_position(embedding[1:4], list_max(embedding[1:4])) - 1 as c from embeddings),
+@query("""with b as (select label, vec_id, list_max(embedding) as p, list_position(embedding, list_max(embedding)) - 1 as c from embeddings),
 l as (select *, lag(c) over (partition by label order by vec_id) as before from b),
 k as (select *, c > 0 and c is distinct from before as kept from l)
-select label, coalesce(string_agg(case when kept then ['a', 'b', 'c'][c] end, '' order by vec_id), '') as text, round(coalesce(avg(case when kept then cast(p as double) end), 0), 6) as score from k group by 1""")
+select label, coalesce(string_agg(case when kept then chr(cast(96 + c as int)) end, '' order by vec_id), '') as text, round(coalesce(avg(case when kept then cast(p as double) end), 0), 6) as score from k group by 1""")
 def ctc_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.slice("embedding", 1, 4).alias("scores"))
-    return vision.ctc_decode(rows, ["label"], "vec_id", "scores", ["a", "b", "c"]).withColumn("score", F.round("score", 6))
+    """Every vector as a step's scores over a blank and as many letters as the vector has further places."""
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding").alias("scores"))
+    letters = [chr(97 + i) for i in range(EMBEDDING_WIDTH - 1)]
+    return vision.ctc_decode(rows, ["label"], "vec_id", "scores", letters).withColumn("score", F.round("score", 6))
 
 
 # --- notes ---------------------------------------------------------------------------------------
 H1_SQL = q_trim(q_unescape("regexp_extract(html, '<h1>([^<]*)</h1>', 1)"))
 
 
-@query(f"select page_id, {URL_SQL} as id, case when {URL_SQL} <> '' then {H1_SQL} end as title, case when {URL_SQL} = '' then 'unsupported' end as error, 'dom' as source from pages")
+def q_visible(part: str) -> str:
+    """Text of the first element of a name: line breaks as such, without tags and comments, entities read."""
+    inner = f"regexp_extract(html, '(?s)<{part}>(.*?)</{part.split(' ')[0]}>', 1)"
+    bare = f"regexp_replace(regexp_replace(regexp_replace({inner}, '(?s)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g'), '<br ?/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", "\u00a0")):
+        bare = f"replace({bare}, '{name}', '{char}')"
+    return q_trim(q_unescape(bare))
+
+
+def q_body(x: str) -> str:
+    return q_trim(f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+NAV_SQL = f"list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: {q_trim('regexp_replace(' + q_unescape('x') + ', ' + chr(39) + '^#' + chr(39) + ', ' + chr(39) * 2 + ')')})"
+CLEAN_TAG_SQL = q_trim("regexp_replace(regexp_replace(regexp_replace(" + q_trim("x") + ", '^#+', ''), '\\[话题\\]#*$', ''), '#+$', '')")
+NOTES_SQL = f"""p as (select page_id, url, html, {URL_SQL} as id, {H1_SQL} as title, {q_visible("article")} as body, {q_visible("footer")} as author, {q_visible('div class="ad"')} as date, {NAV_SQL} as nav, {q_visible("nav")} as comments from pages),
+u as (select *, list_filter(list_transform(list_concat(nav, regexp_extract_all(body, '#([^#\\s]+)', 1)), lambda x: {CLEAN_TAG_SQL}), lambda x: x <> '') as every from p),
+n as (select * exclude (html, every), list_filter(every, lambda x, i: list_position(every, x) = i) as tags from u where id <> '')"""
+
+
+@query(f"""with {NOTES_SQL} select q.page_id, {URL_SQL.replace('url', 'q.url', 1)} as id, n.title, md5(n.body) as body_md5, n.author, n.date as published_at, array_to_string(n.tags, '|') as tags, n.nav[1] as liked, n.comments as comment, case when n.page_id is not null then 0 end as n_images,
+  case when n.page_id is null then 'unsupported' end as error, 'dom' as source from pages q left join n on n.page_id = q.page_id""")
 def extract_note(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    rows = extract.extract(pages, N.TEST_SITE)
-    return rows.select("page_id", N.note_id(F.col("url"), N.TEST_SITE).alias("id"), F.col("data.title").alias("title"), "error", "source")
+    rows = extract.extract(table(spark, sf_dir, "pages"), N.TEST_SITE)
+    d = F.col("data")
+    fields = {"title": d["title"], "body_md5": F.md5(d["body"]), "author": d["author_name"], "published_at": d["published_at"], "tags": F.array_join(d["tags"], "|"), "liked": d["metrics"]["liked"], "comment": d["metrics"]["comment"], "n_images": F.when(d.isNotNull(), F.size(d["image_urls"]))}
+    return rows.select("page_id", N.note_id(F.col("url"), N.TEST_SITE).alias("id"), *(v.alias(k) for k, v in fields.items()), "error", "source")
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of the pages, and as their images' text the title (first image) and the author's line (third)."""
     rows = extract.normalise(extract.extract(table(spark, sf_dir, "pages"), N.TEST_SITE).where("error is null"), NOW)
-    return rows.withColumn("body", F.lit(None).cast("string"))
+    results = (F.struct(F.lit(i).alias("image_index"), F.col(c).alias("text")) for i, c in ((0, "title"), (2, "author_name")))
+    return rows.withColumn("ocr", F.array(*results))
 
 
-FRONT_SQL = f"""n as (select page_id, url, {URL_SQL} as id, coalesce(nullif({H1_SQL}, ''), 'Untitled Xiaohongshu note') as title from pages where {URL_SQL} <> ''),
-m as (select page_id, id, concat_ws(chr(10), '---', 'title: ' || cast(to_json(title) as varchar), 'source: ' || cast(to_json(url) as varchar), 'platform: "xiaohongshu"', 'note_id: ' || cast(to_json(id) as varchar), 'author: "Unknown author"', 'author_id: ""', 'published_at: ""', 'captured_at: "{NOW}"', 'tags: []', 'liked_count: ""', 'collected_count: ""', 'comment_count: ""', 'shared_count: ""', 'ocr: false', 'ocr_image_count: 0', '---') || chr(10) || chr(10) || '# ' || title || chr(10) as md from n)"""
+def q_front(*pairs: str) -> str:
+    return ", ".join(f"'{k}: ' || {v}" for k, v in zip(pairs[::2], pairs[1::2], strict=True))
+
+
+def q_json(x: str) -> str:
+    return f"cast(to_json({x}) as varchar)"
+
+
+FRONT_SQL = f"""{NOTES_SQL},
+m as (select page_id, id, concat_ws(chr(10), '---', {q_front("title", q_json("coalesce(nullif(title, ''), 'Untitled Xiaohongshu note')"), "source", q_json("url"), "platform", "'\"xiaohongshu\"'", "note_id", q_json("id"), "author", q_json("coalesce(nullif(author, ''), 'Unknown author')"), "author_id", "'\"\"'", "published_at", q_json("date"), "captured_at", f"'\"{NOW}\"'")},
+  'tags: [' || array_to_string(list_transform(tags, lambda x: {q_json("x")}), ', ') || ']', {q_front("liked_count", q_json("coalesce(nav[1], '')"), "collected_count", q_json("coalesce(nav[1], '')"), "comment_count", q_json("comments"), "shared_count", "'\"\"'")}, 'ocr: true', 'ocr_image_count: 2', '---')
+  || chr(10) || chr(10) || '# ' || coalesce(nullif(title, ''), 'Untitled Xiaohongshu note') || case when {q_body("body")} <> '' then chr(10) || chr(10) || '## Content' || chr(10) || chr(10) || {q_body("body")} else '' end
+  || chr(10) || chr(10) || '## Text from images' || chr(10) || chr(10) || '### Image 1' || chr(10) || chr(10) || {q_body("coalesce(nullif(title, ''), 'Untitled Xiaohongshu note')")} || chr(10) || chr(10) || '### Image 3' || chr(10) || chr(10) || {q_body("coalesce(nullif(author, ''), 'Unknown author')")} || chr(10) as md from n)"""
 
 
 @query(f"with {FRONT_SQL} select page_id, md as markdown from m")
 def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = notes(spark, sf_dir).withColumn("tags", F.array().cast("array<string>"))
-    return rows.select("page_id", render.markdown("en").alias("markdown"))
+    return notes(spark, sf_dir).select("page_id", render.markdown("en", include_ocr=True).alias("markdown"))
 
 
 @query(f"with {FRONT_SQL} select page_id, id as note_id from m")
@@ -419,15 +460,25 @@ def q_text(x: str | None) -> str:
     return "null" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-@query("select * from (values " + ", ".join(f"({i}, {q_text(e)})" for i, (*_, e) in enumerate(DRAFTS)) + ") t(draft, error)")
+DRAFT_VALUES = ", ".join(f"({i}, {q_text(f)}, {q_text(b)}, {q_text(k)})" for i, (f, b, k, _) in enumerate(DRAFTS))
+
+
+@query(f"""with d as (select draft, regexp_replace(replace(trim(folder), '\\', '/'), '^/+|/+$', '', 'g') as folder, regexp_replace(trim(base), '/+$', '') as base, regexp_replace(trim(key), '(?i)^Bearer\\s+', '') as key from (values {DRAFT_VALUES}) t(draft, folder, base, key)),
+u as (select *, lower(regexp_extract(base, '(?i)^(https?)://([^/:?#]+):(\\d+)$', 1)) as scheme, lower(regexp_extract(base, '(?i)^(https?)://([^/:?#]+):(\\d+)$', 2)) as host, regexp_extract(base, '(?i)^(https?)://([^/:?#]+):(\\d+)$', 3) as port from d)
+select draft, case when folder = '' then 'note-folder-required'
+  when len(list_filter(string_split(folder, '/'), lambda s: s in ('', '.', '..') or regexp_matches(s, '[\\x00-\\x1f:*?"<>|]'))) > 0 then 'note-folder-invalid'
+  when base = '' then 'api-url-required' when scheme = '' or (scheme = 'http' and port = '80') or (scheme = 'https' and port = '443') then 'api-url-invalid'
+  when host not in ('127.0.0.1', 'localhost') then 'api-url-not-local' when key = '' then 'api-key-required' end as error from u""")
 def settings_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(i, f, b, k) for i, (f, b, k, _) in enumerate(DRAFTS)], "draft int, folder string, base string, key string")
     return rows.select("draft", N.settings_error(F.col("folder"), F.col("base"), F.col("key")).alias("error"))
 
 
-@query("select * from (values " + ", ".join(f"('{a}', '{b}')" for a, b in LOCALES) + ") t(tag, language)")
+@query(f"""select tag, previewed, case when previewed in ('en', 'zh-CN', 'zh-TW') then previewed when l = 'zh-tw' or l like 'zh-tw-%' then 'zh-TW' when l = 'zh-cn' or l like 'zh-cn-%' then 'zh-CN' else 'en' end as language
+from (select tag, previewed, lower(replace(tag, '_', '-')) as l from (values {", ".join(f"({q_text(a)})" for a, _ in LOCALES)}) t(tag), (values (null), ('zh-TW'), ('fr')) p(previewed))""")
 def locale_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(a,) for a, _ in LOCALES], "tag string").select("tag", N.ui_language(F.col("tag")).alias("language"))
+    rows = spark.createDataFrame([(a, p) for a, _ in LOCALES for p in (None, "zh-TW", "fr")], "tag string, previewed string")
+    return rows.select("tag", "previewed", N.effective_language(F.col("tag"), F.col("previewed")).alias("language"))
 
 
 # --- pieces that larger operators use --------------------------------------------------------------

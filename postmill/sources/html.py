@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 SIMPLE = re.compile(r"^([a-zA-Z0-9*]+)?((?:[.#][\w-]+|\[[^\]]+\]|:not\(\.[\w-]+\))*)$")
@@ -20,15 +22,25 @@ class Node:
                 yield from kid.walk()
 
     def text(self) -> str:
+        """Visible text: without scripts and styles, line breaks as such, trimmed."""
         out, todo = [], [self]
         while todo:
             x = todo.pop()
             if isinstance(x, str):
                 out.append(x)
+            elif x.tag == "br":
+                out.append("\n")
             elif x.tag not in ("script", "style"):
                 todo.extend(reversed(x.kids))
         return "".join(out).strip()
 
+    def inside(self, options: list[str]) -> bool:
+        """Whether the element or one around it fits one of the simple selectors."""
+        x = self
+        while x is not None and not any(x.fits(o) for o in options):
+            x = x.up
+        return x is not None
+
     def fits(self, simple: str) -> bool:
         found = SIMPLE.match(simple)
         if not found or (found[1] not in (None, "*") and found[1].lower() != self.tag):
@@ -42,7 +54,7 @@ class Node:
             elif part[0] == ":":
                 fine = part[6:-1] not in classes
             else:
-                name, op, value = re.match(r"\[([\w-]+)([*^]?=)?\"?([^\"\]]*)", part).groups()
+                name, op, value = re.match(r"\[([\w-]+)([*^]?=)?[\"']?([^\"'\]]*)", part).groups()
                 own = self.attrs.get(name)
                 fine = own is not None and {None: True, "=": own == value, "*=": value in own, "^=": own.startswith(value)}[op]
             if not fine:
@@ -107,40 +119,57 @@ class Page(HTMLParser):
         return ""
 
 
-#: Where a note's fields are, in the order in which they are tried.
-SCOPES = [".note-detail-mask", "#noteContainer", "main.note-content", ".note-container", "main", "article"]
-TITLE = ["#detail-title", ".note-content .title", ".title", "h1"]
-BODY = ["#detail-desc .note-text", "#detail-desc", ".note-content .desc", ".desc", "article"]
-AUTHOR = [".author-wrapper .username", ".author .name", ".username", ".author-name"]
-DATE = [".bottom-container .date", ".date", "time"]
-COUNTS = {"liked": [".like-wrapper .count", ".engage-bar .like .count"], "collected": [".collect-wrapper .count", ".engage-bar .collect .count"], "comment": [".chat-wrapper .count", ".engage-bar .chat .count"], "shared": [".share-wrapper .count", ".engage-bar .share .count"]}
-SKIPPED = {"header", "nav"}
-
-
-def note_fields(page: Page) -> dict:
+@dataclass(frozen=True)
+class Selectors:
+    """Where a note's fields are, in the order in which they are tried; the default lists are the site's fixed values.
+
+    The detail root is the first of `detail` that the page has, else the page; the content root the first of
+    `content` inside it, else the detail root. Title, body and date are sought in the content root, the others in
+    the detail root.
+    """
+
+    detail: tuple[str, ...] = (".note-detail-mask", "#noteContainer")
+    content: tuple[str, ...] = (".note-content", ".note-scroller")
+    title: tuple[str, ...] = ("#detail-title", ".note-content .title", ".title")
+    body: tuple[str, ...] = ("#detail-desc", ".note-text", ".desc", ".content")
+    date: tuple[str, ...] = (".date", ".publish-time", ".bottom-container .date")
+    images: tuple[str, ...] = (".swiper-slide:not(.swiper-slide-duplicate) img", ".note-slider img, .carousel img")
+    not_images: tuple[str, ...] = (".author-wrapper", ".avatar", "header", "nav")
+    image_host: str = r"xhscdn\.com|xiaohongshu\.com"
+    author: tuple[str, ...] = (".author-wrapper .name", ".author .name", ".username", "a[href*='/user/profile/']")
+    author_link: str = ".author-wrapper a[href*='/user/profile/'], a.author[href*='/user/profile/'], .info a.name[href*='/user/profile/']"
+    author_id: str = r"/user/profile/([^/?#]+)"
+    avatar: str = ".author-wrapper img, .author img, img.avatar"
+    tags: str = "a.tag, .tag-list a, #detail-desc a"
+    liked: tuple[str, ...] = (".interact-container .like-wrapper .count", ".engage-bar-style .like-wrapper .count", ".like-wrapper .count")
+    collected: tuple[str, ...] = (".interact-container .collect-wrapper .count", ".engage-bar-style .collect-wrapper .count", ".collect-wrapper .count")
+    comment: tuple[str, ...] = (".interact-container .chat-wrapper .count", ".engage-bar-style .chat-wrapper .count", ".chat-wrapper .count")
+    shared: tuple[str, ...] = (".interact-container .share-wrapper .count", ".engage-bar-style .share-wrapper .count", ".share-wrapper .count")
+
+
+def note_fields(page: Page, url: str = "", where: Selectors = Selectors()) -> dict:
     """Raw fields of a note from a page's elements; empty texts where nothing is found."""
-    root = next((found[0] for s in SCOPES if (found := page.select(s))), page.root)
-    images = page.select(".swiper-slide:not(.swiper-slide-duplicate) img", root) or page.select(".note-slider img, .carousel img", root)
 
-    def shown(node: Node) -> bool:
-        x = node.up
-        while x is not None:
-            if x.tag in SKIPPED or "avatar" in x.attrs.get("class", ""):
-                return False
-            x = x.up
-        return True
+    def first(options: tuple[str, ...], root: Node) -> Node | None:
+        return next((found[0] for s in options if (found := page.select(s, root))), None)
+
+    def address(node: Node | None, name: str) -> str:
+        value = node.attrs.get(name, "") if node else ""
+        return urljoin(url, value) if value else ""
 
-    links = page.select("a[href*=/user/profile/]", root)
-    author = links[0].attrs.get("href", "") if links else ""
-    avatars = page.select(".author-wrapper img, .author img, .avatar img", root)
+    detail = first(where.detail, page.root) or page.root
+    content = first(where.content, detail) or detail
+    images = next((found for s in where.images if (found := page.select(s, detail))), [])
+    sources = [n.attrs.get("data-src") or address(n, "src") for n in images if not n.inside(list(where.not_images))]
+    link = first((where.author_link,), detail)
     return {
-        "title": page.first_text(TITLE, root) or page.meta("og:title") or page.first_text(["title"]),
-        "body": page.first_text(BODY, root) or page.meta("description"),
-        "author_id": (re.search(r"/user/profile/([^/?#]+)", author) or ["", ""])[1],
-        "author_name": page.first_text(AUTHOR, root) or (links[0].text() if links else ""),
-        "author_avatar": avatars[0].attrs.get("src", "") if avatars else "",
-        "image_urls": list(dict.fromkeys(n.attrs.get("src", "") for n in images if shown(n) and n.attrs.get("src"))),
-        "tags": [re.sub("^#", "", n.text()).strip() for n in page.select("a.tag, .tag-list a, #detail-desc a", root)],
-        "published_at": page.first_text(DATE, root),
-        **{k: page.first_text(s, root) for k, s in COUNTS.items()},
+        "title": page.first_text(list(where.title), content) or page.meta("og:title") or " ".join(page.first_text(["title"]).split()),
+        "body": page.first_text(list(where.body), content) or page.meta("description") or page.meta("og:description"),
+        "author_id": (re.search(where.author_id, urlsplit(address(link, "href")).path) or ["", ""])[1],
+        "author_name": page.first_text(list(where.author), detail),
+        "author_avatar": address(first((where.avatar,), detail), "src"),
+        "image_urls": [s for s in sources if re.search(where.image_host, s, re.IGNORECASE)],
+        "tags": [re.sub("^#", "", n.text()).strip() for n in page.select(where.tags, detail)],
+        "published_at": page.first_text(list(where.date), content),
+        **{k: page.first_text(list(getattr(where, k)), detail) for k in ("liked", "collected", "comment", "shared")},
     }

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from postmill.functions import text as T
 from postmill.operators import export, extract, jobs, scan, vision
 from postmill.sources.packages import character_list, tar_members
 from postmill.streaming.jobs import START, advance, reduce_stream, shown
@@ -18,11 +19,70 @@ def page(notes: dict) -> str:
     return f"<html><script>window.__INITIAL_STATE__={json.dumps({'note': {'noteDetailMap': notes}}, ensure_ascii=False)}</script></html>"
 
 
-DOM = """<main><div class="x"><span class="username">Decoy</span></div></main>
-<div class="note-detail-mask"><div class="author-wrapper"><a href="/user/profile/u-cmu?x=1"><span class="username">CMU Author</span></a></div>
-<div class="swiper-slide swiper-slide-duplicate"><img src="https://a/2.jpg"></div><div class="swiper-slide"><img src="//a/1.jpg"></div><div class="swiper-slide"><img src="https://a/2.jpg"></div>
-<div id="detail-title">DOM 标题 - 小红书</div><div id="detail-desc">正文 #测试</div><div class="bottom-container"><span class="date">06-26</span></div>
-<div class="like-wrapper"><span class="count">186</span></div><div class="collect-wrapper"><span class="count">121</span></div><div class="chat-wrapper"><span class="count">11</span></div></div>"""
+VISIBLE = """
+      <main class="note-content">
+        <h1 class="title">DOM 标题</h1>
+        <div id="detail-desc">DOM 正文 #城市</div>
+        <div class="author-wrapper"><span class="name">DOM 作者</span></div>
+        <div class="swiper-slide"><img src="https://sns-webpic-qc.xhscdn.com/dom.jpg"></div>
+      </main>
+"""
+DOM = """
+      <aside><a href="/user/profile/wrong"><span class="name">Wrong author</span></a></aside>
+      <section class="note-detail-mask">
+        <div class="media-container">
+          <div class="swiper-slide"><img src="https://sns-webpic-qc.xhscdn.com/1.jpg"></div>
+          <div class="swiper-slide swiper-slide-duplicate"><img src="https://sns-webpic-qc.xhscdn.com/1.jpg"></div>
+          <div class="swiper-slide"><img src="https://sns-webpic-qc.xhscdn.com/2.jpg"></div>
+        </div>
+        <div class="author-wrapper">
+          <a class="name" href="/user/profile/u-cmu">CMU Author</a>
+        </div>
+        <main class="note-content">
+          <h1 id="detail-title">CMU title</h1>
+          <div id="detail-desc">CMU body #CMU</div>
+          <div class="bottom-container"><span class="date">06-26</span></div>
+        </main>
+        <div class="interact-container">
+          <span class="like-wrapper"><span class="count">186</span></span>
+          <span class="collect-wrapper"><span class="count">121</span></span>
+          <span class="chat-wrapper"><span class="count">11</span></span>
+        </div>
+      </section>
+"""
+LAZY = """<head><title>Shown | 小红书</title><meta name="description" content="meta body"></head><div id="noteContainer">
+<div class="note-scroller"><div class="content">scrolled<br>body</div><span class="publish-time">2026/07/26</span></div>
+<div class="author"><img src="/me.png"><span class="name">An author</span></div>
+<div class="carousel"><img src="data:image/gif;base64,R0" data-src="//sns-img.xhscdn.com/lazy.jpg"><img src="https://elsewhere.example/x.jpg"><div class="avatar"><img src="https://sns-img.xhscdn.com/face.jpg"></div></div>
+<a class="tag" href="#">#city</a><div class="engage-bar-style"><span class="share-wrapper"><i class="count">7</i></span></div></div>"""
+
+
+def test_document_source(spark):
+    rows = [(0, URL, VISIBLE), (1, URL, DOM), (2, URL, LAZY)]
+    got = [r.data for r in extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).orderBy("page_id").collect()]
+    a, b, c = got
+    assert (a.title, a.body, a.author_name, a.image_urls, a.tags) == ("DOM 标题", "DOM 正文 #城市", "DOM 作者", ["https://sns-webpic-qc.xhscdn.com/dom.jpg"], ["城市"])
+    assert (b.title, b.author_id, b.author_name, b.published_at) == ("CMU title", "u-cmu", "CMU Author", "06-26")
+    assert b.image_urls == [f"https://sns-webpic-qc.xhscdn.com/{i}.jpg" for i in (1, 2)]
+    assert (b.metrics.liked, b.metrics.collected, b.metrics.comment, b.metrics.shared) == ("186", "121", "11", "")
+    assert (c.title, c.body, c.published_at, c.author_name, c.metrics.shared, c.tags) == ("Shown", "scrolled\nbody", "2026/07/26", "An author", "7", ["city"])
+    assert (c.image_urls, c.author_avatar) == (["https://sns-img.xhscdn.com/lazy.jpg"], "https://www.xiaohongshu.com/me.png")
+
+
+def test_state_fields(spark):
+    own = {"note_id": "abc123", "description": "d", "content": "c", "images": [{"infoList": [{"imageScene": "x", "url": "//a/0.jpg"}, {"imageScene": "WB_DFT", "url": "//a/1.jpg"}]}], "user": {"user_id": 7, "name": "N", "avatarUrl": "//a/me.jpg"}, "interactInfo": {"share_count": 3, "liked_count": 0}, "lastUpdateTime": 1753516200000}
+    wrapped = page({"value": {"zzz": {"data": {"note": own}}}, "_value": {"abc123": {"note": {"noteId": "abc123", "title": "wrong"}}}}).replace('"content"', '"gone": undefined, "content"')
+    row = (0, URL, '<title>A  title</title><meta content="Meta &amp; title" property="og:title">' + wrapped)
+    got = extract.extract(spark.createDataFrame([row], "page_id int, url string, html string")).first()
+    d = got.data
+    assert (got.source, d.id, d.title, d.body, d.author_id, d.author_name, d.author_avatar) == ("initial-state", "abc123", "Meta & title", "d", "7", "N", "https://a/me.jpg")
+    assert (d.image_urls, d.metrics.shared, d.metrics.liked, d.published_at) == (["https://a/1.jpg"], "3", "0", "1753516200000")
+
+
+def test_dates(spark):
+    cases = {"2026/07/26": "2026-07-26T00:00:00.000Z", "Jul 26, 2026": "2026-07-26T00:00:00.000Z", "Sun, 26 Jul 2026 07:50:00 GMT": "2026-07-26T07:50:00.000Z", "07/26": "07/26", "7.26": "7.26", "2026-7-6 8:05": "2026-07-06T08:05:00.000Z", "3 days ago": "3 days ago", "yesterday": "yesterday", "": None}
+    rows = spark.createDataFrame([(k,) for k in cases], "v string").select("v", T.iso_date(F.col("v")).alias("d")).collect()
+    assert {r.v: r.d for r in rows} == cases
 
 
 def test_extract(spark):
@@ -31,8 +91,8 @@ def test_extract(spark):
     got = {r.page_id: r for r in extract.extract(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()}
     a, b = got[0], got[1]
     assert (a.source, a.data.id, a.data.tags, a.data.metrics.liked, a.data.image_urls) == ("initial-state", "abc123", ["杭州", "旅行"], "10", ["https://a/1.jpg", "https://a/2.jpg"])
-    assert (b.source, b.data.title, b.data.author_id, b.data.author_name, b.data.published_at) == ("dom", "DOM 标题", "u-cmu", "CMU Author", "06-26")
-    assert b.data.image_urls == ["https://a/1.jpg", "https://a/2.jpg"] and (b.data.metrics.liked, b.data.metrics.collected, b.data.metrics.comment) == ("186", "121", "11")
+    assert (b.source, b.data.title, b.data.author_id, b.data.author_name, b.data.published_at) == ("dom", "CMU title", "u-cmu", "CMU Author", "06-26")
+    assert b.data.image_urls == ["https://sns-webpic-qc.xhscdn.com/1.jpg", "https://sns-webpic-qc.xhscdn.com/2.jpg"] and (b.data.metrics.liked, b.data.metrics.collected, b.data.metrics.comment) == ("186", "121", "11")
     assert (got[2].error, got[3].error) == ("unsupported", "not-found")
     note = extract.normalise(extract.extract(spark.createDataFrame(rows[:1], "page_id int, url string, html string")), "now").first()
     assert (note.cover, note.published_at, note.images[1]["index"]) == ("https://a/1.jpg", "2025-07-26T07:50:00.000Z", 1)
