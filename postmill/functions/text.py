@@ -44,15 +44,19 @@ def plain_key(text: str) -> str:
 
 def repair_spacing(col: Column) -> Column:
     """Spacing of recognised text: runs collapsed, none before closing or after opening marks, some after
-    punctuation between words and between Han and Latin letters."""
+    punctuation between words and between Han and Latin letters.
+
+    No rule makes or parts a pair of a Han and a Latin letter but the two for these; so they come first, and only
+    where a character as high as Han ones is seen.
+    """
+    parted = F.regexp_replace(F.regexp_replace(col, r"(\p{IsHan})([A-Za-z])", "$1 $2"), r"([A-Za-z])(\p{IsHan})", "$1 $2")
+    col = F.when(col.rlike(r"[\x{2E80}-\x{10FFFF}]"), parted).otherwise(col)
     for pattern, to in (
         (r"[\t\f\x0B ]+", " "),
         (rf"{WS}+([,.;:!?%）)\]}}])", "$1"),
         (rf"([（(\[{{]){WS}+", "$1"),
         (r"([A-Za-z0-9][,;:!?])(?=[A-Za-z])", "$1 "),
         (r"([A-Za-z0-9]\.)(?=[A-Z])", "$1 "),
-        (r"(\p{IsHan})([A-Za-z])", "$1 $2"),
-        (r"([A-Za-z])(\p{IsHan})", "$1 $2"),
     ):
         col = F.regexp_replace(col, pattern, to)
     return trim(col)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from postmill.functions.text import clean_body, repair_spacing, search_key
+from postmill.functions.text import clean_body, nfkc, repair_spacing, search_key
+from postmill.session import materialise, with_facts
 
 SHORTEST_KEY = 12
 
@@ -25,20 +26,43 @@ def collapse_adjacent(lines: DataFrame, keys: list[str], order: list[str], text:
     return rows.withColumn("_k", F.row_number().over(rank)).where("_k = 1").drop("_n", "_new", "_k", "_run")
 
 
+def repeats(keyed: DataFrame, order: list[str]) -> DataFrame:
+    """The first place and the number of rows of every key that comes more than once."""
+    return keyed.groupBy("key").agg(F.min(F.struct(*order)).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def first_long_lines(lines: DataFrame, note: str, order: list[str], text: str, normalise: bool = True) -> DataFrame:
-    """Drops a line whose key of at least SHORTEST_KEY characters came before in the same note; blank and short ones stay."""
-    rows = lines.withColumn("_key", search_key(F.col(text), normalise))
-    first = rows.where(F.length("_key") >= SHORTEST_KEY).groupBy(note, "_key").agg(F.min(F.struct(*order)).alias("_first"))
-    rows = rows.join(first, [note, "_key"], "left")
-    return rows.where(F.col("_first").isNull() | (F.col("_first") == F.struct(*order))).drop("_key", "_first")
+    """Drops a line whose key of at least SHORTEST_KEY characters came before in the same note; blank and short ones stay.
+
+    Keys are made once and compared by their MD5 with the note; lines without one go past the join.
+    """
+    found = search_key(F.col(text), normalise)
+    rows = lines.select(F.struct(*lines.columns).alias("row"), found.alias("found"), F.struct(*order).alias("at"))
+    key = F.when(F.length("found") >= SHORTEST_KEY, F.md5(F.concat(F.col(f"row.{note}").cast("string"), F.lit("\x1f"), F.col("found"))))
+    rows = materialise(rows.select("row", "at", key.alias("key")), "lines")
+    long = rows.where("key is not null")
+    told = with_facts(long, repeats(long, ["at"]), "key", "n", rows.count(), keep=True)
+    kept = told.where("first is null or first.at = at").select("row")
+    return rows.where("key is null").select("row").unionByName(kept).select("row.*")
 
 
 def clean_texts(results: DataFrame, note: str, image: str, text: str = "text", normalise: bool = True) -> DataFrame:
-    """The text path of cross-image cleaning: spacing repaired, long lines once per note, empty results dropped."""
-    rows = results.select(note, image, F.posexplode(F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), "\n")).alias("line_no", "line")).withColumn("line", repair_spacing(F.col("line")))
-    kept = first_long_lines(rows, note, [image, "line_no"], "line", normalise)
-    out = kept.groupBy(note, image).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
-    return out.select(note, image, clean_body(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias(text)).where(F.col(text) != "")
+    """The text path of cross-image cleaning: spacing repaired, long lines once per note, empty results dropped.
+
+    Texts stay whole: lines are repaired once, only hashes of long ones are dealt out, and what comes back to a
+    text are the numbers of the lines that it loses.
+    """
+    split = F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), "\n")
+    rows = results.select(note, image, F.array_join(F.transform(split, repair_spacing), "\n").alias("lines"))
+    plain = rows.withColumn("keys", nfkc("lines") if normalise else F.col("lines"))
+    hashed = F.transform(F.split("keys", "\n"), lambda x: F.when(F.length(search_key(x, False)) >= SHORTEST_KEY, F.md5(F.concat(F.col(note).cast("string"), F.lit("\x1f"), search_key(x, False)))))
+    rows = materialise(plain.withColumn("keys", hashed).withColumn("place", F.monotonically_increasing_id()), "texts")
+    long = rows.select(F.col(image).alias("image"), "place", F.posexplode("keys").alias("line_no", "key")).where("key is not null")
+    told = with_facts(long, repeats(long, ["image", "line_no", "place"]), "key", "n", long.count())
+    lost = told.where(F.struct("image", "line_no", "place") != F.col("first")).groupBy("place").agg(F.collect_set("line_no").alias("lost"))
+    kept = rows.join(lost, "place", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<int>")))
+    line = F.filter(F.transform(F.split("lines", "\n"), lambda x, i: F.when(~F.array_contains("lost", i), x)), lambda x: x.isNotNull())
+    return kept.select(note, image, clean_body(F.array_join(line, "\n")).alias(text)).where(F.col(text) != "")
 
 
 def line_bounds(poly: Column) -> Column:
@@ -75,19 +99,36 @@ OPEN_END = re.compile(r"[，,、：:（(\[【]\Z")
 REPAIRS = [(re.compile(p), t) for p, t in ((r"[\t\f\v ]+", " "), (r"[\s\ufeff]+([,.;:!?%）)\]}])", r"\1"), (r"([（(\[{])[\s\ufeff]+", r"\1"), (r"([A-Za-z0-9][,;:!?])(?=[A-Za-z])", r"\1 "), (r"([A-Za-z0-9]\.)(?=[A-Z])", r"\1 "), (f"({HAN.pattern})([A-Za-z])", r"\1 \2"), (f"([A-Za-z])({HAN.pattern})", r"\1 \2"))]
 
 
-def repaired(text: str) -> str:
+BLANK = " \t\n\r\f\v\ufeff\u00a0\u3000"
+
+
+def respaced(text: str) -> str:
     for pattern, to in REPAIRS:
         text = pattern.sub(to, text)
-    return text.strip(" \t\n\r\f\v\ufeff\u00a0\u3000")
+    return text
+
+
+def repaired(text: str) -> str:
+    return respaced(text).strip(BLANK)
+
+
+def joined(left: str, right: str) -> str:
+    """repaired(left + right) of two parts that are repaired: no rule looks further than NEAR characters from the joint."""
+    head, tail = left[:-NEAR], right[NEAR:]
+    return (head + respaced(left[-NEAR:] + right[:NEAR]) + tail).strip(BLANK)
+
+
+LATIN, BEFORE_LATIN = re.compile("[A-Za-z]"), re.compile(r"[A-Za-z0-9.!?,;:]")
+NEAR = 6
 
 
 def glued(left: str, right: str) -> str:
+    """Two repaired lines of one paragraph as one."""
     if left.endswith("-") and "a" <= right[:1] <= "z":
-        return repaired(left[:-1] + right)
+        return joined(left[:-1], right)
     a, b = left[-1:], right[:1]
-    latin = re.compile("[A-Za-z]")
-    space = bool(a and b) and ((latin.match(b) and (re.match(r"[A-Za-z0-9.!?,;:]", a) or HAN.match(a))) or (latin.match(a) and (b.isdecimal() or HAN.match(b))))
-    return repaired(left + " " * bool(space) + right)
+    space = bool(a and b) and ((LATIN.match(b) and (BEFORE_LATIN.match(a) or HAN.match(a))) or (LATIN.match(a) and (b.isdecimal() or HAN.match(b))))
+    return joined(left + " " * bool(space), right)
 
 
 class Paragraphs:

@@ -5,10 +5,12 @@ import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
-from postmill.operators import export, extract, jobs, scan, vision
+from postmill.operators import export, extract, jobs, lines, scan, vision
 from postmill.sources.packages import character_list, tar_members
 from postmill.streaming.jobs import START, advance, reduce_stream, shown
 
@@ -98,6 +100,18 @@ def test_extract(spark):
     assert (note.cover, note.published_at, note.images[1]["index"]) == ("https://a/1.jpg", "2025-07-26T07:50:00.000Z", 1)
 
 
+PARTS = st.lists(st.sampled_from(["a", "Zz", "9", "中", "文", " ", "  ", "\t", ",", ".", ";", "!", ")", "(", "（", "-", "é", "\u3000", "%", "]", "{"]), max_size=9).map("".join)
+
+
+@given(PARTS, PARTS)
+@settings(max_examples=600, deadline=None)
+def test_joining_repairs_as_the_whole_would(left, right):
+    left, right = lines.repaired(lines.repaired(left)), lines.repaired(lines.repaired(right))
+    for sep in ("", " "):
+        if lines.repaired(left) == left and lines.repaired(right) == right:
+            assert lines.joined(left + sep, right) == lines.repaired(left + sep + right)
+
+
 def test_policy(spark):
     cells = [(e, s, p) for e, s in ((False, False), (True, True), (True, False)) for p in ("skip", "overwrite", "new-version")]
     got = [r.a for r in spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "i int, e boolean, s boolean, p string").orderBy("i").select(export.policy_action(F.col("e"), F.col("s"), F.col("p")).alias("a")).collect()]
