@@ -64,31 +64,54 @@ def stage_durations(events: DataFrame, job: str, stage: str, ts_ms: str, order:
     return spans.groupBy(job, stage).agg(F.coalesce(F.sum("_ms"), F.lit(0).cast("long")).alias("duration_ms"))
 
 
-def result_progress(done: Column, total: Column) -> Column:
-    return (50 + F.floor(done / total * 45 + 0.5)).cast("int")
-
-
-def replay(messages: DataFrame, order: list[str]) -> DataFrame:
-    """Latest state per job of a message log (job_id, type, image_index, total, status), in the given order.
-
-    Messages after the first finishing one are ignored; each image counts once; progress never falls.
-    """
-    over = Window.partitionBy("job_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = messages.withColumn("_ended", F.coalesce(F.max(F.when(F.col("type") == "finish", 1)).over(over), F.lit(0))).where("_ended = 0")
-    state = rows.groupBy("job_id").agg(
-        F.count_distinct(F.when(F.col("type") == "result", F.col("image_index"))).alias("current"),
-        F.max("total").alias("total"),
-        F.max_by("status", F.when(F.col("type") == "finish", F.struct(*order))).alias("finish"),
-        F.max_by("type", F.struct(*order)).alias("last_type"),
-        F.count(F.lit(1)).alias("applied"),
+def queue_head(items: DataFrame, keys: list[str]) -> DataFrame:
+    return items.where("status = 'queued'").groupBy(*keys).agg(F.min_by(F.struct(*[c for c in items.columns if c not in keys]), "pos").alias("r")).select(*keys, "r.*")
+
+
+def patch_item(queue: Column, index: Column, **changes: Column) -> Column:
+    """A queue (array of structs) with fields of the item at an index replaced; an index outside it changes nothing."""
+    def patched(item: Column) -> Column:
+        for name, value in changes.items():
+            item = item.withField(name, value)
+        return item
+
+    return F.transform(queue, lambda item, i: F.when(i == index, patched(item)).otherwise(item))
+
+
+def next_step(status: Column, valid_url: Column, same_id: Column, n_images: Column, with_ocr: Column, selection_error: Column, job_status: Column, export: Column) -> Column:
+    """Status and error that an item comes to next: opening, extracting, then recognising where asked for, exporting, and
+    what the export or the recognition ended with. Errors are those of an item; the rest of the queue goes on."""
+    def moved(to: str, error: Column | None = None) -> Column:
+        return F.struct(F.lit(to).alias("status"), (F.lit(None).cast("string") if error is None else error).alias("error"))
+
+    failed = (
+        F.when(~same_id, "AUTO_CLIP_TITLE_MISMATCH")
+        .when(n_images == 0, "AUTO_CLIP_NO_IMAGES")
+        .when(with_ocr & selection_error.isNotNull(), F.concat(F.lit("AUTO_CLIP_OCR_SELECTION:"), selection_error))
+    )
+    return (
+        F.when((status == "queued") & ~valid_url, moved("error", F.lit("AUTO_CLIP_URL_INVALID")))
+        .when(status == "queued", moved("opening"))
+        .when(status == "opening", moved("extracting"))
+        .when((status == "extracting") & failed.isNotNull(), moved("error", failed))
+        .when((status == "extracting") & with_ocr, moved("ocr"))
+        .when(status == "extracting", moved("exporting"))
+        .when((status == "ocr") & (job_status == "completed"), moved("exporting"))
+        .when((status == "ocr") & job_status.isin("error", "canceled"), F.struct(job_status.alias("status"), F.lit(None).cast("string").alias("error")))
+        .when((status == "exporting") & export.startswith("error:"), moved("error", F.substring(export, F.lit(7), F.length(export))))
+        .when((status == "exporting") & (export == "skipped"), moved("skipped"))
+        .when((status == "exporting") & export.isNotNull(), moved("completed"))
+        .otherwise(F.struct(status.alias("status"), F.lit(None).cast("string").alias("error")))
     )
-    status = F.coalesce("finish", F.lit("running"))
-    progress = F.when(status == "completed", 100).when(F.col("current") > 0, result_progress(F.least("current", "total"), F.col("total"))).otherwise(0)
-    return state.select("job_id", status.alias("status"), F.when(status == "completed", F.col("total")).otherwise(F.col("current")).alias("current"), "total", progress.cast("int").alias("progress"), "applied")
 
 
-def queue_head(items: DataFrame, keys: list[str]) -> DataFrame:
-    return items.where("status = 'queued'").groupBy(*keys).agg(F.min_by(F.struct(*[c for c in items.columns if c not in keys]), "pos").alias("r")).select(*keys, "r.*")
+def panel_view(tasks: DataFrame, jobs: DataFrame, history: DataFrame) -> DataFrame:
+    """What a panel shows of every task: tasks (task_id, running, output, current_index, progress, job_id, queue),
+    the stage of its job (job_id, stage) and how many history entries there are by output (output, entries)."""
+    stage = jobs.select("job_id", "stage")
+    total = F.coalesce(F.size("queue"), F.lit(0))
+    rows = tasks.join(stage, "job_id", "left").join(history, "output", "left")
+    return rows.select("task_id", F.coalesce("running", F.lit(False)).alias("running"), "output", F.coalesce("current_index", F.lit(0)).alias("current_index"), F.greatest(F.lit(0), total).alias("total"), F.coalesce("progress", F.lit(0)).alias("progress"), "stage", F.coalesce("entries", F.lit(0)).cast("long").alias("entries"))
 
 
 def stop_gracefully(status: Column) -> Column:

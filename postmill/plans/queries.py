@@ -15,6 +15,7 @@ from postmill.functions import text as T
 from postmill.operators import export, extract, jobs, lines, metrics, render, scan, vision
 from postmill.session import table
 from postmill.sources import synthetic
+from postmill.streaming import jobs as job_stream
 
 NOW, TODAY = "2026-01-02T03:04:05.000Z", "2026-01-02"
 EMBEDDING_WIDTH = 64
@@ -291,19 +292,40 @@ def stage_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TYPE_SQL = "case when event_id % 11 = 0 then 'finish' when event_type = 'view' then 'stage' else 'result' end"
+STAGE_SQL = "['loading-models', 'creating-sessions', 'recognizing-images', 'finalizing'][event_id % 4 + 1]"
 
 
 def job_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("event_id") % 11 == 0, "finish").when(F.col("event_type") == "view", "stage").otherwise("result")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "ts", "event_id", kind.alias("type"), (F.col("event_id") % 8).alias("image_index"), F.lit(8).cast("long").alias("total"), F.when(F.col("event_id") % 2 == 0, "completed").otherwise("error").alias("status"))
-
-
-@query(f"""with m as (select user_id as job_id, ts, event_id, {TYPE_SQL} as type, event_id % 8 as image_index, case when event_id % 2 = 0 then 'completed' else 'error' end as status from events),
-e as (select *, coalesce(max(case when type = 'finish' then 1 end) over (partition by job_id order by ts, event_id rows between unbounded preceding and 1 preceding), 0) as ended from m),
-s as (select job_id, count(distinct case when type = 'result' then image_index end) as n, coalesce(max(case when type = 'finish' then status end), 'running') as status, count(*) as applied from e where ended = 0 group by 1)
-select job_id, status, case when status = 'completed' then 8 else n end as current, 8 as total, case when status = 'completed' then 100 when n > 0 then cast(50 + floor(n / 8.0 * 45 + 0.5) as int) else 0 end as progress, applied from s""")
+    """A user's events as a job's messages, after a start of its own."""
+    number = F.col("event_id")
+    events = table(spark, sf_dir, "events").withColumn("at_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    kind = F.when(number % 11 == 0, "finish").when(F.col("event_type") == "view", "stage").otherwise("result")
+    stage = F.element_at(F.array(*map(F.lit, ("loading-models", "creating-sessions", "recognizing-images", "finalizing"))), (number % 4 + 1).cast("int"))
+    rows = events.select(F.col("user_id").alias("job_id"), "ts", "event_id", "at_ms", kind.alias("type"), stage.alias("stage"), (number % 60).alias("progress"), (number % 8).alias("image_index"), F.lit(8).cast("long").alias("total"), F.when(number % 2 == 0, "completed").otherwise("error").alias("status"), F.col("event_type").alias("text"), F.floor("value").cast("long").alias("duration_ms"), F.create_map(stage, number % 100).alias("durations"))
+    first = rows.groupBy("job_id").agg(F.min("ts").alias("ts"), F.min("at_ms").alias("at_ms")).withColumns({"event_id": F.lit(-1).cast("long"), "type": F.lit("start"), "total": F.lit(8).cast("long")})
+    return rows.withColumn("duration_ms", F.when(F.col("type") != "finish", F.col("duration_ms"))).unionByName(first, allowMissingColumns=True)
+
+
+@query(f"""with m as (select user_id as job_id, ts, event_id, {TYPE_SQL} as type, {STAGE_SQL} as stage, event_id % 60 as p, event_id % 8 as image, case when event_id % 2 = 0 then 'completed' else 'error' end as status, event_type as text, cast(floor(value) as bigint) as ms, event_id % 100 as d, epoch_us(ts) // 1000 as at_ms from events),
+e as (select *, row_number() over o as k, coalesce(max(case when type = 'finish' then 1 end) over (o rows between unbounded preceding and 1 preceding), 0) as ended,
+  lag(case when type = 'result' then 'recognizing-images' else stage end) over o as before, min(at_ms) over (partition by job_id) as began from m window o as (partition by job_id order by ts, event_id)),
+s as (select *, type = 'stage' and stage = 'recognizing-images' and coalesce(before, '') = 'recognizing-images' as idle from e where ended = 0),
+r as (select *, case when type = 'result' then (select count(distinct y.image) from s y where y.job_id = s.job_id and y.type = 'result' and y.k <= s.k) end as n from s),
+g as (select *, case when type = 'stage' and not idle then k end as sets from r),
+h as (select *, max(sets) over (partition by job_id order by k) as base from g),
+q as (select h.job_id, arg_max(coalesce(case when h.type = 'result' then 50 + cast(floor(least(h.n, 8) / 8.0 * 45 + 0.5) as int) end, 0), h.k) filter (h.type = 'result' and h.k > coalesce(b.last, 0)) as reached, any_value(b.set_to) as set_to
+  from h left join (select job_id, max(sets) as last, arg_max(p, sets) as set_to from h group by 1) b using (job_id) group by 1),
+f as (select job_id, coalesce(max(case when type = 'finish' then status end), 'running') as status, count(distinct case when type = 'result' then image end) as n, 1 + count(*) filter (not idle) as applied,
+  arg_max(case when type = 'result' then 'recognizing-images' else stage end, k) filter (type <> 'finish') as stage, max(case when type = 'finish' then at_ms - began end) as duration_ms from r group by 1),
+l as (select job_id, string_agg(image || ':' || text || ':' || ms, ',' order by image) as results from (select *, row_number() over (partition by job_id, image order by k desc) as z from r where type = 'result') where z = 1 group by 1),
+w as (select job_id, string_agg(stage || ':' || d, ',' order by stage) as durations from (select *, row_number() over (partition by job_id, stage order by k desc) as z from r where type = 'finish' or (type = 'stage' and not idle)) where z = 1 group by 1)
+select f.job_id, f.status, case when f.status = 'completed' then 8 else n end as current, 8 as total, case when f.status = 'completed' then 100 else greatest(coalesce(set_to, 0), coalesce(reached, 0)) end as progress, coalesce(stage, '') as stage, applied, duration_ms, coalesce(results, '') as results, coalesce(durations, '') as durations
+from f join q using (job_id) left join l using (job_id) left join w using (job_id)""")
 def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.replay(job_messages(spark, sf_dir), ["ts", "event_id"])
+    states = job_stream.replay(job_messages(spark, sf_dir), ["ts", "event_id"])
+    results = F.array_sort(F.transform(F.map_entries("results"), lambda e: F.struct(e["key"], F.concat_ws(":", e["key"].cast("string"), e["value"]["text"], e["value"]["duration_ms"].cast("string")).alias("shown"))))
+    durations = F.array_sort(F.transform(F.map_entries("durations"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))))
+    return states.select("job_id", "status", "current", "total", "progress", "stage", "applied", "duration_ms", F.array_join(F.transform(results, lambda x: x["shown"]), ",").alias("results"), F.array_join(durations, ",").alias("durations"))
 
 
 @query("""with r as (select event_type, value, row_number() over (partition by event_type order by value) - 1 as k, count(*) over (partition by event_type) as n from events)

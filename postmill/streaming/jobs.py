@@ -1,69 +1,134 @@
-"""Recognition jobs as a stream: a keyed reducer of messages to the latest state."""
+"""Recognition jobs: one pure reducer of messages to states, for streams and for the replay of a log.
+
+Messages have job_id and type, and by type: start (total, at_ms), stage (stage, progress, at_ms, current_image,
+durations), result (image_index, status, text, duration_ms, current, total), control (status: what was asked
+for), pause, finish (status, error, duration_ms, at_ms, durations). A job is there from its start to its finish;
+other messages without a job are ignored, and the state goes with the finish.
+"""
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "job_id string, status string, current long, total long, progress int, stage string, applied long"
 RECOGNISING = "recognizing-images"
-STATE = "status string, images array<int>, total long, progress int, stage string, applied long"
+ENDED = ("completed", "error", "canceled")
+#: A state as columns; results are by image, the last one of an image holds.
+COLUMNS = "status string, current long, total long, progress int, stage string, stage_started_ms long, current_image long, started_ms long, durations map<string,long>, results map<string,struct<status:string,text:string,duration_ms:long>>, error string, duration_ms long, applied long"
 
 
-def advance(state: tuple, message: dict) -> tuple:
-    """The state after a message; ended jobs ignore it. Stages set the progress, results never lower it."""
-    status, images, total, progress, stage, applied = state
-    if status in ("completed", "error", "canceled"):
-        return state
+def begun(message: dict) -> dict:
+    return {"status": "running", "current": 0, "total": message.get("total") or 0, "progress": 0, "stage": "", "started_ms": message.get("at_ms"), "durations": {}, "results": {}, "applied": 1}
+
+
+def clamped(progress: float) -> int:
+    return int(min(100, max(0, progress)))
+
+
+def advance(state: dict | None, message: dict) -> dict | None:
+    """The state after a message, the same object where nothing changes. Stages set the progress, results never lower it."""
     kind = message["type"]
-    total = max(total, int(message.get("total") or 0))
-    if kind == "stage" and not message["stage"] == stage == RECOGNISING:  # progress inside recognition comes from results
-        stage = message["stage"]
-        if message.get("progress") is not None and message["progress"] == message["progress"]:
-            progress = int(min(100, max(0, message["progress"])))
-    elif kind == "result":
-        stage = RECOGNISING
-        images = sorted({*images, int(message["image_index"])})
-        progress = max(progress, 50 + int(min(len(images), total) / max(1, total) * 45 + 0.5))
-    elif kind == "finish":
-        status = message["status"]
-        if status == "completed":
-            progress = 100
-    elif kind == "pause" and status == "pausing":
-        status = "paused"
-    return status, images, total, progress, stage, applied + 1
+    if state is None:
+        return begun(message) if kind == "start" else None
+    new = {**state, "applied": state["applied"] + 1}
+    if kind == "finish":
+        status = "canceled" if state["status"] == "canceled" else message["status"]
+        spent = message.get("duration_ms")
+        if spent is None and message.get("at_ms") is not None and state.get("started_ms") is not None:
+            spent = max(0, message["at_ms"] - state["started_ms"])
+        done = status == "completed"
+        new |= {"status": status, "error": None if status == "canceled" else message.get("error"), "current": state["total"] if done else state["current"], "progress": 100 if done else state["progress"]}
+        return new | {"duration_ms": spent, "durations": state["durations"] | (message.get("durations") or {})}
+    if state["status"] in ENDED:
+        return state
+    if kind == "stage":
+        if message["stage"] == state["stage"] == RECOGNISING:  # progress inside recognition comes from results
+            return state
+        progress = message.get("progress")
+        new |= {"stage": message["stage"], "progress": state["progress"] if progress is None else clamped(progress), "stage_started_ms": message.get("at_ms"), "current_image": message.get("current_image")}
+        return new | {"durations": state["durations"] | (message.get("durations") or {})}
+    if kind == "result":
+        results = state["results"] | {str(message["image_index"]): {k: message.get(k) for k in ("status", "text", "duration_ms")}}
+        total = message.get("total") or state["total"]
+        current = message["current"] if message.get("current") is not None else len(results)
+        reached = 50 + math.floor(min(current, total) / max(1, total) * 45 + 0.5)
+        return new | {"results": results, "total": total, "current": current, "stage": RECOGNISING, "progress": max(state["progress"], reached)}
+    if kind == "control":
+        return new | {"status": message["status"]}
+    if kind == "pause" and state["status"] == "pausing":
+        return new | {"status": "paused"}
+    return state
 
 
-START = ("running", [], 0, 0, "", 0)
+def as_messages(messages: DataFrame, order: list[str]) -> DataFrame:
+    """job_id, the order's columns and each message as JSON, so that columns that are null or missing look alike."""
+    return messages.select("job_id", *order, F.to_json(F.struct(*(c for c in messages.columns if c not in ("job_id", *order)))).alias("message"))
 
 
-def shown(job: str, state: tuple) -> dict:
-    status, images, total, progress, stage, applied = state
-    return {"job_id": job, "status": status, "current": total if status == "completed" else len(images), "total": total, "progress": progress, "stage": stage, "applied": applied}
+def as_columns(states: DataFrame) -> DataFrame:
+    rows = states.withColumn("state", F.from_json("state", COLUMNS)).select("job_id", "state.*")
+    return rows.withColumn("results", F.transform_keys("results", lambda k, v: k.cast("int")))
+
+
+def replay(messages: DataFrame, order: list[str]) -> DataFrame:
+    """The last state of every job of a log, in the given order. A job's messages are read one by one, never held together."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        job, state, last = None, None, None
+        for frame in batches:
+            out = []
+            for own, message in zip(frame["job_id"], frame["message"], strict=True):
+                if own != job:
+                    if last:
+                        out.append((job, json.dumps(last)))
+                    job, state, last = own, None, None
+                state = advance(state, parsed := json.loads(message))
+                last = state or last
+                if state and parsed["type"] == "finish":
+                    state = None
+            yield pd.DataFrame(out, columns=["job_id", "state"])
+        if last:
+            yield pd.DataFrame([(job, json.dumps(last))], columns=["job_id", "state"])
+
+    rows = as_messages(messages, order).repartition("job_id").sortWithinPartitions("job_id", *order).select("job_id", "message")
+    return as_columns(rows.mapInPandas(fold, f"job_id {messages.schema['job_id'].dataType.simpleString()}, state string"))
 
 
 def reduce_stream(messages: DataFrame, idle: str | None = "30 minutes") -> DataFrame:
-    """State per job after every batch. messages: job_id, seq, type, stage, image_index, total, progress, status.
+    """State per job after every batch, of messages with an order `seq`. A finished job's state goes; a job that stays
+    silent for `idle` is forgotten, too.
 
-    Messages of a batch are taken in the order of seq; a job that stays silent for `idle` is forgotten.
     With processing-time timeouts Spark plans batches without end, so an availableNow run stops only with
-    idle None, which forgets no job.
+    idle None, which forgets no job that doesn't finish.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        state = held.get if held.exists else START
-        state = (state[0], [int(x) for x in state[1]], *state[2:])
-        for message in pd.concat(list(frames)).sort_values("seq").to_dict("records"):
-            state = advance(state, message)
-        held.update(state)
-        if idle:
-            held.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
-        yield pd.DataFrame([shown(key[0], state)])
-
-    return messages.groupBy("job_id").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
+        state = last = json.loads(held.get[0]) if held.exists else None
+        changed = False
+        for message in pd.concat(list(frames)).sort_values("seq")["message"]:
+            before, state = state, advance(state, parsed := json.loads(message))
+            changed |= state is not before
+            last = state or last
+            if state and parsed["type"] == "finish":
+                state = None
+        if state:
+            held.update((json.dumps(state),))
+            if idle:
+                held.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+        elif held.exists:
+            held.remove()
+        if last and changed:
+            yield pd.DataFrame([(key[0], json.dumps(last))], columns=["job_id", "state"])
+
+    out = f"job_id {messages.schema['job_id'].dataType.simpleString()}, state string"
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return as_columns(as_messages(messages, ["seq"]).groupBy("job_id").applyInPandasWithState(step, out, "state string", "update", timeout))

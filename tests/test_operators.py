@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postmill.functions import text as T
 from postmill.operators import export, extract, jobs, lines, scan, vision
 from postmill.sources.packages import character_list, tar_members
-from postmill.streaming.jobs import START, advance, reduce_stream, shown
+from postmill.streaming.jobs import advance, reduce_stream, replay
 
 URL = "https://www.xiaohongshu.com/explore/abc123"
 
@@ -144,22 +144,51 @@ def test_queue(spark):
     assert got == [("canceled", "queued", None), ("extracting", "queued", None), ("ocr", "error", "OCR_INTERRUPTED"), ("ocr", "ocr", None), ("ocr", "exporting", None), ("completed", "completed", None)]
 
 
-MESSAGES = [("j", 0, "stage", "recognizing-images", None, 4, 50, None), ("j", 1, "result", None, 0, 4, None, None), ("j", 2, "result", None, 0, 4, None, None), ("j", 3, "result", None, 2, 4, None, None), ("k", 4, "result", None, 1, 2, None, None), ("j", 5, "finish", None, None, 4, None, "completed"), ("j", 6, "result", None, 3, 4, None, None)]
-SCHEMA = "job_id string, seq int, type string, stage string, image_index int, total int, progress int, status string"
+MESSAGES = [("j", 0, "start", None, None, 4, None, None, 1000), ("j", 1, "stage", "recognizing-images", None, 4, 50, None, 1100), ("j", 2, "result", None, 0, 4, None, "success", None), ("j", 3, "result", None, 0, 4, None, "empty", None), ("j", 4, "result", None, 2, 4, None, "success", None), ("k", 5, "result", None, 1, 2, None, None, None), ("k", 6, "start", None, None, 2, None, None, 5), ("k", 7, "result", None, 1, 2, None, "error", None), ("j", 8, "finish", None, None, 4, None, "completed", 1700), ("j", 9, "result", None, 3, 4, None, None, None), ("m", 10, "stage", "finalizing", None, 1, 5, None, None)]
+SCHEMA = "job_id string, seq int, type string, stage string, image_index int, total int, progress int, status string, at_ms long"
 
 
 def test_replay_and_stream_agree(spark, tmp_path):
     rows = spark.createDataFrame(MESSAGES, SCHEMA)
-    batch = {r.job_id: (r.status, r.current, r.progress, r.applied) for r in jobs.replay(rows, ["seq"]).collect()}
-    assert batch == {"j": ("completed", 4, 100, 5), "k": ("running", 1, 73, 1)}
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = reduce_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), idle=None)
-    run = stream.writeStream.format("memory").queryName("jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    shown = lambda r: (r.status, r.current, r.progress, r.applied, r.duration_ms, {k: v.status for k, v in r.results.items()})
+    batch = {r.job_id: shown(r) for r in replay(rows, ["seq"]).collect()}
+    assert batch == {"j": ("completed", 4, 100, 6, 700, {0: "empty", 2: "success"}), "k": ("running", 1, 73, 2, None, {1: "error"})}
+    for n in range(3):  # three batches, so that states are kept and cleared between them
+        rows.where((F.col("seq") >= 4 * n) & (F.col("seq") < 4 * n + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = reduce_stream(source, idle=None).writeStream.format("memory").queryName("jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     assert run.awaitTermination(90)
-    got = {r.job_id: (r.status, r.current, r.progress, r.applied) for r in spark.table("jobs").collect()}
+    got = {}
+    for r in spark.table("jobs").collect():
+        got[r.job_id] = max(got.get(r.job_id, shown(r)), shown(r), key=lambda x: x[3])
     assert got == batch
 
 
+def test_reducer():
+    state = None
+    for message in ({"type": "start", "total": 2, "at_ms": 10}, {"type": "stage", "stage": "loading-models", "progress": 130, "at_ms": 20, "durations": {"loading-runtime": 5}}, {"type": "stage", "stage": "creating-sessions", "progress": 30, "at_ms": 30, "current_image": 1, "durations": {"loading-models": 7, "loading-runtime": 6}}):
+        state = advance(state, message)
+    assert (state["progress"], state["stage_started_ms"], state["current_image"], state["durations"]) == (30, 30, 1, {"loading-runtime": 6, "loading-models": 7})
+    asked = advance(state, {"type": "control", "status": "pausing"})
+    assert advance(asked, {"type": "pause"})["status"] == "paused" and advance(state, {"type": "pause"}) is state
+    canceled = advance(state, {"type": "control", "status": "canceled"})
+    assert advance(canceled, {"type": "result", "image_index": 0}) is canceled
+    ended = advance(canceled, {"type": "finish", "status": "error", "error": "E", "at_ms": 60})
+    assert (ended["status"], ended["error"], ended["duration_ms"]) == ("canceled", None, 50)
+    failed = advance(state, {"type": "finish", "status": "error", "error": "E", "duration_ms": 3})
+    assert (failed["status"], failed["error"], failed["duration_ms"], failed["progress"]) == ("error", "E", 3, 30)
+    assert advance(None, {"type": "result", "image_index": 0}) is None
+
+
+def test_queue_steps(spark):
+    cells = [("queued", False, True, 1, False, None, None, None), ("queued", True, True, 1, False, None, None, None), ("opening", True, True, 1, False, None, None, None), ("extracting", True, False, 1, True, None, None, None), ("extracting", True, True, 0, True, None, None, None), ("extracting", True, True, 1, True, "range-empty", None, None), ("extracting", True, True, 1, True, None, None, None), ("extracting", True, True, 1, False, "range-empty", None, None), ("ocr", True, True, 1, True, None, "completed", None), ("ocr", True, True, 1, True, None, "running", None), ("exporting", True, True, 1, True, None, None, "error:X"), ("exporting", True, True, 1, True, None, None, "skipped"), ("exporting", True, True, 1, True, None, None, "write")]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "i int, status string, url boolean, same boolean, n int, ocr boolean, sel string, job string, export string")
+    got = [(r.s.status, r.s.error) for r in rows.select("i", jobs.next_step(*(F.col(c) for c in rows.columns[1:])).alias("s")).orderBy("i").collect()]
+    assert got == [("error", "AUTO_CLIP_URL_INVALID"), ("opening", None), ("extracting", None), ("error", "AUTO_CLIP_TITLE_MISMATCH"), ("error", "AUTO_CLIP_NO_IMAGES"), ("error", "AUTO_CLIP_OCR_SELECTION:range-empty"), ("ocr", None), ("exporting", None), ("exporting", None), ("ocr", None), ("error", "X"), ("skipped", None), ("completed", None)]
+    queue = spark.range(1).select(F.array(*(F.struct(F.lit(x).alias("url"), F.lit("queued").alias("status")) for x in "ab")).alias("q"))
+    assert [tuple(x) for x in queue.select(jobs.patch_item(F.col("q"), F.lit(1), status=F.lit("opening")).alias("q")).first().q] == [("a", "queued"), ("b", "opening")]
+
+
 def test_restart(spark):
     rows = spark.createDataFrame([("exporting", None, True), ("ocr", "running", False), ("ocr", "running", True), ("ocr", "canceled", False), ("opening", None, False)], "s string, j string, a boolean")
     got = [tuple(r) for r in rows.select(jobs.recover(F.col("s"), F.col("j"), F.col("a")), jobs.recover(F.col("s"), F.col("j"), F.col("a"), F.lit(True)), jobs.recover_error(F.col("s"), F.col("j"), F.col("a"))).collect()]
@@ -167,10 +196,11 @@ def test_restart(spark):
 
 
 def test_results_set_the_stage():
-    state = advance(START, {"type": "result", "image_index": 0, "total": 2})
-    assert (state[3], state[4]) == (73, "recognizing-images")
-    inside = advance(state, {"type": "stage", "stage": "recognizing-images", "progress": 10})
-    assert inside[3] == 73 and advance(inside, {"type": "stage", "stage": "finalizing", "progress": 96})[3:5] == (96, "finalizing")
+    state = advance(advance(None, {"type": "start", "total": 2}), {"type": "result", "image_index": 0, "total": 2})
+    assert (state["progress"], state["stage"]) == (73, "recognizing-images")
+    assert advance(state, {"type": "stage", "stage": "recognizing-images", "progress": 10}) is state
+    later = advance(state, {"type": "stage", "stage": "finalizing", "progress": 96})
+    assert (later["progress"], later["stage"]) == (96, "finalizing")
 
 
 def test_current_article(spark):
@@ -178,12 +208,6 @@ def test_current_article(spark):
     assert pick("小红书", None, "ab  c | 小红书", "abd") == "ab c" and pick("", "小红书") == "当前文章"
 
 
-def test_ended_jobs_ignore_messages():
-    state = advance(START, {"type": "finish", "status": "canceled"})
-    assert advance(state, {"type": "finish", "status": "completed"}) == state
-    assert shown("x", state)["status"] == "canceled"
-
-
 def test_tiles(spark):
     rows = spark.createDataFrame([(1080, 5000), (1080, 1900)], "w long, h long")
     got = sorted((r.h, r.tile, r.top, r.tile_height) for r in vision.tiles(rows, "w", "h").collect())
@@ -248,15 +272,15 @@ def test_idle_jobs_are_forgotten(spark, tmp_path):
                 return True
             time.sleep(0.5)
 
-    put(MESSAGES[1])
+    put(MESSAGES[0])
     stream = reduce_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), idle="1 second")
     run = stream.writeStream.format("memory").queryName("idle_jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="500 milliseconds").start()
     try:
         assert wait(lambda r: r.applied == 1)
         time.sleep(6)  # longer than idle and a few batches
-        put(MESSAGES[3])
-        assert wait(lambda r: len(spark.table("idle_jobs").collect()) == 2)
-        assert [r.applied for r in spark.table("idle_jobs").collect()] == [1, 1]  # the second message began anew
+        put(MESSAGES[2], MESSAGES[6])
+        assert wait(lambda r: r.job_id == "k")
+        assert sorted((r.job_id, r.applied) for r in spark.table("idle_jobs").collect()) == [("j", 1), ("k", 1)]  # the result came too late
     finally:
         run.stop()
 
