@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from postmill.functions.text import half_up
+from postmill.operators.lines import collapse_adjacent, translate_tiles
 
 #: Fixed values of the detection and recognition steps.
 MASK, LEAST_SIDE, BOX_SCORE, UNCLIP, MOST_BOXES = 0.2, 3, 0.4, 1.4, 3000
@@ -232,8 +235,110 @@ def boxes(plane: pd.Series, plane_width: pd.Series, width: pd.Series, height: pd
     return pd.Series([one(*row) for row in zip(plane, plane_width, width, height, strict=True)])
 
 
-def recognise(images: DataFrame, session=None) -> DataFrame:
-    """The neural steps need model weights, which aren't public inputs of this engine; pass a session factory to use some."""
+def centroid(poly: Column) -> Column:
+    """Mean of a polygon's corners."""
+    mean = lambda field: F.aggregate(poly, F.lit(0.0), lambda total, p: total + p[field]) / F.size(poly)
+    return F.struct(mean("x").alias("x"), mean("y").alias("y"))
+
+
+def resized(rgb: np.ndarray, width: int, height: int) -> np.ndarray:
+    """An image scaled bilinearly, pixel centres on pixel centres."""
+    if rgb.shape[:2] == (height, width):
+        return rgb
+    y = np.clip((np.arange(height) + 0.5) * rgb.shape[0] / height - 0.5, 0, rgb.shape[0] - 1)
+    x = np.clip((np.arange(width) + 0.5) * rgb.shape[1] / width - 0.5, 0, rgb.shape[1] - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, rgb.shape[0] - 1), np.minimum(x0 + 1, rgb.shape[1] - 1)
+    a, b = (x - x0)[None, :, None], (y - y0)[:, None, None]
+    out = (rgb[y0][:, x0] * (1 - a) + rgb[y0][:, x1] * a) * (1 - b) + (rgb[y1][:, x0] * (1 - a) + rgb[y1][:, x1] * a) * b
+    return np.floor(out + 0.5).astype(np.uint8)
+
+
+def side(length: int, scale: float) -> int:
+    return max(32, int(np.floor(length * scale / 32 + 0.5)) * 32)
+
+
+def detection_input(rgb: np.ndarray) -> np.ndarray:
+    """The planes that the detection model reads: the image at detection_size(), normalised."""
+    height, width = rgb.shape[:2]
+    first = min(1.0, LIMIT_SIDE / max(height, width))
+    w, h = side(width, first), side(height, first)
+    second = min(1.0, MOST_SIDE / max(w, h))
+    return normalised_planes(resized(rgb, side(w, second), side(h, second)))
+
+
+def text_input(rgb: np.ndarray, padded: int) -> np.ndarray:
+    """The planes that the recognition model reads: the crop TEXT_HEIGHT high, from -1 to 1, zeros to the right of it."""
+    scaled = min(padded, int(np.ceil(rgb.shape[1] / max(1, rgb.shape[0]) * TEXT_HEIGHT)))
+    out = np.zeros((3, TEXT_HEIGHT, padded), np.float32)
+    out[:, :, :scaled] = (resized(rgb, scaled, TEXT_HEIGHT)[..., 2::-1].astype(np.float32) / 127.5 - 1).transpose(2, 0, 1)
+    return out
+
+
+def lines_of(rgb: np.ndarray, session, batch: int = 8) -> list[dict]:
+    """Lines of an image: boxes of session.detect(planes), texts of session.recognise(batch of planes), joined by the
+    number of their box. Crops go through in batches of like width, each as wide as its widest, and come back in
+    reading order; blank texts are dropped."""
+    boxes = decode_boxes(session.detect(detection_input(rgb)), rgb.shape[1], rgb.shape[0])
+    crops = [crop(rgb, np.array(corners)) for _, corners in boxes]
+    widths = [min(TEXT_WIDTHS[1], max(TEXT_WIDTHS[0], int(c.shape[1] / max(1, c.shape[0]) * TEXT_HEIGHT))) for c in crops]
+    order, found = sorted(range(len(crops)), key=lambda i: widths[i]), {}
+    for at in range(0, len(order), batch):
+        part = order[at : at + batch]
+        wide = max(widths[i] for i in part)
+        found |= dict(zip(part, session.recognise(np.stack([text_input(crops[i], wide) for i in part])), strict=True))
+    lines = [(found[i], boxes[i][1]) for i in range(len(boxes))]
+    return [{"text": text.strip(), "score": float(score), "poly": [{"x": float(x), "y": float(y)} for x, y in corners]} for (text, score), corners in lines if text.strip()]
+
+
+#: The sessions that this worker made, by the name of their factory.
+_SESSIONS: dict[str, object] = {}
+LINES = "array<struct<text:string,score:double,poly:array<struct<x:double,y:double>>>>"
+
+
+def recognise_tiles(tiles: DataFrame, session: Callable[[], object] | None = None) -> DataFrame:
+    """Tiles (pixels as rows of red, green and blue, width, tile_height) with lines, and error where a tile failed.
+
+    session makes an object with detect and recognise; a worker makes it once. The neural steps need model
+    weights, which aren't public inputs of this engine, so there is no default.
+    """
     if session is None:
         raise NotImplementedError("MODEL_WEIGHTS_NOT_AVAILABLE")
-    return session(images)
+    others = [c for c in tiles.columns if c != "pixels"]
+    name = f"{session.__module__}.{session.__qualname__}"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if name not in _SESSIONS:
+            _SESSIONS[name] = session()
+        for frame in frames:
+            out = []
+            for pixels, width, height in zip(frame["pixels"], frame["width"], frame["tile_height"], strict=True):
+                try:
+                    rgb = np.frombuffer(pixels, np.uint8).reshape(height, width, 3)
+                    out.append((lines_of(rgb, _SESSIONS[name]), None))
+                except Exception as e:  # an image that fails is a row, not the end of the job
+                    out.append(([], f"{type(e).__name__}: {e}"))
+            yield frame[others].assign(lines=[x for x, _ in out], error=[e for _, e in out])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in tiles.dtypes if c != "pixels")
+    return tiles.mapInPandas(run, f"{kinds}, lines {LINES}, error string")
+
+
+def recognise(images: DataFrame, keys: list[str], session: Callable[[], object] | None = None) -> DataFrame:
+    """A row per image: keys, text, lines, status (success, empty or error) and error.
+
+    images: keys, pixels, width, height, error (of the download). Long images are cut into tiles, which are dealt
+    out one by one; their lines are moved to their place in the image, and equal neighbours collapse.
+    """
+    cut = tiles(images.where("error is null and pixels is not null"), "width", "height")
+    pixels = F.expr("substring(pixels, cast(top * width * 3 + 1 as int), cast(tile_height * width * 3 as int))")
+    read = recognise_tiles(cut.select(*keys, "tile", "top", "tile_height", "width", pixels.alias("pixels")), session)
+    failed = read.groupBy(*keys).agg(F.min(F.when(F.col("error").isNotNull(), F.struct("tile", "error")))["error"].alias("tile_error"))
+    moved = translate_tiles(read.withColumn("top", F.col("top").cast("double")), keys)
+    each = moved.select(*keys, F.posexplode("lines").alias("line_no", "l")).select(*keys, "line_no", "l", F.col("l.text").alias("text"), F.col("l.score").alias("score"))
+    kept = collapse_adjacent(each, keys, ["line_no"], "text", "score").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "l"))).alias("g"))
+    rows = images.select(*keys, F.coalesce("error", F.when(F.col("pixels").isNull(), "Image download failed.")).alias("error")).join(failed, keys, "left").join(kept, keys, "left")
+    error = F.coalesce("error", "tile_error")
+    lines = F.when(error.isNull(), F.coalesce(F.transform("g", lambda x: x["l"]), F.array().cast(LINES))).otherwise(F.array().cast(LINES))
+    status = F.when(error.isNotNull(), "error").when(F.size(lines) > 0, "success").otherwise("empty")
+    return rows.select(*keys, F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"), lines.alias("lines"), status.alias("status"), error.alias("error"))

@@ -686,3 +686,37 @@ def tile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 from range(80) a(i), range(80) b(j) group by i""")
 def state_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.clean_images(synthetic.stress_results(spark))
+
+
+@query("""with s as (select p_partkey, p_partkey % 10 = 0 as lost, case when p_partkey % 7 = 0 then [] when p_size % 5 = p_partkey % 5 then [p_size % 5] else [p_size % 5, p_partkey % 5] end as letters from part)
+select p_partkey, case when lost then 'error' when len(letters) = 0 then 'empty' else 'success' end as status, case when lost then 'HTTP_ERROR:404' end as error,
+  case when lost then '' else array_to_string(list_transform(letters, lambda x: chr(cast(97 + x as int))), chr(10)) end as text, case when lost then 0 else len(letters) end as n_lines from s""")
+def recognition_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawn images through tiles, boxes, crops, recognition by a stand-in session, and the collapse of equal neighbours."""
+    shades = F.transform(F.array(F.col("p_size") % 5, F.col("p_partkey") % 5), lambda x: (100 + 5 * x).cast("int"))
+    drawn = synthetic.block_image(F.when(F.col("p_partkey") % 7 == 0, F.array().cast("array<int>")).otherwise(shades))
+    lost = F.col("p_partkey") % 10 == 0
+    size = F.lit(synthetic.SIDE).cast("long")
+    images = table(spark, sf_dir, "part").select("p_partkey", F.when(~lost, drawn).alias("pixels"), size.alias("width"), size.alias("height"), F.when(lost, "HTTP_ERROR:404").alias("error"))
+    found = vision.recognise(images, ["p_partkey"], synthetic.BlockSession)
+    return found.select("p_partkey", "status", "error", "text", F.size("lines").cast("long").alias("n_lines"))
+
+
+@query("""with t as (select user_id, arg_max(event_type, event_id) as stage, count(*) as n, max(event_id) as job_id from events group by 1),
+h as (select event_type, count(*) as entries from events where event_id % 3 = 0 group by 1)
+select cast(t.user_id as varchar) as task_id, n % 2 = 0 as running, case when t.user_id % 2 = 0 then 'click' else 'none' end as output, n % 4 as current_index, n % 4 as total, 0 as progress, case when job_id % 3 > 0 then stage end as stage, coalesce(entries, 0) as entries
+from t left join h on h.event_type = case when t.user_id % 2 = 0 then 'click' else 'none' end""")
+def panel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    last = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("stage"), F.count(F.lit(1)).alias("n"), F.max("event_id").alias("job_id"))
+    queue = F.expr("if(n % 4 > 0, sequence(1, cast(n % 4 as int)), array())")
+    tasks = last.select(F.col("user_id").cast("string").alias("task_id"), F.when(F.col("n") % 2 == 0, F.lit(True)).alias("running"), F.when(F.col("user_id") % 2 == 0, "click").otherwise("none").alias("output"), (F.col("n") % 4).alias("current_index"), F.lit(None).cast("int").alias("progress"), "job_id", queue.alias("queue"))
+    history = events.where("event_id % 3 = 0").groupBy(F.col("event_type").alias("output")).agg(F.count(F.lit(1)).alias("entries"))
+    return jobs.panel_view(tasks, last.where("job_id % 3 > 0").select("job_id", "stage"), history)
+
+
+@query("select l_orderkey, round(avg(l_quantity), 6)::double as x, round(avg(l_linenumber), 6) as y from lineitem group by 1")
+def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    point = F.struct(F.col("l_quantity").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"))
+    polygons = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(point).alias("poly"))
+    return polygons.select("l_orderkey", vision.centroid(F.col("poly")).alias("c")).select("l_orderkey", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))

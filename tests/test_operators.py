@@ -296,3 +296,44 @@ def test_packages(spark, tmp_path):
     assert len(letters := character_list(bytes(got.content).decode())) == 121 and letters[0] == "一" and letters[-1] == " "
     with pytest.raises(ValueError):
         character_list("character_dict:\n  - a\n")
+
+
+def reader():
+    class Reader:  # made here, so that it travels to workers
+        """Finds bright regions and reads each as its number by width; fails on an image that is all white."""
+
+        def detect(self, planes):
+            if (planes > 2).all():
+                raise ValueError("too bright")
+            return (planes[0] > 0).astype(np.float32)
+
+        def recognise(self, batch):
+            return [(f"w{int((crop[0, 24] > 0).sum())}", 0.5) for crop in batch]
+
+    return Reader
+
+
+def test_recognise(spark):
+    long = np.zeros((4000, 64, 3), np.uint8)
+    long[30:50, 8:56] = 200
+    long[3900:3920, 8:40] = 200
+    white = np.full((64, 64, 3), 255, np.uint8)
+    rows = [(0, long.tobytes(), 64, 4000, None), (1, white.tobytes(), 64, 64, None), (2, None, 64, 64, None), (3, None, 64, 64, "HTTP_ERROR:500"), (4, np.zeros((64, 64, 3), np.uint8).tobytes(), 64, 64, None), (5, b"abc", 64, 64, None)]
+    images = spark.createDataFrame(rows, "image_index int, pixels binary, width long, height long, error string")
+    got = {r.image_index: r for r in vision.recognise(images, ["image_index"], reader()).collect()}
+    assert [got[i].status for i in range(6)] == ["success", "error", "error", "error", "empty", "error"]
+    assert (got[1].error, got[2].error, got[3].error) == ("ValueError: too bright", "Image download failed.", "HTTP_ERROR:500")
+    assert len(got[0].lines) == 2 and got[0].text.count("w") == 2
+    tops = [min(p.y for p in x.poly) for x in got[0].lines]
+    assert tops[0] < 40 and 3880 < tops[1] < 3910
+    with pytest.raises(NotImplementedError):
+        vision.recognise(images, ["image_index"])
+
+
+def test_texts_come_back_in_reading_order():
+    rgb = np.zeros((256, 480, 3), np.uint8)
+    for i, wide in enumerate((300, 40, 200, 420)):
+        rgb[10 + 60 * i : 40 + 60 * i, 20 : 20 + wide] = 200
+    found = vision.lines_of(rgb, reader()(), batch=2)
+    widths = [max(p["x"] for p in x["poly"]) - min(p["x"] for p in x["poly"]) for x in found]
+    assert sorted(range(4), key=lambda i: widths[i]) == [1, 2, 0, 3] and [x["poly"][0]["y"] for x in found] == sorted(x["poly"][0]["y"] for x in found)
