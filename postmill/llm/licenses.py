@@ -5,6 +5,7 @@ With a and b bigrams, Dice cannot reach t unless a lies within b * t / (2 - t) a
 only compared with templates inside those bounds, and units outside all of them are dropped first. Templates
 are short notices, standard headers, whole licence texts and the paragraphs of these that stand for themselves;
 a paragraph that several licences share has the name of their family. They are a literal of fixed size;
+a text, and then a unit, without any word that a match must have (see anchors()) is compared with none;
 everything happens inside each row. A notice inside a longer sentence is not found.
 
 Result: doc_id, n_units (different units that match a template), license (that of the highest Dice, of equals
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.common import long_id, table
+from postmill.llm.rules import STOP_WORDS
 
 THRESHOLD = 0.75
 #: Public notices, headers and texts of common licences; a blank line parts paragraphs.
@@ -87,6 +89,23 @@ def bigrams(text: str) -> list[str]:
 TEMPLATES = all_templates()
 
 
+def anchors(known: list[tuple[str, list[str]]], low: float) -> list[str]:
+    """Words of which every unit that matches a template has one.
+
+    A match shares at least low * b of the template's b bigrams, so it misses at most the others; of each
+    template the longest words are taken, stop words last, until more bigrams than those hold one of them.
+    """
+    out: set[str] = set()
+    for _, grams in known:
+        held: set[str] = set()
+        for word in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (w in STOP_WORDS, -len(w), w)):
+            if len(held) > (1 - low) * len(grams):
+                break
+            out.add(word)
+            held |= {g for g in grams if word in g.split(" ")}
+    return sorted(out)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_units, license, dice of every document."""
     known = [(name, bigrams(text)) for name, text in templates]
@@ -94,12 +113,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     least, most = min(len(b) for _, b in known) * low, max(len(b) for _, b in known) * high
     literal = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.split(F.lit(",".join(b)), ",").alias("b")) for name, b in known))
     rows = docs.select(long_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
-    none = F.array().cast("array<string>")
-    sentences = F.when(F.col("t").rlike(r"[.!?][\x20\t]"), F.split(F.regexp_replace("t", r"([.!?])[\x20\t]+", "$1\n"), "\n")).otherwise(none)
-    raw = F.concat(F.split("t", "\n"), sentences, F.filter(F.split("t", r"\n[\x20\t]*\n"), lambda p: F.contains(p, F.lit("\n"))), F.when(F.contains(F.col("t"), F.lit("\n")), F.array("t")).otherwise(none))
+    telling = anchors(known, low)
+    normal = lambda u: F.regexp_replace(F.lower(u), "[^a-z0-9]+", " ")
+    anchored = lambda w: F.exists(w, lambda x: x.isin(telling))
+    sentences = F.split(F.regexp_replace("t", r"([.!?])[\x20\t]+", "$1\n"), "\n")
+    raw = F.concat(F.split("t", "\n"), sentences, F.filter(F.split("t", r"\n[\x20\t]*\n"), lambda p: F.contains(p, F.lit("\n"))), F.array("t"))
+    plain = F.array_distinct(F.transform(F.array_distinct(raw), lambda u: F.trim(normal(u))))
     # n words have n - 1 bigrams at most, so too few words are dropped unseen; too many bigrams only once they are counted
-    plain = F.array_distinct(F.transform(F.array_distinct(raw), lambda u: F.trim(F.regexp_replace(F.lower(u), "[^a-z0-9]+", " "))))
-    rows = rows.select("doc_id", F.filter(F.transform(plain, lambda u: F.split(u, " ")), lambda w: F.size(w) > least).alias("units"))
+    units = F.filter(F.transform(plain, lambda u: F.split(u, " ")), lambda w: (F.size(w) > least) & anchored(w))
+    rows = rows.select("doc_id", F.when(anchored(F.split(normal(F.col("t")), " ")), units).otherwise(F.array().cast("array<array<string>>")).alias("units"))
     grams = F.transform("units", lambda w: F.array_distinct(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))))
     rows = rows.select("doc_id", F.transform(grams, lambda g: F.filter(g, lambda x: x.isNotNull())).alias("grams"))
     rows = rows.select("doc_id", F.filter("grams", lambda g: F.size(g).between(least, most)).alias("grams"))
