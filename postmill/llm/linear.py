@@ -29,28 +29,35 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w, bias
 
 
-def dense_descent(x: np.ndarray, y: np.ndarray, cost: np.ndarray, alpha: np.ndarray | None = None, rounds: int = 40, seed: int = 1) -> tuple[np.ndarray, float, np.ndarray]:
-    """The same over the rows of a matrix, from known multipliers on: weights, bias and multipliers.
+def times(x: np.ndarray, w: np.ndarray, step: int = 16_384) -> np.ndarray:
+    """x @ w of a matrix of short floats, widened a part at a time."""
+    w = w.astype(np.float32)
+    return np.concatenate([np.empty(0), *(x[at : at + step].astype(np.float32) @ w for at in range(0, len(x), step))]).astype(float)
+
+
+def dense_descent(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40, seed: int = 1) -> tuple[np.ndarray, float]:
+    """The same over some rows of a matrix, whose labels and costs are y and cost; the matrix, which may be of short floats, is neither copied nor widened as a whole.
 
     A round visits only rows that can move, those with a multiplier or inside the margin, so that many easy rows cost little.
     """
-    alpha = np.zeros(len(x)) if alpha is None else alpha.copy()
-    w, bias = (x.T @ (alpha * y)).astype(float), float(alpha @ y)
-    square = np.einsum("ij,ij->i", x, x).astype(float) + 1.0
+    w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows))
+    square = np.concatenate([np.empty(0), *(np.square(x[at : at + 16_384].astype(np.float32)).sum(axis=1) for at in range(0, len(x), 16_384))])[rows] + 1.0
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0
-        for i in order.permutation(np.nonzero((alpha > 0) | (y * (x @ w + bias) < 1))[0]):
-            slope = y[i] * (float(x[i] @ w) + bias) - 1.0
+        margins = y * (times(x, w)[rows] + bias)
+        for i in order.permutation(np.nonzero((alpha > 0) | (margins < 1))[0]):
+            row = x[rows[i]].astype(float)
+            slope = y[i] * (float(row @ w) + bias) - 1.0
             new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
             if (step := (new - alpha[i]) * y[i]) != 0.0:
                 alpha[i] = new
-                w += step * x[i]
+                w += step * row
                 bias += step
                 most = max(most, abs(step))
         if most < 1e-3:
             break
-    return w, bias, alpha
+    return w, bias
 
 
 def logistic(margins: np.ndarray, y: np.ndarray, weights: np.ndarray, rounds: int = 50) -> tuple[float, float]:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm.common import bounded_labels, held_out, long_id, table
-from postmill.llm.linear import dense_descent, logistic
+from postmill.llm.linear import dense_descent, logistic, times
 
 DECAY, SPAN, CLASSES = 0.6, 7, 64
 START, END = 37, 38
@@ -123,7 +123,7 @@ def feature_rows(words: list[str], column: np.ndarray, width: int) -> np.ndarray
 
 def projected(words: list[str], column: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Nyström features of units: normalised explicit features times table, whose last row is for characters that no landmark has."""
-    out = np.zeros((len(words), table.shape[1]), np.float32)
+    out = np.zeros((len(words), table.shape[1]), np.float16)
     for numbers, codes, decay in subsequences(words):
         for at in range(0, len(numbers), 1000) if codes.shape[1] else ():
             part = codes[at : at + 1000]
@@ -231,25 +231,26 @@ def fit(examples: Iterable[tuple[int, list[str]]], telling: int = 96, ordinary:
     virtual = {v: min(HEAVIEST, telltale[i]) / len(own) for i, own in altered.items() for v in own}
     marks += [v for m in marks[: telling // 4] for v in insertions(m, 4) if v in virtual]
     column, table, used = nystroem(marks)
-    x, x_virtual = (projected(words, column, table.astype(np.float32)) for words in (every, list(virtual)))
+    x = projected([*every, *virtual], column, table.astype(np.float32))  # a row per unit, then one per virtual example
+    n, put_in = len(every), np.arange(len(every), len(every) + len(virtual))
     belief = np.log((pos + 0.1) / (n_pos + 1)) - np.log((neg + 0.1) / (n_neg + 1))
     witness = neg * n_pos <= 0.1 * pos * n_neg  # a unit that clean documents have as well can't be why one is toxic
     bags = [u[witness[u]] for u, label in zip(known.units, y_docs, strict=True) if label and witness[u].any()]
     for _ in range(rounds):
         tops = Counter(int(u[np.argmax(belief[u])]) for u in bags) | Counter(telltale)
-        rows = np.vstack([x[list(tops)], x_virtual, x[clean]])
+        rows = np.r_[list(tops), put_in, clean].astype(np.int64)
         y = np.r_[np.ones(len(tops) + len(virtual)), -np.ones(len(clean))]
         toxic = np.r_[np.minimum(np.array(list(tops.values()), float), HEAVIEST), np.array(list(virtual.values()), float)]
         costs = cost * np.r_[toxic * weight / max(1.0, toxic.sum()), np.minimum(neg[clean], HEAVIEST)]
-        w, bias, _ = dense_descent(rows, y, costs, rounds=30)
-        del rows
-        belief = x @ w + bias
+        w, bias = dense_descent(x, rows, y, costs, rounds=30)
+        decided = times(x, w) + bias
+        belief = decided[:n]
     folded = np.zeros(CLASSES**3)
     folded[used] = table[:-1] @ w
     tops_of = np.array([evidence(zip(belief[u].tolist(), n.tolist(), strict=True), bias) for u, n in zip(known.units, known.times, strict=True)])
     y_all, share = y_docs.astype(float), len(y_docs) / (2.0 * np.where(y_docs == 1, n_pos, n_neg))
     if virtual:
-        plain, put = tops_of[y_docs == 0], x_virtual @ w + bias
+        plain, put = tops_of[y_docs == 0], decided[put_in]
         mixed = np.hstack([plain, put[np.arange(len(plain)) % len(put)][:, None]])
         tops_of = np.vstack([tops_of, -np.sort(-mixed, axis=1)[:, :HIGHEST]])
         y_all, share = np.r_[y_all, np.ones(len(plain))], np.r_[share, np.full(len(plain), VIRTUAL * len(y_docs) / 2.0 / len(plain))]

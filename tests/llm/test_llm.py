@@ -683,8 +683,8 @@ def test_folded_table_is_the_kernel_machine():
     kernel = rows @ rows.T
     value, vector = np.linalg.eigh(kernel[:4, :4])
     features = kernel[4:, :4] @ vector / np.sqrt(value)
-    ours = toxicity.projected(words, column, table.astype(np.float32))
-    assert np.allclose(ours @ ours.T, features @ features.T, atol=1e-4)
+    ours = toxicity.projected(words, column, table.astype(np.float32)).astype(float)
+    assert np.allclose(ours @ ours.T, features @ features.T, atol=3e-3)  # kept as short floats
 
 
 def test_an_inserted_letter_does_not_hide_an_insult():
@@ -701,7 +701,7 @@ def test_dense_descent_agrees_with_the_sparse_one():
     x = draw.normal(size=(200, 6))
     y = np.where(x[:, 0] - x[:, 1] + draw.normal(size=200) > 0, 1.0, -1.0)
     one = linear.dual_coordinate_descent([(np.arange(6), r) for r in x], y, 6, np.ones(200), rounds=400)
-    two = linear.dense_descent(x, y, np.ones(200), rounds=400)
+    two = linear.dense_descent(np.vstack([x + 9, x]), np.arange(200, 400), y, np.ones(200), rounds=400)
     assert np.allclose(one[0], two[0], atol=0.02) and one[1] == pytest.approx(two[1], abs=0.02)
 
 
