@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +72,13 @@ def bounded_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def sliced(batches: Iterator, rows: int = 500) -> Iterator:
+    """Arrow batches in slices, so that what a task makes of long texts is handed on before the next ones are read."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class WordHashes(dict):
     """bytes -> 64-bit hash, remembered; forgets all when full, so that memory stays bounded."""
 

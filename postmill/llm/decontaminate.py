@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import WordHashes, kgrams, long_id, materialise, table, word_hashes, word_list
+from postmill.llm.common import WordHashes, kgrams, long_id, materialise, sliced, table, word_hashes, word_list
 
 FILTER_BITS = 22
 SALTS = 16
@@ -179,7 +179,7 @@ def with_hits(rows: DataFrame, benchmark: DataFrame, window: int = 10, k: int =
         import pyarrow as pa
 
         known, seen = known_index(name, shared, window, k), WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             found = []
             for text in batch.column("row").field("text"):
                 words = word_list(text.as_py())
@@ -216,7 +216,7 @@ def joined_hits(rows: DataFrame, items: DataFrame, window: int, k: int) -> DataF
         import pyarrow as pa
 
         seen, filters = WordHashes(), {length: np.unpackbits(own).astype(bool) for length, own in shared.value.items()}
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, own = [], []
             for text in batch.column("row").field("text"):
                 hashes = word_hashes(word_list(text.as_py()), seen)

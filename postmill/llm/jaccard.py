@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import WordHashes, components, kgrams, long_id, materialise, mix, table, with_facts, word_hashes, word_list
+from postmill.llm.common import WordHashes, components, kgrams, long_id, materialise, mix, sliced, table, with_facts, word_hashes, word_list
 
 SAMPLE = 64
 #: Sketches pass well below the threshold; the exact comparison decides.
@@ -93,7 +93,7 @@ def paths(docs: DataFrame, n: int, runs: int, branch: float) -> DataFrame:
         import xxhash
 
         seen = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             digests, sizes, keys, samples = [], [], [], []
             for text in batch.column(1):
                 tokens = shingles(text.as_py(), seen, n)
@@ -290,7 +290,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
         import xxhash
 
         seen = WordHashes()
-        for batch in batches:
+        for batch in sliced(batches):
             sets = [shingles(x.as_py(), seen, n).tobytes() for x in batch.column("text")]
             same = [xxhash.xxh3_128_hexdigest(s) == d.as_py() for s, d in zip(sets, batch.column("digest"), strict=True)]
             out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("component", "n", "node", "copies", "digest")), pa.array(sets, pa.binary())], ["component", "n", "node", "copies", "digest", "members"])

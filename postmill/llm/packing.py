@@ -23,7 +23,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import long_id, materialise, table
+from postmill.llm.common import long_id, materialise, sliced, table
 
 #: Fixed value: how the public byte-level vocabulary splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, room: int, tokenizer: str, end_id: int, with_ids: bo
 
         encoder, closing = Encoder(tokenizer), end_id.to_bytes(4, "little")
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
             cuts: list[bytes] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -163,7 +163,7 @@ class BestFit:
         return here
 
 
-def pack(made: DataFrame, n_documents: int, room: int = 1024, open_bins: int = 4096, group_documents: int = 100_000) -> DataFrame:
+def pack(made: DataFrame, n_documents: int, room: int = 1024, open_bins: int = 4096, group_documents: int = 10_000) -> DataFrame:
     """Adds sequence_id and offset to pieces, in place of their row numbers.
 
     Pieces that fill a sequence need no bin. The others (one a document at most) are dealt out to groups of
@@ -183,7 +183,7 @@ def pack(made: DataFrame, n_documents: int, room: int = 1024, open_bins: int = 4
         import pyarrow as pa
 
         now, packer, base = None, None, 0
-        for batch in batches:
+        for batch in sliced(batches, 1000):
             sequence, offset = [], []
             for group, length in zip(batch.column("group").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 if group != now:
@@ -198,7 +198,7 @@ def pack(made: DataFrame, n_documents: int, room: int = 1024, open_bins: int = 4
     return packed.unionByName(full.select(*columns))
 
 
-def best_fit(docs: DataFrame, room: int = 1024, tokenizer: str | None = None, end_id: int = 2, open_bins: int = 4096, group_documents: int = 100_000, with_ids: bool = False) -> DataFrame:
+def best_fit(docs: DataFrame, room: int = 1024, tokenizer: str | None = None, end_id: int = 2, open_bins: int = 4096, group_documents: int = 10_000, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with the sequence and the place that each has, and with their ids if asked for."""
     made = materialise(pieces(docs, room, tokenizer or default_tokenizer(), end_id, with_ids), "pieces")
     n_documents = made.where(F.col("piece") == 0).count()

@@ -39,7 +39,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postmill.llm.common import bounded_labels, held_out, long_id, table
+from postmill.llm.common import bounded_labels, held_out, long_id, sliced, table
 from postmill.llm.linear import dense_descent, logistic, times
 
 DECAY, SPAN, CLASSES = 0.6, 7, 64
@@ -316,11 +316,9 @@ def with_score(rows: DataFrame, model: dict | None) -> DataFrame:
 
         m = shared.value
         seen = Decisions(m) if m else None
-        for batch in batches:
-            texts, out = batch.column("row").field("text"), []
-            for at in range(0, batch.num_rows, 500):
-                part = [x.as_py() for x in texts.slice(at, 500)]
-                out += scores(part, m, seen) if m else [0.5] * len(part)
+        for batch in sliced(batches):
+            texts = batch.column("row").field("text").to_pylist()
+            out = scores(texts, m, seen) if m else [0.5] * len(texts)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.float64())], ["row", "score"])
 
     return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double")
