@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.names import versioned_filename
+from postmill.operators.ranks import numbered
 
 
 def policy_action(exists: Column, same_note: Column, policy: Column) -> Column:
@@ -52,8 +53,8 @@ def flag_processed(rows: DataFrame, history: DataFrame, key: str = "note_id", ou
 
 def unique_names(rows: DataFrame, order: list[Column]) -> DataFrame:
     """File names of one batch made unique: the second and later of a name get ` (n)` before .md."""
-    n = F.row_number().over(Window.partitionBy("filename").orderBy(*order))
-    return rows.withColumn("_n", n).withColumn("target", F.when(F.col("_n") == 1, F.col("filename")).otherwise(F.concat(F.regexp_replace("filename", r"(?i)\.md\z", ""), F.lit(" ("), (F.col("_n") - 1).cast("string"), F.lit(").md")))).drop("_n")
+    later = F.concat(F.regexp_replace("filename", r"(?i)\.md\z", ""), F.lit(" ("), (F.col("_k") - 1).cast("string"), F.lit(").md"))
+    return numbered(rows, ["filename"], order).withColumn("target", F.when(F.col("_k") == 1, F.col("filename")).otherwise(later)).drop("_k", "_n")
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from postmill.functions.text import half_up
 from postmill.operators.lines import collapse_adjacent, translate_tiles
+from postmill.operators.ranks import numbered
 
 #: Fixed values of the detection and recognition steps.
 MASK, LEAST_SIDE, BOX_SCORE, UNCLIP, MOST_BOXES = 0.2, 3, 0.4, 1.4, 3000
@@ -219,7 +220,7 @@ def text_width(width: Column, height: Column) -> Column:
 
 def text_batches(crops: DataFrame, keys: list[str], order: str, padded: str, size: int = 8) -> DataFrame:
     """Adds batch and batch_width to an image's crops: `size` of like width go together, all as wide as the widest."""
-    rows = crops.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(padded, order)) - 1) / size).cast("long"))
+    rows = numbered(crops, keys, [F.col(padded), F.col(order)]).withColumn("batch", F.floor((F.col("_k") - 1) / size).cast("long")).drop("_k", "_n")
     return rows.withColumn("batch_width", F.max(padded).over(Window.partitionBy(*keys, "batch")))
 
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
-from postmill.operators import export, extract, jobs, lines, scan, vision
+from postmill.operators import export, extract, jobs, lines, metrics, ranks, scan, vision
 from postmill.sources.packages import character_list, tar_members
 from postmill.streaming.jobs import advance, reduce_stream, replay
 
@@ -337,3 +337,20 @@ def test_texts_come_back_in_reading_order():
     found = vision.lines_of(rgb, reader()(), batch=2)
     widths = [max(p["x"] for p in x["poly"]) - min(p["x"] for p in x["poly"]) for x in found]
     assert sorted(range(4), key=lambda i: widths[i]) == [1, 2, 0, 3] and [x["poly"][0]["y"] for x in found] == sorted(x["poly"][0]["y"] for x in found)
+
+
+def test_numbers_within_large_keys(spark):
+    rows = [(k, i * 7919 % 4001 // (1 + 3 * (k == "hot")), i) for i in range(4001) for k in (("hot", None, f"k{i % 50}") if i % 3 else ("hot",))]
+    got = ranks.numbered(spark.createDataFrame(rows, "k string, v long, i long").repartition(5), ["k"], [F.col("v")]).collect()
+    assert sorted((r.k or "", r.v, r.i) for r in got) == sorted((k or "", v, i) for k, v, i in rows)
+    of = {}
+    for r in got:
+        of.setdefault(r.k, []).append((r._k, r.v, r._n))
+    assert all([x[0] for x in sorted(x)] == list(range(1, len(x) + 1)) and {y[2] for y in x} == {len(x)} and [y[1] for y in sorted(x)] == sorted(y[1] for y in x) for x in of.values())
+    # equal values of one key take several parts, too
+    assert ranks.numbered(spark.createDataFrame([("a", 1)] * 4000, "k string, v long"), ["k"], [F.col("v")]).agg(F.countDistinct("_k"), F.max("_k"), F.min("_n")).first()[:] == (4000, 4000, 4000)
+
+
+def test_summary_without_nulls(spark):
+    got = metrics.summary(spark.createDataFrame([("a", 3.0), ("a", None), ("a", 1.0), ("a", 2.0), ("a", 9.0), ("b", None)], "k string, v double"), ["k"], "v").orderBy("k").collect()
+    assert [tuple(r) for r in got] == [("a", 4, 3.8, 1.0, 3.0, 9.0, 9.0), ("b", 0, None, None, None, None, None)]
