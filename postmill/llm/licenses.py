@@ -6,10 +6,12 @@ only compared with templates inside those bounds, and units outside all of them
 are short notices, standard headers, whole licence texts and the paragraphs of these that stand for themselves;
 a paragraph that several licences share has the name of their family. They are a literal of fixed size;
 a text, and then a unit, without any word that a match must have (see anchors()) is compared with none;
-everything happens inside each row. A notice inside a longer sentence is not found.
+everything happens inside each row. A text none of whose units matches may have a notice inside a longer
+sentence: it is read by windows as long as a template, which begin where one of the template's bigrams stands.
+Only templates of which the text has enough bigrams for the threshold, wherever they are, get windows.
 
-Result: doc_id, n_units (different units that match a template), license (that of the highest Dice, of equals
-the one with the longer template, then by name; null without one) and dice. Cases: null and empty texts match
+Result: doc_id, n_units (different units that match a template; 1 if only a window does), license (that of the
+highest Dice, of equals the one with the longer template, then by name; null without one) and dice. Cases: null and empty texts match
 nothing; repeated rows each give a row; other columns are left out, whatever their names.
 """
 
@@ -80,9 +82,14 @@ def all_templates() -> list[tuple[str, str]]:
     return list(dict.fromkeys([*NOTICES, *sorted((name, part) for part, name in shared.items())]))
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text, as the query normalises it."""
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip().split()
+
+
 def bigrams(text: str) -> list[str]:
-    """Distinct word bigrams of a text, as the query normalises it."""
-    words = re.sub("[^a-z0-9]+", " ", text.lower()).strip().split()
+    """Distinct word bigrams of a text."""
+    words = words_of(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
@@ -109,9 +116,10 @@ def anchors(known: list[tuple[str, list[str]]], low: float) -> list[str]:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_units, license, dice of every document."""
     known = [(name, bigrams(text)) for name, text in templates]
+    long = [len(words_of(text)) - 1 for _, text in templates]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     least, most = min(len(b) for _, b in known) * low, max(len(b) for _, b in known) * high
-    literal = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.split(F.lit(",".join(b)), ",").alias("b")) for name, b in known))
+    literal = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(len(b)).alias("n"), F.split(F.lit(",".join(b)), ",").alias("b"), F.lit(m).alias("m")) for (name, b), m in zip(known, long, strict=True)))
     rows = docs.select(long_id(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     telling = anchors(known, low)
     normal = lambda u: F.regexp_replace(F.lower(u), "[^a-z0-9]+", " ")
@@ -121,17 +129,32 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
     plain = F.array_distinct(F.transform(F.array_distinct(raw), lambda u: F.trim(normal(u))))
     # n words have n - 1 bigrams at most, so too few words are dropped unseen; too many bigrams only once they are counted
     units = F.filter(F.transform(plain, lambda u: F.split(u, " ")), lambda w: (F.size(w) > least) & anchored(w))
-    rows = rows.select("doc_id", F.when(anchored(F.split(normal(F.col("t")), " ")), units).otherwise(F.array().cast("array<array<string>>")).alias("units"))
-    grams = F.transform("units", lambda w: F.array_distinct(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))))
-    rows = rows.select("doc_id", F.transform(grams, lambda g: F.filter(g, lambda x: x.isNotNull())).alias("grams"))
-    rows = rows.select("doc_id", F.filter("grams", lambda g: F.size(g).between(least, most)).alias("grams"))
+    rows = rows.select("doc_id", "t", F.when(anchored(F.split(normal(F.col("t")), " ")), units).otherwise(F.array().cast("array<array<string>>")).alias("units"))
+    pairs = lambda w: F.filter(F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+    rows = rows.select("doc_id", "t", (F.size("units") > 0).alias("anchored"), F.transform("units", lambda w: F.array_distinct(pairs(w))).alias("grams"))
+    rows = rows.select("doc_id", "t", "anchored", F.filter("grams", lambda g: F.size(g).between(least, most)).alias("grams"))
+
+    def likeness(g, t):
+        return F.struct((-2.0 * F.size(F.array_intersect(g, t["b"])) / (F.size(g) + t["n"])).alias("d"), (-t["n"]).alias("n"), t["name"].alias("name"))
 
     def compare(g):
         fits = F.filter(literal, lambda t: F.size(g).between(t["n"] * low, t["n"] * high))
-        found = F.transform(fits, lambda t: F.struct((-2.0 * F.size(F.array_intersect(g, t["b"])) / (F.size(g) + t["n"])).alias("d"), (-t["n"]).alias("n"), t["name"].alias("name")))
-        return F.array_min(F.filter(found, lambda x: x["d"] <= -threshold))
-
-    rows = rows.select("doc_id", F.filter(F.transform("grams", compare), lambda x: x.isNotNull()).alias("found"))
+        return F.array_min(F.filter(F.transform(fits, lambda t: likeness(g, t)), lambda x: x["d"] <= -threshold))
+
+    def best_window(t):
+        begins = F.filter(F.transform("all", lambda x, i: F.when(F.array_contains(t["b"], x), i + 1)), lambda i: i.isNotNull())
+        return F.array_min(F.transform(begins, lambda i: likeness(F.array_distinct(F.slice("all", i, t["m"])), t)))
+
+    rows = rows.select("doc_id", "t", "anchored", F.filter(F.transform("grams", compare), lambda x: x.isNotNull()).alias("units"))
+    # a window that matches shares as many bigrams with its template as a unit must have at least
+    unmatched = F.col("anchored") & (F.size("units") == 0)
+    rows = rows.withColumn("all", F.when(unmatched, pairs(F.split(F.trim(normal(F.col("t"))), " "))).otherwise(F.array().cast("array<string>")))
+    telling = sorted({g for _, b in known for g in b})
+    rows = rows.withColumn("some", F.array_distinct(F.filter("all", lambda x: x.isin(telling))))
+    held = F.when(F.size("some") >= least, F.filter(literal, lambda t: F.size(F.array_intersect("some", t["b"])) >= t["n"] * low)).otherwise(F.filter(literal, lambda t: F.lit(False)))
+    inside = F.array_min(F.filter(F.transform(held, best_window), lambda x: x["d"] <= -threshold))
+    rows = rows.withColumn("inside", F.when(F.size("some") > 0, inside))
+    rows = rows.select("doc_id", F.when(F.col("inside").isNotNull(), F.array("inside")).otherwise(F.col("units")).alias("found"))
     best = F.array_min("found")
     return rows.select("doc_id", F.size("found").cast("long").alias("n_units"), best["name"].alias("license"), F.round(-best["d"], 6).alias("dice"))
 
@@ -141,10 +164,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    values = ", ".join("('{}', {}, [{}])".format(name, len(b), ", ".join(f"'{x}'" for x in b)) for name, b in ((n, bigrams(t)) for n, t in TEMPLATES))
-    least, most = min(len(bigrams(t)) for _, t in TEMPLATES), max(len(bigrams(t)) for _, t in TEMPLATES)
+    known = [(n, bigrams(t), len(words_of(t)) - 1) for n, t in TEMPLATES]
+    values = ", ".join("('{}', {}, [{}], {})".format(name, len(b), ", ".join(f"'{x}'" for x in b), m) for name, b, m in known)
+    least, most = min(len(b) for _, b, _ in known), max(len(b) for _, b, _ in known)
     return f"""
-with tpl(name, n, b) as (values {values}),
+with tpl(name, n, b, m) as (values {values}),
 d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
 u as (
   select distinct r, trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')) as u from (
@@ -155,6 +179,13 @@ f as (
   select g.r, g.g, tpl.name, tpl.n, 2.0 * len(list_intersect(g.g, tpl.b)) / (len(g.g) + tpl.n) as dice
   from g, tpl where len(g.g) between tpl.n * {THRESHOLD} / (2 - {THRESHOLD}) and tpl.n * (2 - {THRESHOLD}) / {THRESHOLD} and len(g.g) <= {most} * 4),
 m as (select r, g, name, n, dice from f where dice >= {THRESHOLD}),
-b as (select r, count(distinct g) as n_units, arg_min(name, (-dice, -n, name)) as license, max(dice) as dice from m group by r)
+s as (select r, string_split(trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')), ' ') as w from d where r not in (select r from m)),
+a as (select r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as a from s),
+e as (select e.r, e.i, k.name, k.n, k.b, k.m from (select r, unnest(a) as x, unnest(range(1, len(a) + 1)) as i from a) e join (select name, n, b, m, unnest(b) as x from tpl) k using (x)),
+o as (select e.r, name, n, b, list_distinct(a[i : i + m - 1]) as g from e join a using (r)),
+i as (select r, name, n, 2.0 * len(list_intersect(g, b)) / (len(g) + n) as dice from o),
+b as (
+  select r, count(distinct g) as n_units, arg_min(name, (-dice, -n, name)) as license, max(dice) as dice from m group by r
+  union all select r, 1, arg_min(name, (-dice, -n, name)), max(dice) from i where dice >= {THRESHOLD} group by r)
 select doc_id, coalesce(n_units, 0) as n_units, license, round(dice, 6) as dice from d left join b using (r)
 """

@@ -285,6 +285,38 @@ the Free Software Foundation, either version 3 of the License, or
     assert [r.license for r in licenses.scan(df).orderBy("doc_id").collect()] == list(rows)
 
 
+def brute_window(text, threshold=0.75):
+    """The licence of the likest run of words that begins with one of a template's bigrams and is as long."""
+    words, found = re.findall("[a-z0-9]+", text.lower()), []
+    for name, template in licenses.TEMPLATES:
+        own = re.findall("[a-z0-9]+", template.lower())
+        grams = set(zip(own, own[1:]))
+        for i in range(len(words) - 1):
+            here = words[i : i + len(own)]
+            got = set(zip(here, here[1:]))
+            if (words[i], words[i + 1]) in grams and 2 * len(got & grams) >= threshold * (len(got) + len(grams)):
+                found.append((-2 * len(got & grams) / (len(got) + len(grams)), -len(grams), name))
+    return min(found)[2] if found else None
+
+
+def test_notices_inside_longer_sentences(spark):
+    gpl = dict(licenses.TEXTS)["GPL-3.0"].split("\n\n")[0]
+    rows = {
+        "a long evening went by and " * 30 + "it was released under the\nMIT License so that all may have it " + "and so on " * 30: "MIT",
+        "Mind that the pictures are licensed under CC BY-SA 4.0 unless we say otherwise in the text below it.": "CC-BY-SA-4.0",
+        "Mind that the words, licensed under CC BY 4.0": "CC-BY-4.0",
+        "He read aloud that " + gpl.rstrip(".") + " and then he closed the book and went to sleep for a very long time, as did all of us " * 3: "GPL-3.0",
+        "They spoke of software, of the license that nobody has, of apache, of general public interest and of redistribution " * 9: None,
+        "licensed licensed under under the the apache license license version": None,
+        "Released under the MIT License.": "MIT",
+        "license": None,
+    }
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = licenses.scan(df).orderBy("doc_id").collect()
+    assert [r.license for r in got] == list(rows.values()) == [brute_window(t) for t in rows]
+    assert [r.n_units for r in got] == [1 if x else 0 for x in rows.values()] and got[0].dice == got[6].dice == 1
+
+
 def test_rules_abstain_without_a_stop_list(spark):
     russian = " ".join(f"слово{i} и другое{i}" for i in range(40))
     english, junk = " ".join(f"the word{i} of a{i}" for i in range(40)), " ".join(f"zork{i} blat{i}" for i in range(40))
