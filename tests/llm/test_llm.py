@@ -76,6 +76,44 @@ def test_odd_rows(spark, labels):
         assert run().count() == len(ODD), name
 
 
+def test_odd_rows_have_their_defined_results(spark, labels):
+    docs = docs_of(spark, ODD)
+    run = {name: list(make().collect()) for name, make in operators(spark, docs, labels).items()}
+
+    def of(name, *columns):
+        """Values by doc_id, one for each of its rows."""
+        out = {}
+        for r in run[name]:
+            out.setdefault(r.doc_id, []).append(r[columns[0]] if len(columns) == 1 else tuple(r[c] for c in columns))
+        return out
+
+    short = {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (1, 3), 5: (1, 3), None: (5, 17), 6: (30_000, len(LONG.replace(" ", ""))), 7: (1, 50_000), 8: (150, 50 * 26)}
+    assert {k: set(v) for k, v in of("rules", "n_words", "word_chars").items()} == {k: {v} for k, v in short.items()}
+    assert {k: v[0] for k, v in of("rules", "n_repeat_words").items() if v[0]} == {6: 30_000, 8: 150} and all(r.base_failed and not r.kept for r in run["rules"])
+    assert all((r.n_units, r.license, r.dice) == (0, None, None) for r in run["licenses"])
+    assert {k: len(v[0]) for k, v in of("pii", "spans").items() if v[0]} == {8: 50}
+    hidden = dict(ODD) | {8: "[EMAIL] and password=secret123 " * 50}
+    assert {k: v[0] for k, v in of("sanitise", "text").items()} == hidden
+    assert {k: v[0] for k, v in of("redaction", "text").items()} == dict(ODD) | {8: "a@b.c and [SECRET:assign] " * 50}
+    assert {k: len(v[0]) for k, v in of("secrets", "spans").items() if v[0]} == {8: 50}
+    placed = {}
+    for r in sharding.place(docs, "doc_id", sharding.names(5), 101).collect():
+        placed.setdefault(r.doc_id, set()).add((r.slot, r.shard))
+    assert all(len(x) == 1 and None not in x for x in placed.values())
+    for name in ("decontaminate", "decontaminate by joins"):
+        assert {k: v[0] for k, v in of(name, "n_words", "n_hit", "n_items").items()} == {1: (0, 0, 0), 2: (0, 0, 0), 3: (0, 0, 0), 4: (1, 0, 0), 5: (1, 0, 0), None: (5, 0, 0), 6: (30_000, 0, 0), 7: (1, 0, 0), 8: (300, 0, 0)}
+    like = {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 2), 5: (4, 2), None: (None, 0), 6: (6, 0), 7: (7, 0), 8: (8, 0)}
+    assert {k: set(v) for k, v in of("jaccard", "class_id", "n_links").items()} == {k: {v} for k, v in like.items()}
+    ends = {}
+    for r in packing.best_fit(docs).collect():
+        ends.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+    assert {x[2] for k in (1, 2) for x in ends[k]} == {1} and len({x[1:] for k in (1, 2) for x in ends[k]}) == 1
+    assert len({x for k in (4, 5) for x in ends[k]}) == 1 and [len(ends[k]) for k in (4, 5)] == [1, 2] and len(ends[6]) > 30
+    for name in ("quality", "toxicity"):
+        scores = of(name, "score")
+        assert all(0 <= x <= 1 for v in scores.values() for x in v) and scores[1] == scores[2] and {*scores[4]} == {*scores[5]}
+
+
 def test_empty_tables(spark, labels):
     for name, run in operators(spark, docs_of(spark, []), labels).items():
         assert run().count() == 0, name
