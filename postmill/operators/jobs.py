@@ -106,12 +106,12 @@ def next_step(status: Column, valid_url: Column, same_id: Column, n_images: Colu
 
 
 def panel_view(tasks: DataFrame, jobs: DataFrame, history: DataFrame) -> DataFrame:
-    """What a panel shows of every task: tasks (task_id, running, output, current_index, progress, job_id, queue),
-    the stage of its job (job_id, stage) and how many history entries there are by output (output, entries)."""
+    """What a panel shows of every task: tasks (task_id, running, output, current_index, progress, job_id, started_at,
+    stop_requested, queue), the stage of its job (job_id, stage) and how many history entries there are by output (output, entries)."""
     stage = jobs.select("job_id", "stage")
     total = F.coalesce(F.size("queue"), F.lit(0))
     rows = tasks.join(stage, "job_id", "left").join(history, "output", "left")
-    return rows.select("task_id", F.coalesce("running", F.lit(False)).alias("running"), "output", F.coalesce("current_index", F.lit(0)).alias("current_index"), F.greatest(F.lit(0), total).alias("total"), F.coalesce("progress", F.lit(0)).alias("progress"), "stage", F.coalesce("entries", F.lit(0)).cast("long").alias("entries"))
+    return rows.select("task_id", F.coalesce("running", F.lit(False)).alias("running"), "output", F.coalesce("current_index", F.lit(0)).alias("current_index"), F.greatest(F.lit(0), total).alias("total"), F.coalesce("progress", F.lit(0)).alias("progress"), "stage", "started_at", F.coalesce("stop_requested", F.lit(False)).alias("stop_requested"), "queue", F.coalesce("entries", F.lit(0)).cast("long").alias("entries"))
 
 
 def stop_gracefully(status: Column) -> Column:

@@ -276,14 +276,14 @@ def text_input(rgb: np.ndarray, padded: int) -> np.ndarray:
     return out
 
 
-def lines_of(rgb: np.ndarray, session, batch: int = 8) -> list[dict]:
+def lines_of(rgb: np.ndarray, session) -> list[dict]:
     """Lines of an image: boxes of session.detect(planes), texts of session.recognise(batch of planes), joined by the
-    number of their box. Crops go through in batches of like width, each as wide as its widest, and come back in
+    number of their box. Crops go through in batches (session.batch, 8 by default) of like width, each as wide as its widest, and come back in
     reading order; blank texts are dropped."""
     boxes = decode_boxes(session.detect(detection_input(rgb)), rgb.shape[1], rgb.shape[0])
     crops = [crop(rgb, np.array(corners)) for _, corners in boxes]
     widths = [min(TEXT_WIDTHS[1], max(TEXT_WIDTHS[0], int(c.shape[1] / max(1, c.shape[0]) * TEXT_HEIGHT))) for c in crops]
-    order, found = sorted(range(len(crops)), key=lambda i: widths[i]), {}
+    order, found, batch = sorted(range(len(crops)), key=lambda i: widths[i]), {}, getattr(session, "batch", 8)
     for at in range(0, len(order), batch):
         part = order[at : at + batch]
         wide = max(widths[i] for i in part)
@@ -297,16 +297,23 @@ _SESSIONS: dict[str, object] = {}
 LINES = "array<struct<text:string,score:double,poly:array<struct<x:double,y:double>>>>"
 
 
+def close_sessions() -> None:
+    """Lets go of this worker's sessions."""
+    for session in _SESSIONS.values():
+        getattr(session, "close", lambda: None)()
+    _SESSIONS.clear()
+
+
 def recognise_tiles(tiles: DataFrame, session: Callable[[], object] | None = None) -> DataFrame:
     """Tiles (pixels as rows of red, green and blue, width, tile_height) with lines, and error where a tile failed.
 
-    session makes an object with detect and recognise; a worker makes it once. The neural steps need model
-    weights, which aren't public inputs of this engine, so there is no default.
+    session makes an object with detect and recognise, sessions.onnx_sessions() one of model packages; a worker makes
+    it once. The neural steps need model weights, which aren't public inputs of this engine, so there is no default.
     """
     if session is None:
         raise NotImplementedError("MODEL_WEIGHTS_NOT_AVAILABLE")
     others = [c for c in tiles.columns if c != "pixels"]
-    name = f"{session.__module__}.{session.__qualname__}"
+    name = getattr(session, "name", f"{session.__module__}.{session.__qualname__}")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if name not in _SESSIONS:

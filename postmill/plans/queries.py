@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from postmill.functions import names as N
 from postmill.functions import ranges as R
 from postmill.functions import text as T
-from postmill.operators import export, extract, jobs, lines, metrics, render, scan, vision
+from postmill.operators import export, extract, jobs, lines, metrics, render, scan, state, vision
 from postmill.session import table
 from postmill.sources import synthetic
 from postmill.streaming import jobs as job_stream
@@ -704,15 +704,25 @@ def recognition_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with t as (select user_id, arg_max(event_type, event_id) as stage, count(*) as n, max(event_id) as job_id from events group by 1),
 h as (select event_type, count(*) as entries from events where event_id % 3 = 0 group by 1)
-select cast(t.user_id as varchar) as task_id, n % 2 = 0 as running, case when t.user_id % 2 = 0 then 'click' else 'none' end as output, n % 4 as current_index, n % 4 as total, 0 as progress, case when job_id % 3 > 0 then stage end as stage, coalesce(entries, 0) as entries
+select cast(t.user_id as varchar) as task_id, n % 2 = 0 as running, case when t.user_id % 2 = 0 then 'click' else 'none' end as output, n % 4 as current_index, n % 4 as total, 0 as progress, case when job_id % 3 > 0 then stage end as stage,
+  n as started_at, coalesce(n % 3 = 0, false) as stop_requested, case when n % 4 > 0 then array_to_string(range(1, n % 4 + 1), ',') else '' end as queue, coalesce(entries, 0) as entries
 from t left join h on h.event_type = case when t.user_id % 2 = 0 then 'click' else 'none' end""")
 def panel_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     last = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("stage"), F.count(F.lit(1)).alias("n"), F.max("event_id").alias("job_id"))
     queue = F.expr("if(n % 4 > 0, sequence(1, cast(n % 4 as int)), array())")
-    tasks = last.select(F.col("user_id").cast("string").alias("task_id"), F.when(F.col("n") % 2 == 0, F.lit(True)).alias("running"), F.when(F.col("user_id") % 2 == 0, "click").otherwise("none").alias("output"), (F.col("n") % 4).alias("current_index"), F.lit(None).cast("int").alias("progress"), "job_id", queue.alias("queue"))
+    tasks = last.select(F.col("user_id").cast("string").alias("task_id"), F.when(F.col("n") % 2 == 0, F.lit(True)).alias("running"), F.when(F.col("user_id") % 2 == 0, "click").otherwise("none").alias("output"), (F.col("n") % 4).alias("current_index"), F.lit(None).cast("int").alias("progress"), "job_id", F.col("n").alias("started_at"), F.when(F.col("n") % 3 == 0, F.lit(True)).alias("stop_requested"), queue.alias("queue"))
     history = events.where("event_id % 3 = 0").groupBy(F.col("event_type").alias("output")).agg(F.count(F.lit(1)).alias("entries"))
-    return jobs.panel_view(tasks, last.where("job_id % 3 > 0").select("job_id", "stage"), history)
+    return jobs.panel_view(tasks, last.where("job_id % 3 > 0").select("job_id", "stage"), history).withColumn("queue", F.array_join(F.col("queue").cast("array<string>"), ","))
+
+
+@query("""with l as (select user_id, event_id % 3 as id, event_type, value, row_number() over (partition by user_id order by ts, event_id) as k from events),
+s as (select user_id, arg_max(id, k) as id, arg_max(value, k) as value, max(k) as k from l where event_type <> 'error' group by 1)
+select user_id as key, id, value from s where not exists (select 1 from l where l.user_id = s.user_id and l.id = s.id and l.event_type = 'error' and l.k > s.k)""")
+def state_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as saves under one of three ids; errors clear."""
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.col("event_id") % 3).alias("id"), "value", (F.col("event_type") == "error").alias("cleared"), "ts", "event_id")
+    return state.current(log, ["ts", "event_id"])
 
 
 @query("select l_orderkey, round(avg(l_quantity), 6)::double as x, round(avg(l_linenumber), 6) as y from lineitem group by 1")

@@ -1,4 +1,4 @@
-"""Model packages: TAR members and the character list of a recognition model's settings."""
+"""Model packages: TAR members, the model and settings among them, the character list of settings."""
 
 from __future__ import annotations
 
@@ -8,10 +8,11 @@ import tarfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """path, member, size, content of every file in TAR archives."""
+    """path, position, member, size, content of every file in TAR archives."""
 
     def read(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -19,11 +20,18 @@ def tar_members(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for where, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    rows = [(where, m.name, m.size, tar.extractfile(m).read()) for m in tar if m.isfile()]
+                    rows = [(where, i, m.name, m.size, tar.extractfile(m).read()) for i, m in enumerate(tar) if m.isfile()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["path", "member", "size", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.binary()), strict=True)], ["path", "position", "member", "size", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, member string, size long, content binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, position int, member string, size long, content binary")
+
+
+def model_packages(spark: SparkSession, path: str) -> DataFrame:
+    """path, model, settings and error of every archive: its first model and settings file, an error without either."""
+    first = lambda name: F.min_by("content", F.when(F.col("member").endswith(f"/{name}"), F.col("position")))
+    rows = tar_members(spark, path).groupBy("path").agg(first("inference.onnx").alias("model"), first("inference.yml").cast("string").alias("settings"))
+    return rows.withColumn("error", F.when(F.col("model").isNull() | F.col("settings").isNull(), "MODEL_PACKAGE_INCOMPLETE"))
 
 
 def yaml_scalar(text: str) -> str:

@@ -10,8 +10,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
-from postmill.operators import export, extract, jobs, lines, metrics, ranks, scan, vision
-from postmill.sources.packages import character_list, tar_members
+from postmill.operators import export, extract, jobs, lines, metrics, ranks, scan, state, vision
+from postmill.operators.sessions import BATCH, THREADS, greedy, onnx_sessions, option
+from postmill.sources.packages import character_list, model_packages, tar_members
 from postmill.streaming.jobs import advance, reduce_stream, replay
 
 URL = "https://www.xiaohongshu.com/explore/abc123"
@@ -354,3 +355,77 @@ def test_numbers_within_large_keys(spark):
 def test_summary_without_nulls(spark):
     got = metrics.summary(spark.createDataFrame([("a", 3.0), ("a", None), ("a", 1.0), ("a", 2.0), ("a", 9.0), ("b", None)], "k string, v double"), ["k"], "v").orderBy("k").collect()
     assert [tuple(r) for r in got] == [("a", 4, 3.8, 1.0, 3.0, 9.0, 9.0), ("b", 0, None, None, None, None, None)]
+
+
+def proto(*fields):
+    """A protocol buffer message of (number, value): texts, bytes, whole numbers and messages."""
+    def number(n):
+        return bytes([n]) if n < 128 else bytes([n % 128 + 128]) + number(n // 128)
+
+    out = b""
+    for key, value in fields:
+        if isinstance(value, int):
+            out += number(key * 8) + number(value)
+        else:
+            value = value.encode() if isinstance(value, str) else value
+            out += number(key * 8 + 2) + number(len(value)) + value
+    return out
+
+
+def onnx_model(rank_in, rank_out, *nodes):
+    """A model that passes its input through nodes (operator, attribute, whole numbers, more attributes)."""
+    shaped = lambda name, rank: proto((1, name), (2, proto((1, proto((1, 1), (2, proto(*((1, proto((2, f"{name}{i}"))) for i in range(rank)))))))))
+    made = []
+    for i, (kind, attribute, values, *more) in enumerate(nodes):
+        listed = proto((1, attribute), (20, 7), *((8, v) for v in values))
+        others = [(5, proto((1, name), (20, 2), (3, v))) for name, v in more]
+        made.append((1, proto((1, "x" if i == 0 else f"t{i}"), (2, "y" if i == len(nodes) - 1 else f"t{i + 1}"), (4, kind), (5, listed), *others)))
+    graph = proto(*made, (2, "g"), (11, shaped("x", rank_in)), (12, shaped("y", rank_out)))
+    return proto((1, 8), (8, proto((1, ""), (2, 13))), (7, graph))
+
+
+def package(path, **files):
+    with tarfile.open(path, "w") as tar:
+        for name, data in files.items():
+            info = tarfile.TarInfo(f"m/inference.{name}")
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    return str(path)
+
+
+def test_models_of_packages_read_images(spark, tmp_path):
+    settings = ("PostProcess:\n  character_dict:\n" + "".join(f"  - '{chr(0x4E00 + i)}'\n" for i in range(120))).encode()
+    # text is where any colour is bright; a step's class is its brightest colour
+    detection = package(tmp_path / "det.tar", onnx=onnx_model(4, 4, ("ReduceMax", "axes", [1], ("keepdims", 1))), yml=settings)
+    recognition = package(tmp_path / "rec.tar", yml=settings, onnx=onnx_model(4, 3, ("ReduceMean", "axes", [2], ("keepdims", 0)), ("Transpose", "perm", [0, 2, 1])))
+    lost = package(tmp_path / "lost.tar", yml=settings)
+    assert [(r.path.rsplit("/")[-1], r.error) for r in model_packages(spark, str(tmp_path / "*.tar")).orderBy("path").collect()] == [("det.tar", None), ("lost.tar", "MODEL_PACKAGE_INCOMPLETE"), ("rec.tar", None)]
+    with pytest.raises(ValueError, match="MODEL_PACKAGE_INCOMPLETE"):
+        onnx_sessions(spark, detection, lost)
+    page = np.zeros((96, 96, 3), np.uint8)
+    page[8:28, 12:84, 0], page[48:68, 12:84, 1] = 255, 255
+    images = spark.createDataFrame([(1, bytearray(page.tobytes()), 96, 96, None), (2, bytearray(96 * 96 * 3), 96, 96, None), (3, bytearray(b"short"), 96, 96, None), (4, None, 96, 96, "HTTP_ERROR:404")], "i int, pixels binary, width long, height long, error string")
+    sessions = onnx_sessions(spark, detection, recognition, threads=1, batch=1)
+    got = vision.recognise(images, ["i"], sessions).orderBy("i").collect()
+    assert [(r.i, r.status, r.text) for r in got] == [(1, "success", "丁\n一"), (2, "empty", ""), (3, "error", ""), (4, "error", "")]
+    assert got[2].error and got[3].error == "HTTP_ERROR:404" and sessions.name != onnx_sessions(spark, detection, recognition).name
+    session = sessions()
+    assert session.batch == 1 and session.detect(np.zeros((3, 32, 64), np.float32)).shape == (32, 64)
+    session.close()
+    assert session.models == []
+
+
+def test_session_options_and_greedy_decoding():
+    assert [option(x, THREADS) for x in (None, 0, 2.9, 99, float("nan"), "3", True)] == [4, 1, 2, 8, 4, 4, 4] and [option(x, BATCH) for x in (None, -5, 33)] == [8, 1, 32]
+    steps = np.eye(4, dtype=np.float32)[[0, 1, 1, 0, 1, 3, 2, 2]] * np.arange(1, 9, dtype=np.float32)[:, None]
+    assert greedy(np.stack([steps, 0 * steps]), ["a", "b"]) == [("aab", (2 + 5 + 7) / 3), ("", 0.0)]  # class 3 has no character
+    with pytest.raises(ValueError):
+        greedy(steps, ["a"])
+
+
+def test_state_table(spark, tmp_path):
+    schema, path = "key string, id string, value string, cleared boolean, at int", str(tmp_path / "state")
+    log = [("job", "a", "1", None, 1), ("job", "a", None, True, 2), ("job", "b", "2", False, 3), ("job", "a", None, True, 4), ("job", "b", "3", False, 5), ("gone", "x", "4", False, 1), ("gone", "x", None, True, 2), ("none", "x", None, True, 1), ("back", "x", "5", False, 1), ("back", "x", None, True, 2), ("back", "x", "6", False, 3), (None, "n", "7", False, 1)]
+    for part in (log[:4], log[4:]):
+        state.save(spark.createDataFrame(part, schema), path)
+    assert sorted(((r.key or "", r.id, r.value) for r in state.stored(spark, path, ["at"]).collect())) == [("", "n", "7"), ("back", "x", "6"), ("job", "b", "3")]
