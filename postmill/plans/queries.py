@@ -730,3 +730,102 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = F.struct(F.col("l_quantity").cast("double").alias("x"), F.col("l_linenumber").cast("double").alias("y"))
     polygons = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(point).alias("poly"))
     return polygons.select("l_orderkey", vision.centroid(F.col("poly")).alias("c")).select("l_orderkey", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y"))
+
+
+# --- embedded state, checks of single notes, boxes ------------------------------------------------
+def state_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages with embedded state: a foreign entry first, then the page's own one, under changing names and wrappers."""
+    key, size = F.col("p_partkey"), F.col("p_size")
+    turn = lambda by, *values: F.element_at(F.array(*values), (by % len(values) + 1).cast("int"))
+    own, third = F.concat(F.lit("p"), key.cast("string")), key % 3
+    either = lambda names, value: [F.when(third == i, value).alias(n) for i, n in enumerate(names)]
+    image = F.concat(F.lit("http://sns.xhscdn.com/"), key.cast("string"), F.lit(".jpg"))
+    fifth = lambda i, value: F.when(size % 5 == i, value)
+    info = F.when(size % 5 >= 3, F.array(F.struct(F.lit("WB_PRV").alias("imageScene"), fifth(4, image).alias("url")), F.struct(F.lit("H5_WB_DFT").alias("imageScene"), fifth(3, image).alias("url"))))
+    images = F.array(F.struct(fifth(0, image).alias("urlDefault"), fifth(1, image).alias("urlPre"), fifth(2, image).alias("url"), info.alias("infoList")))
+    body = F.concat(F.lit("  "), "p_type", F.lit(" #t"), size.cast("string"))
+    note = F.struct(
+        *either(("noteId", "note_id", "id"), F.when(key % 7 == 0, F.concat(F.lit("x"), key.cast("string"))).otherwise(own)),
+        F.when(size % 4 > 0, F.col("p_name")).alias("title"),
+        *either(("desc", "description", "content"), body),
+        F.struct(*either(("userId", "user_id", "id"), own), *either(("nickname", "nickName", "name"), F.col("p_brand")), *either(("avatar", "image", "avatarUrl"), image)).alias("user"),
+        F.struct(F.when(third == 0, size).alias("likedCount"), F.when(third > 0, size).alias("liked_count"), *either(("shareCount", "sharedCount", "share_count"), key)).alias("interactInfo"),
+        F.when(third == 1, images).alias("images"),
+        F.when(third != 1, images).alias("imageList"),
+        F.array(F.struct(F.lit("#alpha").alias("name"), F.lit(None).cast("string").alias("title")), F.struct(F.lit(None).cast("string").alias("name"), F.lit("beta").alias("title"))).alias("tagList"),
+        F.lit(1753516200000).alias("time"),
+    )
+    entry = turn(size, *(F.concat(F.lit(a), F.to_json(note), F.lit(b)) for a, b in (('{"note":', "}"), ('{"data":{"note":', "}}"), ("", ""))))
+    name = F.when(key % 5 > 0, own).otherwise(F.lit("unrelated"))
+    entries = F.concat(F.lit('{"zz":{"note":{"id":"other","title":"Other"}},"'), name, F.lit('":'), entry, F.lit("}"))
+    wrapped = turn(key, F.concat(F.lit('{"value":'), entries, F.lit("}")), F.concat(F.lit('{"_value":'), entries, F.lit("}")), entries)
+    meta = F.when(size % 8 == 4, F.concat(F.lit('<meta content="Meta '), "p_name", F.lit('" property="og:title">'))).otherwise(F.lit(""))
+    html = F.concat(F.lit("<html><head><title>Page "), "p_type", F.lit("</title>"), meta, F.lit('</head><script>window.__INITIAL_STATE__={"user":undefined,"note":{"noteDetailMap":'), wrapped, F.lit("}}</script></html>"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://www.xiaohongshu.com/explore/"), own).alias("url"), html.alias("html"))
+
+
+@query("""with c as (select *, p_partkey % 7 > 0 or p_partkey % 5 > 0 as own, 'https://sns.xhscdn.com/' || p_partkey || '.jpg' as image from part)
+select p_partkey, case when not own then 'other' when p_partkey % 7 = 0 then 'x' || p_partkey else 'p' || p_partkey end as id,
+  case when not own then 'Other' when p_size % 4 > 0 then p_name when p_size % 8 = 4 then 'Meta ' || p_name else 'Page ' || p_type end as title,
+  case when own then p_type || ' #t' || p_size else '' end as body, case when own then 'p' || p_partkey else '' end as author_id, case when own then p_brand else '' end as author_name,
+  case when own then image else '' end as avatar, case when own then image else '' end as images, case when own then 'alpha|beta|t' || p_size else '' end as tags,
+  case when own then '2025-07-26T07:50:00.000Z' end as published_at, case when own then cast(p_size as varchar) else '' end as liked, case when own then cast(p_partkey as varchar) else '' end as shared,
+  case when not own or p_partkey % 7 = 0 then 'TITLE_MISMATCH' end as problem from c""")
+def state_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("data")
+    rows = extract.extract(state_pages(spark, sf_dir)).where("source = 'initial-state'")
+    problem = extract.consistency_error(d["id"], N.note_id(F.col("url")), d["image_urls"])
+    return rows.select("p_partkey", d["id"].alias("id"), d["title"].alias("title"), d["body"].alias("body"), d["author_id"].alias("author_id"), d["author_name"].alias("author_name"), d["author_avatar"].alias("avatar"), F.array_join(d["image_urls"], "|").alias("images"), F.array_join(d["tags"], "|").alias("tags"), T.iso_date(d["published_at"]).alias("published_at"), d["metrics"]["liked"].alias("liked"), d["metrics"]["shared"].alias("shared"), problem.alias("problem"))
+
+
+@query("""select p_partkey, case when p_size % 5 = p_partkey % 3 then case when p_size % 2 > 0 then 'NO_IMAGES' end else 'TITLE_MISMATCH' end as problem,
+  case when p_size % 3 < 1 then 'no-images' end as all_error, case when p_size % 3 > 0 then array_to_string(range(0, p_size % 3), ',') end as all_indexes,
+  case when p_size % 3 < 2 then 'no-images' end as later_error, case when p_size % 3 > 1 then array_to_string(range(1, p_size % 3), ',') end as later_indexes from part""")
+def note_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a note is the one that was asked for and has images; the images that the plain modes select."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    found = F.when(size % 2 > 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("a")))
+    modes = {"all": R.selection(F.lit("all"), F.lit(""), size % 3), "later": R.selection(F.lit("skip-cover"), F.lit(""), size % 3)}
+    columns = [c for name, m in modes.items() for c in (m["error"].alias(f"{name}_error"), F.array_join(m["indexes"], ",").alias(f"{name}_indexes"))]
+    return table(spark, sf_dir, "part").select("p_partkey", extract.consistency_error((size % 5).cast("string"), (key % 3).cast("string"), found).alias("problem"), *columns)
+
+
+@query("select event_id, event_type as status, not (event_id % 2 = 0) or (event_id % 5 > 0 and event_id % 60 >= 30) as free from events where event_type <> 'purchase'")
+def visible_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that aren't completed, and whether a new batch may start beside them."""
+    ts, n = F.col("ts").cast("timestamp"), F.col("event_id")
+    free = jobs.may_take_over(n % 2 == 0, F.when(n % 5 > 0, ts), ts + F.make_dt_interval(mins=(n % 60).cast("int")))
+    items = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type") == "purchase", "completed").otherwise(F.col("event_type")).alias("status"), free.alias("free"))
+    return jobs.active_only(items)
+
+
+@query("""select p_partkey, coalesce((select string_agg(i || '=' || case when i < p_partkey % 3 then p_name || i else '' end, '|' order by i) from range(p_size % 4) t(i)), '') as attached,
+  case when p_size % 2 > 0 then upper(p_name) else p_name end as text, 0 as n_lines from part""")
+def attached_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results at their images' places; results without their geometry once the text is clean."""
+    numbers = lambda n: F.filter(F.sequence(F.lit(0), F.lit(4)), lambda i: i < n)
+    images = F.transform(numbers(F.col("p_size") % 4), lambda i: F.struct(i.alias("index")))
+    results = F.transform(numbers(F.col("p_partkey") % 3), lambda i: F.concat("p_name", i.cast("string")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", render.attach_results(images, results).alias("a"), F.col("p_name").alias("text"), F.filter(F.array("p_name"), lambda _: F.col("p_size") % 2 > 0).alias("lines"))
+    return lines.compact(rows, F.upper("text")).select("p_partkey", F.array_join(F.transform("a", lambda x: F.concat(x["index"].cast("string"), F.lit("="), F.coalesce(x["ocr"], F.lit("")))), "|").alias("attached"), "text", F.size("lines").alias("n_lines"))
+
+
+@query("""with r as (
+  select p_partkey, 3 + p_size % 4 as x, 6 + p_partkey % 5 as y, 8 + p_size % 5 as w, 3 + p_partkey % 4 as h, 0.5 + (p_size % 4) / 8.0 as v, 1 as k from part
+  union all select p_partkey, 24, 5 + p_size % 7, 7, 5, case when p_partkey % 4 = 0 then 0.375 else 1 end, 2 from part),
+g as (select *, (w - 1) * (h - 1) * 1.4::double / (2 * ((w - 1) + (h - 1))) as d from r where h > 3 and v >= 0.4),
+c as (select p_partkey, k, v, greatest(0, floor((x - d) * 2 + 0.5)) as x1, greatest(0, floor((y - d) * 2 + 0.5)) as y1, floor((x + w - 1 + d) * 2 + 0.5) as x2, floor((y + h - 1 + d) * 2 + 0.5) as y2 from g),
+b as (select *, case when max(y1) over (partition by p_partkey) - min(y1) over (partition by p_partkey) < 10 then 0 else y1 end as line from c)
+select p.p_partkey, coalesce(string_agg(cast(x1 as int) || ',' || cast(y1 as int) || ',' || cast(least(79, x2) as int) || ',' || cast(least(47, y2) as int) || ',' || cast(cast(v * 1000 as int) as varchar), ';' order by line, k), '') as boxes from part p left join b using (p_partkey) group by 1""")
+def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes in planes of 40 by 24 with two blocks: too low or too faint ones go, the others are grown and put in reading order."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    x, y = F.lit(3) + size % 4, F.lit(6) + key % 5
+    left = lambda a, b: (a >= x) & (a < x + 8 + size % 5) & (b >= y) & (b < y + 3 + key % 4)
+    right = lambda a, b: (a >= 24) & (a < 31) & (b >= 5 + size % 7) & (b < 10 + size % 7)
+    pixel = lambda a, b: F.when(left(a, b), 0.5 + (size % 4) / 8).when(right(a, b), F.when(key % 4 == 0, 0.375).otherwise(1.0)).otherwise(0.0)
+    plane = F.transform(F.sequence(F.lit(0), F.lit(40 * 24 - 1)), lambda i: pixel(i % 40, F.floor(i / 40)).cast("float"))
+    found = table(spark, sf_dir, "part").select("p_partkey", vision.boxes(plane, F.lit(40), F.lit(80), F.lit(48)).alias("b"))
+    corner = lambda p: F.concat_ws(",", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string"))
+    shown = F.transform("b", lambda b: F.concat_ws(",", corner(F.get(b["poly"], 0)), corner(F.get(b["poly"], 2)), F.round(b["score"] * 1000).cast("int").cast("string")))
+    return found.select("p_partkey", F.array_join(shown, ";").alias("boxes"))
