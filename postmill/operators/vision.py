@@ -276,14 +276,14 @@ def text_input(rgb: np.ndarray, padded: int) -> np.ndarray:
     return out
 
 
-def lines_of(rgb: np.ndarray, session) -> list[dict]:
+def lines_of(rgb: np.ndarray, session, batch: int | None = None) -> list[dict]:
     """Lines of an image: boxes of session.detect(planes), texts of session.recognise(batch of planes), joined by the
-    number of their box. Crops go through in batches (session.batch, 8 by default) of like width, each as wide as its widest, and come back in
+    number of their box. Crops go through in batches (batch, else session.batch, else 8) of like width, each as wide as its widest, and come back in
     reading order; blank texts are dropped."""
     boxes = decode_boxes(session.detect(detection_input(rgb)), rgb.shape[1], rgb.shape[0])
     crops = [crop(rgb, np.array(corners)) for _, corners in boxes]
     widths = [min(TEXT_WIDTHS[1], max(TEXT_WIDTHS[0], int(c.shape[1] / max(1, c.shape[0]) * TEXT_HEIGHT))) for c in crops]
-    order, found, batch = sorted(range(len(crops)), key=lambda i: widths[i]), {}, getattr(session, "batch", 8)
+    order, found, batch = sorted(range(len(crops)), key=lambda i: widths[i]), {}, batch or getattr(session, "batch", 8)
     for at in range(0, len(order), batch):
         part = order[at : at + batch]
         wide = max(widths[i] for i in part)

@@ -13,7 +13,7 @@ from postmill.functions import names as N
 from postmill.functions import ranges as R
 from postmill.functions import text as T
 from postmill.operators import export, extract, jobs, lines, metrics, render, scan, state, vision
-from postmill.session import table
+from postmill.session import materialise, table
 from postmill.sources import synthetic
 from postmill.streaming import jobs as job_stream
 
@@ -773,7 +773,8 @@ select p_partkey, case when not own then 'other' when p_partkey % 7 = 0 then 'x'
   case when not own or p_partkey % 7 = 0 then 'TITLE_MISMATCH' end as problem from c""")
 def state_note(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("data")
-    rows = extract.extract(state_pages(spark, sf_dir)).where("source = 'initial-state'")
+    pages = materialise(state_pages(spark, sf_dir), "pages")  # made once; every field of a note reads them
+    rows = extract.extract(pages).where("source = 'initial-state'")
     problem = extract.consistency_error(d["id"], N.note_id(F.col("url")), d["image_urls"])
     return rows.select("p_partkey", d["id"].alias("id"), d["title"].alias("title"), d["body"].alias("body"), d["author_id"].alias("author_id"), d["author_name"].alias("author_name"), d["author_avatar"].alias("avatar"), F.array_join(d["image_urls"], "|").alias("images"), F.array_join(d["tags"], "|").alias("tags"), T.iso_date(d["published_at"]).alias("published_at"), d["metrics"]["liked"].alias("liked"), d["metrics"]["shared"].alias("shared"), problem.alias("problem"))
 
