@@ -13,6 +13,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def test_sql(spark, name):
     for f in os.listdir(DATA):
         con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{DATA}/{f}'")
     ours, theirs = entries.QUERIES[name](spark, DATA).toPandas(), con.execute(entries.sql()[name]).df()
-    show = lambda x: "" if x is None or x != x else f"{x:.6g}" if isinstance(x, float) else str(x)
+    show = lambda x: "" if pd.isna(x) else f"{x:.6g}" if isinstance(x, float) and x % 1 else str(int(x)) if isinstance(x, float) else str(x)
     tidy = lambda df: sorted(tuple(map(show, r)) for r in df[sorted(df.columns)].itertuples(index=False))
     assert sorted(ours.columns) == sorted(theirs.columns) and tidy(ours) == tidy(theirs)
 
