@@ -322,7 +322,10 @@ w as (select job_id, string_agg(stage || ':' || d, ',' order by stage) as durati
 select f.job_id, f.status, case when f.status = 'completed' then 8 else n end as current, 8 as total, case when f.status = 'completed' then 100 else greatest(coalesce(set_to, 0), coalesce(reached, 0)) end as progress, coalesce(stage, '') as stage, applied, duration_ms, coalesce(results, '') as results, coalesce(durations, '') as durations
 from f join q using (job_id) left join l using (job_id) left join w using (job_id)""")
 def job_latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    states = job_stream.replay(job_messages(spark, sf_dir), ["ts", "event_id"])
+    return shown_states(job_stream.replay(job_messages(spark, sf_dir), ["ts", "event_id"]))
+
+
+def shown_states(states: DataFrame) -> DataFrame:
     results = F.array_sort(F.transform(F.map_entries("results"), lambda e: F.struct(e["key"], F.concat_ws(":", e["key"].cast("string"), e["value"]["text"], e["value"]["duration_ms"].cast("string")).alias("shown"))))
     durations = F.array_sort(F.transform(F.map_entries("durations"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))))
     return states.select("job_id", "status", "current", "total", "progress", "stage", "applied", "duration_ms", F.array_join(F.transform(results, lambda x: x["shown"]), ",").alias("results"), F.array_join(durations, ",").alias("durations"))

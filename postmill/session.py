@@ -47,14 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back; the files go when the driver ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is put there goes when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/postmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: write df to the shared folder and read it back; the files go when the driver ends."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, keep: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from postmill.functions import text as T
 from postmill.operators import export, extract, jobs, lines, metrics, ranks, scan, state, vision
 from postmill.operators.sessions import BATCH, THREADS, greedy, onnx_sessions, option
 from postmill.sources.packages import character_list, model_packages, tar_members
-from postmill.streaming.jobs import advance, reduce_stream, replay
+from postmill.streaming.jobs import advance, append_segments, held_jobs, latest, reduce_stream, replay, run_to_end
 
 URL = "https://www.xiaohongshu.com/explore/abc123"
 
@@ -157,12 +157,9 @@ def test_replay_and_stream_agree(spark, tmp_path):
     for n in range(3):  # three batches, so that states are kept and cleared between them
         rows.where((F.col("seq") >= 4 * n) & (F.col("seq") < 4 * n + 4)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = reduce_stream(source, idle=None).writeStream.format("memory").queryName("jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-    assert run.awaitTermination(90)
-    got = {}
-    for r in spark.table("jobs").collect():
-        got[r.job_id] = max(got.get(r.job_id, shown(r)), shown(r), key=lambda x: x[3])
-    assert got == batch
+    changes = run_to_end(reduce_stream(source, idle=None), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert {r.job_id: shown(r) for r in latest(changes).collect()} == batch
+    assert [(r.job_id, r.life, r.n_results) for r in held_jobs(spark, str(tmp_path / "check")).collect()] == [("k", 6, 1)]
 
 
 def test_reducer():
@@ -275,7 +272,7 @@ def test_idle_jobs_are_forgotten(spark, tmp_path):
 
     put(MESSAGES[0])
     stream = reduce_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), idle="1 second")
-    run = stream.writeStream.format("memory").queryName("idle_jobs").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="500 milliseconds").start()
+    run = stream.writeStream.format("memory").queryName("idle_jobs").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="500 milliseconds").start()
     try:
         assert wait(lambda r: r.applied == 1)
         time.sleep(6)  # longer than idle and a few batches
