@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postmill.functions.names import versioned_filename
 from postmill.operators.ranks import numbered
+from postmill.operators.store import Store
 
 
 def policy_action(exists: Column, same_note: Column, policy: Column) -> Column:
@@ -46,6 +48,11 @@ def upsert_history(history: DataFrame, keys: list[str], order: list[Column], mos
     return rows.orderBy("_o", *keys).limit(most).select(*keys, "r.*")
 
 
+def history_store(spark: SparkSession, path: str, schema: str | StructType, keys: list[str], order: list[Column], most: int = 200) -> Store:
+    """A stored history: append() takes finished exports, read() gives the `most` latest, one per key, as upsert_history() does."""
+    return Store(spark, path, schema, lambda rows: upsert_history(rows, keys, order, most).select(*rows.columns))
+
+
 def flag_processed(rows: DataFrame, history: DataFrame, key: str = "note_id", output: str | None = None) -> DataFrame:
     done = history if output is None else history.where(F.col("output") == output)
     return rows.join(done.select(key, F.lit(True).alias("_done")).distinct(), key, "left").withColumn("processed", F.coalesce("_done", F.lit(False))).drop("_done")

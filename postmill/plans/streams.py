@@ -1,10 +1,13 @@
-"""Queries that run streams over the test tables: logs of events in segments, typed state, restarts from stored state."""
+"""Queries that keep state: streams over logs of events in segments, restarts from stored state, stored tables."""
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postmill.operators import export, state
 from postmill.plans.queries import SQL, job_messages, query, shown_states
 from postmill.session import scratch, table
 from postmill.streaming import jobs, queue
@@ -129,3 +132,35 @@ def restarted_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest = events.where(F.col("seq") > half).unionByName(resume, allowMissingColumns=True)
     second = jobs.run_to_end(queue.run_queue(as_stream(rest, "task_id"), held), scratch(spark, "history"), scratch(spark, "checkpoint"))
     return first.unionByName(second)
+
+
+# --- stored tables --------------------------------------------------------------------------------
+def in_parts(rows: DataFrame, number: str, parts: int = 3) -> list[DataFrame]:
+    """Rows in the order of a number, as parts of about the same size."""
+    cuts = rows.approxQuantile(number, [k / parts for k in range(1, parts)], 0.05) or [0.0] * (parts - 1)
+    edges = [float("-inf"), *cuts, float("inf")]
+    return [rows.where((F.col(number) > low) & (F.col(number) <= high)) for low, high in pairwise(edges)]
+
+
+@query(SQL["history_upsert"])
+def stored_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What history_upsert makes of all events at once, stored in parts with a compaction between."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    order = [(-F.unix_micros(F.col("ts").cast("timestamp"))).alias("late"), (-F.col("event_id")).alias("id")]
+    store = export.history_store(spark, scratch(spark, "history"), rows.schema, ["user_id", "event_type"], order)
+    for k, part in enumerate(in_parts(rows, "event_id")):
+        store.append(part)
+        if k == 1:
+            store.compact()
+    return store.read().drop("ts")
+
+
+@query(SQL["state_table"])
+def stored_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What state_table makes of all events at once, stored in parts and compacted after each."""
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.col("event_id") % 3).alias("id"), "value", (F.col("event_type") == "error").alias("cleared"), "ts", "event_id")
+    store = state.state_store(spark, scratch(spark, "state"), log.schema, ["ts", "event_id"])
+    for part in in_parts(log, "event_id"):
+        store.append(part)
+        store.compact()
+    return store.read().select("key", "id", "value")

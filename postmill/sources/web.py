@@ -53,6 +53,14 @@ def image_bytes(url: str | None, timeout: float = IMAGE_TIMEOUT) -> tuple[bytes
     return content, int((time.monotonic() - began) * 1000 + 0.5), problem
 
 
+def by_host(images: DataFrame, url: str = "url", slots: int = 4) -> DataFrame:
+    """Images dealt to tasks by their host, those of one host to `slots` tasks at most: no host is asked by more than
+    slots * AHEAD requests at a time, and none, however many images it has, takes all tasks."""
+    host = F.coalesce(F.lower(F.try_parse_url(F.col(url), F.lit("HOST"))), F.lit(""))
+    keyed = images.withColumn("_host", host).withColumn("_slot", F.pmod(F.xxhash64(F.col(url)), F.lit(slots)))
+    return keyed.repartition("_host", "_slot").drop("_host", "_slot")
+
+
 def download_images(images: DataFrame, url: str = "url", timeout: float = IMAGE_TIMEOUT) -> DataFrame:
     """Adds content, duration_ms and error to images. A null or empty address is an error of its row."""
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in images.schema.fields)}, content binary, duration_ms long, error string"
@@ -96,6 +104,25 @@ class Vault:
     def write(self, name: str, text: str) -> None:
         accepted(self.call("PUT", self.path(name), text.encode())[0])
 
+    def delete(self, name: str) -> None:
+        """Removes a note; one that isn't there is as good as removed."""
+        status = self.call("DELETE", self.path(name))[0]
+        if status != 404:
+            accepted(status)
+
+    def listed(self, folder: str) -> list[str]:
+        """Names in a folder, those of folders with a slash at the end; none where there is no such folder."""
+        status, content = self.call("GET", f"{self.path(folder)}/")
+        return [] if status == 404 else json.loads(content)["files"] if accepted(status) else []
+
+    def sweep(self, folder: str) -> None:
+        """Removes all that a folder holds, whoever put it there."""
+        for name in self.listed(folder):
+            if name.endswith("/"):
+                self.sweep(f"{folder}/{name[:-1]}")
+            else:
+                self.delete(f"{folder}/{name}")
+
     def ping(self) -> str | None:
         """The service's name; raises like the other calls, also where it answers that the key isn't known."""
         status, content = self.call("GET", "/")

@@ -424,5 +424,5 @@ def test_state_table(spark, tmp_path):
     schema, path = "key string, id string, value string, cleared boolean, at int", str(tmp_path / "state")
     log = [("job", "a", "1", None, 1), ("job", "a", None, True, 2), ("job", "b", "2", False, 3), ("job", "a", None, True, 4), ("job", "b", "3", False, 5), ("gone", "x", "4", False, 1), ("gone", "x", None, True, 2), ("none", "x", None, True, 1), ("back", "x", "5", False, 1), ("back", "x", None, True, 2), ("back", "x", "6", False, 3), (None, "n", "7", False, 1)]
     for part in (log[:4], log[4:]):
-        state.save(spark.createDataFrame(part, schema), path)
-    assert sorted(((r.key or "", r.id, r.value) for r in state.stored(spark, path, ["at"]).collect())) == [("", "n", "7"), ("back", "x", "6"), ("job", "b", "3")]
+        state.state_store(spark, path, schema, ["at"]).append(spark.createDataFrame(part, schema))
+    assert sorted(((r.key or "", r.id, r.value) for r in state.state_store(spark, path, schema, ["at"]).read().collect())) == [("", "n", "7"), ("back", "x", "6"), ("job", "b", "3")]

@@ -1,5 +1,6 @@
 """Downloads and the vault against a small server of this process."""
 
+import json
 import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators import lines
 from postmill.sources import synthetic, web
+from postmill.sources.vault import VaultSource
 
 STAMP = "20260102-030405"
 
@@ -38,6 +40,11 @@ def store():
                 return self.answer(401)
             if self.path == "/":
                 return self.answer(200, b'{"authenticated": true, "service": "notes"}')
+            if self.path.endswith("/"):
+                here = unquote(self.path)
+                below = [k.removeprefix(here) for k in list(kept) if k.startswith(here)]
+                names = sorted({b.split("/")[0] + "/" * ("/" in b) for b in below})
+                return self.answer(200, json.dumps({"files": names}).encode()) if names else self.answer(404)
             text = kept.get(unquote(self.path))
             return self.answer(404) if text is None else self.answer(200, text.encode())
 
@@ -45,6 +52,9 @@ def store():
             kept[unquote(self.path)] = self.rfile.read(int(self.headers["Content-Length"])).decode()
             self.answer(204)
 
+        def do_DELETE(self):
+            self.answer(204 if kept.pop(unquote(self.path), None) is not None else 404)
+
         def log_message(self, *_):
             pass
 
@@ -118,6 +128,67 @@ def test_version_conflict(store):
     assert web.put_note(web.Vault(base, "k"), "a.md", "x", "a", "skip", STAMP) == (None, None, "VERSION_CONFLICT")
 
 
+NOTES = "pos int, filename string, markdown string, note_id string, policy string"
+
+
+def write(rows, base, job, **more):
+    rows.write.format("vault").options(url=base, key="k", folder="Clips", stamp=STAMP, job=job, **more).mode("append").save()
+
+
+def test_vault_as_a_sink(spark, store):
+    base, kept = store
+    spark.dataSource.register(VaultSource)
+    kept |= {"/vault/Clips/own.md": note("a"), "/vault/Clips/other.md": note("z")}
+    names = [(0, "fresh", "skip"), (1, "own", "skip"), (2, "own", "overwrite"), (3, "own", "new-version"), (4, "other", "skip"), (5, "other", "overwrite"), (8, None, "skip")]
+    rows = spark.createDataFrame([(i, n and f"{n}.md", note("a", f"body {i}"), "a", p) for i, n, p in names], NOTES).repartition(3)
+    write(rows, base, "one")
+    report = spark.read.format("vault").options(url=base, key="k", folder="Clips", job="one").load()
+    assert {r.pos: (r.target, r.action, r.error) for r in report.collect()} == {
+        0: ("fresh.md", "written", None),
+        1: ("own.md", "skipped", None),
+        2: ("own.md", "written", None),
+        3: (f"own_更新-{STAMP}.md", "versioned", None),
+        4: (f"other_更新-{STAMP}.md", "versioned", None),
+        5: (None, None, "NOTE_ID_MISMATCH"),
+        8: (None, None, "FILENAME_INVALID"),
+    }
+    assert kept["/vault/Clips/own.md"] == note("a", "body 2") and [k for k in kept if ".staged" in k] == ["/vault/Clips/.staged/one.jsonl"]
+    write(rows.where("pos < 0"), base, "none")
+    assert spark.read.format("vault").options(url=base, key="k", folder="Clips", job="none").load().count() == 0
+
+
+def test_a_killed_task_leaves_nothing_to_be_seen(spark, store):
+    base, kept = store
+    spark.dataSource.register(VaultSource)
+    rows = spark.createDataFrame([(i, f"n{i}.md", f"text {i}", "a", "skip") for i in range(12)], NOTES).repartition(3)
+
+    @F.udf("string")
+    def breaking(i: int, text: str) -> str:
+        if i == 7:
+            raise RuntimeError("killed")
+        return text
+
+    with pytest.raises(Exception, match="killed"):
+        write(rows.withColumn("markdown", breaking("pos", "markdown")), base, "bad")
+    assert [k for k in kept if ".staged/bad/" not in k] == []  # what tasks stage that outlive the abort stays hidden
+    web.Vault(base, "k", "Clips").sweep(".staged/bad")
+    assert kept == {}
+    kept["/vault/Clips/.staged/good/of-a-lost-executor/0"] = "half"
+    write(rows, base, "good")
+    assert sorted(k for k in kept if ".staged" not in k) == sorted(f"/vault/Clips/n{i}.md" for i in range(12))
+    assert [k for k in kept if ".staged" in k] == ["/vault/Clips/.staged/good.jsonl"]
+
+
+def test_images_by_host(spark, store):
+    base, _ = store
+    rows = spark.createDataFrame([(i, f"{base}/image/{i}") for i in range(40)] + [(100, "http://127.0.0.2:9/x"), (101, None)], "n int, url string")
+    dealt = web.by_host(rows, slots=2)
+    parts = dealt.withColumn("p", F.spark_partition_id()).withColumn("host", F.try_parse_url("url", F.lit("HOST"))).groupBy("host").agg(F.countDistinct("p").alias("tasks"))
+    assert all(r.tasks <= 2 for r in parts.collect()) and dealt.columns == ["n", "url"]
+    got = {r.n: (r.content and bytes(r.content), r.error) for r in web.download_images(dealt).collect()}
+    assert got == {i: (f"/image/{i}".encode(), None) for i in range(40)} | {100: (None, "URLError"), 101: (None, "IMAGE_URL_MISSING")}
+
+
 def test_stress_lines(spark):
     made = synthetic.stress_results(spark, 3, 4)
     assert made.count() == 3 and len(made.first().lines) == 4 and made.select(F.size(F.split("text", "\n")).alias("n")).first().n == 4
