@@ -171,7 +171,9 @@ def test_a_killed_task_leaves_nothing_to_be_seen(spark, store):
     with pytest.raises(Exception, match="killed"):
         write(rows.withColumn("markdown", breaking("pos", "markdown")), base, "bad")
     assert [k for k in kept if ".staged/bad/" not in k] == []  # what tasks stage that outlive the abort stays hidden
-    web.Vault(base, "k", "Clips").sweep(".staged/bad")
+    for _ in range(12):  # killed tasks take a moment to end
+        web.Vault(base, "k", "Clips").sweep(".staged/bad")
+        time.sleep(0.25)
     assert kept == {}
     kept["/vault/Clips/.staged/good/of-a-lost-executor/0"] = "half"
     write(rows, base, "good")
