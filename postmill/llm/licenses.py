@@ -6,13 +6,16 @@ only compared with templates inside those bounds, and units outside all of them
 are short notices, standard headers, whole licence texts and the paragraphs of these that stand for themselves;
 a paragraph that several licences share has the name of their family. They are a literal of fixed size;
 a text, and then a unit, without any word that a match must have (see anchors()) is compared with none;
-everything happens inside each row. A text none of whose units matches may have a notice inside a longer
-sentence: it is read by windows as long as a template, which begin where one of the template's bigrams stands.
-Only templates of which the text has enough bigrams for the threshold, wherever they are, get windows.
+everything happens inside each row. A notice may stand inside a longer sentence: every text with such a word is
+also read by windows as long as a template, which begin where one of the template's bigrams stands. Only templates of
+which the text has enough bigrams for the threshold, wherever they are, get windows. Of a template the
+best window counts (of equals the first), unless it overlaps a better one of another template, or a unit that matches
+has half of its bigrams: then it is that unit's notice read again.
 
-Result: doc_id, n_units (different units that match a template; 1 if only a window does), license (that of the
+Result: doc_id, n_units (different units that match a template, and windows that tell of more), license (that of the
 highest Dice, of equals the one with the longer template, then by name; null without one) and dice. Cases: null and empty texts match
-nothing; repeated rows each give a row; other columns are left out, whatever their names.
+nothing; repeated rows each give a row; other columns are left out, whatever their names. A very long text is read whole: its
+windows cost as many steps as it has bigrams of templates, times their length.
 """
 
 from __future__ import annotations
@@ -141,20 +144,33 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         fits = F.filter(literal, lambda t: F.size(g).between(t["n"] * low, t["n"] * high))
         return F.array_min(F.filter(F.transform(fits, lambda t: likeness(g, t)), lambda x: x["d"] <= -threshold))
 
+    def window(t, i):
+        own = likeness(F.array_distinct(F.slice("all", i, t["m"])), t)
+        return F.struct(own["d"].alias("d"), own["n"].alias("n"), own["name"].alias("name"), i.alias("at"), t["m"].alias("m"))
+
     def best_window(t):
         begins = F.filter(F.transform("all", lambda x, i: F.when(F.array_contains(t["b"], x), i + 1)), lambda i: i.isNotNull())
-        return F.array_min(F.transform(begins, lambda i: likeness(F.array_distinct(F.slice("all", i, t["m"])), t)))
+        return F.array_min(F.transform(begins, lambda i: window(t, i)))
 
-    rows = rows.select("doc_id", "t", "anchored", F.filter(F.transform("grams", compare), lambda x: x.isNotNull()).alias("units"))
+    judged = F.filter(F.transform("grams", lambda g: F.struct(compare(g).alias("best"), g.alias("g"))), lambda u: u["best"].isNotNull())
+    rows = rows.select("doc_id", "t", "anchored", judged.alias("units"))
     # a window that matches shares as many bigrams with its template as a unit must have at least
-    unmatched = F.col("anchored") & (F.size("units") == 0)
-    rows = rows.withColumn("all", F.when(unmatched, pairs(F.split(F.trim(normal(F.col("t"))), " "))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("all", F.when(F.col("anchored"), pairs(F.split(F.trim(normal(F.col("t"))), " "))).otherwise(F.array().cast("array<string>")))
     telling = sorted({g for _, b in known for g in b})
     rows = rows.withColumn("some", F.array_distinct(F.filter("all", lambda x: x.isin(telling))))
     held = F.when(F.size("some") >= least, F.filter(literal, lambda t: F.size(F.array_intersect("some", t["b"])) >= t["n"] * low)).otherwise(F.filter(literal, lambda t: F.lit(False)))
-    inside = F.array_min(F.filter(F.transform(held, best_window), lambda x: x["d"] <= -threshold))
-    rows = rows.withColumn("inside", F.when(F.size("some") > 0, inside))
-    rows = rows.select("doc_id", F.when(F.col("inside").isNotNull(), F.array("inside")).otherwise(F.col("units")).alias("found"))
+    rows = rows.withColumn("windows", F.filter(F.transform(held, best_window), lambda x: x["d"] <= -threshold))
+
+    def overtaken(w):
+        return F.exists("windows", lambda v: (v < w) & (v["at"] < w["at"] + w["m"]) & (w["at"] < v["at"] + v["m"]))
+
+    def explained(w):
+        own = F.array_distinct(F.slice("all", w["at"], w["m"]))
+        return F.exists("units", lambda u: 2 * F.size(F.array_intersect(own, u["g"])) >= F.size(own))
+
+    more = F.filter("windows", lambda w: ~overtaken(w) & ~explained(w))
+    found = F.concat(F.transform("units", lambda u: u["best"]), F.transform(more, lambda w: F.struct(w["d"].alias("d"), w["n"].alias("n"), w["name"].alias("name"))))
+    rows = rows.select("doc_id", found.alias("found"))
     best = F.array_min("found")
     return rows.select("doc_id", F.size("found").cast("long").alias("n_units"), best["name"].alias("license"), F.round(-best["d"], 6).alias("dice"))
 
@@ -179,13 +195,17 @@ f as (
   select g.r, g.g, tpl.name, tpl.n, 2.0 * len(list_intersect(g.g, tpl.b)) / (len(g.g) + tpl.n) as dice
   from g, tpl where len(g.g) between tpl.n * {THRESHOLD} / (2 - {THRESHOLD}) and tpl.n * (2 - {THRESHOLD}) / {THRESHOLD} and len(g.g) <= {most} * 4),
 m as (select r, g, name, n, dice from f where dice >= {THRESHOLD}),
-s as (select r, string_split(trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')), ' ') as w from d where r not in (select r from m)),
+s as (select r, string_split(trim(regexp_replace(lower(t), '[^a-z0-9]+', ' ', 'g')), ' ') as w from d),
 a as (select r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as a from s),
 e as (select e.r, e.i, k.name, k.n, k.b, k.m from (select r, unnest(a) as x, unnest(range(1, len(a) + 1)) as i from a) e join (select name, n, b, m, unnest(b) as x from tpl) k using (x)),
-o as (select e.r, name, n, b, list_distinct(a[i : i + m - 1]) as g from e join a using (r)),
-i as (select r, name, n, 2.0 * len(list_intersect(g, b)) / (len(g) + n) as dice from o),
-b as (
-  select r, count(distinct g) as n_units, arg_min(name, (-dice, -n, name)) as license, max(dice) as dice from m group by r
-  union all select r, 1, arg_min(name, (-dice, -n, name)), max(dice) from i where dice >= {THRESHOLD} group by r)
+o as (select e.r, e.i, name, n, b, e.m, list_distinct(a[i : i + m - 1]) as g from e join a using (r)),
+i as (select r, i, name, n, b, m, g, 2.0 * len(list_intersect(g, b)) / (len(g) + n) as dice from o),
+v as (select * from (select *, row_number() over (partition by r, name, b order by dice desc, i) as z from i where dice >= {THRESHOLD}) where z = 1),
+x as (
+  select r, g, name, n, dice, 'unit' as k from m
+  union all select r, g, name, n, dice, 'window ' || i || ' ' || m from v
+  where not exists (select 1 from v y where y.r = v.r and row(-y.dice, -y.n, y.name, y.i, y.m) < row(-v.dice, -v.n, v.name, v.i, v.m) and y.i < v.i + v.m and v.i < y.i + y.m)
+    and not exists (select 1 from m where m.r = v.r and 2 * len(list_intersect(v.g, m.g)) >= len(v.g))),
+b as (select r, count(distinct {{'g': g, 'k': k}}) as n_units, arg_min(name, (-dice, -n, name)) as license, max(dice) as dice from x group by r)
 select doc_id, coalesce(n_units, 0) as n_units, license, round(dice, 6) as dice from d left join b using (r)
 """

@@ -305,6 +305,18 @@ def test_packing_round_trip(spark):
         assert at <= 1024
 
 
+def test_a_licence_beside_another(spark):
+    gpl = dict(licenses.TEXTS)["GPL-3.0"].split("\n\n")[0].replace("\n", " ").rstrip(".")
+    inside = f"We say to all who ask us about this archive of old prints that {gpl} and that nothing else is to be said about it by anyone at all in this house"
+    line, bsd = "Released under the MIT License.", "This software is released under the BSD 3-Clause License."
+    rows = {f"{line}\n{inside}": (2, "GPL-3.0"), inside: (1, "GPL-3.0"), f"{inside}\n\n{line}": (2, "GPL-3.0"), f"{line} {line}": (2, "MIT"), line: (1, "MIT"), f"so {bsd[:-1]} as they say": (1, "BSD-3-Clause"), bsd: (1, "BSD-3-Clause")}
+    rows[f"Mind that all is, {line[:-1].lower()} it says, and that {bsd[:-1]} too it says here, in a long line of many words"] = (2, "BSD-3-Clause")
+    got = licenses.scan(docs_of(spark, list(enumerate(rows)))).orderBy("doc_id").collect()
+    assert {r.license for r in got[:1]} <= {"MIT", "GPL-3.0"} and all(r.dice > 0.75 for r in got)
+    assert [r.n_units for r in got] == [n for n, _ in rows.values()]
+    assert [r.license for r in got[1:] if r.n_units == 1] == [x for n, x in list(rows.values())[1:] if n == 1]
+
+
 def test_licences_by_their_usual_words(spark):
     gpl = """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
