@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 
 from postmill.llm.common import long_id, materialise, sliced, table
 
-#: Fixed value: how the public byte-level vocabulary splits a text before merging.
+#: How the public byte-level vocabularies cut a text before merging, and the settings of files that do so.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "byte_fallback": False, "ignore_merges": False}
 PIECES = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 RESULT = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
 
@@ -43,7 +45,8 @@ class Encoder:
     A text is cut at each single space between two characters that aren't white space, where no
     token of a byte-level vocabulary can cross; the ids of such a chunk are remembered. Texts
     with other runs of white space beside a space are encoded whole. Texts that hold a token which the
-    file adds to its vocabulary go through the file's own tokenizer.
+    file adds to its vocabulary go through the file's own tokenizer, and so do all texts if the file changes texts
+    first, or cuts them or merges in another way than the byte-level vocabularies that this is made for.
     """
 
     LIMIT = 300_000
@@ -59,11 +62,16 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             stored = json.load(f)
         model = stored["model"]["vocab"]
-        self.added = [t["content"] for t in stored.get("added_tokens", [])]
+        self.added = [t["content"] for t in stored.get("added_tokens") or []]
         self.whole = tokenizers.Tokenizer.from_file(path)
+        pre = stored.get("pre_tokenizer") or {}
+        known = all(pre.get(k) == v for k, v in BYTE_LEVEL.items()) and all((stored["model"].get(k) or None) == (v or None) for k, v in PLAIN_MODEL.items())
+        self.plain = known and not stored.get("normalizer") and not stored.get("truncation")
+        self.seen: dict[str, bytes] = {}
+        if not self.plain:
+            return
         ranks = {bytes(byte_of[c] for c in token): i for token, i in model.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
         self.encode_one = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.seen: dict[str, bytes] = {}
 
     def _bytes(self, text: str) -> bytes:
         from array import array
@@ -71,7 +79,7 @@ class Encoder:
         return array("I", self.encode_one(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if any(t in text for t in self.added):
+        if not self.plain or any(t in text for t in self.added):
             from array import array
 
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -134,7 +142,7 @@ class BestFit:
     """Open bins by free space. put() returns (bin, offset) of a piece."""
 
     def __init__(self, room: int, open_bins: int) -> None:
-        self.room, self.most, self.open, self.made = room, open_bins, 0, 0
+        self.room, self.most, self.open, self.made, self.closed = room, open_bins, 0, 0, 0
         self.bits = 0  # bit f is set while a bin with f free places is open
         self.bins: list[list[int]] = [[] for _ in range(room + 1)]
 
@@ -151,6 +159,7 @@ class BestFit:
             self.bits |= 1 << left
             self.open += 1
             if self.open > self.most:
+                self.closed += 1
                 self._take((self.bits & -self.bits).bit_length() - 1)
         return here, self.room - free
 
@@ -163,21 +172,19 @@ class BestFit:
         return here
 
 
-def pack(made: DataFrame, n_documents: int, room: int = 1024, open_bins: int = 4096, group_documents: int = 10_000) -> DataFrame:
+def pack(made: DataFrame, n_documents: int, room: int = 1024, open_bins: int = 128, group_documents: int = 10_000) -> DataFrame:
     """Adds sequence_id and offset to pieces, in place of their row numbers.
 
     Pieces that fill a sequence need no bin. The others (one a document at most) are dealt out to groups of
-    about group_documents documents by a hash of their number. Within a group they come in batches of about
-    open_bins pieces, drawn by another hash, the longest of a batch first: so a batch's long pieces never open
-    more bins than stay open, and its short ones fill them. The order is the same in every run.
+    about group_documents documents by a hash of their number. Within a group they arrive in the order of another hash,
+    whatever their lengths, and are placed one by one. The order is the same in every run.
     """
     groups = max(1, -(-n_documents // group_documents))
-    batches = max(1, min(n_documents, group_documents) // open_bins)
     ids = ["ids"] if "ids" in made.columns else []
     columns = [*RESULT, *ids]
     full = made.where(F.col("length") == room).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long"))
-    dealt = made.where(F.col("length") < room).withColumn("group", F.pmod(F.xxhash64("row", F.lit(11)), F.lit(groups))).withColumn("batch", F.pmod(F.xxhash64("row", F.lit(12)), F.lit(batches)))
-    part = dealt.repartition(groups, "group").sortWithinPartitions("group", "batch", F.desc("length"), "row")
+    dealt = made.where(F.col("length") < room).withColumn("group", F.pmod(F.xxhash64("row", F.lit(11)), F.lit(groups))).withColumn("arrival", F.xxhash64("row", F.lit(12)))
+    part = dealt.repartition(groups, "group").sortWithinPartitions("group", "arrival", "row")
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -198,7 +205,7 @@ def pack(made: DataFrame, n_documents: int, room: int = 1024, open_bins: int = 4
     return packed.unionByName(full.select(*columns))
 
 
-def best_fit(docs: DataFrame, room: int = 1024, tokenizer: str | None = None, end_id: int = 2, open_bins: int = 4096, group_documents: int = 10_000, with_ids: bool = False) -> DataFrame:
+def best_fit(docs: DataFrame, room: int = 1024, tokenizer: str | None = None, end_id: int = 2, open_bins: int = 128, group_documents: int = 10_000, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents with the sequence and the place that each has, and with their ids if asked for."""
     made = materialise(pieces(docs, room, tokenizer or default_tokenizer(), end_id, with_ids), "pieces")
     n_documents = made.where(F.col("piece") == 0).count()
