@@ -1,13 +1,15 @@
 """Secret scan: known forms, and sliding-window Shannon entropy over candidate strings.
 
-Base kinds are assignments, access keys and long hexadecimal runs. Further candidates are runs of at
-least WINDOW characters of an alphabet with a digit and a letter among them. A window slides over a
-candidate; its sum of c * log2(c) over character counts c changes only by the character that comes
-and the one that goes, and the entropy is log2(WINDOW) less that sum over WINDOW. A candidate whose
-highest window passes its class's threshold (which a random window of the class reaches but for a
-share of MISS) is a span of kind `entropy`, unless the allow-list names the form of all of it or it
-overlaps a base span. Everything is DataFrame functions inside each row.
-
+Base kinds are assignments, access keys and long hexadecimal runs. Further candidates are runs of at least
+SHORTEST characters of an alphabet with a letter and a digit, or with letters of both cases alone, and of at least LETTERS letters of one case (a capital first is none).
+A window slides over a candidate; its sum of c * log2(c) over character counts c changes only by the character that
+comes and the one that goes, and the entropy is log2(WINDOW) less that sum over WINDOW. A candidate shorter
+than WINDOW is one window of its own length. A candidate whose highest window passes the threshold of its character
+class and length (which a random window of the class reaches but for a share of MISS) is a span of kind `entropy`,
+unless the allow-list names the form of all of it or it overlaps a base span. Everything is DataFrame functions inside each row.
+
+Keys of fewer than SHORTEST characters, and letters of one case alone of fewer than LETTERS, are found by the base kinds only.
+Spans of equal start stand in the order of the kinds; they don't overlap within a kind. Texts are read whole, in linear time.
 Cases: null texts count as empty; an empty text has no spans; repeated rows each give a row; other
 columns are left out, whatever their names.
 """
@@ -25,18 +27,25 @@ from postmill.llm import spans as S
 from postmill.llm.common import table
 
 WINDOW, PART = 20, 64
+SHORTEST, LETTERS = 16, 24
 #: The forms that are looked for.
 ASSIGN = r"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*+[:=]\x20*+[\"']?"
 VALUE = r"[A-Za-z0-9+/_.=-]++"
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])(?:(?=[A-Za-z+/_=-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_=-]{{{SHORTEST},}}+|(?=[A-Z]?+[a-z]++[A-Z]|[A-Z]{{2,}}+[a-z]|[A-Za-z]{{{LETTERS}}})[A-Za-z]{{{SHORTEST},}}+(?![0-9+/_=-]))"
 #: Share of random windows of a class that may fall below its threshold; a longer key has more windows and is missed less.
 MISS = 0.001
 #: Forms that look random and aren't secrets, each of a whole candidate: identifiers, words and short numbers
-#: between separators (names, paths, placeholders), dates with a time or words, and a published sample key.
+#: between separators (names, paths, placeholders), words before or after one number, words that each begin with a capital,
+#: dates with a time or words, and a published sample key.
 SEGMENT = r"(?:(?:[A-Z]{2,}+|(?:[A-Z][a-z]++|[a-z]{2,}+)++)[0-9]{0,4}+|[0-9]{1,4}+)"
+#: Letters that can be spoken: no four consonants in a row before the last vowel, no five vowels.
+SPOKEN = r"^(?:[^aeiouyAEIOUY\W\d_]{0,3}+[aeiouyAEIOUY]{1,4}+)++[^aeiouyAEIOUY\W\d_]{0,4}+$"
 ALLOWED = [
+    r"^(?:[A-Z]++|(?:[A-Z]?[a-z]{2,}+)++)[0-9]++$|^[0-9]++(?:[A-Z]++|(?:[A-Z]?[a-z]{2,}+)++)$",
+    r"^[A-Z]?[a-z]{2,}+(?:[A-Z][a-z]{2,}+)++$",
+    r"^[A-Z]*+[a-z]{3,}+(?:[A-Z]++[a-z]{3,}+)++[A-Z]*+$",
     r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9]{2}[_-]?[0-9]{2}(?:[_-]?[0-9]{2})?(?:[_-]?[0-9]{3,9})?(?:Z|UTC|[+-][0-9]{2}-?[0-9]{2})?$",
     rf"^[/_-]*+{SEGMENT}(?:[/_-]++{SEGMENT})++[/_=-]*+$",
@@ -54,14 +63,14 @@ def partitions(n: int, most: int) -> Iterator[list[int]]:
             yield [first, *rest]
 
 
-def least_entropy(symbols: int, miss: float) -> float:
+def least_entropy(symbols: int, miss: float, window: int = WINDOW) -> float:
     """The highest entropy that a window of equally likely symbols falls below with a chance of at most miss."""
     chance: dict[float, float] = {}
-    for counts in partitions(WINDOW, WINDOW):
+    for counts in partitions(window, window):
         if len(counts) <= symbols:
-            ways = math.factorial(WINDOW) // math.prod(map(math.factorial, counts)) * math.perm(symbols, len(counts)) // math.prod(map(math.factorial, Counter(counts).values()))
-            bits = round(math.log2(WINDOW) - sum(LOGS[c] for c in counts) / WINDOW, 9)
-            chance[bits] = chance.get(bits, 0.0) + ways / symbols**WINDOW
+            ways = math.factorial(window) // math.prod(map(math.factorial, counts)) * math.perm(symbols, len(counts)) // math.prod(map(math.factorial, Counter(counts).values()))
+            bits = round(math.log2(window) - sum(LOGS[c] for c in counts) / window, 9)
+            chance[bits] = chance.get(bits, 0.0) + ways / symbols**window
     below = 0.0
     for bits in sorted(chance):
         below += chance[bits]
@@ -70,13 +79,23 @@ def least_entropy(symbols: int, miss: float) -> float:
     return bits - 1e-6  # sums of windows are rounded
 
 
-#: Class of a candidate and the entropy in bits that its highest window must reach: hexadecimal, of one case, mixed.
-THRESHOLDS = [(form, least_entropy(symbols, MISS)) for form, symbols in ((r"^[0-9a-fA-F]+$", 16), (r"^[0-9A-Z]+$|^[0-9a-z]+$", 36), (r"", 62))]
+#: Character classes of candidates and how many characters each has: hexadecimal, letters of one case, of both, then with digits.
+CLASSES = ((r"^[0-9a-fA-F]+$", 16), (r"^[a-z]+$|^[A-Z]+$", 26), (r"^[A-Za-z]+$", 52), (r"^[0-9A-Z]+$|^[0-9a-z]+$", 36), (r"", 62))
+#: By class: the entropy in bits that the highest window must reach, for candidates of SHORTEST, ... WINDOW and more characters.
+THRESHOLDS = [(form, [least_entropy(symbols, MISS, n) for n in range(SHORTEST, WINDOW + 1)]) for form, symbols in CLASSES]
 KINDS = ("assign", "access", "hex")
 
 
+def own_entropy(value: Column) -> Column:
+    """Bits of a text of at most WINDOW characters."""
+    n = F.length(value)
+    chars = F.filter(F.array_distinct(F.split(value, "")), lambda c: c != "")
+    total = F.aggregate(chars, F.lit(0.0), lambda a, c: a + F.get(F.array(*map(F.lit, LOGS)), n - F.length(F.replace(value, c, F.lit("")))))
+    return F.log2(n.cast("double")) - total / n
+
+
 def peak_entropy(value: Column) -> Column:
-    """Bits of the window with the highest Shannon entropy, from incremental counts.
+    """Bits of the window with the highest Shannon entropy, from incremental counts; of a shorter text those of all of it.
 
     The value is cut into parts of PART characters, each with the first characters of the next, so that
     taking a character doesn't read the value from its start and the time is linear in its length.
@@ -102,16 +121,20 @@ def peak_entropy(value: Column) -> Column:
     cut = F.regexp_extract_all(value, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
     parts = F.zip_with(cut, F.slice(F.concat(cut, F.array(F.lit(""))), F.lit(2), F.size(cut)), lambda a, b: F.concat(a, F.left(b, F.lit(WINDOW - 1))))
     least = F.array_min(F.transform(F.filter(parts, lambda p: F.length(p) >= WINDOW), least_sum))
-    return F.lit(math.log2(WINDOW)) - least / WINDOW
+    return F.when(F.length(value) < WINDOW, own_entropy(value)).otherwise(F.lit(math.log2(WINDOW)) - least / WINDOW)
 
 
 def suspicious(value: Column) -> Column:
     fine = F.lit(False)
     for form in ALLOWED:
         fine = fine | value.rlike(form)
-    need = F.lit(THRESHOLDS[-1][1])
-    for form, bits in reversed(THRESHOLDS[:-1]):
-        need = F.when(value.rlike(form), F.lit(bits)).otherwise(need)
+    # a long word, also one of several words of which most letters are lower-case
+    capitals = F.length(value) - F.length(F.regexp_replace(value, "[A-Z]", ""))
+    fine = fine | (value.rlike(SPOKEN) & ((4 * capitals <= F.length(value)) | (capitals == F.length(value))))
+    place = F.least(F.length(value), F.lit(WINDOW)) - SHORTEST
+    need = F.lit(None).cast("double")
+    for form, bits in reversed(THRESHOLDS):
+        need = F.when(value.rlike(form), F.get(F.array(*map(F.lit, bits)), place)).otherwise(need)
     return ~fine & (peak_entropy(value) >= need)
 
 
@@ -122,7 +145,7 @@ def find_secrets(docs: DataFrame, id_columns: tuple[str, ...] = ("doc_id",)) ->
         "assign": F.col("text").rlike(r"[:=]"),
         "access": F.contains(F.col("text"), F.lit("AKIA")),
         "hex": F.col("text").rlike(r"[0-9a-f]{24}"),
-        "entropy": F.col("text").rlike(rf"[A-Za-z0-9+/_=-]{{{WINDOW}}}"),
+        "entropy": F.col("text").rlike(rf"[A-Za-z0-9+/_=-]{{{SHORTEST}}}"),
     }
     forms = {"assign": ASSIGN + VALUE, "access": ACCESS, "hex": HEX, "entropy": CANDIDATE}
     rows = S.with_matches(rows, "text", {k: (forms[k], likely[k]) for k in forms})

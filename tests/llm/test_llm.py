@@ -587,8 +587,25 @@ def test_random_keys_are_secrets_and_named_things_not(spark):
     assert got["plain", True] == 0 and got["secret", False] == 0
     assert all(got[k, False] <= 3 for k, _ in rows if k != "plain")
     # the threshold is the quantile that it says: drawn again
-    for (_, bits), a in zip(secrets.THRESHOLDS, ("0123456789abcdef", string.ascii_lowercase + string.digits, b62), strict=True):
-        assert np.mean([entropy("".join(draw.choice(a) for _ in range(secrets.WINDOW))) < bits for _ in range(20_000)]) <= 2 * secrets.MISS
+    for (_, bits), a in zip(secrets.THRESHOLDS, ("0123456789abcdef", string.ascii_lowercase, string.ascii_letters, string.ascii_lowercase + string.digits, b62), strict=True):
+        for n in (secrets.SHORTEST, secrets.WINDOW):
+            assert np.mean([entropy("".join(draw.choice(a) for _ in range(n))) < bits[n - secrets.SHORTEST] for _ in range(20_000)]) <= 2 * secrets.MISS
+
+
+def test_short_keys_and_keys_of_letters(spark):
+    draw = random.Random(21)
+    b62, b36 = string.ascii_letters + string.digits, string.ascii_lowercase + string.digits
+    kinds = [(a, n) for a in (b62, b36, b62 + "+/", b62 + "-_", "0123456789abcdef") for n in (16, 17, 18, 19)]
+    kinds += [(a, n) for a in (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase) for n in (24, 28, 32, 48)]
+    rows = [(f"{len(a)}x{n}", f"so {key} it is") for a, n in kinds for key in ("".join(draw.choice(a) for _ in range(n)) for _ in range(500)) if not key.isdigit()]
+    named = "DonaudampfschifffahrtskapitaenAnzug antidisestablishmentarianism pneumonoultramicroscopic AbstractSingletonProxyFactoryBean HTTPServerResponseWriter Undschlichgeheit"
+    named += " release20240102030405 user1234567890123456 0123456789012345abc internationalization2024 counterrevolutionaries SupercalifragilisticExpialidocious some/long/path/to/file1"
+    rows += [("plain", w) for w in named.split()]
+    df = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(rows)], "doc_id long, text string")
+    got = Counter((rows[r.doc_id][0], len(r.spans) > 0) for r in secrets.find_secrets(df).collect())
+    assert got["plain", True] == 0
+    for k in {k for k, _ in rows} - {"plain"}:  # a key with separators needs a digit, which 16 random characters may lack
+        assert got[k, False] <= (0.05 if k.startswith("64") else 0.025) * (got[k, False] + got[k, True]), k
 
 
 def test_entropy_by_increments(spark):
