@@ -362,7 +362,27 @@ def median_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return box.groupBy("doc_id").agg(lines.median("b.height").alias("height"), lines.median("b.left").alias("left_edge"), F.max("b.bottom").alias("bottom"))
 
 
-@query()
+def q_paragraphs() -> str:
+    """The fold word by word: a recursion over a text's lines that holds the whole paragraph and those that are closed."""
+    item, stop = "^(?:[-•●▪]|(?:[0-9]+|[A-Za-z])[.)、])\\s+", "[。！？!?；;]"
+    fragment = f"regexp_replace(regexp_replace(e, '(?s)^.*{stop}', ''), '\\s+', '', 'g')"
+    latin, before = "^[A-Za-z]", "[A-Za-z0-9.!?,;:\\p{Han}]$"
+    glued = f"case when para like '%-' and regexp_matches(line, '^[a-z]') then para[:-2] || line when (regexp_matches(line, '{latin}') and regexp_matches(e, '{before}')) or (regexp_matches(e, '[A-Za-z]$') and regexp_matches(line, '^[0-9\\p{{Han}}]')) then para || ' ' || line else para || line end"
+    bridged = f"""not regexp_matches(e, '{stop}[”’"'')）】]*$') and not item and gap <= 2.5 * mh and greatest(h, ph) / least(h, ph)::double <= 1.35 and abs(x - px) <= 2 * mh
+      and (regexp_matches(e, '[，,、：:（(\\[【]$') or regexp_matches(line, '^[的得地了着过和与及或但而也就都不没更最则却并a-z]') or (length({fragment}) between 1 and 3 and regexp_matches({fragment}, '^\\p{{Han}}+$') and regexp_matches(line, '^\\p{{Han}}')))"""
+    return f"""with recursive c as (select doc_id, i - 1 as n, s[i] as t from (select doc_id, s, unnest(range(1, len(s) + 1)) as i from (select doc_id, string_split(text, chr(10)) as s from documents))),
+l as (select doc_id, n, {q_repair("t")} as line, n % 3 * 10 as x, n * 30 + length(t) % 5 * 8 as y, 18 + length(t) % 4 as h from c),
+b as (select *, regexp_matches(line, '{item}') as item, median(h) over (partition by doc_id) as mh, median(x) over (partition by doc_id) as mx, lag(x) over o as px, lag(h) over o as ph, y - lag(y + h) over o as gap from l window o as (partition by doc_id order by n)),
+r as (
+  select distinct doc_id, -1::bigint as n, '' as para, []::varchar[] as done from l
+  union all
+  select doc_id, n, case when line = '' then para when parted then line else {q_repair(glued)} end, case when line <> '' and parted and para <> '' then list_append(done, para) else done end
+  from (select b.doc_id, b.n, para, e, done, line, para = '' or (gap > 0.72 * mh and not ({bridged})) or item or (x - mx > 1.15 * mh and regexp_matches(e, '[。！？.!?]$')) as parted from (select *, right(para, 99) as e from r) r join b on b.doc_id = r.doc_id and b.n = r.n + 1)),
+t as (select doc_id, array_to_string(arg_max(case when para <> '' then list_append(done, para) else done end, n), chr(10) || chr(10)) as text from r group by 1)
+select doc_id, len(string_split(text, chr(10) || chr(10))) as n_paragraphs, md5(text) as text_md5 from t"""
+
+
+@query(q_paragraphs())
 def paragraph_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.struct("text", F.lit(1.0).alias("score"), "poly")
     images = geometry(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", line.alias("l")))).alias("g"))

@@ -1,4 +1,7 @@
+import random
+
 import pytest
+from plain_paragraphs import folded, glued, repaired
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -6,6 +9,7 @@ from postmill.functions import names as N
 from postmill.functions import ranges as R
 from postmill.functions import text as T
 from postmill.operators import jobs, lines, metrics, render, scan
+from postmill.operators.paragraphs import paragraphs
 
 
 def value(spark, column, **fields):
@@ -17,13 +21,13 @@ def value(spark, column, **fields):
 @pytest.mark.parametrize(("given", "want"), [("contribution?Am I ready", "contribution? Am I ready"), ("他非常关注AI，也申请Harvard项目", "他非常关注 AI，也申请 Harvard 项目"), (" a , b ( c ) ", "a, b (c)"), ("end.Next 3.14", "end. Next 3.14")])
 def test_repair_spacing(spark, given, want):
     assert value(spark, T.repair_spacing(F.col("t")), t=("string", given)) == want
-    assert lines.repaired(given) == want
+    assert repaired(given) == want
 
 
 @pytest.mark.parametrize(("a", "b", "want"), [("exam-", "ple", "example"), ("of", "the", "of the"), ("项目", "MIT", "项目 MIT"), ("x", "3", "x 3"), ("普林", "斯顿", "普林斯顿"), ("end.", "Next", "end. Next")])
 def test_join_wrapped(spark, a, b, want):
     assert value(spark, T.join_wrapped(F.col("a"), F.col("b")), a=("string", a), b=("string", b)) == want
-    assert lines.glued(a, b) == want
+    assert glued(a, b) == want
 
 
 def test_tags_and_dates(spark):
@@ -74,6 +78,9 @@ def test_file_names(spark):
     assert value(spark, N.encode_path(F.col("p")), p=("string", "a b/(c)!~'*é.md")) == "a%20b/(c)!~'*%C3%A9.md"
 
 
+LINE = "array<struct<text:string,score:double,poly:array<struct<x:double,y:double>>>>"
+
+
 def line(text, top, left=0.0):
     corners = [(left, top), (left + 400, top), (left + 400, top + 20), (left, top + 20)]
     return {"text": text, "score": 0.99, "poly": [{"x": float(x), "y": float(y)} for x, y in corners]}
@@ -89,11 +96,26 @@ def line(text, top, left=0.0):
         ([("MIT Sloan 金融硕士：高性价比", 0), ("的顶级入场券", 50), ("你会发现 MIT 的入门难度更容易够到。 普林", 100), ("斯顿 MFin 对研究要求更高。", 150)], "MIT Sloan 金融硕士：高性价比的顶级入场券\n\n你会发现 MIT 的入门难度更容易够到。 普林斯顿 MFin 对研究要求更高。"),
     ],
 )
-def test_paragraphs(given, want):
-    assert lines.folded([line(t, float(y)) for t, y in given]) == want
-
-
-LINE = "array<struct<text:string,score:double,poly:array<struct<x:double,y:double>>>>"
+def test_paragraphs(spark, given, want):
+    rows = [line(t, float(y)) for t, y in given]
+    assert folded(rows) == want
+    assert spark.createDataFrame([(rows,)], f"l {LINE}").select(paragraphs(F.col("l")).alias("t")).first().t == want
+
+
+def test_paragraphs_equal_a_plain_fold(spark):
+    draw, rows = random.Random(8), []
+    words = ["one", "two-", "Three", "汉字", "的", "，", "end.", "完。", "”", ")", "?", "1. item", "- x", "a)", "x:", "[", "(", "42", "7", "B", " ", "", "\t", "·", "done!”", "é", "-", "了么", "三个字", "ok,then", "我"]
+    for i in range(1500):
+        made, top = [], 0.0
+        for _ in range(draw.randrange(1, 9)):
+            top += draw.choice([22, 24, 30, 36, 45, 60, 90])
+            left, tall = draw.choice([0, 0, 0, 5, 25, 60]), draw.choice([18, 20, 20, 20, 24, 30])
+            made.append({"text": draw.choice(["", " "]).join(draw.choice(words) for _ in range(draw.randrange(0, 4))), "score": 1.0, "poly": [{"x": float(x), "y": float(y)} for x, y in ((left, top), (left + 99, top), (left + 99, top + tall), (left, top + tall))][: 4 if draw.random() < 0.99 else 3]})
+        rows.append((i, made))
+    got = {r.i: r.t for r in spark.createDataFrame([*rows, (-1, None), (-2, [])], f"i int, l {LINE}").select("i", paragraphs(F.col("l")).alias("t")).collect()}
+    assert (got.pop(-1), got.pop(-2)) == ("", "")
+    different = [(made, got[i], folded(made)) for i, made in rows if got[i] != folded(made)]
+    assert not different, (len(different), [x["text"] for x in different[0][0]], different[0][1:])
 
 
 def test_clean_images_drops_long_lines_seen_before(spark):

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from plain_paragraphs import joined, repaired
 from pyspark.sql import functions as F
 
 from postmill.functions import text as T
@@ -107,10 +108,10 @@ PARTS = st.lists(st.sampled_from(["a", "Zz", "9", "中", "文", " ", "  ", "\t",
 @given(PARTS, PARTS)
 @settings(max_examples=600, deadline=None)
 def test_joining_repairs_as_the_whole_would(left, right):
-    left, right = lines.repaired(lines.repaired(left)), lines.repaired(lines.repaired(right))
+    left, right = repaired(repaired(left)), repaired(repaired(right))
     for sep in ("", " "):
-        if lines.repaired(left) == left and lines.repaired(right) == right:
-            assert lines.joined(left + sep, right) == lines.repaired(left + sep + right)
+        if repaired(left) == left and repaired(right) == right:
+            assert joined(left + sep, right) == repaired(left + sep + right)
 
 
 def test_policy(spark):
