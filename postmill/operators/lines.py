@@ -42,23 +42,38 @@ def first_long_lines(lines: DataFrame, note: str, order: list[str], text: str, n
     return rows.where("key is null").select("row").unionByName(kept).select("row.*")
 
 
-def clean_texts(results: DataFrame, note: str, image: str, text: str = "text", normalise: bool = True) -> DataFrame:
-    """The text path of cross-image cleaning: spacing repaired, long lines once per note, empty results dropped.
+def clean_images(results: DataFrame, note: str = "note_id", image: str = "image_index", text: str = "text") -> DataFrame:
+    """Cross-image cleaning: spacing repaired, long lines once per note, empty results dropped.
 
-    Texts stay whole: lines are repaired once, only hashes of long ones are dealt out, and what comes back to a
-    text are the numbers of the lines that it loses.
+    Images with lines (array<struct<text, score, poly>>, where there is such a column) lose their blank lines and are put
+    together by geometry; others keep the lines of their text. Images stay whole rows, however many a note has: lines are
+    repaired once, only hashes of long ones are dealt out, and what comes back to an image are the numbers of the
+    lines that it loses.
     """
     split = F.split(F.regexp_replace(F.col(text), r"\r\n?", "\n"), "\n")
-    rows = results.select(note, image, F.array_join(F.transform(split, repair_spacing), "\n").alias("lines"))
-    plain = rows.withColumn("keys", nfkc("lines") if normalise else F.col("lines"))
-    hashed = F.transform(F.split("keys", "\n"), lambda x: F.when(F.length(search_key(x, False)) >= SHORTEST_KEY, F.md5(F.concat(F.col(note).cast("string"), F.lit("\x1f"), search_key(x, False)))))
-    rows = materialise(plain.withColumn("keys", hashed).withColumn("place", F.monotonically_increasing_id()), "texts")
-    long = rows.select(F.col(image).alias("image"), "place", F.posexplode("keys").alias("line_no", "key")).where("key is not null")
-    told = with_facts(long, repeats(long, ["image", "line_no", "place"]), "key", "n", long.count())
+    lined = F.coalesce(F.size("lines") > 0, F.lit(False)) if "lines" in results.columns else F.lit(False)
+    own = F.col("lines") if "lines" in results.columns else F.lit(None).cast("array<struct<text:string,score:double,poly:array<struct<x:double,y:double>>>>")
+    repaired = F.when(lined, F.transform(own, lambda x: F.replace(repair_spacing(F.coalesce(x["text"], F.lit(""))), F.lit("\n"), F.lit(" ")))).otherwise(F.transform(split, repair_spacing))
+    rows = results.select(F.col(note).alias("note"), F.col(image).alias("image"), own.alias("boxes"), lined.alias("lined"), F.array_join(repaired, "\n").alias("lines")).where("lines is not null")
+
+    def hashed(line: Column) -> Column:
+        key = F.transform(F.array(search_key(line, False)), lambda k: F.when(F.length(k) >= SHORTEST_KEY, F.md5(F.concat(F.coalesce(F.col("note").cast("string"), F.lit("")), F.lit("\x1f"), k))))
+        return F.get(key, 0)
+
+    rows = rows.withColumn("keys", nfkc("lines")).withColumn("keys", F.transform(F.split("keys", "\n"), hashed))
+    rows = materialise(rows.withColumn("place", F.monotonically_increasing_id()), "texts")
+    n_long = rows.agg(F.sum(F.size(F.filter("keys", lambda k: k.isNotNull())))).first()[0] or 0
+    long = rows.select("image", "place", F.posexplode("keys").alias("line_no", "key")).where("key is not null")
+    told = with_facts(long, repeats(long, ["image", "line_no", "place"]), "key", "n", n_long)
     lost = told.where(F.struct("image", "line_no", "place") != F.col("first")).groupBy("place").agg(F.collect_set("line_no").alias("lost"))
-    kept = rows.join(lost, "place", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<int>")))
-    line = F.filter(F.transform(F.split("lines", "\n"), lambda x, i: F.when(~F.array_contains("lost", i), x)), lambda x: x.isNotNull())
-    return kept.select(note, image, clean_body(F.array_join(line, "\n")).alias(text)).where(F.col(text) != "")
+    # written, so that its size is known: up to Spark's own bound it goes to the images, beyond it they are shuffled
+    kept = rows.join(materialise(lost, "lost"), "place", "left").withColumn("lost", F.coalesce("lost", F.array().cast("array<int>")))
+    stays = lambda x, i: F.when(~F.array_contains("lost", i), x)
+    line = F.filter(F.transform(F.split("lines", "\n"), stays), lambda x: x.isNotNull())
+    texts = F.split("lines", "\n")
+    box = F.filter(F.transform("boxes", lambda x, i: F.when((F.get(texts, i) != "") & ~F.array_contains("lost", i), x)), lambda x: x.isNotNull())
+    made = F.when(F.col("lined"), paragraphs(box)).otherwise(clean_body(F.array_join(line, "\n")))
+    return kept.select(F.col("note").alias(note), F.col("image").alias(image), made.alias(text)).where(F.col(text) != "")
 
 
 def line_bounds(poly: Column) -> Column:
@@ -84,15 +99,3 @@ def translate_tiles(tiles: DataFrame, keys: list[str]) -> DataFrame:
     moved = F.transform("lines", lambda x: x.withField("poly", F.transform(x["poly"], lambda p: F.struct(p["x"].alias("x"), (p["y"] + F.col("top")).alias("y")))))
     rows = tiles.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("tile", moved.alias("lines")))).alias("t"))
     return rows.select(*keys, F.flatten(F.transform("t", lambda x: x["lines"])).alias("lines"))
-
-
-def clean_images(results: DataFrame, note: str = "note_id", image: str = "image_index") -> DataFrame:
-    """Both paths of cross-image cleaning: images with lines lose long lines seen before in the note, by
-    geometry where they have it; images without keep the text path."""
-    lined = results.where(F.size("lines") > 0).select(note, image, F.posexplode("lines").alias("line_no", "l")).withColumn("line", repair_spacing(F.col("l.text")))
-    textual = results.where(F.coalesce(F.size("lines"), F.lit(0)) <= 0).select(note, image, F.posexplode(F.split(F.regexp_replace("text", r"\r\n?", "\n"), "\n")).alias("line_no", "line")).withColumn("line", repair_spacing(F.col("line")))
-    both = lined.where("line <> ''").unionByName(textual, allowMissingColumns=True)
-    kept = first_long_lines(both, note, [image, "line_no"], "line")
-    rows = kept.groupBy(note, image).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("t"), F.array_sort(F.collect_list(F.when(F.col("l").isNotNull(), F.struct("line_no", "l")))).alias("g"))
-    text = F.when(F.size("g") > 0, paragraphs(F.transform("g", lambda x: x["l"]))).otherwise(clean_body(F.array_join(F.transform("t", lambda x: x["line"]), "\n")))
-    return rows.select(note, image, text.alias("text")).where("text <> ''")

@@ -6,7 +6,7 @@ that makes its operator do something, and the SQL derives it alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.functions import names as N
@@ -138,22 +138,29 @@ def join_wrapped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_clean(note: str) -> str:
-    return f"""with l as (select {note} as note, doc_id, i, {q_repair("s[i]")} as line from (select source, doc_id, s, unnest(range(1, len(s) + 1)) as i from (select source, doc_id, string_split(text, chr(10)) as s from documents))),
-k as (select *, {q_key("line")} as key from l),
+    """Full-width letters, as full_width() puts them, are the plain ones in a key."""
+    wide = "case when doc_id % 3 = 0 then translate(text, 'aeo', 'ａｅｏ') else text end"
+    return f"""with l as (select {note} as note, doc_id, i, {q_repair("s[i]")} as line from (select source, doc_id, s, unnest(range(1, len(s) + 1)) as i from (select source, doc_id, string_split({wide}, chr(10)) as s from documents))),
+k as (select *, {q_key("translate(line, 'ａｅｏ', 'aeo')")} as key from l),
 f as (select *, row_number() over (partition by note, key order by doc_id, i) as n from k),
 t as (select note, doc_id, {q_trim("regexp_replace(string_agg(line, chr(10) order by i), '\\n{3,}', chr(10) || chr(10), 'g')")} as text from f where n = 1 or length(key) < 12 group by 1, 2)"""
 
 
+def full_width() -> Column:
+    """A third of the texts with full-width letters, which compatibility composition makes plain."""
+    return F.when(F.col("doc_id") % 3 == 0, F.translate("text", "aeo", "ａｅｏ")).otherwise(F.col("text")).alias("text")
+
+
 @query(q_clean("source") + " select note, doc_id, md5(text) as text_md5 from t where text <> ''")
 def cross_image_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("note"), "doc_id", "text")
-    return lines.clean_texts(rows, "note", "doc_id", normalise=False).select("note", "doc_id", F.md5("text").alias("text_md5"))
+    rows = table(spark, sf_dir, "documents").select(F.col("source").alias("note"), "doc_id", full_width())
+    return lines.clean_images(rows, "note", "doc_id").select("note", "doc_id", F.md5("text").alias("text_md5"))
 
 
 @query(q_clean("doc_id") + " select note, doc_id, md5(text) as text_md5 from t where text <> ''")
 def clean_fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note"), "doc_id", "text")
-    return lines.clean_texts(rows, "note", "doc_id", normalise=False).select("note", "doc_id", F.md5("text").alias("text_md5"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("note"), "doc_id", full_width())
+    return lines.clean_images(rows, "note", "doc_id").select("note", "doc_id", F.md5("text").alias("text_md5"))
 
 
 @query("""with r as (select *, case when event_type is not distinct from lag(event_type) over (partition by user_id order by ts, event_id) then 0 else 1 end as new from events),
