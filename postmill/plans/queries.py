@@ -13,6 +13,7 @@ from postmill.functions import names as N
 from postmill.functions import ranges as R
 from postmill.functions import text as T
 from postmill.operators import export, extract, jobs, lines, metrics, render, scan, state, vision
+from postmill.operators import notes as notes_job
 from postmill.session import materialise, table
 from postmill.sources import synthetic
 from postmill.streaming import jobs as job_stream
@@ -860,3 +861,45 @@ def text_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda p: F.concat_ws(",", p["x"].cast("int").cast("string"), p["y"].cast("int").cast("string"))
     shown = F.transform("b", lambda b: F.concat_ws(",", corner(F.get(b["poly"], 0)), corner(F.get(b["poly"], 2)), F.round(b["score"] * 1000).cast("int").cast("string")))
     return found.select("p_partkey", F.array_join(shown, ";").alias("boxes"))
+
+
+# --- the whole job --------------------------------------------------------------------------------
+def q_note_job() -> str:
+    good = f"""g as (select *, {q_safe("title")} || '_' || {q_safe("p_brand")} || '_2025-07-26.md' as filename from (
+    select *, case when p_size % 4 > 0 then p_name when p_size % 8 = 4 then 'Meta ' || p_name else 'Page ' || p_type end as title, 'p' || p_partkey as id, ['skip', 'overwrite', 'new-version'][p_size % 3 + 1] as policy from part) where p_partkey % 7 > 0)"""
+    count = lambda name, value: f"'{name}: ' || {q_json(value)}"
+    markdown = f"""concat_ws(chr(10), '---', {q_front("title", q_json("title"), "source", q_json("'https://www.xiaohongshu.com/explore/' || id"), "platform", "'\"xiaohongshu\"'", "note_id", q_json("id"), "author", q_json("p_brand"), "author_id", q_json("id"), "published_at", "'\"2025-07-26T07:50:00.000Z\"'", "captured_at", f"'\"{NOW}\"'")},
+    'tags: ["alpha", "beta", "t' || p_size || '"]', {count("liked_count", "cast(p_size as varchar)")}, {count("collected_count", "''")}, {count("comment_count", "''")}, {count("shared_count", "cast(p_partkey as varchar)")}, 'ocr: true', 'ocr_image_count: ' || case when p_partkey % 9 > 0 then 1 else 0 end, '---')
+    || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || '## 正文' || chr(10) || chr(10) || p_type || ' #t' || p_size
+    || case when p_partkey % 9 > 0 then chr(10) || chr(10) || '## 图片文字' || chr(10) || chr(10) || '### 图片 1' || chr(10) || chr(10) || p_name || ' seen twice' || chr(10) || 'short' || chr(10) || 'short' else '' end || chr(10)"""
+    stamp = "_更新-20260102-030405"
+    return f"""with {good},
+v as (select filename, min(note_id) as note_id from (select filename, id as note_id from g where p_partkey % 4 = 0 union all select filename, 'z' from g where p_partkey % 4 = 1) group by 1),
+a as (select g.*, v.filename is not null as stored, v.note_id as sid, row_number() over (partition by g.filename order by p_partkey) as k from g left join v using (filename)),
+b as (select *, case when not stored and k = 1 then 'write' when stored and sid = id then case policy when 'skip' then 'skipped' when 'overwrite' then 'write' else 'versioned' end when policy = 'overwrite' then 'error' else 'versioned' end as action from a),
+c as (select *, row_number() over (partition by filename, action order by p_partkey) + case when filename in (select filename from g where p_partkey % 8 = 1) then 1 else 0 end as n from b),
+d as (select p_partkey, id as note_id, case action when 'error' then null when 'versioned' then filename[:-4] || '{stamp}' || case when n > 1 then '-' || n else '' end || '.md' else filename end as target, nullif(action, 'error') as action,
+  case when action = 'error' then 'NOTE_ID_MISMATCH' end as error, case when action in ('write', 'versioned') then md5({markdown}) end as markdown_md5 from c)
+select * from d union all
+select p_partkey, case when p_partkey % 5 > 0 then 'x' || p_partkey else 'other' end, null, null, 'TITLE_MISMATCH', null from part where p_partkey % 7 = 0"""
+
+
+@query(q_note_job())
+def note_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages with embedded state and one image each, whose text tells a long line twice; a ninth of the images have none."""
+    policy = F.element_at(F.array(*map(F.lit, ("skip", "overwrite", "new-version"))), (F.col("p_size") % 3 + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", policy.alias("policy"), "p_size")
+    pages = materialise(state_pages(spark, sf_dir).join(parts.select("p_partkey", "policy"), "p_partkey"), "pages")
+    told = F.concat_ws("\n", F.concat("p_name", F.lit(" seen twice")), F.lit("short"), F.concat("p_name", F.lit("  seen twice")), F.lit("short"))
+    results = parts.select("p_partkey", F.lit(0).alias("image_index"), F.when(F.col("p_partkey") % 9 > 0, told).otherwise(F.lit("")).alias("text"))
+    title = F.when(F.col("p_size") % 4 > 0, F.col("p_name")).when(F.col("p_size") % 8 == 4, F.concat(F.lit("Meta "), "p_name")).otherwise(F.concat(F.lit("Page "), "p_type"))
+    named = parts.where("p_partkey % 7 > 0").select("p_partkey", N.markdown_filename(title, F.col("p_brand"), F.lit("2025-07-26"), TODAY).alias("filename"))
+    at = F.lit("2026-01-02 03:04:05")
+    stored = [
+        named.where("p_partkey % 4 = 0").select("filename", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("note_id")),
+        named.where("p_partkey % 4 = 1").select("filename", F.lit("z").alias("note_id")),
+        named.where("p_partkey % 8 = 1").select(N.versioned_filename(F.col("filename"), F.to_timestamp(at), F.lit(1)).alias("filename"), F.lit("y").alias("note_id")),
+    ]
+    vault = stored[0].unionByName(stored[1]).unionByName(stored[2])
+    made = notes_job.note_job(pages, "p_partkey", results, vault, captured_at=NOW, stamp="2026-01-02 03:04:05")
+    return made.select("p_partkey", "note_id", "target", "action", "error", F.md5("markdown").alias("markdown_md5"))
