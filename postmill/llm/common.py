@@ -2,25 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postmill.session import materialise, table, with_facts  # noqa: F401
+
 #: The word bytes of the n-gram operators, after A-Z went to a-z: 0-9, a-z and every byte above 0x7F.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-#: Keys that with_facts() broadcasts at most.
-HUBS = 100_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def held_out(doc_id: str | Column) -> Column:
     """True for rows whose label must not be learnt from: crc32(doc_id as text) mod 3 is 1."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -32,30 +26,6 @@ def long_id() -> Column:
     return F.expr("try_cast(doc_id as bigint)").alias("doc_id")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in a local session that names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        named = tempfile.mkdtemp(prefix="postmill-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back; the files go when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/postmill/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_labels(labels: DataFrame, label: str, per_class: int) -> DataFrame:
     """At most per_class training rows of each class (doc_id, label): a documented bound on what a fit reads.
 
@@ -123,24 +93,6 @@ def kgrams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, keep: bool = False) -> DataFrame:
-    """rows joined with facts, which has one row a key; `count` says how many rows have that key, `total` how many there are.
-    With keep, rows without facts stay.
-
-    A key of more rows than total / HUBS would gather in one task, so its facts are broadcast; there are at
-    most HUBS such keys. Their rows take part in the shuffle under a key of their own, which spreads them.
-    """
-    most = max(256, total // HUBS)
-    names = [c for c in facts.columns if c not in (key, count)]
-    hot = F.broadcast(facts.where(F.col(count) > most).select(F.col(key), F.struct(*names).alias("_hot")))
-    cold = facts.where(F.col(count) <= most).select(F.col(key).alias("_key"), F.struct(*names).alias("_cold"))
-    spread = F.xxhash64(*rows.columns).cast(rows.schema[key].dataType)
-    rows = rows.join(hot, key, "left").withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(spread))
-    rows = rows.join(cold, "_key", "left").withColumn("_facts", F.coalesce("_hot", "_cold"))
-    rows = rows if keep else rows.where("_facts is not null")
-    return rows.select(*(c for c in rows.columns if not c.startswith("_")), "_facts.*")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for all nodes of edges (a, b): component is the least node reached.
 
