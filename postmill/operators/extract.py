@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.names import SITE, SiteProfile, is_site_url, note_id
 from postmill.functions.text import distinct_tags, first_text, https_image, inline_tags, iso_date, strip_site_suffix, trim
 from postmill.operators.scan import plain_text, unescape
-from postmill.sources.html import Page
+from postmill.sources.html import Page, note_fields
 
 NOTE = "id string, title string, body string, author_id string, author_name string, author_avatar string, image_urls array<string>, tags array<string>, published_at string, metrics struct<liked:string,collected:string,comment:string,shared:string>"
 #: Where the embedded state is and under which names its fields come.
@@ -68,26 +67,27 @@ def from_state(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
     return rows.withColumn("data", F.when(n.isNotNull(), data)).drop("_entries", "_url_id", "_note")
 
 
-def from_document(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
-    """Adds data read from the page's elements, by ordered lists of selectors."""
-    suffix, where, columns = site.title_suffix, site.selectors, pages.columns
+DOCUMENT = "struct<title:string,body:string,author_id:string,author_name:string,author_avatar:string,image_urls:array<string>,tags:array<string>,published_at:string,liked:string,collected:string,comment:string,shared:string>"
 
-    def read(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        from postmill.sources.html import note_fields
+def document_fields(html: Column, url: Column, site: SiteProfile = SITE) -> Column:
+    """Raw fields (DOCUMENT) of a page's elements, by ordered lists of selectors; null of a null page. Only these two
+    columns go to Python."""
+    where = site.selectors
 
-        for batch in batches:
-            fields = [note_fields(Page(html or ""), url or "", where) for html, url in zip(batch.column("html").to_pylist(), batch.column("url").to_pylist(), strict=True)]
-            struct = pa.struct([(k, pa.list_(pa.string()) if k in ("image_urls", "tags") else pa.string()) for k in ("title", "body", "author_id", "author_name", "author_avatar", "image_urls", "tags", "published_at", "liked", "collected", "comment", "shared")])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fields, struct)], [*columns, "_f"])
+    @F.arrow_udf(DOCUMENT)
+    def read(pages: pa.Array, urls: pa.Array) -> pa.Array:
+        kind = pa.struct([(k, pa.list_(pa.string()) if k in ("image_urls", "tags") else pa.string()) for k in ("title", "body", "author_id", "author_name", "author_avatar", "image_urls", "tags", "published_at", "liked", "collected", "comment", "shared")])
+        return pa.array([None if page.as_py() is None else note_fields(Page(page.as_py()), address.as_py() or "", where) for page, address in zip(pages, urls, strict=True)], kind)
 
-    kinds = ", ".join(f"`{c}` {t}" for c, t in pages.dtypes)
-    rows = pages.mapInArrow(read, f"{kinds}, _f struct<title:string,body:string,author_id:string,author_name:string,author_avatar:string,image_urls:array<string>,tags:array<string>,published_at:string,liked:string,collected:string,comment:string,shared:string>")
-    f = F.col("_f")
-    data = F.struct(
-        note_id(F.col("url"), site).alias("id"),
-        strip_site_suffix(f["title"], suffix).alias("title"),
+    return read.asNondeterministic()(html, url)  # so that no filter on its result makes the plan parse pages twice
+
+
+def document_data(f: Column, url: Column, site: SiteProfile = SITE) -> Column:
+    """A note's data of the raw fields of a page's elements."""
+    return F.struct(
+        note_id(url, site).alias("id"),
+        strip_site_suffix(f["title"], site.title_suffix).alias("title"),
         f["body"].alias("body"),
         *(f[k].alias(k) for k in ("author_id", "author_name")),
         https_image(f["author_avatar"]).alias("author_avatar"),
@@ -96,14 +96,14 @@ def from_document(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
         f["published_at"].alias("published_at"),
         F.struct(*(f[k].alias(k) for k in ("liked", "collected", "comment", "shared"))).alias("metrics"),
     )
-    return rows.withColumn("data", data).drop("_f")
 
 
 def extract(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
-    """Adds data, source and error. Pages without embedded state alone go through Python."""
-    first = from_state(pages, site).withColumn("source", F.lit("initial-state"))
-    second = from_document(first.where("data is null").select(*pages.columns), site).withColumn("source", F.lit("dom"))
-    rows = first.where("data is not null").unionByName(second)
+    """Adds data, source and error. Pages are read once; elements are only looked for where there is no embedded state."""
+    rows = from_state(pages, site).withColumnRenamed("data", "_state")
+    stateless = F.col("_state").isNull()
+    rows = rows.withColumn("_f", document_fields(F.when(stateless, F.coalesce("html", F.lit(""))), F.when(stateless, F.col("url")), site))
+    rows = rows.withColumn("data", F.coalesce("_state", document_data(F.col("_f"), F.col("url"), site))).withColumn("source", F.when(stateless, "dom").otherwise("initial-state")).drop("_state", "_f")
     error = F.when(~is_site_url(F.col("url"), site) | (note_id(F.col("url"), site) == ""), "unsupported").when((F.col("source") == "dom") & (F.col("data.title") == "") & (F.col("data.body") == ""), "not-found")
     return rows.withColumn("error", error).withColumn("data", F.when(F.col("error").isNull(), F.col("data")))
 
