@@ -54,7 +54,8 @@ def clean_images(results: DataFrame, note: str = "note_id", image: str = "image_
     lined = F.coalesce(F.size("lines") > 0, F.lit(False)) if "lines" in results.columns else F.lit(False)
     own = F.col("lines") if "lines" in results.columns else F.lit(None).cast("array<struct<text:string,score:double,poly:array<struct<x:double,y:double>>>>")
     repaired = F.when(lined, F.transform(own, lambda x: F.replace(repair_spacing(F.coalesce(x["text"], F.lit(""))), F.lit("\n"), F.lit(" ")))).otherwise(F.transform(split, repair_spacing))
-    rows = results.select(F.col(note).alias("note"), F.col(image).alias("image"), own.alias("boxes"), lined.alias("lined"), F.array_join(repaired, "\n").alias("lines")).where("lines is not null")
+    rows = results.where(lined | F.col(text).isNotNull())
+    rows = rows.select(F.col(note).alias("note"), F.col(image).alias("image"), own.alias("boxes"), lined.alias("lined"), F.array_join(repaired, "\n").alias("lines"))
 
     def hashed(line: Column) -> Column:
         key = F.transform(F.array(search_key(line, False)), lambda k: F.when(F.length(k) >= SHORTEST_KEY, F.md5(F.concat(F.coalesce(F.col("note").cast("string"), F.lit("")), F.lit("\x1f"), k))))
