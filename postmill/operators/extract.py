@@ -78,7 +78,7 @@ def document_fields(html: Column, url: Column, site: SiteProfile = SITE) -> Colu
     @F.arrow_udf(DOCUMENT)
     def read(pages: pa.Array, urls: pa.Array) -> pa.Array:
         kind = pa.struct([(k, pa.list_(pa.string()) if k in ("image_urls", "tags") else pa.string()) for k in ("title", "body", "author_id", "author_name", "author_avatar", "image_urls", "tags", "published_at", "liked", "collected", "comment", "shared")])
-        return pa.array([None if page.as_py() is None else note_fields(Page(page.as_py()), address.as_py() or "", where) for page, address in zip(pages, urls, strict=True)], kind)
+        return pa.array([None if page.as_py() is None else note_fields(Page(page.as_py(), where.whole_references), address.as_py() or "", where) for page, address in zip(pages, urls, strict=True)], kind)
 
     return read.asNondeterministic()(html, url)  # so that no filter on its result makes the plan parse pages twice
 
