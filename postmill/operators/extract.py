@@ -40,12 +40,12 @@ def from_state(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
 
     def rank(entry: Column, pos: Column) -> Column:
         note = F.coalesce(F.get_json_object(entry["value"], "$.note"), F.get_json_object(entry["value"], "$.data.note"), entry["value"])
-        own = at(note, "noteId", "note_id", "id")
-        return F.struct((own != F.col("_url_id")).alias("other"), (entry["key"] != F.col("_url_id")).alias("key"), pos.alias("pos"), note.alias("note"))
+        return F.get(F.transform(F.array(note), lambda n: F.struct((at(n, "noteId", "note_id", "id") != F.col("_url_id")).alias("other"), (entry["key"] != F.col("_url_id")).alias("key"), pos.alias("pos"), n.alias("note"))), 0)  # read once
 
     note = F.array_min(F.transform("_entries", rank))["note"]
     rows = rows.withColumn("_note", note)
-    n = F.col("_note")
+    n, user, counted = F.col("_note"), F.col("_user"), F.col("_counts")
+    rows = rows.withColumn("_user", F.get_json_object(n, "$.user")).withColumn("_counts", F.get_json_object(n, "$.interactInfo"))
     tags = F.transform(F.from_json(F.get_json_object(n, "$.tagList"), "array<struct<name:string,title:string>>"), lambda t: first_text(t["name"], t["title"]))
     listed = F.coalesce(F.from_json(F.get_json_object(n, "$.imageList"), IMAGE), F.from_json(F.get_json_object(n, "$.images"), IMAGE))
     images = F.transform(listed, lambda i: https_image(first_text(i["urlDefault"], i["urlPre"], i["url"], F.get(F.filter(i["infoList"], lambda x: F.contains(F.lower(x["imageScene"]), F.lit("wb_dft"))), F.lit(0))["url"], F.get(i["infoList"], F.lit(0))["url"])))
@@ -56,15 +56,15 @@ def from_state(pages: DataFrame, site: SiteProfile = SITE) -> DataFrame:
         F.coalesce(F.nullif(at(n, "noteId", "note_id", "id"), F.lit("")), "_url_id").alias("id"),
         first_text(at(n, "title"), meta_content(F.col("html"), "og:title"), plain_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))).alias("title"),
         body.alias("body"),
-        at(n, "user.userId", "user.user_id", "user.id").alias("author_id"),
-        at(n, "user.nickname", "user.nickName", "user.name").alias("author_name"),
-        https_image(at(n, "user.avatar", "user.image", "user.avatarUrl")).alias("author_avatar"),
+        at(user, "userId", "user_id", "id").alias("author_id"),
+        at(user, "nickname", "nickName", "name").alias("author_name"),
+        https_image(at(user, "avatar", "image", "avatarUrl")).alias("author_avatar"),
         distinct_tags(F.coalesce(images, none)).alias("image_urls"),
         distinct_tags(F.coalesce(tags, none), inline_tags(body)).alias("tags"),
         at(n, "time", "publishTime", "publishedAt", "lastUpdateTime").alias("published_at"),
-        F.struct(*(at(n, *(f"interactInfo.{field}" for field in fields)).alias(name) for name, fields in counts.items())).alias("metrics"),
+        F.struct(*(at(counted, *fields).alias(name) for name, fields in counts.items())).alias("metrics"),
     )
-    return rows.withColumn("data", F.when(n.isNotNull(), data)).drop("_entries", "_url_id", "_note")
+    return rows.withColumn("data", F.when(n.isNotNull(), data)).drop("_entries", "_url_id", "_note", "_user", "_counts")
 
 
 DOCUMENT = "struct<title:string,body:string,author_id:string,author_name:string,author_avatar:string,image_urls:array<string>,tags:array<string>,published_at:string,liked:string,collected:string,comment:string,shared:string>"
