@@ -38,11 +38,11 @@ def free_versions(wanted: DataFrame, vault: DataFrame, at: Column, most: int = 1
     return wanted.select("filename").distinct().join(named, "filename", "left").withColumn("error", F.when(F.col("k").isNull(), "VERSION_CONFLICT"))
 
 
-def settle(incoming: DataFrame, vault: DataFrame, order: list[str], at: Column, most: int = 100) -> DataFrame:
+def settle(incoming: DataFrame, vault: DataFrame, order: list[str], at: Column, most: int | None = 100) -> DataFrame:
     """Adds action, target and error to a batch (filename, note_id, policy and its order) against vault (filename, note_id).
 
     Notes of a batch are of different ids. Of those with one fresh name the first in the order takes it and the others
-    find it there. Versions take the names that are free, one after the other, of at most `most` a name.
+    find it there. Versions take the names that are free, one after the other, of at most `most` a name, of any number with None.
     """
     stored = vault.groupBy("filename").agg(F.min("note_id").alias("_id"), F.lit(True).alias("_stored"))
     rows = incoming.join(stored, "filename", "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
@@ -51,12 +51,18 @@ def settle(incoming: DataFrame, vault: DataFrame, order: list[str], at: Column,
     rows = rows.where("_stored").unionByName(fresh.select(*incoming.columns, F.lit(None).cast(rows.schema["_id"].dataType).alias("_id"), met))
     rows = rows.withColumn("action", policy_action(F.col("_stored"), F.coalesce(F.col("_id") == F.col("note_id"), F.lit(False)), F.col("policy"))).drop("_id", "_stored")
     versioned = numbered(rows.where("action = 'versioned'"), ["filename"], [F.col(c) for c in order]).drop("_n")
-    tries = versioned.select("filename").distinct().withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most))))
-    tries = tries.withColumn("name", versioned_filename(F.col("filename"), at, F.col("k")))
-    taken = tries.join(vault.select(F.col("filename").alias("name")).distinct(), "name", "left_semi").groupBy("filename").agg(F.collect_set("k").alias("_taken"))
-    free = F.filter(F.sequence(F.lit(1), F.lit(most)), lambda k: ~F.coalesce(F.array_contains("_taken", k), F.lit(False)))
-    versioned = versioned.join(taken, "filename", "left").withColumn("_k", F.get(free, (F.col("_k") - 1).cast("int")))
-    versioned = versioned.withColumn("target", F.when(F.col("_k").isNotNull(), versioned_filename(F.col("filename"), at, F.col("_k")))).withColumn("error", F.when(F.col("_k").isNull(), "VERSION_CONFLICT")).drop("_k", "_taken")
+    # a stored version's number is read from its name, and the name made again from it has to be the same
+    number = F.when(F.col("name").rlike(r"-[0-9]{6}-[0-9]{1,18}\.md\z"), F.regexp_extract("name", r"-([0-9]+)\.md\z", 1).cast("long")).otherwise(F.lit(1).cast("long"))
+    there = vault.select(F.col("filename").alias("name")).distinct().withColumn("_k", number).withColumn("_stem", F.regexp_replace("name", r"_更新-[0-9]{8}-[0-9]{6}(-[0-9]+)?\.md\z", ""))
+    there = there.where((F.col("name") == versioned_filename(F.col("_stem"), at, F.col("_k"))) & (F.col("_k") > 0))
+    # before the taken t, of which i are lower, t - i - 1 numbers are free; a rank beyond them passes it
+    taken = there.groupBy("_stem").agg(F.array_sort(F.collect_set("_k")).alias("_taken"))
+    before = F.transform("_taken", lambda t, i: t - i - 1)
+    versioned = versioned.withColumn("_stem", F.regexp_replace("filename", r"(?i)\.md\z", "")).join(taken, "_stem", "left")
+    versioned = versioned.withColumn("_k", F.col("_k") + F.size(F.coalesce(F.filter(before, lambda b: b < F.col("_k")), F.array().cast("array<long>"))))
+    if most is not None:
+        versioned = versioned.withColumn("_k", F.when(F.col("_k") <= most, F.col("_k")))
+    versioned = versioned.withColumn("target", F.when(F.col("_k").isNotNull(), versioned_filename(F.col("filename"), at, F.col("_k")))).withColumn("error", F.when(F.col("_k").isNull(), "VERSION_CONFLICT")).drop("_k", "_taken", "_stem")
     others = rows.where("action <> 'versioned'").withColumn("target", F.when(~F.col("action").startswith("error:"), F.col("filename"))).withColumn("error", F.regexp_extract("action", "^error:(.*)$", 1))
     others = others.withColumn("error", F.nullif("error", F.lit("")))
     return versioned.unionByName(others).withColumn("action", F.when(F.col("error").isNull(), F.col("action")))

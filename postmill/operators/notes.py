@@ -11,12 +11,12 @@ from postmill.operators import export, extract, lines, render
 from postmill.session import materialise
 
 
-def note_job(pages: DataFrame, key: str, results: DataFrame, vault: DataFrame, *, captured_at: str, stamp: str, mode: str = "all", pages_wanted: str = "", language: str = "zh-CN", site: SiteProfile = SITE) -> DataFrame:
+def note_job(pages: DataFrame, key: str, results: DataFrame, vault: DataFrame, *, captured_at: str, stamp: str, mode: str = "all", pages_wanted: str = "", language: str = "zh-CN", site: SiteProfile = SITE, most: int | None = 100) -> DataFrame:
     """key, note_id, filename, target, action, error and markdown of every page.
 
     pages: key (one row each), url, html, policy. results: key, image_index, text, lines of what was recognised in the
     images; ones of images that aren't selected or that have no text count for nothing, and a note whose images gave none
-    is stored without. vault: filename, note_id. What fails has its error and goes no further; the rest goes on.
+    is stored without. vault: filename, note_id; a name has at most `most` versions there. What fails has its error and goes no further; the rest goes on.
 
     Images are cleaned twice, as a recogniser hands them on: each by itself, by geometry where it has lines, and then the
     texts of a note together, where a long line stays only where it stands first.
@@ -36,7 +36,7 @@ def note_job(pages: DataFrame, key: str, results: DataFrame, vault: DataFrame, *
     rendered = good.join(render.ocr_of(texts, key), key, "left").withColumn("markdown", render.markdown(language, include_ocr=True))
     named = rendered.select(key, F.col("id").alias("note_id"), "policy", markdown_filename(F.col("title"), F.col("author_name"), F.col("published_at"), captured_at[:10]).alias("filename"), "markdown")
     named = materialise(named, "rendered")  # ranks and joins below read it several times
-    planned = export.settle(named.drop("markdown"), vault, [key], F.to_timestamp(F.lit(stamp)))
+    planned = export.settle(named.drop("markdown"), vault, [key], F.to_timestamp(F.lit(stamp)), most)
     stored = planned.join(named.select(key, "markdown"), key).withColumn("markdown", F.when(F.col("action").isin("write", "versioned"), F.col("markdown")))
     return stored.select(*failed.columns).unionByName(failed)
 
