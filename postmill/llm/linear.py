@@ -29,7 +29,7 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w, bias
 
 
-def times(x: np.ndarray, w: np.ndarray, step: int = 16_384) -> np.ndarray:
+def times(x: np.ndarray, w: np.ndarray, step: int = 2048) -> np.ndarray:
     """x @ w of a matrix of short floats, widened a part at a time."""
     w = w.astype(np.float32)
     return np.concatenate([np.empty(0), *(x[at : at + step].astype(np.float32) @ w for at in range(0, len(x), step))]).astype(float)
@@ -41,7 +41,7 @@ def dense_descent(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: np.ndarr
     A round visits only rows that can move, those with a multiplier or inside the margin, so that many easy rows cost little.
     """
     w, bias, alpha = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows))
-    square = np.concatenate([np.empty(0), *(np.square(x[at : at + 16_384].astype(np.float32)).sum(axis=1) for at in range(0, len(x), 16_384))])[rows] + 1.0
+    square = np.concatenate([np.empty(0), *(np.square(x[at : at + 2048].astype(np.float32)).sum(axis=1) for at in range(0, len(x), 2048))])[rows] + 1.0
     order = np.random.default_rng(seed)
     for _ in range(rounds):
         most = 0.0

@@ -31,6 +31,7 @@ from __future__ import annotations
 import random
 import re
 import string
+import tempfile
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -122,8 +123,11 @@ def feature_rows(words: list[str], column: np.ndarray, width: int) -> np.ndarray
 
 
 def projected(words: list[str], column: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Nyström features of units: normalised explicit features times table, whose last row is for characters that no landmark has."""
-    out = np.zeros((len(words), table.shape[1]), np.float16)
+    """Nyström features of units: normalised explicit features times table, whose last row is for characters that no landmark has.
+
+    They stand in a temporary file, mapped, since they are by far the most that a fit holds."""
+    with tempfile.TemporaryFile() as file:  # the mapping keeps it
+        out = np.asarray(np.memmap(file, np.float16, "w+", shape=(max(1, len(words)), table.shape[1])))[: len(words)]
     for numbers, codes, decay in subsequences(words):
         for at in range(0, len(numbers), 1000) if codes.shape[1] else ():
             part = codes[at : at + 1000]
@@ -303,8 +307,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int) -> dict | None:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(lists, pa.string())], ["doc_id", "label", "units"])
 
     rows = docs.select(long_id(), F.col("text").cast("string").alias("text")).join(F.broadcast(bounded_labels(labels, "toxic", per_class)), "doc_id").select("doc_id", "label", "text")
-    got = sorted((r[0], r[1], r[2]) for r in rows.mapInArrow(counted, "doc_id long, label int, units string").collect())
-    return fit((label, own.split(" ")) for _, label, own in got) if len({label for _, label, _ in got}) == 2 else None
+    got = sorted(((r[0], r[1], r[2]) for r in rows.mapInArrow(counted, "doc_id long, label int, units string").collect()), reverse=True)
+    both = len({label for _, label, _ in got}) == 2
+    taken = (got.pop() for _ in range(len(got)))  # each text goes once it was read
+    return fit((label, own.split(" ")) for _, label, own in taken) if both else None
 
 
 def with_score(rows: DataFrame, model: dict | None) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import re
 import string
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -860,3 +861,16 @@ def test_quality_against_brute_force():
         margin = float(sum(w[columns.index(int(c))] * x for c, x in zip(r, v / np.linalg.norm(v), strict=True))) + model["bias"]
         assert margin == pytest.approx(quality.margin(r, model), abs=1e-4) and (quality.score_of(margin, model) >= 0.5) == bool(label)
     assert len(quality.ngrams("a b c", quality.Words())) == 3 + 1 + 1 + 1  # three words, one form, a pair and a triple of forms
+
+
+def test_features_of_a_fit_stay_out_of_memory():
+    words = [f"w{i:05d}x" for i in range(100_000)]
+    column, features, _ = toxicity.nystroem([f"mark{i:03d}{chr(97 + i % 26)}" for i in range(200)])
+    features = features.astype(np.float32)
+    tracemalloc.start()
+    made = toxicity.projected(words, column, features)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made.shape == (100_000, features.shape[1]) and most < made.nbytes, (most, made.nbytes)
+    assert (made[-100:] == toxicity.projected(words[-100:], column, features)).all()
+    assert toxicity.projected([], column, features).shape == (0, features.shape[1])
