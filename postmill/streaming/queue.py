@@ -11,6 +11,7 @@ null) started, finished or rejected with its error. progress is the batch's afte
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -145,7 +146,7 @@ class Queue(StatefulProcessor):
             batch = Batch(dict(zip(TASK_FIELDS, self.task.get(), strict=True)), [dict(zip(ITEM_FIELDS, item, strict=True)) for item in self.items.get()])
         for row in sorted(rows, key=lambda r: r["seq"]):
             batch.rows = []
-            batch.take(row.asDict(recursive=True))
+            batch.take({"seq": row["seq"], **json.loads(row["event"])})
             for made in batch.rows:
                 yield Row(task_id=key[0], **made)
         self.keep(batch.task, batch.items)
@@ -177,7 +178,10 @@ def run_queue(events: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """
     with_rocks(events.sparkSession)
     kind = events.schema["task_id"].dataType.simpleString()
-    return with_items(events).groupBy("task_id").transformWithState(Queue(), f"task_id {kind}, {HISTORY}", "Append", "None", initial and initial.groupBy("task_id"))
+    rows = with_items(events)
+    told = F.to_json(F.struct(*(c for c in rows.columns if c not in ("task_id", "seq"))), {"ignoreNullFields": "false"})
+    rows = rows.select("task_id", "seq", told.alias("event"))  # Python reads a row field by field, so few fields
+    return rows.groupBy("task_id").transformWithState(Queue(), f"task_id {kind}, {HISTORY}", "Append", "None", initial and initial.groupBy("task_id"))
 
 
 def held_tasks(spark: SparkSession, checkpoint: str) -> DataFrame:
