@@ -64,6 +64,15 @@ def test_an_empty_log_is_a_stream(spark, tmp_path):
     assert jobs.latest(changes).collect() == []
 
 
+def test_few_fields_go_to_python(spark, tmp_path):
+    log = job_log(spark, 10)
+    log.write.parquet(str(tmp_path / "log"))
+    read = lambda df: spark.readStream.schema(df.schema).parquet(str(tmp_path / "log"))
+    events = log.select(F.col("job_id").alias("task_id"), "seq", "type", F.array("text").alias("urls"), *(F.lit(None).cast("string").alias(k) for k in ("note_id", "job_id", "status", "error", "outcome", "filename")))
+    for made in (jobs.reduce_stream(read(log)), queue.run_queue(read(events))):
+        assert made._jdf.queryExecution().analyzed().children().head().output().size() <= 4
+
+
 # --- the queue ------------------------------------------------------------------------------------
 EVENT = {k: None for k in ("items", "with_ocr", "at_ms", "note_id", "n_images", "selection_error", "job_id", "progress", "status", "error", "outcome", "filename")}
 
